@@ -42,7 +42,7 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
     return often.groupBy("host").agg(F.collect_list("name").alias("boilerplate"))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, least_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, lines and kept (the lines that stay, in order)."""
     cut = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), lines(F.col(html_col)).alias("lines"))
     cut = written(cut.withColumn("names", F.transform("lines", lambda x: F.unhex(F.md5(x.cast("binary"))))), "lines")

@@ -99,7 +99,7 @@ def scan(x: np.ndarray, q: np.ndarray, rotated: np.ndarray, q_rotated: np.ndarra
     """Rows of x that may be among the k nearest to q, with exact distances; limit: a distance known to suffice."""
     width = x.shape[1]
     alive, partial = np.arange(len(x)), np.zeros(len(x))
-    bound = limit * limit
+    bound = min(limit, 1e150) ** 2
     for lo in range(0, width, BLOCK):
         hi = min(lo + BLOCK, width)
         part = rotated[alive, lo:hi] if lo else rotated[:, lo:hi]
