@@ -106,17 +106,20 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean:
 def _adam(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, label: np.ndarray, share: float, rounds: int, rate: float, penalty: float, least_texts: int, least_z: float) -> Weights:
     # Kept are features of enough texts whose share of toxic texts differs from the mean by `least_z` deviations.
     text_of_sentence = np.repeat(np.arange(len(counts)), counts)
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
-    rows, columns = np.repeat(sentence, 3), flat.ravel()
-    pairs = np.unique(text_of_sentence[rows] * np.int64(DIMS) + columns)
-    toxic_texts = np.bincount(pairs[label[pairs // DIMS]] % DIMS, minlength=DIMS)
-    texts = np.bincount(pairs % DIMS, minlength=DIMS)
+    ends = np.cumsum(np.bincount(text_of_sentence, weights=sizes, minlength=len(counts))).astype(np.int64)
+    texts, toxic_texts = np.zeros(DIMS, np.int32), np.zeros(DIMS, np.int32)
+    for k, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends)):
+        found = np.unique(flat[a:b])
+        texts[found] += 1
+        if label[k]:
+            toxic_texts[found] += 1
     expected = texts * label.mean()
     kept = np.flatnonzero((texts >= least_texts) & (np.abs(toxic_texts - expected) >= least_z * np.sqrt(expected * (1 - label.mean()))))
     number = np.full(DIMS, -1, np.int32)
     number[kept] = np.arange(len(kept))
-    columns = number[columns]
-    rows, columns = rows[columns >= 0].astype(np.int32), columns[columns >= 0]
+    columns = number[flat.ravel()]
+    places = np.flatnonzero(columns >= 0)
+    columns, rows = columns[places], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[places // 3]
     heads = np.concatenate([[0], np.cumsum(counts)[:-1]])
     importance = np.where(label, share / label.mean(), (1 - share) / (1 - label.mean()))
     weight, bias = np.zeros(len(kept)), -4.0
