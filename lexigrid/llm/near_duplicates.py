@@ -10,18 +10,19 @@ every register's first, so most shingles need very few.
 2. Registers are banded. In each bucket every node is paired with the smallest node: stars, never all pairs.
 3. Pairs are verified on their whole texts, and verified pairs give components.
 4. Where a bucket's nodes are in several components, the nodes outside that of its smallest node are compared with all
-   nodes of other components in the bucket by their registers, inside tiles of bounded size. Only pairs whose
-   estimate comes near the threshold become rows, and are verified as in 3. So no two similar nodes that share a
-   bucket stay apart, and no bucket is written out as pairs.
+   nodes of other components in the bucket, inside tiles of bounded size: first by their registers, so that each such
+   node's two nearest are verified as in 3, which joins most components; then whatever is still apart by registers
+   and, where the estimate comes near the threshold, by whole texts inside the tile. A tile gives only links that join
+   components. So no two similar nodes that share a bucket stay apart, and no bucket is written out as pairs.
 
-Nulls: rows without id or without text take no part; their class is null and 0 links. Texts without words are alike
+Nulls: rows without id or without text take no part; their class is null. Texts without words are alike
 only if they are equal. Rows that share an id are one document. Empty tables give empty results; other columns
 are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from lexigrid.llm.common import find_words, lists, mix64, runs, slices, written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 TILE = 1024
+#: Bytes of text in a side of a tile, on average.
+TILE_BYTES = 8 << 20
 
 
 def shingles(hashes: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +196,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 8
 ) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the smallest id of its class) and n_links (verified links of its
-    text to different texts).
+    """One row per row of docs: doc_id and class_id (the smallest id of its class).
 
     With 32 bands of 8 registers, two texts of similarity 0.8 share a bucket with probability 0.997, of 0.85 with
     0.9999.
@@ -219,21 +221,18 @@ def classes(
     every = written(verified(met, texts, size, threshold), "verified")
     # Three deviations of the estimate below the threshold: a pair at the threshold is passed over in 1 of 700 cases.
     least = threshold - 3 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    # First each stray's nearest nodes, which join most components; then whatever is near and still apart.
-    for nearest in (2, None):
-        mixed = _mixed(members, components(every.unionByName(again)))
-        marks = signed.join(mixed.select("node").distinct().hint("merge"), F.col("doc_id") == F.col("node")).dropDuplicates(["node"]).select("node", "registers")
-        near = _strays_near(mixed.join(marks.hint("merge"), "node"), least, nearest).distinct()
-        near = written(near.join(met, ["a", "b"], "left_anti"), "pairs")
-        met = met.unionByName(near)
-        every = every.unionByName(written(verified(near, texts, size, threshold), "verified"))
+    # First each stray's two nearest nodes, which join most components; then all pairs that are still apart, exactly.
+    mixed = _mixed(members, components(every.unionByName(again)))
+    near = _in_tiles(mixed, _marked(mixed, signed), lambda rows: _tile_nearest(rows, least, 2)).distinct()
+    near = written(near.join(met, ["a", "b"], "left_anti"), "pairs")
+    every = every.unionByName(written(verified(near, texts, size, threshold), "verified"))
+    mixed = _mixed(members, components(every.unionByName(again)))
+    marked = _marked(mixed, signed).join(texts.hint("merge"), "node")
+    every = every.unionByName(written(_in_tiles(mixed, marked, lambda rows: _tile_links(rows, least, size, threshold)).distinct(), "verified"))
     labels = components(every.unionByName(again))
-    both = every.select("a", "b").unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    named = labels.join(degree, "node", "left").select("node", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = nodes.join(named.hint("merge"), "node", "left").select("key", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = signed.select("doc_id", "key").join(named.hint("merge"), "key").select("doc_id", "class_id", "n_links")
-    rest = rows_of.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    named = nodes.join(labels.hint("merge"), "node", "left").select("key", F.coalesce("label", "node").alias("class_id"))
+    out = signed.select("doc_id", "key").join(named.hint("merge"), "key").select("doc_id", "class_id")
+    rest = rows_of.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(rest)
 
 
@@ -244,19 +243,27 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(named.join(several.filter("low < high").select("bucket", "main").hint("merge"), "bucket").select("bucket", "node", "label", "main").distinct(), "mixed")
 
 
-def _strays_near(mixed: DataFrame, least: float, nearest: int | None) -> DataFrame:
-    """Pairs (a > b) of nodes of different components in a bucket whose registers agree in a share of at least `least`;
-    with `nearest`, only so many of each stray in each tile, those that agree most.
+def _marked(mixed: DataFrame, signed: DataFrame) -> DataFrame:
+    """node and registers of the nodes of mixed buckets."""
+    found = signed.join(mixed.select("node").distinct().hint("merge"), F.col("doc_id") == F.col("node"))
+    return found.dropDuplicates(["node"]).select("node", "registers")
 
-    Strays (nodes outside the main component) meet all nodes of their bucket in tiles of about TILE by TILE nodes; rows
-    are made for nodes and tiles, and pairs only where the estimate asks for a verification.
+
+def _in_tiles(mixed: DataFrame, marked: DataFrame, pairs_of: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """Pairs (a > b) of nodes of different components in a bucket, as pairs_of finds them in each tile.
+
+    Strays (nodes outside the main component) meet all nodes of their bucket in tiles of about TILE by TILE nodes, fewer
+    where marked has long texts; rows are made for nodes and tiles.
     """
     stray = F.col("label") != F.col("main")
-    sizes = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("n_all"), F.ceil(F.sum(stray.cast("int")) / F.lit(TILE)).cast("int").alias("n_strays"))
-    rows = mixed.join(sizes.hint("merge"), "bucket")
+    columns = ["node", "label", *(c for c in marked.columns if c != "node")]
+    bytes_of = F.octet_length("text").cast("long") if "text" in columns else F.lit(0).cast("long")
+    rows = mixed.join(marked.hint("merge"), "node").withColumn("bytes", bytes_of)
+    parts = lambda number, size: F.greatest(F.ceil(number / F.lit(TILE)), F.ceil(size / F.lit(TILE_BYTES))).cast("int")
+    sizes = rows.groupBy("bucket").agg(parts(F.count("*"), F.sum("bytes")).alias("n_all"), parts(F.sum(stray.cast("int")), F.sum(F.when(stray, F.col("bytes")).otherwise(0))).alias("n_strays"))
+    rows = rows.drop("bytes").join(sizes.hint("merge"), "bucket")
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    columns = ["node", "label", "registers"]
     left = rows.filter(stray).select("bucket", place("n_strays").alias("s"), F.explode(up_to("n_all")).alias("m"), F.lit(True).alias("stray"), *columns)
     right = rows.select("bucket", F.explode(up_to("n_strays")).alias("s"), place("n_all").alias("m"), F.lit(False).alias("stray"), *columns)
     tile = F.xxhash64("bucket", "s", "m").alias("tile")
@@ -269,29 +276,55 @@ def _strays_near(mixed: DataFrame, least: float, nearest: int | None) -> DataFra
             cuts = [0, *(np.flatnonzero(tiles[1:] != tiles[:-1]) + 1).tolist(), len(tiles)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if held and held[-1].column(0)[0].as_py() != tiles[lo]:
-                    yield _tile_pairs(pa.concat_tables(held), least, nearest)
+                    yield pairs_of(pa.concat_tables(held))
                     held = []
                 if hi > lo:
                     held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
         if held:
-            yield _tile_pairs(pa.concat_tables(held), least, nearest)
+            yield pairs_of(pa.concat_tables(held))
 
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
-def _tile_pairs(rows: pa.Table, least: float, nearest: int | None) -> pa.RecordBatch:
-    stray = rows.column("stray").to_numpy()
-    node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
-    registers = np.frombuffer(b"".join(x.as_py() for x in rows.column("registers")), "<u2").reshape(len(node), -1)
+def _parts_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a tile: strays, nodes, labels, and nodes x registers."""
+    stray, node, label = (rows.column(c).to_numpy() for c in ("stray", "node", "label"))
+    return stray, node, label, np.frombuffer(b"".join(x.as_py() for x in rows.column("registers")), "<u2").reshape(len(node), -1)
+
+
+def _pairs(first: list, second: list) -> pa.RecordBatch:
+    a, b = np.array(first, np.int64), np.array(second, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+
+def _tile_nearest(rows: pa.Table, least: float, nearest: int) -> pa.RecordBatch:
+    """Of each stray the nodes whose registers agree most, among those that agree in a share of `least`."""
+    stray, node, label, registers = _parts_of(rows)
     others = np.flatnonzero(~stray)
-    a, b = [], []
+    first, second = [], []
     for k in np.flatnonzero(stray):
         agree = (registers[others] == registers[k]).mean(axis=1) * (label[others] != label[k])
         close = np.flatnonzero(agree >= least)
-        if nearest is not None:
-            close = close[np.argsort(-agree[close], kind="stable")[:nearest]]
-        close = others[close]
-        a.append(np.maximum(node[close], node[k]))
-        b.append(np.minimum(node[close], node[k]))
-    none = [np.zeros(0, np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], ["a", "b"])
+        close = close[np.argsort(-agree[close], kind="stable")[:nearest]]
+        first += [node[k]] * len(close)
+        second += node[others[close]].tolist()
+    return _pairs(first, second)
+
+
+def _tile_links(rows: pa.Table, least: float, size: int, threshold: float) -> pa.RecordBatch:
+    """Similar pairs by whole texts, until no two components of the tile have a similar pair and are still apart."""
+    stray, node, label, registers = _parts_of(rows)
+    group = np.unique(label, return_inverse=True)[1]
+    others = np.flatnonzero(~stray)
+    texts, sets = rows.column("text"), {}
+    weighed = lambda k: sets[k] if k in sets else sets.setdefault(k, _weighted(pa.array([texts[int(k)].as_py()], pa.string()), size)[0])
+    first, second = [], []
+    for k in np.flatnonzero(stray):
+        agree = (registers[others] == registers[k]).mean(axis=1)
+        close = np.flatnonzero((agree >= least) & (group[others] != group[k]))
+        for o in others[close[np.argsort(-agree[close], kind="stable")]]:
+            if group[o] != group[k] and probability_jaccard(weighed(k), weighed(o)) >= threshold:
+                first.append(node[k])
+                second.append(node[o])
+                group[group == group[o]] = group[k]
+    return _pairs(first, second)
