@@ -13,38 +13,47 @@ from lexigrid.llm import decontaminate, mixing, near_duplicates, queries, tokens
 from lexigrid.llm.common import shared_folder, table, written
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs with one of the ids, once for each row of docs. decisions: different doc_ids."""
-    return docs.join(decisions.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of docs with none of the ids. The rejected are the smaller side, so that Spark can broadcast them as long
+    as its own size limit allows, and else joins by a shuffle."""
+    return docs.join(rejected.select(F.col("doc_id").alias("rejected_id")), F.col("doc_id").eqNullSafe(F.col("rejected_id")), "left_anti")
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
-    scored = toxicity.scored(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select("doc_id").distinct()
-    return _kept(docs, written(scored, "clean"))
+    """Documents that the toxicity model rejects go; rows carry their columns through the scoring, with no join."""
+    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"), carry=True)
+    return scored.filter("predicted = 0").select("row.*")
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, that with the smallest id; rows without id or text stay."""
-    rows = near_duplicates.classes(docs)
-    first = rows.filter("class_id IS NULL OR doc_id = class_id").select("doc_id").distinct()
-    kept = _kept(docs, written(first, "first"))
+    rejected = written(near_duplicates.classes(docs).filter("doc_id <> class_id").select("doc_id").distinct(), "rejected")
     usable = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-    return kept.filter(usable).dropDuplicates(["doc_id"]).unionByName(kept.filter(~usable))
+    # Plain equality: where the join shuffles, its partitions serve for the repeated rows too.
+    kept = docs.filter(usable).join(rejected, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.unionByName(docs.filter(~usable))
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
     found = decontaminate.report(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
-    return _kept(docs, written(found.filter("NOT contaminated").select("doc_id").distinct(), "unseen"))
+    return _without(docs, written(found.filter("contaminated").select("doc_id").distinct(), "seen"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, by DataFrame functions alone."""
-    mix = mixing.mix(docs)
-    chosen = written(mix.select(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"), mixing.epochs(mix).alias("copies")).filter("copies > 0").distinct(), "mix")
-    same = F.col("doc_id").eqNullSafe(F.col("mixed_id")) & F.col("source").eqNullSafe(F.col("mixed_source"))
-    repeated = docs.join(chosen, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    """Documents as often as the mix takes them, by DataFrame functions alone.
+
+    In the order of hash keys, a source's documents get equal numbers of copies up to one place, and one copy less
+    beyond it. So a row for each source, that place, decides for every document, and texts aren't shuffled.
+    """
+    seed = mixing.SEED
+    mix = mixing.mix(docs, seed=seed).select("source", F.struct(mixing.hash_key(seed).alias("key"), "doc_id").alias("place"), mixing.epochs().alias("copies"))
+    cuts = mix.groupBy("source").agg(F.max(F.struct("copies", "place")).alias("last"))
+    cuts = written(cuts.select(F.col("source").alias("mixed_source"), F.col("last.copies").alias("most"), F.col("last.place").alias("last")), "cuts")
+    joined = docs.join(cuts, F.col("source").eqNullSafe(F.col("mixed_source")))
+    place = F.struct(mixing.hash_key(seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    copies = F.when(place <= F.col("last"), F.col("most")).otherwise(F.col("most") - 1)
+    repeated = joined.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select(*docs.columns)
 
 

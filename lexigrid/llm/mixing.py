@@ -24,6 +24,14 @@ from lexigrid.llm.common import written
 ROWS_A_RANGE = 2000
 
 
+SEED = "mix-1:"
+
+
+def hash_key(seed: str) -> Column:
+    """The hash-random key of doc_id, as hex digits."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
@@ -52,8 +60,7 @@ def with_positions(sizes: DataFrame, seed: str) -> DataFrame:
     rows = sizes.count()
     while rows > room:
         levels, room = levels + 1, room * 256
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    keyed = sizes.withColumn("key", key)
+    keyed = sizes.withColumn("key", hash_key(seed))
     for d in range(levels + 1):
         keyed = keyed.withColumn(f"r{d}", F.substring("key", 1, 2 * d))
     ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
@@ -75,7 +82,7 @@ def with_positions(sizes: DataFrame, seed: str) -> DataFrame:
     return joined.withColumn("before", F.col("base") + F.col("inside")).select(*sizes.columns, "before")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: str = "mix-1:") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, before, and taken: the words of the document that the mix takes."""
     sizes = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     goal = targets(sizes, share, most, weights).withColumnRenamed("source", "source_of")
@@ -88,7 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return placed.withColumn("taken", taken.cast("long"))
 
 
-def epochs(mixed: DataFrame) -> Column:
+def epochs() -> Column:
     """How many epochs reach a document: whole copies of it that a mix of whole documents holds."""
     budget, size = F.floor("target"), F.greatest("source_size", F.lit(1))
     return F.greatest(F.lit(0), F.ceil((budget - F.col("before")) / size)).cast("int")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexigrid.llm.common import Words, find_words, id_remainder, lists, slices, text_bytes
 
@@ -141,15 +142,16 @@ def _adam(flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, label: np.nda
     return Weights(values, float(bias))
 
 
-def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text", offending: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text", offending: float = 0.5, carry: bool = False) -> DataFrame:
     """doc_id, score, and the offending sentences: byte ranges in the text's UTF-8 (first to last word) with their
-    probability, for those of at least `offending`."""
+    probability, for those of at least `offending`. carry: row, all columns of docs (text_col must be a string)."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                texts = batch.column(1)[a:b]
+            column = batch.column(1).field(text_col) if carry else batch.column(1)
+            for a, b in slices(column):
+                texts = column[a:b]
                 words, head, logit = sentence_logits(texts, shared.value)
                 p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
                 of = words.texts[head] if len(head) else head
@@ -160,13 +162,18 @@ def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: s
                 begin, end = words.starts[head[bad]] - offsets[of[bad]], words.ends[last[bad]] - offsets[of[bad]]
                 spans = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(p[bad])], ["begin", "end", "p"])
                 cuts = pa.array(np.searchsorted(of[bad], np.arange(b - a + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(1 - clean), pa.ListArray.from_arrays(cuts, spans)], ["doc_id", "score", "sentences"])
+                out = [batch.column(0)[a:b], pa.array(1 - clean), pa.ListArray.from_arrays(cuts, spans), *([batch.column(1)[a:b]] if carry else [])]
+                yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(rate, "doc_id bigint, score double, sentences array<struct<begin:int,end:int,p:double>>")
+    schema = StructType.fromDDL("doc_id bigint, score double, sentences array<struct<begin:int,end:int,p:double>>")
+    schema = schema.add("row", docs.schema) if carry else schema
+    names = schema.names
+    given = F.struct(*docs.columns).alias("row") if carry else F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), given).mapInArrow(rate, schema)
 
 
-def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, threshold: float = 0.7, **options) -> DataFrame:
-    """Learns from labels outside the held-out fold and scores all documents."""
+def scored(docs: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1, threshold: float = 0.7, carry: bool = False, **options) -> DataFrame:
+    """Learns from labels outside the held-out fold and scores all documents. carry: row, all columns of docs."""
     training = labels.select("doc_id", "toxic").filter(id_remainder("doc_id", folds) != held_fold)
-    out = score(docs, fit(docs, training, **options))
-    return out.select("doc_id", (id_remainder("doc_id", folds) == held_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences")
+    out = score(docs, fit(docs, training, **options), carry=carry)
+    return out.select("doc_id", (id_remainder("doc_id", folds) == held_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences", *(["row"] if carry else []))
