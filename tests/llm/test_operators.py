@@ -85,6 +85,20 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.classes(empty).count() == 0
 
 
+def test_tiles_link_what_is_similar_and_apart():
+    import pyarrow as pa
+
+    base = [f"word{k}" for k in range(200)]
+    texts = [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in (0, 50, 100, 150)] + [" ".join(base[::-1]), ""]
+    one = lambda k: near_duplicates._weighted(pa.array([texts[k]]), 5)[0]
+    similar = {(a, b) for a in range(6) for b in range(a) if near_duplicates.probability_jaccard(one(a), one(b)) >= 0.8}
+    rows = [(stray, k, k, bytes(8), texts[k]) for stray in (True, False) for k in range(6)]
+    table = pa.table(dict(zip(("stray", "node", "label", "registers", "text"), map(list, zip(*rows)))))
+    links = near_duplicates._tile_links(table, 0.5, 5, 0.8).to_pydict()
+    found = set(zip(links["a"], links["b"]))
+    assert found <= similar and len(found) == len(links["a"]) == 3  # four similar texts, three links
+
+
 def test_probability_jaccard_and_its_estimate():
     random = np.random.RandomState(5)
     x = {k: int(random.randint(1, 5)) for k in range(300)}
