@@ -170,20 +170,25 @@ def token_output(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
 
 
 def digests_of(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 from a token table; the ids are digested before anything is joined."""
-    digested = ids_digest(read_token_table(spark, path), ["file", "row", "doc_id", "n_tokens"])
-    return with_starts(digested, ["file", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+    """doc_id, start, n_tokens and ids_crc32 from a token table; the ids are digested before anything is joined.
 
+    The totals behind start need n_tokens alone, so they come from scans of that column and ids are read once."""
+    rows = read_token_table(spark, path)
+    digested = ids_digest(rows, ["file", "row", "doc_id", "n_tokens"])
+    return with_starts(digested, ["file", "row"], rows.select("file", "row", "n_tokens")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
-def with_starts(rows: DataFrame, order: list[str], piece: int = 4096) -> DataFrame:
+
+def with_starts(rows: DataFrame, order: list[str], counts: DataFrame | None = None, piece: int = 4096) -> DataFrame:
     """Adds start, the exclusive prefix sum of n_tokens over (file, row), by pieces of rows, files, then everything.
 
-    order: the columns of the file's number and the row's number in it.
+    order: the columns of the file's number and the row's number in it. counts: the same rows' order and n_tokens,
+    where they are cheaper to compute than the rows.
     """
     file, row = order
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    cut = rows.withColumn("piece", F.expr(f"{row} div {piece}"))
-    totals = cut.groupBy(file, "piece").agg(F.sum("n_tokens").alias("total"))
+    in_pieces = lambda df: df.withColumn("piece", F.expr(f"{row} div {piece}"))
+    cut = in_pieces(rows)
+    totals = in_pieces(rows if counts is None else counts).groupBy(file, "piece").agg(F.sum("n_tokens").alias("total"))
     files = totals.groupBy(file).agg(F.sum("total").alias("total"))
     files = files.select(file, F.coalesce(F.sum("total").over(before.orderBy(file)), F.lit(0)).alias("file_start"))
     bases = (
