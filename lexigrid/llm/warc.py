@@ -5,9 +5,9 @@ metadata name the response through WARC-Concurrent-To. Records are text whose la
 writer adds, so archives are gzip files of valid WARC records, written wherever Spark writes. They are read as
 binary files of a bounded number of records and cut by Content-Length alone, so payloads may hold anything.
 
-Nulls: a null payload is empty and a null url becomes 'about:blank'; rows without an id get none back. Repeated ids are
-captures of their own. Of equal payloads of at least `least_bytes`, the capture with the largest id is the response and
-the others are revisits of it. Empty tables give empty archives and results.
+Nulls: a null payload is empty and a null url becomes 'about:blank'; rows without an id get none back and are responses.
+Rows with repeated or null ids are captures of their own, with record ids of their own. Of equal payloads of at least `least_bytes`, the captures with the largest id are responses and
+those with smaller ids are revisits of one of them. Empty tables give empty archives and results.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.llm.common import written
+
 RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, payload_digest string, n_bytes bigint, capture string, payload binary"
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_A_FILE = 3000
@@ -36,18 +38,22 @@ def _record(kind: str, name: str, uri: str, body: str, more: str = "", media: st
 
 
 def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, and refers_to: the capture that this one revisits, or null.
+    """page_id, url, html, name, and refers: the name of the capture that this one revisits, or null.
 
-    The largest id of each payload is found from digests alone; the join on them is a plain one that adaptive
-    execution can split when one payload is very common.
+    A name is the page_id, if any, and the row's place in a written table of the pages (file and row number), so it is
+    unique whatever the ids, and the same when a task runs again. The largest id of each payload is found from digests
+    alone; the join on them is a plain one that adaptive execution can split when one payload is very common.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("about:blank")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    known = rows.filter((F.octet_length("html") >= least_bytes) & F.col("page_id").isNotNull())
-    first = known.groupBy(F.hex("sha1").alias("digest")).agg(F.max("page_id").alias("last"), F.min("page_id").alias("other"), F.count("*").alias("n"))
-    copied = first.filter((F.col("n") > 1) & (F.col("last") > F.col("other"))).select(F.unhex("digest").alias("sha1"), "last")
+    rows = written(rows.withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("n_bytes", F.octet_length("html")), "pages")
+    file = lambda k: F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*-c(\d+)\.", k).cast("long")
+    name = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.concat_ws("-", file(1), file(2), F.col("_metadata.row_index")))
+    rows = rows.withColumn("name", name)
+    known = rows.filter((F.col("n_bytes") >= least_bytes) & F.col("page_id").isNotNull())
+    first = known.groupBy(F.hex("sha1").alias("digest")).agg(F.max(F.struct("page_id", "name")).alias("last"), F.min("page_id").alias("other"))
+    copied = first.filter(F.col("last.page_id") > F.col("other")).select(F.unhex("digest").alias("sha1"), "last")
     joined = rows.join(copied, "sha1", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", "name", F.when(F.col("page_id") < F.col("last.page_id"), F.col("last.name")).alias("refers"))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -55,9 +61,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 out = []
-                for page, url, html, refers in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
+                for page, url, html, own, refers in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
                     uri = " ".join(url.split()) or "about:blank"
-                    name = f"urn:capture:{'' if page is None else page}:response"
+                    name = f"urn:capture:{own}:response"
                     tied = f"WARC-Concurrent-To: <{name}>\r\n"
                     data = html.encode()
                     length = f"WARC-Payload-Digest: sha1:{digest32(data)}\r\nX-Payload-Bytes: {len(data)}\r\n"

@@ -237,6 +237,23 @@ def test_warc_round_trip(spark):
     assert all(r.request is not None and r.metadata is not None for r in captures.collect())
 
 
+def test_warc_repeated_and_null_ids(spark):
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (4, "u", "a"), (4, "v", "a"), (4, "u", "c"), *[(None, "u", t) for t in ("a", "a", "d", None)]]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    path = shared_folder(spark, "warc")
+    warc.write_archives(pages, path)
+    records = warc.read_archives(spark, path)
+    captures = warc.transactions(records)
+    got = sorted(((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in warc.report(captures).collect()), key=repr)
+    old = lambda i, t: i == 1 and t == "a"
+    assert got == sorted(((i, warc.digest32((t or "").encode()), "revisit" if old(i, t) else "response", 4 if old(i, t) else None) for i, _, t in rows), key=repr)
+    names = [r.record_id for r in records.collect()]
+    assert len(set(names)) == len(names) == 3 * len(rows)
+    assert all(r.request is not None and r.metadata is not None for r in captures.collect())
+    main = {r.record_id: r.response for r in captures.collect()}
+    assert all(main[x.refers_to].type == "response" and main[x.refers_to].payload_digest == x.payload_digest for x in main.values() if x.refers_to)
+
+
 def test_line_dedup(spark):
     page = lambda k: f"<div>Menu</div><p>Text {k}</p><script>x</script><p>Text {k}</p>"
     rows = [(k, "https://Site.example/p", page(k)) for k in range(5)] + [(7, None, None), (8, "https://other.example/", "<p>Menu</p>")]
