@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm import decontaminate, mixing, near_duplicates, queries, tokens, toxicity
-from lexigrid.llm.common import shared_folder, table, written
+from lexigrid.llm.common import numbered, shared_folder, table, written
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of docs with none of the ids. The rejected are the smaller side, so that Spark can broadcast them as long
-    as its own size limit allows, and else joins by a shuffle."""
-    return docs.join(rejected.select(F.col("doc_id").alias("rejected_id")), F.col("doc_id").eqNullSafe(F.col("rejected_id")), "left_anti")
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The numbered rows but those rejected, without their numbers. The rejected are the smaller side, so that Spark can
+    broadcast them as long as its own size limit allows, and else joins by a shuffle."""
+    return rows.join(rejected, "row_key", "left_anti").drop("row_key")
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,18 +26,21 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that with the smallest id; rows without id or text stay."""
-    rejected = written(near_duplicates.classes(docs).filter("doc_id <> class_id").select("doc_id").distinct(), "rejected")
-    usable = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-    # Plain equality: where the join shuffles, its partitions serve for the repeated rows too.
-    kept = docs.filter(usable).join(rejected, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.filter(~usable))
+    """One row of each near-duplicate class of texts stays, that with the smallest id (null ids last, and of equal ids the
+    first written); rows without text stay. Rows are judged by their own text, whatever their ids."""
+    rows = numbered(docs, "near-input")
+    found = near_duplicates.classes(rows, id_col="row_key").filter("class_id IS NOT NULL").select(F.col("doc_id").alias("row_key"), "class_id")
+    named = written(found.join(rows.select("row_key", "doc_id"), "row_key"), "classes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    kept = named.groupBy("class_id").agg(F.min(order).alias("least"), F.count("*").alias("n")).filter("n > 1").select("class_id", F.col("least.row_key").alias("kept"))
+    return _without(rows, written(named.join(kept, "class_id").filter("row_key <> kept").select("row_key"), "rejected"))
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
-    found = decontaminate.report(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
-    return _without(docs, written(found.filter("contaminated").select("doc_id").distinct(), "seen"))
+    """Rows whose own text has a window of a benchmark item go."""
+    rows = numbered(docs, "seen-input")
+    found = decontaminate.report(decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row_key"))
+    return _without(rows, written(found.filter("contaminated").select(F.col("doc_id").alias("row_key")), "seen"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

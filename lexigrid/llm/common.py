@@ -163,6 +163,14 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The written rows with row_key: a different number for each, from its file and its place there, so it stays the same
+    however often the rows are read."""
+    rows = written(df, name, maxRecordsPerFile="0")
+    file = F.regexp_extract("_metadata.file_name", r"^part-(\d+)-", 1).cast("long")
+    return rows.select(*df.columns, (F.shiftleft(file, 33) + F.col("_metadata.row_index")).alias("row_key"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

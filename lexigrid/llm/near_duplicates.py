@@ -6,7 +6,7 @@ weights. Each shingle's occurrences arrive as a Poisson process whose rate is it
 random register, which keeps the shingle of its first arrival. A shingle stops as soon as its next arrival comes after
 every register's first, so most shingles need very few.
 
-1. Texts with equal words (or, without words, equal texts) are one node, named by their smallest id.
+1. Texts with equal words (or, without words, equal texts) are one node, with a number of its own.
 2. Registers are banded. In each bucket every node is paired with the smallest node: stars, never all pairs.
 3. Pairs are verified on their whole texts, and verified pairs give components.
 4. Where a bucket's nodes are in several components, the nodes outside that of its smallest node are compared with all
@@ -16,7 +16,7 @@ every register's first, so most shingles need very few.
    components. So no two similar nodes that share a bucket stay apart, and no bucket is written out as pairs.
 
 Nulls: rows without id or without text take no part; their class is null. Texts without words are alike
-only if they are equal. Rows that share an id are one document. Empty tables give empty results; other columns
+only if they are equal. Rows that share an id are one document: each of its texts is a node, and these are linked. Empty tables give empty results; other columns
 are ignored.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import find_words, lists, mix64, runs, slices, written
+from lexigrid.llm.common import find_words, lists, mix64, numbered, runs, slices, written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 TILE = 1024
@@ -84,7 +84,7 @@ def prob_minhash(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, tex
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key (128 bits of the words or of the text), one 64-bit bucket for each band (none without words), and
+    """doc_id, mark (a hash of the text), key (128 bits of the words or of the text), one 64-bit bucket for each band (none without words), and
     the registers' lowest 16 bits."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +104,9 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     keys.append(_digest(line.tobytes() if some[k] else (batch.column(1)[a + k].as_py() or "").encode(), some[k]))
                 ends = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))])
                 marks = pa.array([x.tobytes() for x in winners.astype("<u2")], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(keys, pa.string()), lists(bucket[some].ravel().view(np.int64), ends), marks], ["doc_id", "key", "buckets", "registers"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(keys, pa.string()), lists(bucket[some].ravel().view(np.int64), ends), marks], ["doc_id", "mark", "key", "buckets", "registers"])
 
-    return docs.mapInArrow(sign, "doc_id bigint, key string, buckets array<bigint>, registers binary")
+    return docs.mapInArrow(sign, "doc_id bigint, mark bigint, key string, buckets array<bigint>, registers binary")
 
 
 def _digest(data: bytes, words: bool) -> str:
@@ -202,19 +202,24 @@ def classes(
     0.9999.
     """
     rows_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    usable = rows_of.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    usable = rows_of.filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
     signed = written(signatures(usable, size, bands, rows), "signatures")
-    # A document that has several texts is one: its rows share the smallest node of their keys in the end.
-    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("node"))
-    nodes = written(nodes, "nodes")
-    copies = signed.select("doc_id", "key").join(nodes.hint("merge"), "key")
-    again = copies.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
-    unique = signed.join(nodes.hint("merge"), "key").filter("doc_id = node").select("node", F.explode("buckets").alias("bucket"))
+    # A node's first: the smallest id of its rows, and with mark a row that stands for it.
+    firsts = signed.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select("key", F.col("f.doc_id").alias("first"), F.col("f.mark").alias("first_mark"))
+    nodes = numbered(firsts.sortWithinPartitions("first", "key"), "nodes").withColumnRenamed("row_key", "node")
+    # A document that has several texts is one: all its nodes are linked to the smallest of them.
+    copies = signed.select("doc_id", "key").join(nodes.hint("merge"), "key").select("doc_id", "node")
+    several = copies.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("doc_id", "b")
+    again = written(copies.join(several, "doc_id").filter("node > b").select(F.col("node").alias("a"), "b").distinct(), "again")
+    stands = (F.col("doc_id") == F.col("first")) & (F.col("mark") == F.col("first_mark"))
+    unique = signed.join(nodes.hint("merge"), "key").filter(stands).select("node", F.explode("buckets").alias("bucket"))
     buckets = written(unique, "buckets")
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre < other").select("bucket", "centre")
     members = written(buckets.join(shared.hint("merge"), "bucket").select("bucket", "node", "centre"), "members")
-    involved = members.select("node").distinct()
-    texts = written(usable.join(involved.hint("merge"), usable["doc_id"] == involved["node"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    involved = nodes.join(members.select("node").distinct().hint("merge"), "node").select("node", "first", "first_mark")
+    # Grouped by what the join shuffles by, so that texts aren't shuffled again.
+    texts = usable.join(involved.hint("merge"), stands).groupBy("doc_id", "mark").agg(F.min("node").alias("node"), F.min("text").alias("text"))
+    texts = written(texts.select("node", "text"), "texts")
 
     pairs = members.filter("node > centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     met = written(pairs, "pairs")
@@ -223,14 +228,16 @@ def classes(
     least = threshold - 3 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     # First each stray's two nearest nodes, which join most components; then all pairs that are still apart, exactly.
     mixed = _mixed(members, components(every.unionByName(again)))
-    near = _in_tiles(mixed, _marked(mixed, signed), lambda rows: _tile_nearest(rows, least, 2)).distinct()
+    near = _in_tiles(mixed, _marked(mixed, nodes, signed), lambda rows: _tile_nearest(rows, least, 2)).distinct()
     near = written(near.join(met, ["a", "b"], "left_anti"), "pairs")
     every = every.unionByName(written(verified(near, texts, size, threshold), "verified"))
     mixed = _mixed(members, components(every.unionByName(again)))
-    marked = _marked(mixed, signed).join(texts.hint("merge"), "node")
+    marked = _marked(mixed, nodes, signed).join(texts.hint("merge"), "node")
     every = every.unionByName(written(_in_tiles(mixed, marked, lambda rows: _tile_links(rows, least, size, threshold)).distinct(), "verified"))
     labels = components(every.unionByName(again))
-    named = nodes.join(labels.hint("merge"), "node", "left").select("key", F.coalesce("label", "node").alias("class_id"))
+    named = written(nodes.join(labels.hint("merge"), "node", "left").select("key", "first", F.coalesce("label", "node").alias("label")), "named")
+    smallest = named.groupBy("label").agg(F.min("first").alias("class_id"))
+    named = named.join(smallest.hint("merge"), "label").select("key", "class_id")
     out = signed.select("doc_id", "key").join(named.hint("merge"), "key").select("doc_id", "class_id")
     rest = rows_of.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(rest)
@@ -243,9 +250,10 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(named.join(several.filter("low < high").select("bucket", "main").hint("merge"), "bucket").select("bucket", "node", "label", "main").distinct(), "mixed")
 
 
-def _marked(mixed: DataFrame, signed: DataFrame) -> DataFrame:
+def _marked(mixed: DataFrame, nodes: DataFrame, signed: DataFrame) -> DataFrame:
     """node and registers of the nodes of mixed buckets."""
-    found = signed.join(mixed.select("node").distinct().hint("merge"), F.col("doc_id") == F.col("node"))
+    wanted = nodes.join(mixed.select("node").distinct().hint("merge"), "node").select("node", "first", "first_mark")
+    found = signed.join(wanted.hint("merge"), (F.col("doc_id") == F.col("first")) & (F.col("mark") == F.col("first_mark")))
     return found.dropDuplicates(["node"]).select("node", "registers")
 
 

@@ -276,3 +276,28 @@ def test_pipeline(spark, tmp_path):
         assert after and set(after) <= before
         docs = out
     assert pipeline.STAGES[-1][1](spark, docs, data).count() == docs.count()
+
+
+def test_pipeline_decides_rows_by_their_own_text(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    leak, base = " ".join(f"leak{k}" for k in range(12)), [f"word{k}" for k in range(100)]
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = lambda k: " ".join(f"t{k}x{n}" for n in range(30))
+    rows = [(None, f"so {leak} on"), (None, clean(0)), (None, clean(1)), (7, f"{leak} too"), (7, clean(2)), (7, clean(3)), (8, clean(4)), (9, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = pipeline.contaminated_out(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted((r for r in rows if leak not in (r[1] or "")), key=repr)
+    near = lambda k: " ".join(base[:k] + ["changed"] + base[k + 1 :])
+    # Texts of one id apart from one another stay; of similar ones the smallest id stays, null last, whatever the id's other texts.
+    rows = [(5, clean(0)), (5, near(3)), (5, clean(1)), (4, near(50)), (None, near(90)), (None, clean(2)), (None, clean(2)), (None, clean(3)), (5, clean(1)), (6, None), (None, None), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = pipeline.near_duplicates_out(spark, docs, str(tmp_path))
+    want = [(5, clean(0)), (5, clean(1)), (4, near(50)), (None, clean(2)), (None, clean(3)), (6, None), (None, None), (6, None)]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_near_duplicates_of_each_text_of_a_repeated_id(spark):
+    texts = [[" ".join(f"{c}{k}" if k != j else "new" for k in range(100)) for j in (3, 50)] for c in "abc"]
+    rows = [(50, t[0]) for t in texts] + [(10 + k, t[1]) for k, t in enumerate(texts)] + [(70, "alone"), (70, "alone"), (71, "ALONE.")]
+    got = {tuple(r) for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == {(50, 10), (10, 10), (11, 10), (12, 10), (70, 70), (71, 70)}
