@@ -47,14 +47,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, by DataFrame functions alone.
 
     In the order of hash keys, a source's documents get equal numbers of copies up to one place, and one copy less
-    beyond it. So a row for each source, that place, decides for every document, and texts aren't shuffled.
+    beyond it. So a row for each source, that place, decides for every document, and texts aren't shuffled. Keys are of the
+    id and the row's number, so no two rows share a place, whatever their ids.
     """
-    seed = mixing.SEED
-    mix = mixing.mix(docs, seed=seed).select("source", F.struct(mixing.hash_key(seed).alias("key"), "doc_id").alias("place"), mixing.epochs().alias("copies"))
+    rows = numbered(docs, "mix-input")
+    place = mixing.place(mixing.SEED, "row_key")
+    mix = mixing.mix(rows, tie="row_key").select("source", place.alias("place"), mixing.epochs().alias("copies"))
     cuts = mix.groupBy("source").agg(F.max(F.struct("copies", "place")).alias("last"))
     cuts = written(cuts.select(F.col("source").alias("mixed_source"), F.col("last.copies").alias("most"), F.col("last.place").alias("last")), "cuts")
-    joined = docs.join(cuts, F.col("source").eqNullSafe(F.col("mixed_source")))
-    place = F.struct(mixing.hash_key(seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("mixed_source")))
     copies = F.when(place <= F.col("last"), F.col("most")).otherwise(F.col("most") - 1)
     repeated = joined.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select(*docs.columns)

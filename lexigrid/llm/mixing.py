@@ -27,9 +27,15 @@ ROWS_A_RANGE = 2000
 SEED = "mix-1:"
 
 
-def hash_key(seed: str) -> Column:
-    """The hash-random key of doc_id, as hex digits."""
-    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+def hash_key(seed: str, tie: str | None = None) -> Column:
+    """The hash-random key of doc_id, and of the column tie if given, as hex digits."""
+    more = [F.lit(":"), F.col(tie).cast("string")] if tie else []
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *more).cast("binary"))
+
+
+def place(seed: str, tie: str) -> Column:
+    """A row's place in the order of a mix with that tie."""
+    return F.struct(hash_key(seed, tie).alias("key"), F.col(tie).alias("tie"))
 
 
 def word_count(text: Column) -> Column:
@@ -54,13 +60,14 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return levels.withColumn("at", at).select("source", "source_size", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("at") * F.col("weight"))).alias("target"))
 
 
-def with_positions(sizes: DataFrame, seed: str) -> DataFrame:
-    """Adds before: the words of the source's documents ahead in the order of hash keys. sizes: a written table."""
+def with_positions(sizes: DataFrame, seed: str, tie: str | None = None) -> DataFrame:
+    """Adds before: the words of the source's documents ahead in the order of hash keys. sizes: a written table. With tie,
+    the order is that of place()."""
     levels, room = 1, 256 * ROWS_A_RANGE
     rows = sizes.count()
     while rows > room:
         levels, room = levels + 1, room * 256
-    keyed = sizes.withColumn("key", hash_key(seed))
+    keyed = sizes.withColumn("key", hash_key(seed, tie))
     for d in range(levels + 1):
         keyed = keyed.withColumn(f"r{d}", F.substring("key", 1, 2 * d))
     ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
@@ -76,17 +83,21 @@ def with_positions(sizes: DataFrame, seed: str) -> DataFrame:
             inside = inside.withColumn("base", F.col("base") + F.col("base_above")).drop("source_above", "range_above", "base_above")
         bases = inside
     bases = bases.select(F.col("source").alias("source_of"), F.col(f"r{levels}").alias("range"), "base")
-    own = ahead.partitionBy("source", f"r{levels}").orderBy("key", "doc_id", "size")
+    own = ahead.partitionBy("source", f"r{levels}").orderBy(*(["key", tie] if tie else ["key", "doc_id", "size"]))
     placed = keyed.withColumn("inside", sum_ahead("size", own))
     joined = placed.join(bases, F.col("source").eqNullSafe(F.col("source_of")) & (F.col(f"r{levels}") == F.col("range")))
     return joined.withColumn("before", F.col("base") + F.col("inside")).select(*sizes.columns, "before")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, before, and taken: the words of the document that the mix takes."""
-    sizes = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: str = SEED, tie: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, before, and taken: the words of the document that the mix takes.
+
+    tie: a column of docs with a different number for each row, which then is part of the key and of the result; rows of
+    one id or without id get different places, and are spread over ranges.
+    """
+    sizes = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *([tie] if tie else [])), "sizes")
     goal = targets(sizes, share, most, weights).withColumnRenamed("source", "source_of")
-    placed = with_positions(sizes, seed).join(goal, F.col("source").eqNullSafe(F.col("source_of"))).drop("source_of")
+    placed = with_positions(sizes, seed, tie).join(goal, F.col("source").eqNullSafe(F.col("source_of"))).drop("source_of")
     budget = F.floor("target")
     epoch = lambda k: F.greatest(F.lit(0), F.least("size", budget - k * F.col("source_size") - F.col("before")))
     taken = epoch(0)

@@ -301,3 +301,16 @@ def test_near_duplicates_of_each_text_of_a_repeated_id(spark):
     rows = [(50, t[0]) for t in texts] + [(10 + k, t[1]) for k, t in enumerate(texts)] + [(70, "alone"), (70, "alone"), (71, "ALONE.")]
     got = {tuple(r) for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
     assert got == {(50, 10), (10, 10), (11, 10), (12, 10), (70, 70), (71, 70)}
+
+
+def test_mix_of_repeated_and_null_ids_stays_in_its_budget(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(None if k % 3 else 5, " ".join(["x"] * (20 + k % 7)), source) for source in ("a", "b", "c") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    goal = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    words_of, copies = collections.Counter(), collections.Counter()
+    for r in pipeline.mixed(spark, docs, "").collect():
+        words_of[r.source] += len(r.text.split())
+        copies[tuple(r)] += 1
+    assert {s: int(t) <= words_of[s] < int(t) + 26 for s, t in goal.items()} == dict.fromkeys("abc", True)
+    assert set(copies) <= set(rows)
