@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,10 +173,13 @@ def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> t
     return emissions, transitions * model.steps, first, total
 
 
-def _e_step(blocks: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+SUMS = "part int, salt int, total binary"
+
+
+def _task_sums(blocks: DataFrame, model: Model) -> DataFrame:
+    """The expected counts of each task's blocks, in parts. blocks: a written table. The salt is the task's number, so a
+    task that runs again, after a lost executor, sends the same counts to the same reducers."""
     shared = blocks.sparkSession.sparkContext.broadcast(model)
-    states, symbols = model.emit.shape[1], len(model.emit)
-    schema = "part int, salt int, total binary"
 
     def count(batches):
         model = shared.value
@@ -188,15 +192,20 @@ def _e_step(blocks: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
                     sums = new if sums is None else tuple(a + b for a, b in zip(sums, new))
         if sums is not None:
             flat = np.array_split(np.concatenate([x.ravel() for x in sums]), SUM_PARTS)
-            salt = secrets.randbelow(16)
+            salt = TaskContext.get().partitionId() % 16
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SUM_PARTS), pa.int32()), pa.array([salt] * SUM_PARTS, pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], ["part", "salt", "total"])
 
+    return blocks.select("held", "counts", "types", "classes", "codes").mapInArrow(count, SUMS)
+
+
+def _e_step(blocks: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    states, symbols = model.emit.shape[1], len(model.emit)
+
     def add(rows: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer()) for x in rows.column("total"))
         return pa.table({"part": rows.column("part")[:1], "salt": pa.array([0], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
 
-    rows = blocks.select("held", "counts", "types", "classes", "codes").mapInArrow(count, schema)
-    sums = rows.groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).collect()
+    sums = _task_sums(blocks, model).groupBy("part", "salt").applyInArrow(add, SUMS).groupBy("part").applyInArrow(add, SUMS).collect()
     shape = [(symbols, states), (states, states), (states,), (2,)]
     if not sums:
         return tuple(np.zeros(s) for s in shape)

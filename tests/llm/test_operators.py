@@ -314,3 +314,10 @@ def test_mix_of_repeated_and_null_ids_stays_in_its_budget(spark):
         copies[tuple(r)] += 1
     assert {s: int(t) <= words_of[s] < int(t) + 26 for s, t in goal.items()} == dict.fromkeys("abc", True)
     assert set(copies) <= set(rows)
+
+
+def test_tasks_that_run_again_give_the_same_sums(docs):
+    blocks = hmm.encode_blocks(docs.selectExpr("doc_id", "false AS held_out", "text"))
+    model = hmm.train(blocks, hmm.vocabulary(blocks), n_states=2, n_symbols=16, rounds=0)[0]
+    one, two = (sorted(map(tuple, hmm._task_sums(blocks, model).collect())) for _ in range(2))
+    assert one and one == two
