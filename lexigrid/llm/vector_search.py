@@ -6,7 +6,8 @@ they probe. In a tile the vectors are rotated at random and read in column block
 abandoned when its partial distance, scaled to all dimensions, exceeds the best-known k-th distance by a
 margin that a hypothesis test on random rotations gives. Survivors are measured exactly on the original vectors.
 
-A first pass over each query's nearest list gives it a k-th distance, with which the second pass abandons early.
+A first pass over each query's nearest list gives it a k-th distance, with which the second pass abandons early. Empty
+lists don't count as probes, and queries that found fewer than k in their lists go on to all the others.
 
 Nulls: vectors that are null, zero, hold null or non-finite components, or have another length than most of the
 sample, take no part; nor do rows without id. Rows that share a query's id are not its candidates. Ties go to the
@@ -49,7 +50,8 @@ def fit(vectors: DataFrame, n_lists: int, sample: int = 20_000, rounds: int = 10
     usual = np.bincount(lengths).argmax()
     data = rows.filter(pa.array(lengths == usual)).flatten().to_numpy().reshape(-1, usual)
     random = np.random.RandomState(seed)
-    centres = data[random.permutation(len(data))[:n_lists]]
+    distinct = data[np.sort(np.unique(data, axis=0, return_index=True)[1])]
+    centres = distinct[random.permutation(len(distinct))[:n_lists]]
     for _ in range(rounds):
         near = _nearest(data, centres)[:, 0]
         sums = np.zeros_like(centres)
@@ -57,7 +59,7 @@ def fit(vectors: DataFrame, n_lists: int, sample: int = 20_000, rounds: int = 10
         sizes = np.bincount(near, minlength=len(centres))
         centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
     rotation, _ = np.linalg.qr(random.normal(size=(usual, usual)))
-    return Index(centres, rotation)
+    return Index(np.unique(centres, axis=0), rotation)
 
 
 def _nearest(data: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
@@ -96,7 +98,8 @@ def assigned(vectors: DataFrame, index: Index, probes: int) -> DataFrame:
 
 
 def scan(x: np.ndarray, q: np.ndarray, rotated: np.ndarray, q_rotated: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x that may be among the k nearest to q, with exact distances; limit: a distance known to suffice."""
+    """Rows of x that may be among the k nearest to q, with exact distances; limit: a distance known to suffice, or
+    over 1e150 if none is: then at least k rows (all, if fewer) are found."""
     width = x.shape[1]
     alive, partial = np.arange(len(x)), np.zeros(len(x))
     bound = min(limit, 1e150) ** 2
@@ -112,6 +115,9 @@ def scan(x: np.ndarray, q: np.ndarray, rotated: np.ndarray, q_rotated: np.ndarra
             bound = min(bound, np.partition(((x[first] - q) ** 2).sum(axis=1), k - 1)[k - 1])
         keep = partial * (width / hi) <= bound * (1 + DEVIATIONS / np.sqrt(hi)) ** 2
         alive, partial = alive[keep], partial[keep]
+    if limit >= 1e150 and len(alive) < min(k, len(x)):
+        alive, partial = np.arange(len(x)), ((rotated - q_rotated) ** 2).sum(axis=1)
+        bound = np.partition(partial, min(k, len(x)) - 1)[min(k, len(x)) - 1]
     if len(alive) > k:
         bound = min(bound, np.partition(partial, k - 1)[k - 1])
     alive = alive[partial <= bound * (1 + 1e-9) + 1e-12]
@@ -164,17 +170,26 @@ def search(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec
     total = vectors.count()
     n_lists = n_lists or int(min(512, max(4, round(total**0.5 / 2))))
     index = fit(rows, n_lists)
-    n_lists = len(index.centroids)
     base = written(assigned(rows, index, 1).select("vec_id", "v", F.col("lists")[0].alias("list")), "lists")
     sizes = base.groupBy("list").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("splits"))
     tiles = base.join(F.broadcast(sizes), "list").withColumn("split", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("splits")).cast("int"))
     asked = base.select("vec_id", "v").filter(queries(F.col("vec_id")))
-    probes = max(2, int(np.ceil(probe_share * n_lists)))
-    asked = written(assigned(asked, index, probes).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "lists"), "queries")
+    filled = sorted(r.list for r in sizes.select("list").collect())
+    if not filled:
+        return asked.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "0D AS score").limit(0)
+    probes = max(2, int(np.ceil(probe_share * len(filled))))
+    every = F.array(*map(F.lit, filled))
+    lists = F.transform("lists", lambda k: F.get(every, k)).alias("lists")
+    asked = written(assigned(asked, index._replace(centroids=index.centroids[filled]), probes).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), lists), "queries")
     blocks = max(1, -(-asked.count() // TILE))
     opened = asked.withColumn("limit", F.lit(1e300)).withColumn("list", F.col("lists")[0]).join(F.broadcast(sizes), "list")
     near = written(_best(_search(tiles, opened, index, k, blocks), k), "near")
     limits = near.groupBy("query_id").agg(F.max("score").alias("worst"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(1e300)).alias("limit"))
     further = asked.join(limits, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(1e300)))
     further = further.select("query_id", "q", "limit", F.explode(F.slice("lists", 2, probes)).alias("list")).join(F.broadcast(sizes), "list")
-    return _best(near.drop("rank").unionByName(_search(tiles, further, index, k, blocks)), k)
+    found = written(_best(near.drop("rank").unionByName(_search(tiles, further, index, k, blocks)), k), "found")
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
+    short = asked.join(enough, "query_id", "left_anti").select("query_id", "q", F.lit(1e300).alias("limit"), F.explode(F.array_except(every, "lists")).alias("list"))
+    if short.isEmpty():
+        return found
+    return _best(found.drop("rank").unionByName(_search(tiles, short.join(F.broadcast(sizes), "list"), index, k, blocks)), k)

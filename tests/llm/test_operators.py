@@ -321,3 +321,23 @@ def test_tasks_that_run_again_give_the_same_sums(docs):
     model = hmm.train(blocks, hmm.vocabulary(blocks), n_states=2, n_symbols=16, rounds=0)[0]
     one, two = (sorted(map(tuple, hmm._task_sums(blocks, model).collect())) for _ in range(2))
     assert one and one == two
+
+
+@pytest.mark.parametrize("n", [2, 8, 12, 15])
+def test_vector_search_of_few(spark, n):
+    data = np.random.RandomState(n).normal(size=(n, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.rank): r.vec_id for r in vector_search.search(df, lambda c: c >= 0).collect()}
+    far = np.sqrt(((data[:, None] - data) ** 2).sum(axis=2))
+    np.fill_diagonal(far, np.inf)
+    if n <= 11:
+        assert got == {(q, k + 1): i for q in range(n) for k, i in enumerate(far[q].argsort()[: n - 1].tolist())}
+    assert len(got) == n * min(10, n - 1)
+
+
+def test_vector_search_of_copies(spark):
+    random = np.random.RandomState(6)
+    data = [*([[1.0] * 16] * 1500), *random.normal(size=(9, 16)).tolist()]
+    df = spark.createDataFrame(list(enumerate(data)), "vec_id bigint, embedding array<double>")
+    got = collections.Counter(r.query_id for r in vector_search.search(df, lambda c: (c % 300 == 0) | (c >= 1500)).collect())
+    assert got == dict.fromkeys([0, 300, 600, 900, 1200, *range(1500, 1509)], 10)
