@@ -6,13 +6,14 @@ bytes first, so memory follows the longest single text and not the partition.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
@@ -26,26 +27,6 @@ WORD[48:58] = WORD[97:123] = WORD[128:] = True
 NONSPACE = np.ones(256, bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
 
-_MIX = np.random.RandomState(20240229).randint(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64; slices over four megabytes don't stay cached."""
-    if len(_powers[0]) >= n:
-        return _powers[0], _powers[1]
-    made = []
-    for base in (_BASE, _INVERSE):
-        steps = np.full(n, base, np.uint64)
-        steps[0] = 1
-        made.append(np.cumprod(steps, out=steps))
-    if n <= 2 * SLICE_BYTES:
-        _powers[:] = made
-    return made[0], made[1]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -53,13 +34,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and n + 1 offsets; null is an empty text."""
+def text_bytes(texts: pa.Array, kind: pa.DataType | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a string column (or, of kind large_binary, a binary one) and n + 1 offsets; null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
+    texts = texts.cast(kind or pa.large_string())
     if texts.null_count:
-        texts = texts.fill_null("")
+        texts = texts.fill_null(b"" if kind else "")
     _, where, data = texts.buffers()
     if not len(texts) or where is None:
         return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
@@ -98,12 +79,54 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.firsts) - 1), self.counts)
 
 
-def find_words(texts: pa.Array, kind: np.ndarray = WORD, cut: np.ndarray | None = None) -> Words:
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """At each byte and one beyond the last, the eight bytes from there as an integer, with zeros after the end."""
+    return np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each word's bytes and length: words of up to seven bytes never agree, and longer ones are scrambled
+    eight bytes at a time, so that no pattern of letters makes words agree."""
+    eights, sizes = _eights(raw), ends - starts
+    state = eights[starts] & _MASKS[np.minimum(sizes, 8)]
+    long = np.flatnonzero(sizes > 7)
+    state[sizes <= 7] |= sizes[sizes <= 7].astype(np.uint64) << np.uint64(56)
+    state = mix64(state)
+    state[long] = mix64(state[long] + sizes[long].astype(np.uint64) * _LONG)
+    more = long[sizes[long] > 8]
+    done = 8
+    while len(more):
+        chunk = eights[starts[more] + done] & _MASKS[np.minimum(sizes[more] - done, 8)]
+        state[more] = mix64((state[more] ^ chunk) + _LONG)
+        done += 8
+        more = more[sizes[more] > done]
+    return state
+
+
+def unlike(words: Words, other: np.ndarray) -> np.ndarray:
+    """The numbers of words whose bytes differ from those of the words with the numbers `other`, which have their hashes."""
+    eights, sizes = _eights(words.raw), words.ends - words.starts
+    check = np.flatnonzero((sizes > 7) & (other != np.arange(len(other))))
+    bad, done = [check[sizes[check] != sizes[other[check]]]], 0
+    check = check[sizes[check] == sizes[other[check]]]
+    while len(check):
+        apart = (eights[words.starts[check] + done] ^ eights[words.starts[other[check]] + done]) & _MASKS[np.minimum(sizes[check] - done, 8)] != 0
+        bad.append(check[apart])
+        done += 8
+        check = check[~apart & (sizes[check] > done)]
+    return np.concatenate(bad)
+
+
+def find_words(texts: pa.Array, kind: np.ndarray = WORD, cut: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
     """Maximal runs of bytes of `kind` in the A-Z-lower-cased texts; words never span texts.
 
-    cut: places (as a mask over the bytes, made from them) where a run is cut besides.
-    Hashes are 64 bits of the word's bytes: among a billion different words, the chance that any two agree is
-    under 3 in 100.
+    cut: runs are cut besides between a byte of the first mask and one of the second.
+    Hashes are 64 bits (see word_hashes): for words of over seven bytes, among a billion different ones that aren't made
+    to collide, the chance that any two agree is under 3 in 100. Where that isn't enough, unlike() compares bytes.
     """
     raw, offsets = text_bytes(texts)
     raw = LOWER[raw]
@@ -116,16 +139,11 @@ def find_words(texts: pa.Array, kind: np.ndarray = WORD, cut: np.ndarray | None
         before[edge] = False
         after[edge[edge > 0] - 1] = False
         if cut is not None:
-            places = cut[raw[:-1], raw[1:]]
-            before[1:][places] = False
-            after[:-1][places] = False
+            places = np.flatnonzero(cut[0][raw[:-1]] & cut[1][raw[1:]])
+            before[places + 1] = False
+            after[places] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _power_tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.multiply(_MIX[raw], up[: len(raw)], out=sums[1:])
-    np.cumsum(sums, out=sums)
-    hashes = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(raw, starts, ends, hashes, np.searchsorted(starts, offsets))
+    return Words(raw, starts, ends, word_hashes(raw, starts, ends), np.searchsorted(starts, offsets))
 
 
 def runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -147,9 +165,12 @@ def lists(flat: np.ndarray | pa.Array, offsets: np.ndarray) -> pa.Array:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, which driver and executors share; a local one where that is unset."""
+    """A new path under spark.checkpoint.dir, which driver and executors share. Where that is unset, a local one in local
+    mode; on a cluster an error, as executors would write to their own disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file:///tmp/lexigrid-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -178,3 +199,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_remainder(column: str, of: int):
     """crc32 of the id as text, modulo `of`; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % of
+
+
+#: Keys with at least so many rows are dealt over several tasks, and at most so many keys are.
+HOT_ROWS, HOT_KEYS = 256, 100_000
+
+
+def hot_salts(counts: DataFrame, key: str, rows: str) -> tuple[DataFrame, int]:
+    """Of counts (a row for each key, with its number of rows): the key and salts (the tasks to deal it over) of hot keys,
+    and the rows that a task gets. There are at most HOT_KEYS of them, as each has at least that share of all
+    rows, so they may be broadcast."""
+    total = counts.agg(F.sum(rows)).first()[0] or 0
+    part = max(HOT_ROWS, math.ceil(total / HOT_KEYS))
+    return counts.filter(F.col(rows) > part).select(key, F.ceil(F.col(rows) / part).cast("int").alias("salts")), part
+
+
+def salted_join(large: DataFrame, small: DataFrame, hot: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
+    """large joined with small (a row for each key) by key; the rows of hot keys (see hot_salts) are dealt over tasks by the
+    column spread, and their one small row is repeated for each."""
+    hot = F.broadcast(hot)
+    dealt = large.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(spread), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    copies = small.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(copies, [key, "salt"], how).drop("salt")

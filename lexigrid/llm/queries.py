@@ -9,7 +9,8 @@ from lexigrid.llm import decontaminate, hmm, line_dedup, mixing, near_duplicates
 from lexigrid.llm.common import shared_folder, table
 
 END_ID = 1
-SEPARATOR = 49407
+#: Outside the vocabulary, so no text can hold it.
+SEPARATOR = 65535
 
 
 def tokenizer_path() -> str:
@@ -29,7 +30,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumn("n_offending", F.size("sentences").cast("long")).drop("sentences")
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumn("n_offending", F.size("sentences").cast("long"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

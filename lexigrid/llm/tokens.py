@@ -5,8 +5,9 @@ ASCII letter and the punctuation or digit after it), each different piece is enc
 library and kept, and the ids are put together per text. Texts with "<|", which may hold the names of special
 tokens, are given to the library whole. The result equals encoding whole texts; a test holds the two together.
 
-Nulls: a null text is an empty one and has the end id alone. A null id sorts first. Columns other than the id and
-the text are ignored; repeated rows are written as often as they occur.
+Nulls: a null text is an empty one and has the end id alone. A null id sorts first, and rows of one id by a hash of their
+texts, so reruns agree and the rows of one id may be in several files. Columns other than the id and the text are ignored;
+repeated rows are written as often as they occur.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import LOWER, NONSPACE, find_words, lists, runs, shared_folder, slices, text_bytes
+from lexigrid.llm.common import NONSPACE, find_words, lists, runs, shared_folder, slices, text_bytes, unlike, written
 
-#: A new piece always begins between these: [byte before, byte after].
-CUTS = np.zeros((256, 256), bool)
-CUTS[97:123, [ord(c) for c in ".,;:!?)(\"-'0123456789"]] = True
+#: A new piece always begins between a byte of the first mask and one of the second.
+CUTS = np.zeros((2, 256), bool)
+CUTS[0, 97:123] = CUTS[1, [ord(c) for c in ".,;:!?)(\"-'0123456789"]] = True
 #: Pieces that a worker keeps; beyond, it starts anew.
 KEPT_PIECES = 400_000
 
@@ -40,12 +43,12 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[int, int] = {}
+        self.places: dict[bytes, int] = {}
         self.flat, self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _learn(self, pieces: list[bytes]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         first = len(self.places)
         while first + len(ids) > len(self.begin):
@@ -57,7 +60,7 @@ class Encoder:
         self.begin[first : first + len(ids)] = self.used + np.cumsum(length) - length
         self.length[first : first + len(ids)] = length
         self.used += total
-        self.places.update(zip(keys, range(first, first + len(ids))))
+        self.places.update(zip(pieces, range(first, first + len(ids))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts, one after another, and n + 1 offsets."""
@@ -68,16 +71,19 @@ class Encoder:
             odd[np.searchsorted(offsets, marks, "right") - 1] = True
             texts = pa.array(np.where(odd, "", texts.fill_null("").to_numpy(zero_copy_only=False)), pa.large_string())
         words = find_words(texts, NONSPACE, CUTS)
-        keys, one, codes = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.places) + len(keys) > KEPT_PIECES and len(self.places):
+        codes, kinds = pd.factorize(words.hashes)
+        one = np.empty(len(kinds), np.int64)
+        one[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        # Different pieces of one hash: their texts are given to the library whole.
+        odd[words.texts[unlike(words, one[codes])]] = True
+        if len(self.places) + len(one) > KEPT_PIECES and len(self.places):
             self.forget()
-        names = keys.tolist()
-        new = [k for k, x in enumerate(names) if x not in self.places]
+        data = words.raw.tobytes()
+        pieces = [data[a:b] for a, b in zip(words.starts[one].tolist(), words.ends[one].tolist())]
+        new = [x for x in pieces if x not in self.places]
         if new:
-            data = words.raw.tobytes()
-            spans = zip(words.starts[one[new]].tolist(), words.ends[one[new]].tolist())
-            self._learn([names[k] for k in new], [data[a:b].decode() for a, b in spans])
-        place = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))[codes]
+            self._learn(new)
+        place = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))[codes]
         number = self.length[place].astype(np.int64)
         ids = self.flat[runs(self.begin[place], number)]
         ends = np.concatenate([[0], np.cumsum(number)])[words.firsts]
@@ -123,7 +129,9 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     are delta-encoded. Small row groups and pages with a column index let a reader fetch a range of documents, or
     counts without ids.
     """
-    spread = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    order = ["doc_id", F.xxhash64("text")]
+    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     (
         encoded(spread, tokenizer, end_id)
         .select("doc_id", F.size("ids").alias("n_tokens"), "ids")
@@ -146,6 +154,23 @@ def read_token_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(file.alias("file"), F.expr("_metadata.row_index").alias("row"), "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 
+def read_documents(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """The rows of the token table whose doc_id is from first to last; other row groups and pages aren't read."""
+    return read_token_table(spark, path).filter(F.col("doc_id").between(first, last))
+
+
+def read_tokens(spark: SparkSession, path: str, begin: int, end: int) -> DataFrame:
+    """The tokens from number begin to before end of the whole table: doc_id, start (the number of the row's first token
+    in the table) and ids, cut to that range. Where documents start comes from n_tokens alone; ids are read of the
+    files and rows that the range touches."""
+    rows = read_token_table(spark, path)
+    starts = with_starts(rows.select("file", "row", "n_tokens"), ["file", "row"])
+    touched = starts.filter((F.col("start") < end) & (F.col("start") + F.col("n_tokens") > begin)).select("file", "row", "start")
+    low = F.greatest(F.lit(begin) - F.col("start"), F.lit(0)).cast("int")
+    high = F.least(F.lit(end) - F.col("start"), F.col("n_tokens")).cast("int")
+    return rows.join(touched, ["file", "row"]).select("doc_id", (F.col("start") + low).alias("start"), F.slice("ids", low + 1, high - low).alias("ids"))
+
+
 def ids_digest(tokens: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` and ids_crc32, the crc32 of the ids as little-endian unsigned 32-bit integers."""
 
@@ -207,8 +232,8 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int, rows_
     """Writes flat files of unsigned 16-bit little-endian ids, each document ended by the separator, with no index.
 
     Spark's text writer ends each row with a line separator of any bytes; here a row is a document's ids and
-    the "line separator" is the separator's id. The separator must have two bytes that no charset rule alters,
-    which ISO-8859-1 gives for each id under 65536.
+    the "line separator" is the separator's id, whose two bytes ISO-8859-1 leaves as they are. The separator must be
+    outside the vocabulary, so that no text can hold it and no token is lost; ids that 16 bits can't hold are errors.
     """
     if not 0 <= separator < 1 << 16:
         raise ValueError("the separator must be an id under 65536")
@@ -219,9 +244,11 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int, rows_
             texts = batch.column(0)
             for a, b in slices(texts):
                 ids, ends = tool.encode(texts[a:b])
-                keep = ids != separator  # a text that holds the separator's name would split its own document
-                ends = np.concatenate([[0], np.cumsum(keep)])[ends]
-                flat = ids[keep].astype("<u2").tobytes()
+                if len(ids) and ids.max() >= 1 << 16:
+                    raise ValueError(f"id {ids.max()} needs more than 16 bits")
+                if (ids == separator).any():
+                    raise ValueError(f"the separator {separator} is an id of the vocabulary")
+                flat = ids.astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([flat[2 * i : 2 * j] for i, j in zip(ends[:-1], ends[1:])], pa.binary())], ["ids"])
 
     mark = int(separator).to_bytes(2, "little").decode("latin-1")
@@ -236,34 +263,73 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int, rows_
     )
 
 
-def scan_separators(spark: SparkSession, path: str, separator: int, block_bytes: int = 1 << 20) -> DataFrame:
-    """Documents of flat token files: file (its name), doc (its number there, from 0), start and n_tokens, with the
-    separator counted; the last may lack its separator (ended is false).
+BLOCK = "file string, size bigint, split bigint, block bigint, bytes bigint, odd array<bigint>, even array<bigint>"
 
-    Each block of a file is searched on its own for separators, as one vector. A document's start is the end of
-    the last separator before its own, in that block or an earlier one: the running maximum over the blocks'
-    last separators, and the running sum over their numbers of separators, carry both across blocks.
+
+def _found(data: np.ndarray, low: int, high: int, breaks: np.ndarray) -> np.ndarray:
+    """Places of the byte low with the byte high after it, in data cut at breaks (first bytes of pieces)."""
+    places = np.flatnonzero((data[:-1] == low) & (data[1:] == high))
+    return places[~np.isin(places + 1, breaks)] if len(places) else places
+
+
+def scan_separators(spark: SparkSession, path: str, separator: int, block_bytes: int = 1 << 20) -> DataFrame:
+    """Documents of flat token files of unsigned 16-bit little-endian ids: file (its name), doc (its number there, from 0),
+    start and n_tokens, with the separator counted; the last may lack its separator (ended is false).
+
+    Spark deals byte ranges of the files over tasks, of spark.sql.files.maxPartitionBytes each, so a file of any size is
+    read by many. The bytes come as runs between bytes of the value 10, whose number is about one in a hundred or more in
+    files of ids; the separator must not hold that byte. Runs are put together to blocks of block_bytes, and each is searched
+    as one vector. A task doesn't know whether its first byte begins an id, so a block keeps places at odd and even
+    bytes; running sums of bytes over the blocks tell which hold. A document starts after the last separator
+    before its own, in that block or an earlier one: the running maximum over the blocks' last separators, and the
+    running sum over their numbers of separators, carry both across blocks and tasks. An odd last byte is passed over.
     """
-    step = max(2, block_bytes // 2 * 2)
+    low, high = divmod(separator, 256)[::-1]
+    if not 0 <= separator < 1 << 16 or 10 in (low, high):
+        raise ValueError("the separator must be an id under 65536 without a byte of the value 10")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, last, held = 0, None, []
+
+        def blocks(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            data, breaks = text_bytes(pa.concat_arrays([r.column(3) for r in rows]), pa.large_binary())
+            breaks = breaks[1:]
+            places = _found(data, low, high, breaks)
+            places = places + np.searchsorted(breaks, places, "right")  # the bytes of the value 10 before them
+            one = [rows[0].column(k)[0].as_py() for k in range(3)]
+            parts = [places[places % 2 == 1], places[places % 2 == 0]]
+            arrays = [pa.array([x]) for x in (*one, block, int(breaks[-1]) + len(breaks))] + [lists(p, np.array([0, len(p)])) for p in parts]
+            return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in BLOCK.split(", ")])
+
+        size = 0
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1)):
-                data = content.as_buffer()
-                for block, at in enumerate(range(0, max(len(data), 1), step)):
-                    ids = np.frombuffer(data, "<u2", count=(min(step, len(data) - at)) // 2, offset=at)
-                    places = at // 2 + np.flatnonzero(ids == separator)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.as_py()]), pa.array([block]), pa.array([at // 2 + len(ids)]), lists(places, np.array([0, len(places)]))],
-                        ["file", "block", "upto", "places"],
-                    )
-
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
-    blocks = files.mapInArrow(search, "file string, block bigint, upto bigint, places array<bigint>")
-    so_far = Window.partitionBy("file").orderBy("block")
+            # A task may read several ranges; their rows come one range after another.
+            names = pc.binary_join_element_wise(batch.column(0), batch.column(2).cast(pa.string()), ":").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if held and (names[a] != last or size >= block_bytes):
+                    yield blocks(held)
+                    block, held, size = block + 1, [], 0
+                last = names[a]
+                held.append(batch.slice(a, b - a))
+                size += int(pc.sum(pc.binary_length(held[-1].column(3))).as_py()) + b - a
+        if held:
+            yield blocks(held)
+
+    lines = spark.read.option("lineSep", "\n").text(path)
+    given = lines.select(
+        F.regexp_extract("_metadata.file_path", "[^/]+$", 0).alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary")
+    )
+    raw = written(given.mapInArrow(search, BLOCK), "blocks")
+    so_far = Window.partitionBy("file").orderBy("split", "block")
     before = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    # Spark drops a byte order mark, three bytes, at the beginning of a file: then the bytes seen are fewer than the file's.
+    at = F.coalesce(F.sum("bytes").over(before), F.lit(0)) + F.when(F.sum("bytes").over(whole) < F.col("size"), 3).otherwise(0)
+    placed = raw.withColumn("at", at).withColumn("places", F.when(F.col("at") % 2 == 0, F.col("even")).otherwise(F.col("odd")))
+    placed = placed.select("file", "split", "block", F.expr("size div 2").alias("upto"), F.transform("places", lambda p: F.shiftright(p + F.col("at"), 1)).alias("places"))
     stitched = (
-        blocks.withColumn("number", F.size("places").cast("long"))
+        placed.withColumn("number", F.size("places").cast("long"))
         .withColumn("last", F.when(F.col("number") > 0, F.element_at("places", -1)))
         .withColumn("docs_before", F.coalesce(F.sum("number").over(before), F.lit(0)))
         .withColumn("from", F.coalesce(F.max("last").over(before) + 1, F.lit(0)))

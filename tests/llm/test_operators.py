@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from lexigrid.llm import decontaminate, hmm, line_dedup, mixing, near_duplicates, tokens, toxicity, vector_search, warc
-from lexigrid.llm.common import shared_folder
+from lexigrid.llm.common import find_words, shared_folder
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, label string"
@@ -125,10 +125,114 @@ def test_token_output_and_flat_files(spark, docs, rows, empty):
     assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == expected
     assert tokens.token_output(empty, path).count() == 0
     folder = shared_folder(spark, "flat")
-    tokens.write_flat(docs, folder, path, 49407, rows_a_file=7)
-    flat = tokens.scan_separators(spark, folder, 49407, block_bytes=64).collect()
-    assert sorted(r.n_tokens for r in flat) == sorted(e[2] - (e[0] == 202) for e in expected)
+    tokens.write_flat(docs, folder, path, 65535, rows_a_file=7)
+    flat = tokens.scan_separators(spark, folder, 65535, block_bytes=64).collect()
+    assert sorted(r.n_tokens for r in flat) == sorted(e[2] for e in expected)
     assert all(r.ended for r in flat)
+    with pytest.raises(Exception, match="vocabulary"):
+        tokens.write_flat(docs, shared_folder(spark, "flat"), path, 49407)
+
+
+def _flat_expected(data: bytes, separator: int):
+    ids = np.frombuffer(data[: len(data) // 2 * 2], "<u2").tolist()
+    out, begin = [], 0
+    for k, i in enumerate(ids):
+        if i == separator:
+            out.append((begin, k + 1 - begin, True))
+            begin = k + 1
+    if begin < len(ids):
+        out.append((begin, len(ids) - begin, False))
+    return [(doc, *x) for doc, x in enumerate(out)]
+
+
+def test_separator_scan_across_splits_and_blocks(spark, tmp_path):
+    """Documents, starts and order of hand-made files read in ranges of a few hundred bytes by several tasks."""
+    random = np.random.RandomState(8)
+    made = {}
+    for k in range(6):
+        ids = random.randint(0, 400, random.randint(1, 3000)).astype("<u2")
+        ids[random.rand(len(ids)) < [0.02, 0.5, 0, 0.01, 0.2, 1][k]] = 65535
+        made[f"f{k}.bin"] = ids.tobytes()
+    made["none.bin"] = b""
+    made["mark.bin"] = b"\xef\xbb\xbf\x00" + np.array([5, 65535, 10, 2570, 65535, 3], "<u2").tobytes()
+    made["odd.bin"] = np.array([255, 65535, 65280, 65535, 7], "<u2").tobytes() + b"\x0a"
+    made["long.bin"] = np.repeat([258, 65535, 771], [4000, 1, 2000]).astype("<u2").tobytes()
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    for key, value in {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}.items():
+        spark.conf.set(key, value)
+    try:
+        rows = tokens.scan_separators(spark, f"file://{tmp_path}", 65535, block_bytes=100).collect()
+    finally:
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(key)
+    got = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.file, r.doc)):
+        got[r.file].append((r.doc, r.start, r.n_tokens, r.ended))
+    assert got == {name: _flat_expected(data, 65535) for name, data in made.items() if data}
+
+
+def test_words_of_one_pattern_hash_apart():
+    """Words that a polynomial hash modulo 2**64 can't tell apart, and pieces that share a hash, get their own ids."""
+    import pyarrow as pa
+
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    swap, word = str.maketrans("ab", "ba"), "a"
+    for _ in range(11):
+        word += word.translate(swap)
+    pair = [word, word.translate(swap)]
+    assert len({*find_words(pa.array(pair)).hashes.tolist()}) == 2
+    texts = pa.array([*pair, f"{pair[1]} tail", "abcdefgh abcdefgi", None])
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+    ids, ends = tokens.Encoder(path).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+
+
+def test_pieces_that_share_a_hash_are_compared(monkeypatch):
+    import pyarrow as pa
+
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    monkeypatch.setattr("lexigrid.llm.common.mix64", lambda x: x & np.uint64(0))
+    texts = pa.array(["international internationals interoperability", "interoperability", "internationals internationals"])
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts.to_pylist(), add_special_tokens=False)]
+    ids, ends = tokens.Encoder(path).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+
+
+def test_token_files_have_their_layout_and_are_read_in_part(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    public = pytest.importorskip("public_tokenizers")
+    path, folder = public.path("word_bpe_49k.json"), f"file://{tmp_path}/tokens"
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id, repeat(' word', int(id % 50))) AS text").unionByName(spark.sql("SELECT bigint(7) AS doc_id, 'other' AS text"))
+    tokens.write_token_table(docs, folder, path, 1, row_group_bytes=20_000, page_rows=100)
+    files = sorted((tmp_path / "tokens").glob("part-*.parquet"))
+    groups = [pq.ParquetFile(f).metadata.row_group(g) for f in files for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert len(groups) > len(files)
+    for g in groups:
+        kinds = {g.column(c).path_in_schema: set(g.column(c).encodings) for c in range(g.num_columns)}
+        assert "DELTA_BINARY_PACKED" in kinds["doc_id"] and "DELTA_BINARY_PACKED" in kinds["n_tokens"]
+        assert kinds["ids.list.element"] & {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"}
+        assert all(g.column(c).has_column_index and g.column(c).has_offset_index for c in range(g.num_columns))
+    lows = [(g.column(0).statistics.min, g.column(0).statistics.max) for g in groups]
+    assert all(a[1] <= b[0] for a, b in zip(lows, lows[1:]))
+    some = tokens.read_documents(spark, folder, 5, 9)
+    assert sorted(r.doc_id for r in some.collect()) == [5, 6, 7, 7, 8, 9]
+    assert "GreaterThanOrEqual(doc_id,5)" in some._jdf.queryExecution().toString()
+    everything = [r for r in tokens.digests_of(spark, folder).orderBy("start").collect()]
+    flat = [i for r in tokens.read_token_table(spark, folder).orderBy("file", "row").collect() for i in r.ids]
+    assert everything[-1].start + everything[-1].n_tokens == len(flat)
+    part = tokens.read_tokens(spark, folder, 1000, 1500).orderBy("start").collect()
+    assert [i for r in part for i in r.ids] == flat[1000:1500] and part[0].start == 1000
+    again = f"file://{tmp_path}/again"
+    tokens.write_token_table(docs.repartition(3), again, path, 1)
+    assert [i for r in tokens.read_token_table(spark, again).orderBy("file", "row").collect() for i in r.ids] == flat
 
 
 def test_hidden_markov_forward_and_base(docs, rows, empty):
