@@ -3,8 +3,8 @@
 A sentence's probability is a logistic function of the sum of its words' weights; a document is toxic unless every
 sentence is clean: 1 - prod(1 - p). Words have three hashed features: the word, its first four and its first five
 bytes, so that inflected forms share evidence. The weights are fitted on the driver by Adam over a bounded sample
-of labelled documents (at most `most_toxic` and `most_clean`, by a hash of the id, reweighted to the rates among
-all labelled documents); every whole text is scored.
+of labelled documents (at most `most_toxic` and `most_clean` rows, by a hash of the id and with one text of each id,
+reweighted to the rates among all labelled documents); every whole text is scored.
 
 Nulls: a null text has no sentences, as an empty one; no sentences give score 0. Labels that are null are left out;
 a document with several labels is toxic if one says so. Without labels of both kinds every score is the rate of toxic
@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,6 +28,8 @@ from lexigrid.llm.common import Words, find_words, id_remainder, lists, slices,
 DIMS = 1 << 22
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?\n\r"]] = True
+#: Stops outside ASCII, each of three bytes.
+WIDE_STOPS = ("。", "！", "？", "｡")
 
 
 def _features(words: Words) -> np.ndarray:
@@ -42,7 +45,10 @@ def _features(words: Words) -> np.ndarray:
 
 
 def _sentences(texts: pa.Array) -> tuple[Words, np.ndarray]:
-    """Words, and the first word of each sentence; a sentence ends at a full stop, mark or line end, and with its text."""
+    """Words, and the first word of each sentence; a sentence ends at a full stop or mark (ASCII, ideographic or full-width)
+    or line end, and with its text."""
+    for mark in WIDE_STOPS:
+        texts = pc.replace_substring(texts, mark, ".  ")  # three bytes, as the mark, so places stay
     words = find_words(texts)
     stops = np.flatnonzero(STOPS[words.raw])
     number = np.searchsorted(stops, words.starts)
@@ -67,11 +73,15 @@ def sentence_logits(texts: pa.Array, weights: Weights) -> tuple[Words, np.ndarra
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int) -> DataFrame:
-    """doc_id, toxic and text of the sampled labelled documents; bounded, so its ids may be broadcast."""
+    """doc_id, toxic and text of the sampled labelled documents: at most most_toxic and most_clean rows, as an id that
+    occurs in several rows of docs gives one of its texts (that with the least hash). The chosen ids are as few, so
+    they may be broadcast."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     first = lambda kind, most: known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     chosen = first(1, most_toxic).unionByName(first(0, most_clean))
-    return docs.select(F.col("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    rows = docs.select(F.col("doc_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    return one.select("doc_id", "toxic", "one.text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000, rounds: int = 250, rate: float = 0.2, penalty: float = 5e-6, least_texts: int = 5, least_z: float = 3.5) -> Weights:
