@@ -14,12 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import written
+from lexigrid.llm.common import hot_salts, salted_join, written
 
 #: Elements whose content is not text, and tags that end a line.
 UNSEEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)>"
 BREAKS = r"(?i)<(/?(p|div|li|ul|ol|nav|article|section|header|footer|h[1-6]|table|tr|td|th|title|head|body|html|blockquote|pre|form|main|aside)|br)\b[^>]*>"
-SALTS = 32
 
 
 def host(url: Column) -> Column:
@@ -47,10 +46,10 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, least_pages: int = 3,
     cut = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), lines(F.col(html_col)).alias("lines"))
     cut = written(cut.withColumn("names", F.transform("lines", lambda x: F.unhex(F.md5(x.cast("binary"))))), "lines")
     sites = boilerplate(cut.select("host", "names"), ratio, least_pages)
-    # A hot host's pages are dealt over SALTS tasks; its one small row is repeated for each.
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
-    copies = sites.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = salted.join(copies, ["host", "salt"], "left").withColumn("boilerplate", F.coalesce("boilerplate", F.array().cast("array<binary>")))
+    # A hot host's pages are dealt over as many tasks as its number of pages asks for.
+    hot, _ = hot_salts(cut.groupBy("host").agg(F.count("*").alias("pages")), "host", "pages")
+    spread = F.struct("page_id", F.hash("names").alias("names"))
+    joined = salted_join(cut, sites, hot, "host", spread, "left").withColumn("boilerplate", F.coalesce("boilerplate", F.array().cast("array<binary>")))
     pairs = F.arrays_zip("lines", "names")
     kept = F.transform(F.filter(pairs, lambda x: ~F.array_contains(F.col("boilerplate"), x["names"])), lambda x: x["lines"])
     return joined.select("page_id", "host", "lines", F.when(F.size("boilerplate") == 0, F.col("lines")).otherwise(kept).alias("kept"))
