@@ -7,7 +7,8 @@ random register, which keeps the shingle of its first arrival. A shingle stops a
 every register's first, so most shingles need very few.
 
 1. Texts with equal words (or, without words, equal texts) are one node, with a number of its own.
-2. Registers are banded. In each bucket every node is paired with the smallest node: stars, never all pairs.
+2. Registers are banded. In each bucket every node is paired with the smallest node: stars, never all pairs. The nodes of
+   a bucket with very many are dealt over several tasks for it.
 3. Pairs are verified on their whole texts, and verified pairs give components.
 4. Where a bucket's nodes are in several components, the nodes outside that of its smallest node are compared with all
    nodes of other components in the bucket, inside tiles of bounded size: first by their registers, so that each such
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import find_words, lists, mix64, numbered, runs, slices, written
+from lexigrid.llm.common import find_words, hot_salts, lists, mix64, numbered, runs, salted_join, slices, written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 TILE = 1024
@@ -152,7 +153,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
                     keep[a + k] = probability_jaccard(sets[0][k], sets[1][k]) >= threshold
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
 
 
 def _weighted(texts: pa.Array, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -208,17 +209,20 @@ def classes(
     firsts = signed.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select("key", F.col("f.doc_id").alias("first"), F.col("f.mark").alias("first_mark"))
     nodes = numbered(firsts.sortWithinPartitions("first", "key"), "nodes").withColumnRenamed("row_key", "node")
     # A document that has several texts is one: all its nodes are linked to the smallest of them.
-    copies = signed.select("doc_id", "key").join(nodes.hint("merge"), "key").select("doc_id", "node")
+    copies = signed.select("doc_id", "key").join(nodes, "key").select("doc_id", "node")
     several = copies.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("doc_id", "b")
     again = written(copies.join(several, "doc_id").filter("node > b").select(F.col("node").alias("a"), "b").distinct(), "again")
     stands = (F.col("doc_id") == F.col("first")) & (F.col("mark") == F.col("first_mark"))
-    unique = signed.join(nodes.hint("merge"), "key").filter(stands).select("node", F.explode("buckets").alias("bucket"))
+    unique = signed.join(nodes, "key").filter(stands).select("node", F.explode("buckets").alias("bucket"))
     buckets = written(unique, "buckets")
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other")).filter("centre < other").select("bucket", "centre")
-    members = written(buckets.join(shared.hint("merge"), "bucket").select("bucket", "node", "centre"), "members")
-    involved = nodes.join(members.select("node").distinct().hint("merge"), "node").select("node", "first", "first_mark")
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other"), F.count("*").alias("n")).filter("centre < other")
+    shared = written(shared.select("bucket", "centre", "n"), "shared")
+    hot, _ = hot_salts(shared, "bucket", "n")
+    hot = written(hot, "hot")
+    members = written(salted_join(buckets, shared.select("bucket", "centre"), hot, "bucket", F.col("node")).select("bucket", "node", "centre"), "members")
+    involved = nodes.join(members.select("node").distinct(), "node").select("node", "first", "first_mark")
     # Grouped by what the join shuffles by, so that texts aren't shuffled again.
-    texts = usable.join(involved.hint("merge"), stands).groupBy("doc_id", "mark").agg(F.min("node").alias("node"), F.min("text").alias("text"))
+    texts = usable.join(involved, stands).groupBy("doc_id", "mark").agg(F.min("node").alias("node"), F.min("text").alias("text"))
     texts = written(texts.select("node", "text"), "texts")
 
     pairs = members.filter("node > centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
@@ -227,37 +231,38 @@ def classes(
     # Three deviations of the estimate below the threshold: a pair at the threshold is passed over in 1 of 700 cases.
     least = threshold - 3 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     # First each stray's two nearest nodes, which join most components; then all pairs that are still apart, exactly.
-    mixed = _mixed(members, components(every.unionByName(again)))
-    near = _in_tiles(mixed, _marked(mixed, nodes, signed), lambda rows: _tile_nearest(rows, least, 2)).distinct()
+    mixed = _mixed(members, components(every.unionByName(again)), hot)
+    near = _in_tiles(mixed, _marked(mixed, nodes, signed), hot, lambda rows: _tile_nearest(rows, least, 2)).distinct()
     near = written(near.join(met, ["a", "b"], "left_anti"), "pairs")
     every = every.unionByName(written(verified(near, texts, size, threshold), "verified"))
-    mixed = _mixed(members, components(every.unionByName(again)))
-    marked = _marked(mixed, nodes, signed).join(texts.hint("merge"), "node")
-    every = every.unionByName(written(_in_tiles(mixed, marked, lambda rows: _tile_links(rows, least, size, threshold)).distinct(), "verified"))
+    mixed = _mixed(members, components(every.unionByName(again)), hot)
+    marked = _marked(mixed, nodes, signed).join(texts, "node")
+    every = every.unionByName(written(_in_tiles(mixed, marked, hot, lambda rows: _tile_links(rows, least, size, threshold)).distinct(), "verified"))
     labels = components(every.unionByName(again))
-    named = written(nodes.join(labels.hint("merge"), "node", "left").select("key", "first", F.coalesce("label", "node").alias("label")), "named")
+    named = written(nodes.join(labels, "node", "left").select("key", "first", F.coalesce("label", "node").alias("label")), "named")
     smallest = named.groupBy("label").agg(F.min("first").alias("class_id"))
-    named = named.join(smallest.hint("merge"), "label").select("key", "class_id")
-    out = signed.select("doc_id", "key").join(named.hint("merge"), "key").select("doc_id", "class_id")
+    named = named.join(smallest, "label").select("key", "class_id")
+    out = signed.select("doc_id", "key").join(named, "key").select("doc_id", "class_id")
     rest = rows_of.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(rest)
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
     """bucket, node, label and main (the label of the bucket's smallest node) of buckets with several components."""
-    named = members.join(labels.hint("merge"), "node", "left").select("bucket", "node", "centre", F.coalesce("label", "node").alias("label"))
+    named = members.join(labels, "node", "left").select("bucket", "node", "centre", F.coalesce("label", "node").alias("label"))
     several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.when(F.col("node") == F.col("centre"), F.col("label"))).alias("main"))
-    return written(named.join(several.filter("low < high").select("bucket", "main").hint("merge"), "bucket").select("bucket", "node", "label", "main").distinct(), "mixed")
+    found = salted_join(named, several.filter("low < high").select("bucket", "main"), hot, "bucket", F.col("node"))
+    return written(found.select("bucket", "node", "label", "main").distinct(), "mixed")
 
 
 def _marked(mixed: DataFrame, nodes: DataFrame, signed: DataFrame) -> DataFrame:
     """node and registers of the nodes of mixed buckets."""
-    wanted = nodes.join(mixed.select("node").distinct().hint("merge"), "node").select("node", "first", "first_mark")
-    found = signed.join(wanted.hint("merge"), (F.col("doc_id") == F.col("first")) & (F.col("mark") == F.col("first_mark")))
+    wanted = nodes.join(mixed.select("node").distinct(), "node").select("node", "first", "first_mark")
+    found = signed.join(wanted, (F.col("doc_id") == F.col("first")) & (F.col("mark") == F.col("first_mark")))
     return found.dropDuplicates(["node"]).select("node", "registers")
 
 
-def _in_tiles(mixed: DataFrame, marked: DataFrame, pairs_of: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+def _in_tiles(mixed: DataFrame, marked: DataFrame, hot: DataFrame, pairs_of: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
     """Pairs (a > b) of nodes of different components in a bucket, as pairs_of finds them in each tile.
 
     Strays (nodes outside the main component) meet all nodes of their bucket in tiles of about TILE by TILE nodes, fewer
@@ -266,10 +271,10 @@ def _in_tiles(mixed: DataFrame, marked: DataFrame, pairs_of: Callable[[pa.Table]
     stray = F.col("label") != F.col("main")
     columns = ["node", "label", *(c for c in marked.columns if c != "node")]
     bytes_of = F.octet_length("text").cast("long") if "text" in columns else F.lit(0).cast("long")
-    rows = mixed.join(marked.hint("merge"), "node").withColumn("bytes", bytes_of)
+    rows = mixed.join(marked, "node").withColumn("bytes", bytes_of)
     parts = lambda number, size: F.greatest(F.ceil(number / F.lit(TILE)), F.ceil(size / F.lit(TILE_BYTES))).cast("int")
     sizes = rows.groupBy("bucket").agg(parts(F.count("*"), F.sum("bytes")).alias("n_all"), parts(F.sum(stray.cast("int")), F.sum(F.when(stray, F.col("bytes")).otherwise(0))).alias("n_strays"))
-    rows = rows.drop("bytes").join(sizes.hint("merge"), "bucket")
+    rows = salted_join(rows.drop("bytes"), sizes, hot, "bucket", F.col("node"))
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     left = rows.filter(stray).select("bucket", place("n_strays").alias("s"), F.explode(up_to("n_all")).alias("m"), F.lit(True).alias("stray"), *columns)

@@ -309,6 +309,29 @@ def test_toxicity(spark, empty):
     assert toxicity.scored(empty, known.limit(0)).count() == 0
 
 
+def test_toxicity_sample_is_bounded_in_rows(spark):
+    rows = [(7, f"text {k}") for k in range(300)] + [(k, f"plain {k}") for k in range(20, 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame([(7, 1), *[(k, 0) for k in range(20, 30)]], "doc_id bigint, toxic int")
+    got = toxicity.sample(docs, known, 2, 2).collect()
+    assert sorted(r.toxic for r in got) == [0, 0, 1] and len({r.doc_id for r in got}) == 3
+    again = toxicity.sample(docs.repartition(5), known, 2, 2).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_toxicity_of_one_kind_of_label_and_wide_stops(spark):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "c. " * 30_000), (3, None)], "doc_id bigint, text string")
+    for kind in (0, 1):
+        known = spark.createDataFrame([(1, kind), (2, kind)], "doc_id bigint, toxic int")
+        got = [r.score for r in toxicity.scored(docs, known).orderBy("doc_id").collect()]
+        assert all(0 <= x <= 1 for x in got) and got[-1] == 0 and got[0] == got[1]
+        assert (got[0] > 0.5) == bool(kind)
+    words, head = toxicity._sentences(pa.array(["你好。再见！吗？end", "one"]))
+    assert [words.raw[words.starts[k] : words.ends[k]].tobytes().decode() for k in head] == ["你好", "再见", "吗", "end", "one"]
+
+
 def test_vector_search(spark):
     random = np.random.RandomState(4)
     data = np.concatenate([random.normal(size=(300, 16)), np.ones((40, 16))]).astype(np.float32)
@@ -366,6 +389,50 @@ def test_line_dedup(spark):
     assert out[7].kept == [] and out[8].kept == ["Menu"]
 
 
+def test_line_dedup_edges(spark):
+    """A share exactly at the ratio stays, repeated rows are pages, long texts and a hot host work, and empty tables too."""
+    schema = "page_id bigint, url string, html string, lines string, names string"
+    at = [(k, "http://a.example/", "<p>often</p>" if k < 4 else "<p>x</p>", "", "") for k in range(40)]
+    over = [(100 + k, "http://b.example/", "<p>often</p>" if k < 5 else "<p>y" + str(k), "", "") for k in range(40)]
+    hot = [(1000, "http://hot.example/", f"<p>menu</p><p>own {k % 500}</p>", "", "") for k in range(2000)]
+    long = [(5000, None, "<li>" + "word " * 200_000 + "</li>" * 3, None, None)] * 2
+    df = spark.createDataFrame(at + over + hot + long, schema).repartition(7)
+    out = line_dedup.drop_boilerplate(df).collect()
+    assert len(out) == len(at) + len(over) + len(hot) + 2
+    kept = collections.Counter((r.host, r.page_id == 1000, tuple(r.kept)[:1] if r.page_id != 5000 else len(r.kept)) for r in out)
+    assert kept["a.example", False, ("often",)] == 4 and kept["b.example", False, ()] == 5
+    assert all(r.kept == [x for x in r.lines if x != "menu"] for r in out if r.host == "hot.example")
+    assert kept["", False, 1] == 2
+    assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_find_all_similar_pairs(spark):
+    """Against all pairs that share a shingle, of the whole documents table: nine of ten similar pairs share a class."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.text is not None]
+    found = {r.doc_id: r.class_id for r in near_duplicates.classes(docs).collect()}
+    sets = near_duplicates._weighted(pa.array([t for _, t in rows]), 5)
+    by_shingle = collections.defaultdict(list)
+    for k, (x, _) in enumerate(sets):
+        for z in x.tolist():
+            by_shingle[z].append(k)
+    pairs = {(a, b) for at in by_shingle.values() if len(at) < 200 for a in at for b in at if a < b}
+    alike = [(rows[a][0], rows[b][0]) for a, b in pairs if near_duplicates.probability_jaccard(sets[a], sets[b]) >= 0.8]
+    assert len(alike) > 50
+    assert np.mean([found[a] == found[b] for a, b in alike]) >= 0.9
+
+
+def test_near_duplicates_of_a_hot_bucket(spark):
+    """Very many near copies of one text, copies of another, and very long texts."""
+    base = [f"word{k}" for k in range(60)]
+    rows = [(k, " ".join(base + [f"end{k}"])) for k in range(900)] + [(2000 + k, "same words here for all of us") for k in range(900)]
+    rows += [(5000 + k, " ".join(f"long{i}" for i in range(k, 60_000 + k))) for k in range(3)]
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert {got[k] for k in range(900)} == {0} and {got[2000 + k] for k in range(900)} == {2000} and {got[5000 + k] for k in range(3)} == {5000}
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     names = [n for n, _ in pipeline.STAGES]
