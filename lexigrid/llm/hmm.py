@@ -7,9 +7,11 @@ a class for every other word (by its last three bytes), and the end of a documen
 add-one share of its count in its class, with one unknown type for each class. So each state's emissions sum to
 one over all known words and the classes' unknown types.
 
-Expected counts (emissions, transitions, first states) are made per task, added up by key in two levels, and only
-the sums, whose size the numbers of symbols and states fix, reach the driver. Training cuts documents into pieces of
-PIECE tokens; scoring runs the scaled forward recursion over whole documents, so the likelihood is exact.
+Expected counts (emissions, transitions, first states) are made per task, added up by Spark's own sum for each
+number's place, and only the sums, whose size the numbers of symbols and states fix, reach the driver. Training is over
+whole documents: pieces of PIECE tokens are worked on side by side, and the products of the pieces' step matrices carry
+the forward and backward vectors exactly from piece to piece. Scoring runs the scaled forward recursion over whole
+documents, so the likelihood is exact.
 
 Nulls: a null text is empty and has the end alone; a null doc_id hashes as an empty text. Without training words
 each symbol is as likely as any other. Repeated documents count as often as they occur; other columns are ignored.
@@ -23,7 +25,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +33,12 @@ from lexigrid.llm.common import NONSPACE, find_words, id_remainder, slices, writ
 BLOCK_WORDS = 1_500_000
 PIECE = 128
 N_CLASSES = 1024
-SUM_PARTS = 24
 
 
 class Model(NamedTuple):
     first: np.ndarray
     steps: np.ndarray
     emit: np.ndarray
-    usual: np.ndarray
     top: np.ndarray
     class_base: np.ndarray
     tokens: int
@@ -132,18 +131,63 @@ def _sequences(model: Model, batch: pa.RecordBatch, row: int, only: np.ndarray |
     return symbols, lengths
 
 
+def _products(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, opening: np.ndarray) -> np.ndarray:
+    """pieces x states x states: the product of the steps' matrices over each piece, up to a factor. The first step of an
+    opening piece has no transition."""
+    states = len(model.first)
+    out = np.empty((len(starts), states, states))
+    order = np.argsort(-sizes, kind="stable")
+    for lo in range(0, len(order), 2048):
+        at = order[lo : lo + 2048]
+        s, below = starts[at], -sizes[at]
+        a = np.where(opening[at][:, None, None], np.eye(states), model.steps) * model.emit[symbols[s]][:, None, :]
+        for t in range(1, int(-below[0])):
+            m = int(np.searchsorted(below, -t, "left"))
+            a[:m] = (a[:m].reshape(-1, states) @ model.steps).reshape(m, states, states) * model.emit[symbols[s[:m] + t]][:, None, :]
+            if t % 16 == 0:
+                a[:m] /= a[:m].max(axis=(1, 2), keepdims=True)
+        out[at] = a / a.max(axis=(1, 2), keepdims=True)
+    return out
+
+
+def _carried(model: Model, products: np.ndarray, heads: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece: the forward vector at the end of the piece before it, and the backward vector at its own end, both
+    up to a factor. heads: the first piece of each document, parts: its number of pieces."""
+    entry, leave = np.ones(products.shape[:2]), np.ones(products.shape[:2])
+    order = np.argsort(-parts, kind="stable")
+    heads, parts = heads[order], parts[order]
+    ahead, back = np.tile(model.first, (len(heads), 1)), np.ones((len(heads), len(model.first)))
+    for j in range(int(parts[0]) - 1 if len(parts) else 0):
+        m = int(np.searchsorted(-parts, -(j + 1), "left"))  # documents with a piece after the j-th
+        ahead = np.einsum("ds,dst->dt", ahead[:m], products[heads[:m] + j])
+        ahead /= ahead.sum(axis=1, keepdims=True)
+        entry[heads[:m] + j + 1] = ahead
+        back = np.einsum("dst,dt->ds", products[heads[:m] + parts[:m] - 1 - j], back[:m])
+        back /= back.sum(axis=1, keepdims=True)
+        leave[heads[:m] + parts[:m] - 2 - j] = back
+    return entry, leave
+
+
 def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One E-step over whole pieces: emissions, transitions, first states, and (log likelihood, tokens)."""
+    """One E-step over whole documents: emissions, transitions, first states, and (log likelihood, tokens)."""
     states = len(model.first)
     emissions, transitions, first, total = np.zeros_like(model.emit), np.zeros((states, states)), np.zeros(states), np.zeros(2)
     parts = -(-lengths // PIECE)
-    k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    heads = np.cumsum(parts) - parts
+    k = np.arange(int(parts.sum())) - np.repeat(heads, parts)
     starts = np.repeat(np.cumsum(lengths) - lengths, parts) + k * PIECE
     sizes = np.minimum(np.repeat(lengths, parts) - k * PIECE, PIECE)
+    opening = k == 0
+    entry, leave = np.ones((len(k), states)), np.ones((len(k), states))
+    cut = np.flatnonzero(np.repeat(parts > 1, parts))
+    if len(cut):
+        many = parts[parts > 1]
+        products = _products(model, symbols, starts[cut], sizes[cut], opening[cut])
+        entry[cut], leave[cut] = _carried(model, products, np.cumsum(many) - many, many)
     order = np.argsort(-sizes, kind="stable")
-    starts, sizes, opening = starts[order], sizes[order], (k == 0)[order]
-    for lo in range(0, len(starts), 2048):
-        s, n, o = starts[lo : lo + 2048], sizes[lo : lo + 2048], opening[lo : lo + 2048]
+    for lo in range(0, len(order), 2048):
+        at = order[lo : lo + 2048]
+        s, n, o, came, goes = starts[at], sizes[at], opening[at], entry[at], leave[at]
         depth = int(n[0])
         active = [int(np.searchsorted(-n, -t, "left")) for t in range(depth + 1)]
         seen, emitted, alpha, scale = [], [], [], []
@@ -151,20 +195,23 @@ def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> t
             m = active[t]
             seen.append(symbols[s[:m] + t])
             emitted.append(model.emit[seen[-1]])
-            a = (np.where(o[:, None], model.first, model.usual) if t == 0 else alpha[-1][:m] @ model.steps) * emitted[-1]
+            a = (np.where(o[:, None], model.first, came @ model.steps) if t == 0 else alpha[-1][:m] @ model.steps) * emitted[-1]
             c = a.sum(axis=1, keepdims=True)
             alpha.append(a / c)
             scale.append(c)
-        beta = np.ones((active[depth - 1], states))
         gamma = [None] * depth
-        gamma[depth - 1] = alpha[depth - 1]
-        for t in range(depth - 2, -1, -1):
-            m = active[t + 1]
-            w = emitted[t + 1] * beta / scale[t + 1]
-            transitions += alpha[t][:m].T @ w
-            beta = np.ones((active[t], states))
-            beta[:m] = w @ model.steps.T
+        beta = None
+        for t in range(depth - 1, -1, -1):
+            m, on = active[t], active[t + 1]
+            new = np.empty((m, states))
+            new[on:] = goes[on:m] / (alpha[t][on:] * goes[on:m]).sum(axis=1, keepdims=True)
+            if on:
+                w = emitted[t + 1] * beta / scale[t + 1]
+                transitions += alpha[t][:on].T @ w
+                new[:on] = w @ model.steps.T
+            beta = new
             gamma[t] = alpha[t] * beta
+        transitions += came[~o].T @ (emitted[0] * beta / scale[0])[~o]
         first += gamma[0][o].sum(axis=0)
         flat, weights = np.concatenate(seen), np.concatenate(gamma)
         for i in range(states):
@@ -173,12 +220,9 @@ def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> t
     return emissions, transitions * model.steps, first, total
 
 
-SUMS = "part int, salt int, total binary"
-
-
 def _task_sums(blocks: DataFrame, model: Model) -> DataFrame:
-    """The expected counts of each task's blocks, in parts. blocks: a written table. The salt is the task's number, so a
-    task that runs again, after a lost executor, sends the same counts to the same reducers."""
+    """The expected counts of each task's blocks: place (of the number, of all of them one after another) and value.
+    blocks: a written table, so a task that runs again, after a lost executor, gives the same rows."""
     shared = blocks.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
@@ -191,31 +235,25 @@ def _task_sums(blocks: DataFrame, model: Model) -> DataFrame:
                     new = expected_counts(model, *_sequences(model, batch, row, learns))
                     sums = new if sums is None else tuple(a + b for a, b in zip(sums, new))
         if sums is not None:
-            flat = np.array_split(np.concatenate([x.ravel() for x in sums]), SUM_PARTS)
-            salt = TaskContext.get().partitionId() % 16
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SUM_PARTS), pa.int32()), pa.array([salt] * SUM_PARTS, pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], ["part", "salt", "total"])
+            flat = np.concatenate([x.ravel() for x in sums])
+            for places in np.array_split(np.flatnonzero(flat), len(flat) // 20_000 + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(flat[places])], ["place", "value"])
 
-    return blocks.select("held", "counts", "types", "classes", "codes").mapInArrow(count, SUMS)
+    return blocks.select("held", "counts", "types", "classes", "codes").mapInArrow(count, "place bigint, value double")
 
 
 def _e_step(blocks: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     states, symbols = model.emit.shape[1], len(model.emit)
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer()) for x in rows.column("total"))
-        return pa.table({"part": rows.column("part")[:1], "salt": pa.array([0], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
-
-    sums = _task_sums(blocks, model).groupBy("part", "salt").applyInArrow(add, SUMS).groupBy("part").applyInArrow(add, SUMS).collect()
     shape = [(symbols, states), (states, states), (states,), (2,)]
-    if not sums:
-        return tuple(np.zeros(s) for s in shape)
-    flat = np.concatenate([np.frombuffer(r["total"]) for r in sorted(sums, key=lambda r: r["part"])])
-    cuts = np.cumsum([int(np.prod(s)) for s in shape])[:-1]
-    return tuple(x.reshape(s) for x, s in zip(np.split(flat, cuts), shape))
+    cuts = np.cumsum([int(np.prod(s)) for s in shape])
+    sums = _task_sums(blocks, model).groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    flat = np.zeros(cuts[-1])
+    flat[sums.column("place").to_numpy()] = sums.column("value").to_numpy()
+    return tuple(x.reshape(s) for x, s in zip(np.split(flat, cuts[:-1]), shape))
 
 
 def train(blocks: DataFrame, words: DataFrame, n_states: int = 6, n_symbols: int = 16384, rounds: int = 4, seed: int = 7) -> tuple[Model, list[float]]:
-    """The model, and the mean log likelihood of a token before each round (in pieces, over symbols)."""
+    """The model, and the mean log likelihood of a token before each round (over symbols)."""
     top = words.orderBy(F.desc("c"), "type").limit(n_symbols).select("type", "class", "c").toPandas()
     top_types, top_counts = top["type"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(top_types)
@@ -233,7 +271,7 @@ def train(blocks: DataFrame, words: DataFrame, n_states: int = 6, n_symbols: int
     steps = np.full((n_states, n_states), 0.05 / max(1, n_states - 1))
     np.fill_diagonal(steps, 0.95 if n_states > 1 else 1.0)
     even = np.full(n_states, 1 / n_states)
-    model = Model(even, steps, emit / emit.sum(axis=0), even, top_types, class_n + class_v + 1, tokens + documents, types + (documents > 0), documents)
+    model = Model(even, steps, emit / emit.sum(axis=0), top_types, class_n + class_v + 1, tokens + documents, types + (documents > 0), documents)
     history = []
     for _ in range(rounds):
         emissions, transitions, first, total = _e_step(blocks, model)
@@ -241,7 +279,7 @@ def train(blocks: DataFrame, words: DataFrame, n_states: int = 6, n_symbols: int
             break
         history.append(float(total[0] / total[1]))
         norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
-        model = model._replace(first=norm(first + 0.1, 0), steps=norm(transitions + 0.1, 1), emit=norm(emissions + 0.01, 0), usual=norm(emissions.sum(axis=0) + 0.1, 0))
+        model = model._replace(first=norm(first + 0.1, 0), steps=norm(transitions + 0.1, 1), emit=norm(emissions + 0.01, 0))
     return model, history
 
 

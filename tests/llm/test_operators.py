@@ -238,7 +238,7 @@ def test_token_files_have_their_layout_and_are_read_in_part(spark, tmp_path):
 def test_hidden_markov_forward_and_base(docs, rows, empty):
     random = np.random.RandomState(1)
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
-    model = hmm.Model(norm(random.rand(3)), norm(random.rand(3, 3)), norm(random.rand(3, 7)).T, norm(random.rand(3)), np.zeros(0, np.uint64), np.ones(1), 1, 1, 1)
+    model = hmm.Model(norm(random.rand(3)), norm(random.rand(3, 3)), norm(random.rand(3, 7)).T, np.zeros(0, np.uint64), np.ones(1), 1, 1, 1)
     symbols, lengths = random.randint(0, 7, 30), np.array([5, 1, 20, 4])
     expected, at = [], 0
     for n in lengths:
@@ -263,6 +263,57 @@ def test_hidden_markov_forward_and_base(docs, rows, empty):
     assert hmm.language_model(empty).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 3, 4, 128])
+def test_expected_counts_are_those_of_whole_documents(monkeypatch, piece):
+    """Against sums over all paths of states, by forward and backward probabilities without scaling."""
+    monkeypatch.setattr(hmm, "PIECE", piece)
+    random = np.random.RandomState(9)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    model = hmm.Model(norm(random.rand(3)), norm(random.rand(3, 3)), norm(random.rand(3, 5)).T, np.zeros(0, np.uint64), np.ones(1), 1, 1, 1)
+    lengths = np.array([1, 9, 4, 12, 3, 1, 7])
+    symbols = random.randint(0, 5, lengths.sum())
+    emissions, transitions, first, likelihood = np.zeros((5, 3)), np.zeros((3, 3)), np.zeros(3), 0.0
+    for end, n in zip(np.cumsum(lengths), lengths):
+        o = symbols[end - n : end]
+        f = [model.first * model.emit[o[0]]]
+        for x in o[1:]:
+            f.append((f[-1] @ model.steps) * model.emit[x])
+        b = [np.ones(3)]
+        for x in o[:0:-1]:
+            b.insert(0, model.steps @ (model.emit[x] * b[0]))
+        p = f[-1].sum()
+        likelihood += np.log(p)
+        first += f[0] * b[0] / p
+        for t in range(n):
+            emissions[o[t]] += f[t] * b[t] / p
+            if t:
+                transitions += np.outer(f[t - 1], model.emit[o[t]] * b[t]) * model.steps / p
+    got = hmm.expected_counts(model, symbols, lengths)
+    assert got[0] == pytest.approx(emissions) and got[1] == pytest.approx(transitions) and got[2] == pytest.approx(first)
+    assert got[3] == pytest.approx([likelihood, len(symbols)])
+
+
+def test_long_documents_keep_their_scale():
+    random = np.random.RandomState(10)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    model = hmm.Model(norm(random.rand(4)), norm(random.rand(4, 4)), norm(random.rand(4, 3000)).T, np.zeros(0, np.uint64), np.ones(1), 1, 1, 1)
+    symbols, lengths = random.randint(0, 3000, 60_010), np.array([60_000, 10])
+    emissions, transitions, first, total = hmm.expected_counts(model, symbols, lengths)
+    assert emissions.sum() == pytest.approx(60_010) and transitions.sum() == pytest.approx(60_008) and first.sum() == pytest.approx(2)
+    assert total[0] == pytest.approx(hmm.forward(model, symbols, lengths).sum())
+
+
+def test_held_out_score_beats_the_base(spark):
+    got = hmm.language_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b", "count(*) AS n").first()
+    assert got.n > 50 and got.s > got.b
+
+
+def test_language_model_of_a_hot_word_and_odd_texts(spark):
+    rows = [(1, "the " * 50_000), (2, None), (3, ""), (3, ""), (None, "the end"), *[(k, "the the cat") for k in range(10, 40)]]
+    got = hmm.language_model(spark.createDataFrame(rows, "doc_id bigint, text string"), rounds=1).collect()
+    assert len(got) == len(rows) and all(np.isfinite(r.score) and r.score <= 0 for r in got)
+
+
 def test_baum_welch_raises_the_likelihood(docs):
     blocks = hmm.encode_blocks(docs.selectExpr("doc_id", "false AS held_out", "text"))
     history = hmm.train(blocks, hmm.vocabulary(blocks), n_states=3, n_symbols=64, rounds=4)[1]
