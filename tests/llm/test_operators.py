@@ -563,3 +563,28 @@ def test_vector_search_of_copies(spark):
     df = spark.createDataFrame(list(enumerate(data)), "vec_id bigint, embedding array<double>")
     got = collections.Counter(r.query_id for r in vector_search.search(df, lambda c: (c % 300 == 0) | (c >= 1500)).collect())
     assert got == dict.fromkeys([0, 300, 600, 900, 1200, *range(1500, 1509)], 10)
+
+
+def test_vector_search_recall_on_the_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, data = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = collections.defaultdict(set)
+    for r in vector_search.search(df, lambda c: c % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        far = np.sqrt(((data - data[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, far))[:10]].tolist()))
+        total += 10
+    print("recall", hits / total)
+    assert total > 0 and hits / total >= 0.9
+
+
+def test_vector_search_of_repeated_ids(spark):
+    """Another row with the query's id is a candidate, and each row of a repeated query id is a query."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.1]), (1, [5.0, 5.0]), (1, [5.0, 5.0]), (2, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in vector_search.search(df, lambda c: c == 0, k=2).collect())
+    assert got == [(0, 1, 0, 0.1), (0, 1, 0, 0.1), (0, 2, 2, 1.0), (0, 2, 2, round(1.01**0.5, 6))]
