@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm import decontaminate, hmm, line_dedup, mixing, near_duplicates, tokens, toxicity, vector_search, warc
-from lexigrid.llm.common import shared_folder, table
+from lexigrid.llm.common import shared_folder, table, written
 
 END_ID = 1
 #: Outside the vocabulary, so no text can hold it.
@@ -26,7 +26,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.report(warc.transactions(warc.read_archives(spark, path)))
+    return warc.report(warc.transactions(written(warc.read_archives(spark, path), "records")))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

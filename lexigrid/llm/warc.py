@@ -1,13 +1,17 @@
 """WARC archives: writing captures, reading records back, and assembling transactions.
 
 Each capture is written as a request, a response (or a revisit of an equal payload) and a metadata record; request and
-metadata name the response through WARC-Concurrent-To. Records are text whose last line end is the one Spark's text
-writer adds, so archives are gzip files of valid WARC records, written wherever Spark writes. They are read as
-binary files of a bounded number of records and cut by Content-Length alone, so payloads may hold anything.
+metadata name the response through WARC-Concurrent-To. Archives are gzip files with a member for each record, written
+wherever Spark writes: its text writer ends each row with the byte 0, with which every gzip member of under 16 MiB ends.
+
+Archives of other writers are read too: plain or gzip, with any number of records in a member. They are inflated in small
+parts and cut by Content-Length alone, so payloads may hold anything and memory follows the largest record. Every record
+gives a row, of unknown kinds too; header fields that it lacks are null.
 
 Nulls: a null payload is empty and a null url becomes 'about:blank'; rows without an id get none back and are responses.
-Rows with repeated or null ids are captures of their own, with record ids of their own. Of equal payloads of at least `least_bytes`, the captures with the largest id are responses and
-those with smaller ids are revisits of one of them. Empty tables give empty archives and results.
+Rows with repeated or null ids are captures of their own, with record ids of their own. Of equal payloads of at least
+`least_bytes`, the captures with the largest id are responses and those with smaller ids are revisits of one of them.
+Empty tables give empty archives and results.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.common import written
 
-RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, date string, payload_digest string, n_bytes bigint, capture string, payload binary"
+RECORD = "record_id string, type string, concurrent_to array<string>, refers_to string, uri string, date string, payload_digest string, n_bytes bigint, verified boolean, capture string, payload binary"
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_A_FILE = 3000
 
@@ -34,7 +38,14 @@ def digest32(data: bytes) -> str:
 
 def _record(kind: str, name: str, uri: str, body: str, more: str = "", media: str = "application/http") -> str:
     size = len(body.encode())
-    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {uri}\r\n{more}Content-Type: {media}\r\nContent-Length: {size}\r\n\r\n{body}\r\n\r"
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {uri}\r\n{more}Content-Type: {media}\r\nContent-Length: {size}\r\n\r\n{body}\r\n\r\n"
+
+
+def _member(record: str) -> bytes:
+    """The record as a gzip member without its last byte, which is 0 (the size's highest byte); where it isn't, an empty
+    member is added, which ends so."""
+    data = zlib.compress(record.encode(), 6, 31)
+    return (data if not data[-1] else data + zlib.compress(b"", 6, 31))[:-1]
 
 
 def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -66,7 +77,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
                     name = f"urn:capture:{own}:response"
                     tied = f"WARC-Concurrent-To: <{name}>\r\n"
                     data = html.encode()
-                    length = f"WARC-Payload-Digest: sha1:{digest32(data)}\r\nX-Payload-Bytes: {len(data)}\r\n"
+                    length = f"WARC-Payload-Digest: sha1:{digest32(data)}\r\n"
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}\r\n\r\n"
                     if refers is None:
                         main = _record("response", name, uri, head + html, length, "application/http; msgtype=response")
@@ -75,51 +86,109 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
                         main = _record("revisit", name, uri, head, more, "application/http; msgtype=response")
                     ask = _record("request", name.replace(":response", ":request"), uri, f"GET {uri} HTTP/1.1\r\n\r\n", tied, "application/http; msgtype=request")
                     about = _record("metadata", name.replace(":response", ":metadata"), uri, f"capture: {'' if page is None else page}\r\n", tied, "application/warc-fields")
-                    out += [ask, main, about]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                    out += [_member(ask), _member(main), _member(about)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    rows = captures(pages, least_bytes).mapInArrow(records, "value string")
-    rows.write.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).option("lineSep", "\n").text(path)
+    rows = captures(pages, least_bytes).mapInArrow(records, "value binary").select(F.col("value").cast("string"))
+    rows.write.option("maxRecordsPerFile", RECORDS_A_FILE).option("lineSep", "\0").text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record."""
+def inflated(data: memoryview, step: int = 1 << 14) -> Iterator[bytes]:
+    """The bytes of a plain file or of all members of a gzip file, in parts of about `step` bytes."""
     at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", start)
-        fields = {}
-        for line in data[start:end].split(b"\r\n")[1:]:
+    if bytes(data[:2]) != b"\x1f\x8b":
+        while at < len(data):
+            yield bytes(data[at : at + step])
+            at += step
+        return
+    while at < len(data):
+        if data[at] == 0:  # padding after a member
+            at += 1
+            continue
+        tool = zlib.decompressobj(31)
+        while not tool.eof and at < len(data):
+            given = data[at : at + step]
+            out = tool.decompress(given, 64 * step)
+            at += len(given) - len(tool.unused_data if tool.eof else tool.unconsumed_tail)
+            yield out
+        if not tool.eof:
+            yield tool.flush()
+        if not tool.eof:
+            raise ValueError("a gzip member is cut off")
+
+
+def parse(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """Header fields (names in lower case, with all their values) and block of each record."""
+    held, source = bytearray(), iter(parts)
+    while True:
+        while held[:1] in (b"\r", b"\n"):
+            del held[:1]
+        end = held.find(b"\r\n\r\n")
+        size, fields = 0, {}
+        if end >= 0:
+            name = ""
+            for line in bytes(held[:end]).decode("utf-8", "replace").split("\r\n")[1:]:
+                if line[:1] in (" ", "\t") and name:  # a folded line goes on with the one before
+                    fields[name][-1] = f"{fields[name][-1]} {line.strip()}".strip()
+                    continue
+                name, _, value = line.partition(":")
+                name = name.strip().lower()
+                fields.setdefault(name, []).append(value.strip())
+            size = int(fields["content-length"][0])
+        if end < 0 or len(held) < end + 4 + size:
+            more = next(source, None)
+            if more is not None:
+                wanted = end + 4 + size
+                held += more
+                while end >= 0 and len(held) < wanted and (more := next(source, None)) is not None:
+                    held += more
+                continue
+            if not held:
+                return
+            raise ValueError("an archive ends inside a record")
+        yield fields, bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 4 + size]
+
+
+def _row(fields: dict[str, list[str]], block: bytes) -> tuple:
+    """A record as a row. The payload is the block after its HTTP head, for responses; of a revisit, its size is that
+    which the HTTP head states. verified: whether the payload has the SHA-1 that the record states, if it does."""
+    one = lambda name: fields.get(name, [None])[0]
+    bare = lambda x: x.strip("<>") if x else None
+    kind, stated = (one("warc-type") or "").lower() or None, one("warc-payload-digest")
+    sha1 = stated.partition(":")[2] if stated and stated.lower().startswith("sha1:") else None
+    payload, size, digest, verified, capture = None, None, None, None, None
+    if kind == "response":
+        payload = block.partition(b"\r\n\r\n")[2]
+        size, digest = len(payload), digest32(payload)
+        verified = None if sha1 is None else sha1.upper() == digest or sha1.lower() == hashlib.sha1(payload).hexdigest()
+    elif kind == "revisit":
+        digest = sha1
+        for line in block.partition(b"\r\n\r\n")[0].split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
-            fields[name.decode().lower()] = value.strip().decode()
-        size = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+            if name.strip().lower() == b"content-length" and value.strip().isdigit():
+                size = int(value)
+    elif kind == "metadata":
+        for line in block.decode("utf-8", "replace").split("\r\n"):
+            if line.startswith("capture:"):
+                capture = line[8:].strip()
+    tied = [bare(x) for x in dict.fromkeys(fields.get("warc-concurrent-to", [])) if bare(x)]
+    return bare(one("warc-record-id")), kind, tied, bare(one("warc-refers-to")), bare(one("warc-target-uri")), one("warc-date"), digest, size, verified, capture, payload
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record; the payload is the block after its HTTP head, for responses."""
+    """One row per record of plain or gzip archives."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = zlib.decompress(content.as_buffer(), 31)
-                rows = []
-                bare = lambda x: x.strip("<>") if x else None
-                for fields, block in parse(data):
-                    kind = fields["warc-type"]
-                    payload, size, stated = None, None, None
-                    if kind == "response":
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        size, stated = len(payload), digest32(payload)
-                        if f"sha1:{stated}" != fields.get("warc-payload-digest"):
-                            raise ValueError(f"{fields['warc-record-id']}: the payload doesn't match its digest")
-                    elif kind == "revisit":
-                        size, stated = int(fields["x-payload-bytes"]), fields["warc-payload-digest"].removeprefix("sha1:")
-                    capture = block.decode().partition(":")[2].strip() if kind == "metadata" else None
-                    rows.append((bare(fields["warc-record-id"]), kind, bare(fields.get("warc-concurrent-to")), bare(fields.get("warc-refers-to")), fields["warc-target-uri"], fields["warc-date"], stated, size, capture, payload))
-                    if len(rows) == 300:
+                rows, size = [], 0
+                for fields, block in parse(inflated(memoryview(content.as_buffer()))):
+                    rows.append(_row(fields, block))
+                    size += len(block)
+                    if len(rows) == 300 or size > 8 << 20:
                         yield _batch(rows)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield _batch(rows)
 
@@ -127,21 +196,39 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.binary()]
-    names = [x.split()[0] for x in RECORD.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+    names, types = zip(*(x.split() for x in RECORD.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*rows), types)], names)
+
+
+def _main(records: DataFrame) -> DataFrame:
+    return records.filter(F.col("type").isin("response", "revisit"))
+
+
+def parts(records: DataFrame, kind: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """record_id (of a response or revisit) and part, a struct of part_id, uri, date and columns, for each record of that kind
+    which names it as concurrent or which it names."""
+    own = records.filter(F.col("type") == kind)
+    part = F.struct(F.col("record_id").alias("part_id"), "uri", "date", *columns).alias("part")
+    names_it = own.select(F.explode("concurrent_to").alias("record_id"), part)
+    named = _main(records).select("record_id", F.explode("concurrent_to").alias("named"))
+    named = named.join(own.select(F.col("record_id").alias("named"), part), "named").select("record_id", "part")
+    return names_it.unionByName(named)
 
 
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: the response or revisit with its request and metadata, joined by concurrent-to.
 
-    A response that nothing names has null request and metadata; a request without its response gives no row.
+    records: a written table of read_archives(). Either record may name the other. Of several requests or metadata records
+    of a capture, which are counted, the row has that with the least id; parts() gives them all. A response that nothing
+    names has null request and metadata; a request without its response gives no row, nor do records of other kinds.
     """
-    part = lambda kind, columns: records.filter(F.col("type") == kind).select(F.col("concurrent_to").alias("record_id"), F.struct("uri", "date", *columns).alias(kind))
-    main = records.filter(F.col("type").isin("response", "revisit")).select(
-        "record_id", F.struct("type", "uri", "date", "payload_digest", "n_bytes", "refers_to", "payload").alias("response")
-    )
-    return main.join(part("request", []), "record_id", "left").join(part("metadata", ["capture"]), "record_id", "left")
+    out = _main(records).select("record_id", F.struct("type", "uri", "date", "payload_digest", "n_bytes", "verified", "refers_to", "payload").alias("response"))
+    for kind, columns in (("request", ()), ("metadata", ("capture",))):
+        found = parts(records, kind, columns).groupBy("record_id", "part.part_id").agg(F.min("part").alias("part"))
+        found = found.groupBy("record_id").agg(F.min("part").alias(kind), F.count("*").alias(f"n_{kind}"))
+        out = out.join(found, "record_id", "left")
+    return out
 
 
 def report(captures: DataFrame) -> DataFrame:

@@ -185,7 +185,8 @@ def test_words_of_one_pattern_hash_apart():
         word += word.translate(swap)
     pair = [word, word.translate(swap)]
     assert len({*find_words(pa.array(pair)).hashes.tolist()}) == 2
-    texts = pa.array([*pair, f"{pair[1]} tail", "abcdefgh abcdefgi", None])
+    odd = "İstanbul ﬁne ǅ 漢字。カナ ẞtraße x\u0301y é e\u0301 ａｂ Ⅷ ª ʼn aʼb اللغة हिन्दी don't we'll"
+    texts = pa.array([*pair, f"{pair[1]} tail", "abcdefgh abcdefgi", None, odd, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(700)) + odd])
     want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
     ids, ends = tokens.Encoder(path).encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
@@ -432,6 +433,59 @@ def test_warc_repeated_and_null_ids(spark):
     assert all(main[x.refers_to].type == "response" and main[x.refers_to].payload_digest == x.payload_digest for x in main.values() if x.refers_to)
 
 
+def test_warc_archives_of_other_writers(spark, tmp_path):
+    """Several members, several records in one, plain files, other kinds, either direction, folded and repeated fields."""
+    import gzip
+
+    def record(kind, name, body, *fields):
+        head = "".join(f"{f}\r\n" for f in (f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{name}>", "WARC-Date: 2020-01-01T00:00:00Z", *fields, f"Content-Length: {len(body)}"))
+        return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    body = bytes(range(256)) * 5000 + b"WARC/1.0\r\n\r\n"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    one = record("response", "a", http + body, "WARC-Target-URI: http://a.example/", "WARC-Concurrent-To: <urn:ask-a>", "WARC-Concurrent-To: <urn:meta-a>")
+    asks = record("request", "ask-a", b"GET / HTTP/1.1\r\n\r\n", "WARC-Target-URI: http://a.example/")
+    metas = record("metadata", "meta-a", b"via: x\r\n") + record("metadata", "meta-b", b"n: 2\r\n", "WARC-Concurrent-To: <urn:a>", "WARC-Concurrent-To:\r\n <urn:b>")
+    two = record("revisit", "b", b"HTTP/1.1 200 OK\r\nContent-Length: 77\r\n\r\n", "WARC-Payload-Digest: sha1:ABC", "WARC-Refers-To: <urn:a>") + record("revisit", "c", b"")
+    odd = record("strange", "s", b"?") + record("conversion", "t", b"") + record("response", "e", b"no head at all", "WARC-Payload-Digest: sha1:AAAA")
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(map(gzip.compress, (info, one, asks))) + gzip.compress(metas + two) + bytes(4))
+    (tmp_path / "plain.warc").write_bytes(info + odd)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    records = warc.read_archives(spark, f"file://{tmp_path}")
+    assert collections.Counter(r.type for r in records.collect()) == {"warcinfo": 2, "response": 2, "request": 1, "metadata": 2, "revisit": 2, "strange": 1, "conversion": 1}
+    got = {r.record_id: r for r in warc.transactions(records).collect()}
+    assert set(got) == {"urn:a", "urn:b", "urn:c", "urn:e"}
+    a, b = got["urn:a"], got["urn:b"]
+    assert bytes(a.response.payload) == body and a.response.n_bytes == len(body) and a.response.verified is None
+    assert a.request.part_id == "urn:ask-a" and a.metadata.part_id == "urn:meta-a" and (a.n_request, a.n_metadata) == (1, 2)
+    assert b.response.n_bytes == 77 and b.response.payload_digest == "ABC" and b.metadata.part_id == "urn:meta-b" and b.request is None
+    assert got["urn:c"].response.n_bytes is None and got["urn:e"].response.verified is False and got["urn:e"].response.n_bytes == 0
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "x.warc.gz").write_bytes(gzip.compress(one)[:-20])
+    with pytest.raises(Exception, match="cut off|inside a record"):
+        warc.read_archives(spark, f"file://{tmp_path}/cut").collect()
+
+
+def test_warc_members_are_records_of_any_size(spark):
+    import gzip
+
+    rows = [(1, "http://a.example/", "x" * (17 << 20)), (2, "http://a.example/", "y"), (3, None, "\x00\x1f\x8b")]
+    path = shared_folder(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), path)
+    files = [f for f in spark.read.format("binaryFile").load(path).collect() if f.length]
+    assert sum(gzip.decompress(bytes(f.content)).count(b"WARC/1.1\r\n") for f in files) == 9
+    assert sum(bytes(f.content).count(b"\x1f\x8b\x08") for f in files) >= 9
+    got = {r.page_id: r for r in warc.report(warc.transactions(warc.read_archives(spark, path))).collect()}
+    assert {k: r.payload_bytes for k, r in got.items()} == {1: 17 << 20, 2: 1, 3: 3}
+
+
+def test_warc_empty(spark):
+    path = shared_folder(spark, "warc")
+    warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), path)
+    assert warc.report(warc.transactions(warc.read_archives(spark, path))).count() == 0
+
+
 def test_line_dedup(spark):
     page = lambda k: f"<div>Menu</div><p>Text {k}</p><script>x</script><p>Text {k}</p>"
     rows = [(k, "https://Site.example/p", page(k)) for k in range(5)] + [(7, None, None), (8, "https://other.example/", "<p>Menu</p>")]
