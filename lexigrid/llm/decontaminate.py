@@ -180,21 +180,24 @@ def contamination(
     """One row per document: doc_id, n_words, the merged spans of words that a window of a benchmark item covers,
     and the ids of the items with such windows.
 
-    Windows go through the index in blocks of WINDOWS_A_PASS; with more than one, a document's findings are
-    merged by segment (a random 62-bit name) and number.
+    Windows go through the index in blocks of WINDOWS_A_PASS. With more than one, each block's findings are written and its
+    broadcast is given up before the next, so the driver and the workers hold two blocks at most; a document's findings are
+    merged by segment (a random 62-bit name) and number, and documents without any come from the last pass.
     """
     index = build_index(docs, id_col, text_col) if index is None else index
-    spark = docs.sparkSession
-    passes = []
-    for ids, terms, lengths in _blocks(windows_of(benchmark, item_col, item_text, size)):
-        passes.append(_one_pass(index, spark.sparkContext.broadcast((ids, terms, lengths))))
+    context = docs.sparkSession.sparkContext
+    passes: list[DataFrame] = []
+    last = (np.zeros(0, object), np.zeros((0, size), np.uint64), np.zeros(0, np.int64))
+    for k, block in enumerate(_blocks(windows_of(benchmark, item_col, item_text, size))):
+        if k:
+            shared = context.broadcast(last)
+            passes.append(written(_one_pass(index, shared).filter(F.size("items") > 0), "found"))
+            shared.destroy()
+        last = block
+    together = _one_pass(index, context.broadcast(last))
     if not passes:
-        nothing = (np.zeros(0, object), np.zeros((0, size), np.uint64), np.zeros(0, np.int64))
-        passes.append(_one_pass(index, spark.sparkContext.broadcast(nothing)))
-    if len(passes) == 1:
-        return passes[0].drop("segment", "doc")
-    together = passes[0]
-    for p in passes[1:]:
+        return together.drop("segment", "doc")
+    for p in passes:
         together = together.unionByName(p)
     sweep = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))),
@@ -244,8 +247,9 @@ def _numbers(ids: np.ndarray) -> tuple[np.ndarray, pa.Array]:
 
 
 def proximity(index: DataFrame, queries: DataFrame, slop: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Occurrences of the rarest word of a query (in the segment) that have all its other words within `slop`
-    words in the same document: query_id, doc_id, position. The queries' words are taken as they are, repeats once."""
+    """Occurrences of the rarest word of a query (in the segment; of equally rare ones the first by hash) that have all its
+    other words within `slop` words in the same document: query_id, doc_id, position. Repeated words of a query count once;
+    queries without words find nothing."""
     spark = index.sparkSession
     out = None
     for ids, terms, lengths in _blocks(windows_of(queries, id_col, text_col, 1 << 30)):

@@ -77,6 +77,36 @@ def test_decontamination_in_several_passes(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontaminate.report(decontaminate.contamination(docs, bench)).collect()), key=repr) == one
 
 
+def test_proximity(spark, docs, rows, empty):
+    """Against brute force: occurrences of a word of the query with all others near it in the same text."""
+    queries = [(1, "w1 w2"), (2, "word3 word7 word5"), (3, "w4"), (4, ""), (5, None), (6, "absent w1"), (7, "abc é")]
+    frame = spark.createDataFrame(queries, "item_id bigint, text string")
+    index = decontaminate.build_index(docs)
+    for slop in (0, 2, 9):
+        got = {(r.query_id, r.doc_id, r.position) for r in decontaminate.proximity(index, frame, slop).collect()}
+        texts = collections.defaultdict(set)
+        for doc_id, text, *_ in rows:
+            texts[doc_id].add(text)
+        for doc_id, (text, *_) in texts.items():
+            w = words(text)
+            for item in {q for q, _ in queries}:
+                of = {p for q, d, p in got if (q, d) == (item, doc_id)}
+                wanted = set()  # by centre: the operator takes the rarest word of a segment
+                for v in (set(words(t)) for q, t in queries if q == item):
+                    wanted |= {frozenset(p for p, x in enumerate(w) if x == c and v <= set(w[max(0, p - slop) : p + slop + 1])) for c in v}
+                assert of in wanted or not wanted and not of
+    assert decontaminate.proximity(decontaminate.build_index(empty), frame, 3).count() == 0
+
+
+def test_decontamination_of_odd_tables(spark):
+    """Repeated and null item ids, very long texts and items, repeated documents, columns with clashing names."""
+    long = [f"x{k}" for k in range(30_000)]
+    docs = [(1, " ".join(long), 1, 2), (1, " ".join(long), 1, 2), (None, "a b c d", 0, 0), (2, "d", None, None)]
+    items = [(7, " ".join(long[5:5000])), (7, "d"), (None, "b c"), (8, "c"), (8, None)]
+    got = decontaminate.report(decontaminate.contamination(spark.createDataFrame(docs, "doc_id bigint, text string, segment int, terms int"), spark.createDataFrame(items, "item_id bigint, text string")))
+    assert sorted((repr(r.doc_id), r.n_words, r.n_hit, r.n_items) for r in got.collect()) == [("1", 30000, 4995, 1), ("1", 30000, 4995, 1), ("2", 1, 1, 1), ("None", 4, 3, 3)]
+
+
 def test_near_duplicates(docs, empty):
     got = {r.doc_id: r for r in near_duplicates.classes(docs).collect()}
     assert {got[i].class_id for i in (100, 101, 102, 103, 110, 111) if i in got} == {got[103 if 103 in got else 110].class_id}
@@ -477,7 +507,7 @@ def test_warc_members_are_records_of_any_size(spark):
     assert sum(gzip.decompress(bytes(f.content)).count(b"WARC/1.1\r\n") for f in files) == 9
     assert sum(bytes(f.content).count(b"\x1f\x8b\x08") for f in files) >= 9
     got = {r.page_id: r for r in warc.report(warc.transactions(warc.read_archives(spark, path))).collect()}
-    assert {k: r.payload_bytes for k, r in got.items()} == {1: 17 << 20, 2: 1, 3: 3}
+    assert {k: r.payload_bytes for k, r in got.items()} == {1: 17 << 20, 2: 1, 3: 4}
 
 
 def test_warc_empty(spark):
@@ -642,3 +672,21 @@ def test_vector_search_of_repeated_ids(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in vector_search.search(df, lambda c: c == 0, k=2).collect())
     assert got == [(0, 1, 0, 0.1), (0, 1, 0, 0.1), (0, 2, 2, 1.0), (0, 2, 2, round(1.01**0.5, 6))]
+
+
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_warc", "op5_decontamination", "op10_mixing"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from lexigrid.llm import queries
+
+    con, data = duckdb.connect(), "/root/testdata/sf0.001"
+    for table in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{data}/{table}.parquet')")
+    df = queries.QUERIES[name](spark, data)
+    columns = sorted(df.columns)
+    plain = lambda v: float(f"{v:.8g}") if isinstance(v, float) else v
+    cursor = con.execute(queries.ORACLE[name])
+    at = {d[0]: i for i, d in enumerate(cursor.description)}
+    assert sorted(at) == columns
+    assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == sorted(repr([plain(r[at[c]]) for c in columns]) for r in cursor.fetchall())
