@@ -2,7 +2,7 @@
 
 Encoding: every text is cut at places where the tokenizer always begins a new piece (white space, and between an
 ASCII letter and the punctuation or digit after it), each different piece is encoded once by the tokenizers
-library and kept, and the ids are put together per text. Texts with "<|", which may hold the names of special
+library and kept (those of letters alone many in one text), and the ids are put together per text. Texts with "<|", which may hold the names of special
 tokens, are given to the library whole. The result equals encoding whole texts; a test holds the two together.
 
 Nulls: a null text is an empty one and has the end id alone. A null id sorts first, and rows of one id by a hash of their
@@ -40,6 +40,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        words = self.tokenizer.get_vocab()
+        #: By id: whether a token is the last of its word.
+        self.last = np.zeros(max(words.values(), default=0) + 1, bool)
+        self.last[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -47,20 +51,41 @@ class Encoder:
         self.flat, self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
+    def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one after another, and the number of each, from the library piece by piece."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.int32, int(length.sum())), length
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _library, for pieces of letters: many in one text, cut where tokens end words. Each piece has one word end
+        at least; where there are not just as many as pieces, piece by piece."""
+        groups = [pieces[k : k + 200] for k in range(0, len(pieces), 200)]
+        texts = [" ".join(g) for g in groups]
+        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = []
+        for group, ids in zip(groups, found):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            whole = len(ends) == len(group) and ends[-1] == len(ids)
+            parts.append((ids, np.diff(ends, prepend=0)) if whole else self._library(group))
+        return tuple(np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        texts = [x.decode() for x in pieces]
+        plain = [x.isalpha() for x in texts]
+        pieces = [x for x, y in zip(pieces, plain) if y] + [x for x, y in zip(pieces, plain) if not y]
+        (ids, length), (more, further) = self._joined([x for x, y in zip(texts, plain) if y]), self._library([x for x, y in zip(texts, plain) if not y])
+        ids, length = np.concatenate([ids, more]), np.concatenate([length, further])
         first = len(self.places)
-        while first + len(ids) > len(self.begin):
+        while first + len(pieces) > len(self.begin):
             self.begin, self.length = np.concatenate([self.begin] * 2), np.concatenate([self.length] * 2)
-        total = int(length.sum())
-        while self.used + total > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat] * 2)
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
-        self.begin[first : first + len(ids)] = self.used + np.cumsum(length) - length
-        self.length[first : first + len(ids)] = length
-        self.used += total
-        self.places.update(zip(pieces, range(first, first + len(ids))))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[first : first + len(pieces)] = self.used + np.cumsum(length) - length
+        self.length[first : first + len(pieces)] = length
+        self.used += len(ids)
+        self.places.update(zip(pieces, range(first, first + len(pieces))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the texts, one after another, and n + 1 offsets."""
