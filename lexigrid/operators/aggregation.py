@@ -6,10 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def with_running(df: DataFrame, value: str, n: str, descending: bool = False, parts: int = 64) -> DataFrame:
+    """df has a row for each value; adds before, the sum of n over smaller (or larger) values, and beside, the next value
+    on that side. Values are cut into ranges at approximate percentiles, so no task orders more than a range; the
+    table of ranges has at most parts + 1 rows."""
+    found = df.select(F.percentile_approx(value, F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(10_000))).first()[0]
+    cuts = sorted(set(found or []))
+    spot = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    along = lambda c: F.desc(c) if descending else F.asc(c)
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn("_range", spot)
+    inside = ahead.partitionBy("_range").orderBy(along(value))
+    rows = rows.withColumns({"_in": F.coalesce(F.sum(n).over(inside), F.lit(0)), "_next": F.lag(value).over(Window.partitionBy("_range").orderBy(along(value)))})
+    ranges = rows.groupBy("_range").agg(F.sum(n).alias("_n"), (F.min if descending else F.max)(value).alias("_end"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_n").over(ahead.orderBy(along("_range"))), F.lit(0)).alias("_base"), F.lag("_end").over(Window.orderBy(along("_range"))).alias("_edge"))
+    joined = rows.join(F.broadcast(ranges), "_range")
+    return joined.select(*df.columns, (F.col("_base") + F.col("_in")).alias("before"), F.coalesce("_next", "_edge").alias("beside"))
+
+
 def feature_values(df: DataFrame, keys: list[str], features: list[str], item: str) -> DataFrame:
-    """Distinct items per key, feature and value, in one scan (features are unpivoted, not unioned)."""
-    long = df.select(*keys, item, *(F.col(f).cast("string").alias(f) for f in features)).unpivot([*keys, item], features, "feature", "value")
-    return long.filter("value IS NOT NULL").groupBy(*keys, "feature", "value").agg(F.countDistinct(item).alias("n_items"))
+    """Distinct items per key, feature and value, in one scan and one shuffle of the rows: an item's values of each feature
+    are put together first, so no distinct count follows."""
+    each = df.filter(F.col(item).isNotNull()).groupBy(*keys, item).agg(*(F.collect_set(F.col(f).cast("string")).alias(f"_{f}") for f in features))
+    named = lambda f: F.transform(f"_{f}", lambda v: F.struct(F.lit(f).alias("feature"), v.alias("value")))
+    values = F.concat(*map(named, features))
+    return each.select(*keys, F.inline(values)).groupBy(*keys, "feature", "value").agg(F.count("*").alias("n_items"))
 
 
 def roll_up(counts: DataFrame, key: str) -> DataFrame:
@@ -23,7 +44,7 @@ def feature_statistics(df: DataFrame, key: str, feature: str, item: str, mark: s
     cells = each.groupBy(key, feature).agg(
         F.count("*").alias("n_items"), F.sum(F.coalesce("m2", F.lit(0))).alias("n_second"), F.sum(F.coalesce("m3", F.lit(0))).alias("n_third"), F.sum(F.coalesce(F.col("m2") * F.col("m3"), F.lit(0))).alias("n_both")
     )
-    totals = df.groupBy(key).agg(F.countDistinct(item).alias("n_all"))
+    totals = each.select(key, item).distinct().groupBy(key).agg(F.count(item).alias("n_all"))
     return cells.join(totals, key).withColumn("ratio", F.round(F.col("n_items") / F.col("n_all"), 4))
 
 
@@ -44,8 +65,8 @@ def nested_shares(df: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def several_values(df: DataFrame, key: str, columns: list[str], least: int = 2) -> DataFrame:
-    """Keys with at least `least` different combinations of the columns."""
-    return df.groupBy(key).agg(F.countDistinct(F.concat_ws("|", *columns)).alias("n_values")).filter(F.col("n_values") >= least)
+    """Keys with at least `least` different combinations of the columns; a null is a value of its own."""
+    return df.groupBy(key).agg(F.countDistinct(F.struct(*columns)).alias("n_values")).filter(F.col("n_values") >= least)
 
 
 def level_counts(df: DataFrame, levels: list[str]) -> DataFrame:
@@ -62,9 +83,9 @@ def flag_matrix(df: DataFrame, key: str, flags: dict[str, Column], measure: Colu
 def tendency(df: DataFrame, region: str, token: str) -> DataFrame:
     """How much a region favours a token: frequency against the rest, lift, log10 odds (add-one) and z of two shares."""
     cells = df.groupBy(region, token).agg(F.count("*").cast("double").alias("a"))
-    regions = df.groupBy(region).agg(F.count("*").cast("double").alias("n_region"))
-    tokens = df.groupBy(token).agg(F.count("*").cast("double").alias("n_token"))
-    everything = df.agg(F.count("*").cast("double").alias("n"))
+    regions = cells.groupBy(region).agg(F.sum("a").alias("n_region"))
+    tokens = cells.groupBy(token).agg(F.sum("a").alias("n_token"))
+    everything = regions.agg(F.sum("n_region").alias("n"))
     a, r, t, n = (F.col(c) for c in ("a", "n_region", "n_token", "n"))
     p, rest = t / n, n - r
     pooled = F.sqrt(p * (1 - p) * (1 / r + 1 / F.nullif(rest, F.lit(0.0))))
@@ -84,15 +105,16 @@ def tendency(df: DataFrame, region: str, token: str) -> DataFrame:
 
 
 def significance(df: DataFrame, region: str, token: str) -> DataFrame:
-    """Chi-square of the 2x2 table of a region and a token, and the effect sqrt(chi2 / n)."""
+    """Chi-square of the 2x2 table of a region and a token, exp(-chi2 / 2) as an approximation of p, and the effect
+    sqrt(chi2 / n)."""
     cells = df.groupBy(region, token).agg(F.count("*").cast("double").alias("a"))
-    regions = df.groupBy(region).agg(F.count("*").cast("double").alias("r"))
-    tokens = df.groupBy(token).agg(F.count("*").cast("double").alias("t"))
-    joined = cells.join(regions, region).join(tokens, token).crossJoin(F.broadcast(df.agg(F.count("*").cast("double").alias("n"))))
+    regions = cells.groupBy(region).agg(F.sum("a").alias("r"))
+    tokens = cells.groupBy(token).agg(F.sum("a").alias("t"))
+    joined = cells.join(regions, region).join(tokens, token).crossJoin(F.broadcast(regions.agg(F.sum("r").alias("n"))))
     b, c = F.col("r") - F.col("a"), F.col("t") - F.col("a")
     d = F.col("n") - F.col("r") - c
     chi = F.col("n") * F.pow(F.col("a") * d - b * c, F.lit(2.0)) / F.nullif(F.col("r") * (F.col("n") - F.col("r")) * F.col("t") * (F.col("n") - F.col("t")), F.lit(0.0))
-    return joined.select(region, token, F.round(chi, 6).alias("chi_square"), F.round(F.sqrt(chi / F.col("n")), 6).alias("effect"))
+    return joined.select(region, token, F.round(chi, 6).alias("chi_square"), F.round(F.exp(-chi / 2), 6).alias("p"), F.round(F.sqrt(chi / F.col("n")), 6).alias("effect"))
 
 
 def inventory(df: DataFrame, key: str, token: str, item: str) -> DataFrame:
@@ -111,12 +133,15 @@ def entropy(df: DataFrame, key: str, category: str, bits: float = 2.0) -> DataFr
     return value.withColumn("explorer", F.col("entropy") > bits)
 
 
-def nearest_rank(df: DataFrame, key: str, value: str, percents: list[int]) -> DataFrame:
-    """Mean and nearest-rank percentiles: the value at position ceil(p/100 * n), at least the first."""
+def nearest_rank(df: DataFrame, key: str, value: str, percents: list[int], slow: float | None = None) -> DataFrame:
+    """Mean and nearest-rank percentiles: the value at position ceil(p/100 * n), at least the first; slow: also the share of
+    values above it. Equal values are counted first, so a key's window holds its distinct values and not its rows."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("k"))
     own = Window.partitionBy(key)
-    ranked = df.filter(F.col(value).isNotNull()).select(key, value, F.row_number().over(own.orderBy(value)).alias("k"), F.count("*").over(own).alias("n"))
-    picks = [F.max(F.when(F.col("k") == F.greatest(F.ceil(F.col("n") * F.lit(p) / 100), F.lit(1)), F.col(value))).alias(f"p{p}") for p in percents]
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), *picks)
+    ranked = counts.withColumns({"upto": F.sum("k").over(own.orderBy(value)), "n": F.sum("k").over(own)})
+    picks = [F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("n") * F.lit(p) / 100), F.lit(1)), F.col(value))).alias(f"p{p}") for p in percents]
+    above = [] if slow is None else [F.round(F.sum(F.when(F.col(value) > slow, F.col("k")).otherwise(0)) / F.sum("k"), 6).alias("slow_ratio")]
+    return ranked.groupBy(key).agg(F.sum("k").alias("n"), F.round(F.sum(F.col(value) * F.col("k")) / F.sum("k"), 6).alias("mean"), *picks, *above)
 
 
 def trend(df: DataFrame, at: str, unit: str, user: str, path: str, value: str) -> DataFrame:
@@ -135,34 +160,46 @@ def growth(df: DataFrame, at: str, key: str) -> DataFrame:
 
 
 def ranking(df: DataFrame, key: str, value: str, user: str) -> DataFrame:
-    """Competition rank by total, distinct users, gap to the next larger total, percent of the first and of all."""
+    """Competition rank by total, distinct users, gap to the next larger total, percent of the first and of all (null where
+    those are 0). Different totals are ranked by ranges, so no task orders all of them."""
     totals = df.groupBy(key).agg(F.round(F.sum(value), 6).alias("total"), F.countDistinct(user).alias("users"))
-    order = Window.orderBy(F.desc("total"))
-    steps = totals.select("total").distinct().select("total", F.lag("total").over(order).alias("larger"))
+    steps = with_running(totals.filter("total IS NOT NULL").groupBy("total").agg(F.count("*").alias("n")), "total", "n", descending=True)
+    steps = steps.select("total", (F.col("before") + 1).cast("int").alias("rank"), F.col("beside").alias("larger"))
     top = totals.agg(F.max("total").alias("most"), F.sum("total").alias("all"))
-    ranked = totals.withColumn("rank", F.rank().over(order)).join(steps, "total").crossJoin(F.broadcast(top))
-    return ranked.select(key, "total", "users", "rank", F.round(F.col("larger") - F.col("total"), 4).alias("gap"), F.round(F.col("total") * 100 / F.col("most"), 4).alias("percent_of_first"), F.round(F.col("total") * 100 / F.col("all"), 4).alias("percent_of_all"))
+    percent = lambda of: F.round(F.col("total") * 100 / F.nullif(F.col(of), F.lit(0)), 4)
+    ranked = totals.join(steps, "total").crossJoin(F.broadcast(top))
+    return ranked.select(key, "total", "users", "rank", F.round(F.col("larger") - F.col("total"), 4).alias("gap"), percent("most").alias("percent_of_first"), percent("all").alias("percent_of_all"))
 
 
 def rfm(df: DataFrame, user: str, at: str, value: str) -> DataFrame:
     """Recency (days before the last day), frequency and value of each user with scores 1 to 5 by nearest-rank
-    quintile thresholds (recency reversed) and a segment of the three."""
+    quintile thresholds (recency reversed) and a segment of the three. Thresholds come from counts of equal values, added
+    up by ranges."""
     last = df.agg(F.max(F.to_date(at)).alias("last"))
     users = df.groupBy(user).agg(F.max(F.to_date(at)).alias("latest"), F.count("*").alias("frequency"), F.round(F.sum(value), 6).alias("monetary"))
     users = users.crossJoin(F.broadcast(last)).select(user, F.date_diff("last", "latest").cast("long").alias("recency"), "frequency", "monetary")
-    cuts = users.select(*(F.expr(f"percentile_disc({x / 5}) WITHIN GROUP (ORDER BY {c}) AS {c}{x}") for c in ("recency", "frequency", "monetary") for x in range(1, 5)))
-    scored = users.crossJoin(F.broadcast(cuts))
+    everyone = users.agg(F.count("*").alias("n_users"))
+    scored = users
+    for c in ("recency", "frequency", "monetary"):
+        spread = with_running(users.groupBy(c).agg(F.count("*").alias("n")), c, "n").crossJoin(F.broadcast(everyone))
+        scored = scored.crossJoin(F.broadcast(spread.agg(*(F.min(F.when((F.col("before") + F.col("n")) * 5 >= x * F.col("n_users"), F.col(c))).alias(f"{c}{x}") for x in range(1, 5)))))
     rise = lambda c: sum((F.col(c) > F.col(f"{c}{x}")).cast("int") for x in range(1, 5)) + 1
     scored = scored.select(user, "recency", "frequency", "monetary", (6 - rise("recency")).alias("r"), rise("frequency").alias("f"), rise("monetary").alias("m"))
     segment = F.when((F.col("r") >= 4) & (F.col("f") >= 4), "champion").when(F.col("f") >= 4, "loyal").when(F.col("r") >= 4, "recent").when((F.col("r") <= 2) & (F.col("f") <= 2), "lost").when(F.col("r") <= 2, "at risk").otherwise("middle")
     return scored.withColumn("segment", segment)
 
 
+def segment_averages(scored: DataFrame) -> DataFrame:
+    """Users and mean recency, frequency and value of each segment of rfm()."""
+    mean = lambda c: F.round(F.avg(c), 6).alias(f"mean_{c}")
+    return scored.groupBy("segment").agg(F.count("*").alias("users"), mean("recency"), mean("frequency"), mean("monetary"))
+
+
 def outliers(df: DataFrame, user: str) -> DataFrame:
     """Users whose number of calls exceeds the mean by three sample deviations; high above five."""
     calls = df.groupBy(user).agg(F.count("*").alias("calls"))
     norm = calls.agg(F.avg("calls").alias("mean"), F.stddev_samp("calls").alias("sd"))
-    z = (F.col("calls") - F.col("mean")) / F.col("sd")
+    z = (F.col("calls") - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0))
     return calls.crossJoin(F.broadcast(norm)).filter(F.col("calls") > F.col("mean") + 3 * F.col("sd")).select(user, "calls", F.round(z, 6).alias("z"), F.when(z > 5, "high").otherwise("medium").alias("severity"))
 
 
@@ -190,10 +227,10 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> Dat
 
 
 def standard_scores(df: DataFrame, key: str, value: str) -> DataFrame:
-    """z of each key's mean value against all keys; null with fewer than three keys."""
+    """z of each key's mean value against all keys; null with fewer than three keys or where all means are equal."""
     means = df.groupBy(key).agg(F.avg(value).alias("mean"))
     norm = means.agg(F.avg("mean").alias("mu"), F.stddev_samp("mean").alias("sd"), F.count("*").alias("n"))
-    return means.crossJoin(F.broadcast(norm)).select(key, F.round("mean", 6).alias("mean"), F.when(F.col("n") >= 3, F.round((F.col("mean") - F.col("mu")) / F.col("sd"), 6)).alias("z"))
+    return means.crossJoin(F.broadcast(norm)).select(key, F.round("mean", 6).alias("mean"), F.when(F.col("n") >= 3, F.round((F.col("mean") - F.col("mu")) / F.nullif(F.col("sd"), F.lit(0.0)), 6)).alias("z"))
 
 
 def runs(df: DataFrame, key: str, order: str, flag: Column, least: int) -> DataFrame:

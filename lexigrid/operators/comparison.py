@@ -94,11 +94,28 @@ def positive_pmi(df: DataFrame, holder: str, token: str, least: int) -> DataFram
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, share: float) -> DataFrame:
-    """The share of each stratum, at least one row, by the order of a hash of the key: reruns agree."""
-    order = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key)
-    sizes = df.groupBy(stratum).agg(F.greatest(F.floor(F.count("*") * F.lit(share)), F.lit(1)).alias("most"))
-    ranked = df.withColumn("place", F.row_number().over(order))
-    return ranked.join(sizes, ranked[stratum].eqNullSafe(sizes[stratum])).filter("place <= most").select(*[ranked[c] for c in df.columns])
+    """The share of each stratum, at least one row, by the order of a hash of the key: reruns agree. Rows are placed inside
+    the 4096 ranges of the hash's first digits and the ranges' numbers are added up, so no task orders a stratum."""
+    digest, most = F.md5(F.col(key).cast("string")), F.greatest(F.floor(F.sum("n").over(Window.partitionBy("_s")) * F.lit(share)), F.lit(1))
+    rows = df.withColumns({"_s": F.struct(stratum), "_h": digest, "_r": F.substring(digest, 1, 3)})
+    ranges = rows.groupBy("_s", "_r").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_s", "_r", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_before"), most.alias("_most"))
+    placed = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_s", "_r").orderBy("_h", key)))
+    return placed.join(ranges, ["_s", "_r"]).filter("_before + _k <= _most").select(*df.columns)
+
+
+def random_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """n rows by the order of a hash of the key (all, if fewer): reruns agree."""
+    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
+
+
+def grid_sample(df: DataFrame, x: str, y: str, key: str, cells: int = 50) -> DataFrame:
+    """One row (the smallest key) of each filled cell of a grid of cells x cells over the extent of the points."""
+    box = df.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
+    cell = lambda c, lo, hi: F.least(F.floor((F.col(c) - F.col(lo)) / F.nullif(F.col(hi) - F.col(lo), F.lit(0.0)) * cells), F.lit(cells - 1))
+    spread = df.crossJoin(F.broadcast(box)).withColumns({"_cx": F.coalesce(cell(x, "_x0", "_x1"), F.lit(0)), "_cy": F.coalesce(cell(y, "_y0", "_y1"), F.lit(0))})
+    return spread.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy("_cx", "_cy").agg(F.min_by(F.struct(*df.columns), key).alias("one")).select("one.*")
 
 
 def same_pair_distance(df: DataFrame, key: str, item: str, token: str) -> DataFrame:
@@ -124,14 +141,52 @@ def region_jaccard(df: DataFrame, region: str, token: str) -> DataFrame:
     return named.select("a", "b", "n_both", F.round(F.col("n_both") / (F.col("na") + F.col("nb") - F.col("n_both")), 6).alias("jaccard"))
 
 
-def cluster_spread(vectors: DataFrame, label: str, key: str, vector: str) -> DataFrame:
-    """Calinski-Harabasz index of labelled vectors (one row): spread between centroids over spread inside clusters."""
+def _cells(vectors: DataFrame, label: str, key: str, vector: str) -> DataFrame:
+    """Of each label and dimension: number, mean and variance of the values."""
     long = vectors.select(label, key, F.posexplode(F.col(vector).cast("array<double>")).alias("dimension", "value"))
-    cells = long.groupBy(label, "dimension").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
+    return long.groupBy(label, "dimension").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
+
+
+def cluster_spread(vectors: DataFrame, label: str, key: str, vector: str) -> DataFrame:
+    """Calinski-Harabasz index of labelled vectors (one row): spread between centroids over spread inside clusters; null
+    with one label, or with a label for each row."""
+    cells = _cells(vectors, label, key, vector)
     overall = cells.groupBy("dimension").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("centre"))
     sums = cells.join(F.broadcast(overall), "dimension").agg(F.sum(F.col("n") * F.pow(F.col("mean") - F.col("centre"), F.lit(2.0))).alias("between"), F.sum(F.col("n") * F.col("variance")).alias("within"))
     sizes = vectors.agg(F.count("*").alias("n"), F.countDistinct(label).alias("k"))
-    return sums.crossJoin(sizes).select("n", "k", F.round((F.col("between") / (F.col("k") - 1)) / F.nullif(F.col("within") / (F.col("n") - F.col("k")), F.lit(0.0)), 4).alias("calinski_harabasz"))
+    over = lambda a, b: F.col(a) / F.nullif(b, F.lit(0))
+    value = over("between", F.col("k") - 1) / F.nullif(over("within", F.col("n") - F.col("k")), F.lit(0.0))
+    return sums.crossJoin(sizes).select("n", "k", F.round(value, 4).alias("calinski_harabasz"))
+
+
+def davies_bouldin(vectors: DataFrame, label: str, key: str, vector: str) -> DataFrame:
+    """Davies-Bouldin index (one row): the mean over labels of the worst (spread + spread) / distance of centroids; a
+    label's spread is the mean distance to its centroid. Pairs are made of labels, not of rows."""
+    centres = _cells(vectors, label, key, vector).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dimension", "mean"))), lambda x: x["mean"]).alias("centre"))
+    gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, z: s + z))
+    spread = vectors.select(label, F.col(vector).cast("array<double>").alias("v")).join(F.broadcast(centres), label).groupBy(label).agg(F.avg(gap("v", "centre")).alias("spread"))
+    one = centres.join(spread, label)
+    pairs = one.select(F.col(label).alias("a"), F.col("centre").alias("ca"), F.col("spread").alias("sa")).join(one.select(F.col(label).alias("b"), F.col("centre").alias("cb"), F.col("spread").alias("sb")), F.col("a") != F.col("b"))
+    worst = pairs.groupBy("a").agg(F.max((F.col("sa") + F.col("sb")) / F.nullif(gap("ca", "cb"), F.lit(0.0))).alias("r"))
+    return worst.agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))
+
+
+def silhouette(vectors: DataFrame, label: str, key: str, vector: str) -> DataFrame:
+    """Mean silhouette with squared Euclidean distances (one row). The mean squared distance of a row to a cluster follows
+    from the cluster's size, sum and sum of squares, so each row meets each label once and no pairs of rows are made."""
+    v = vectors.select(key, label, F.col(vector).cast("array<double>").alias("v"))
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, z: s + z * z)
+    sums = v.select(label, F.posexplode("v").alias("dimension", "value")).groupBy(label, "dimension").agg(F.sum("value").alias("total"))
+    sums = sums.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dimension", "total"))), lambda x: x["total"]).alias("total"))
+    sizes = v.groupBy(label).agg(F.count("*").alias("n"), F.sum(square("v")).alias("squares"))
+    clusters = sums.join(sizes, label).select(F.col(label).alias("other"), "total", "n", "squares")
+    met = v.crossJoin(F.broadcast(clusters))
+    dot = F.aggregate(F.zip_with("v", "total", lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
+    own = F.col("other") == F.col(label)
+    total = F.col("n") * square(F.col("v")) - 2 * dot + F.col("squares")
+    each = met.groupBy(key).agg(F.max(F.when(own, total / F.nullif(F.col("n") - 1, F.lit(0)))).alias("a"), F.min(F.when(~own, total / F.col("n"))).alias("b"))
+    value = F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
+    return each.agg(F.round(F.avg(value), 6).alias("silhouette"))
 
 
 def nearest_in_grid(points: DataFrame, places: DataFrame, cell: float) -> DataFrame:
@@ -148,13 +203,18 @@ def nearest_in_grid(points: DataFrame, places: DataFrame, cell: float) -> DataFr
     return best.select("point_id", F.col("best.place_id").alias("place_id"), F.round("best.distance", 6).alias("distance"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """Nodes within `depth` steps of the start nodes, with the least number of steps. edges: a, b (undirected).
+def neighbour_network(edges: DataFrame, starts: DataFrame, depth: int, k: int, most: int | None = None) -> DataFrame:
+    """Breadth-first from the start nodes: each step goes to the k heaviest neighbours (ties by node) of the nodes before.
+    edges: a, b, weight (undirected; the greatest weight of an edge counts). Gives node, depth and weight (the greatest by
+    which the step reached it); most: nodes kept, by depth, weight (greatest first) and node.
 
     One shuffle join a step against nodes not yet seen; the number of steps is fixed, so the plan is bounded."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = front = starts.select("node").distinct().withColumn("depth", F.lit(0))
+    both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).filter("a <> b")
+    best = both.groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    near = best.withColumn("_k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))).filter(F.col("_k") <= k).drop("_k")
+    seen = front = starts.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("double").alias("weight"))
     for step in range(1, depth + 1):
-        front = front.select(F.col("node").alias("a")).join(both, "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(step))
+        reached = front.select(F.col("node").alias("a")).join(near, "a").groupBy(F.col("b").alias("node")).agg(F.max("weight").cast("double").alias("weight"))
+        front = reached.join(seen, "node", "left_anti").select("node", F.lit(step).alias("depth"), "weight")
         seen = seen.unionByName(front)
-    return seen
+    return seen if most is None else seen.orderBy("depth", F.desc("weight"), "node").limit(most)

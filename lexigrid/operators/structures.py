@@ -12,9 +12,20 @@ def compare_sets(a: Column, b: Column) -> Column:
     return F.when(empty(a) | empty(b), "unknown").when(F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b)), "same").when(F.arrays_overlap(a, b), "partial").otherwise("diff")
 
 
+#: Keys of which all pairs are made: locations, regions or labels, not rows.
+MOST_KEYS = 5000
+
+
+def bounded(df: DataFrame, most: int = MOST_KEYS) -> DataFrame:
+    """df, if it has at most so many rows; else an error, as all pairs of them would be made."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"all pairs are made of at most {most} rows")
+    return df
+
+
 def key_pairs(sets: DataFrame, key: str, values: str) -> DataFrame:
-    """Every pair of keys (a < b) with their sets compared and their Jaccard index; for keys whose number is that of
-    locations or regions, not of rows."""
+    """Every pair of keys (a < b) with their sets compared and their Jaccard index, of at most MOST_KEYS keys."""
+    sets = bounded(sets)
     left, right = sets.select(F.col(key).alias("a"), F.col(values).alias("x")), sets.select(F.col(key).alias("b"), F.col(values).alias("y"))
     pairs = left.join(right, F.col("a") < F.col("b"))
     both, either = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
@@ -36,7 +47,8 @@ def children(df: DataFrame, levels: list[str], path: list) -> DataFrame:
 
 
 def vector_pairs(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """Cosine, Euclidean and Manhattan measures of all pairs (a < b) of a bounded set of vectors."""
+    """Cosine, Euclidean and Manhattan measures of all pairs (a < b) of at most MOST_KEYS vectors."""
+    vectors = bounded(vectors)
     v = F.col(vector).cast("array<double>")
     left, right = vectors.select(F.col(key).alias("a"), v.alias("x")), vectors.select(F.col(key).alias("b"), v.alias("y"))
     total = lambda f: F.aggregate(F.zip_with("x", "y", f), F.lit(0.0), lambda s, z: s + z)
@@ -110,3 +122,8 @@ def symbol_keys(text: Column, symbols: list[str]) -> Column:
     two = [s for s in symbols if len(s) == 2]
     pattern = "|".join([*two, "."]) if two else "."
     return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)({pattern})")), lambda s: F.coalesce(F.try_element_at(places, s), F.lit(len(symbols))))
+
+
+def nested_map(cells: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
+    """A map of inner to value for each outer key; meant for tables whose inner keys are few."""
+    return cells.groupBy(outer).agg(F.map_from_entries(F.collect_list(F.struct(inner, value))).alias("cells"))

@@ -84,11 +84,15 @@ def kept_newest(df: DataFrame, key: str, order: list[Column], n: int, removable:
     return marked.withColumn("_k", place).filter(~(F.col("_out") & (F.col("_k") <= F.col("_n") - n))).drop("_out", "_n", "_k")
 
 
-def median_filter(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """The median of five values around each row; beyond a key's ends the values are 0."""
-    own = Window.partitionBy(key).orderBy(order)
-    around = F.array_sort(F.array(*[F.coalesce(F.lag(value, k, 0.0).over(own), F.lit(0.0)) if k > 0 else F.coalesce(F.lead(value, -k, 0.0).over(own), F.lit(0.0)) for k in (2, 1, 0, -1, -2)]))
-    return df.select(key, order, F.element_at(around, 3).alias("median"))
+def median_filter(df: DataFrame, key: str, order: str, value: str, valid: Column | None = None) -> DataFrame:
+    """The median of five values around each valid row (those with a value, unless given) inside its unbroken run of valid
+    rows; beyond the run's ends the values are 0. Rows that aren't valid have none and give no row."""
+    good = F.col(value).isNotNull() & (F.lit(True) if valid is None else F.coalesce(valid, F.lit(False)))
+    marked = df.select(key, order, value, good.alias("_good")).withColumn("_run", F.sum((~F.col("_good")).cast("int")).over(Window.partitionBy(key).orderBy(order)))
+    own = Window.partitionBy(key, "_run").orderBy(order)
+    near = lambda k: F.coalesce(F.lag(value, k, 0.0).over(own) if k > 0 else F.lead(value, -k, 0.0).over(own), F.lit(0.0))
+    around = F.array_sort(F.array(*[near(k) for k in (2, 1, 0, -1, -2)]))
+    return marked.filter("_good").select(key, order, F.element_at(around, 3).alias("median"))
 
 
 def every_nth(df: DataFrame, key: str, order: str, factor: int) -> DataFrame:

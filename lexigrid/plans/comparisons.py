@@ -223,9 +223,49 @@ def adv36_nearest_in_grid(spark, d):
     return cmp.nearest_in_grid(points, places, 0.05)
 
 
-@query("""WITH l AS (SELECT l_orderkey % 2000 AS a, l_partkey % 2000 AS b FROM lineitem WHERE l_linenumber = 1), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
- d1 AS (SELECT DISTINCT b FROM e WHERE a = 1 AND b <> 1), d2 AS (SELECT DISTINCT e.b FROM e JOIN d1 ON e.a = d1.b WHERE e.b <> 1 AND e.b NOT IN (SELECT b FROM d1))
-SELECT 1::BIGINT AS node, 0 AS depth UNION ALL SELECT b, 1 FROM d1 UNION ALL SELECT b, 2 FROM d2""")
+_EDGES = "(SELECT a, b, max(w) AS w FROM (SELECT 'o' || l_orderkey AS a, 'p' || l_partkey AS b, l_quantity AS w FROM lineitem UNION ALL SELECT 'p' || l_partkey, 'o' || l_orderkey, l_quantity FROM lineitem) GROUP BY a, b)"
+
+
+def _edges(spark, d):
+    """Orders and parts as nodes, by prefix; weights are quantities."""
+    return table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), F.col("l_quantity").alias("weight"))
+
+
+@query(f"""WITH e AS {_EDGES}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM e) WHERE r <= 5),
+ d0 AS (SELECT 'p1' AS node), d1 AS (SELECT b AS node, max(w) AS w FROM k JOIN d0 ON a = node WHERE b <> 'p1' GROUP BY b),
+ d2 AS (SELECT b AS node, max(k.w) AS w FROM k JOIN d1 ON a = node WHERE b <> 'p1' AND b NOT IN (SELECT node FROM d1) GROUP BY b),
+ d3 AS (SELECT b AS node, max(k.w) AS w FROM k JOIN d2 ON a = node WHERE b <> 'p1' AND b NOT IN (SELECT node FROM d1 UNION SELECT node FROM d2) GROUP BY b)
+SELECT * FROM (SELECT node, 0 AS depth, NULL::DOUBLE AS weight FROM d0 UNION ALL SELECT node, 1, w FROM d1 UNION ALL SELECT node, 2, w FROM d2 UNION ALL SELECT node, 3, w FROM d3) ORDER BY depth, weight DESC NULLS LAST, node LIMIT 60""")
 def adv5_reachable(spark, d):
-    edges = table(spark, d, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") % 2000).alias("a"), (F.col("l_partkey") % 2000).alias("b"))
-    return cmp.reachable(edges, spark.range(1, 2).toDF("node"), 2)
+    return cmp.neighbour_network(_edges(spark, d), spark.sql("SELECT 'p1' AS node"), 3, 5, 60)
+
+
+@query("""WITH v AS (SELECT label, vec_id, embedding FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), l AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM v),
+ c AS (SELECT label, i, avg(x) AS m FROM l GROUP BY ALL), s AS (SELECT label, avg(d) AS s FROM (SELECT l.label, vec_id, sqrt(sum(pow(x - m, 2))) AS d FROM l JOIN c ON l.label = c.label AND l.i = c.i GROUP BY ALL) GROUP BY label),
+ g AS (SELECT p.label AS a, q.label AS b, sqrt(sum(pow(p.m - q.m, 2))) AS d FROM c p JOIN c q ON p.i = q.i AND p.label <> q.label GROUP BY ALL)
+SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT a, max((x.s + y.s) / d) AS r FROM g JOIN s x ON a = x.label JOIN s y ON b = y.label GROUP BY a)""")
+def adv34_davies_bouldin(spark, d):
+    return cmp.davies_bouldin(table(spark, d, "embeddings").filter("label IS NOT NULL AND embedding IS NOT NULL"), "label", "vec_id", "embedding")
+
+
+@query("""WITH v AS (SELECT label, vec_id, embedding FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ l AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM v), s AS (SELECT label, i, sum(x) AS t FROM l GROUP BY ALL),
+ z AS (SELECT label, count(DISTINCT vec_id) AS n, sum(x * x) AS q FROM l GROUP BY label), r AS (SELECT vec_id, label, sum(x * x) AS q FROM l GROUP BY ALL),
+ m AS (SELECT l.vec_id, l.label AS mine, s.label AS other, sum(l.x * s.t) AS dot FROM l JOIN s ON l.i = s.i GROUP BY ALL),
+ t AS (SELECT m.vec_id, mine = other AS own, z.n, z.n * r.q - 2 * dot + z.q AS total FROM m JOIN z ON m.other = z.label JOIN r ON r.vec_id = m.vec_id),
+ e AS (SELECT vec_id, max(CASE WHEN own THEN total / nullif(n - 1, 0) END) AS a, min(CASE WHEN NOT own THEN total / n END) AS b FROM t GROUP BY vec_id)
+SELECT round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette FROM e""")
+def adv34_silhouette(spark, d):
+    return cmp.silhouette(table(spark, d, "embeddings").filter("label IS NOT NULL AND embedding IS NOT NULL"), "label", "vec_id", "embedding")
+
+
+@query("""SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 200""")
+def adv18_random_sample(spark, d):
+    return cmp.random_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 200)
+
+
+@query("""WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v),
+ c AS (SELECT vec_id, least(floor((x - x0) / (x1 - x0) * 50), 49) AS cx, least(floor((y - y0) / (y1 - y0) * 50), 49) AS cy FROM v, b) SELECT min(vec_id) AS vec_id FROM c GROUP BY cx, cy""")
+def adv18_grid_sample(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    return cmp.grid_sample(v, "x", "y", "vec_id").select("vec_id")
