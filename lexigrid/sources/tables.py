@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +23,6 @@ def row_counts(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     return out
 
 
-def schema_rows(df: DataFrame) -> DataFrame:
-    """Name, type and nullability of each column."""
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, name string, type string, nullable boolean")
-
-
 def changed(df: DataFrame, key: str, updates: DataFrame, deletes: DataFrame) -> DataFrame:
     """df without the deleted and updated keys, with the updated or new rows."""
     gone = updates.select(key).unionByName(deletes.select(key)).distinct()
@@ -42,10 +38,50 @@ def flat(df: DataFrame) -> DataFrame:
     return out
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header in UTF-8."""
-    df.write.option("header", True).csv(path)
-
-
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+def table_list(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """Name, rows and bytes of each table; the bytes are the optimiser's own statistics of the files."""
+    sizes = [(n, int(str(table(spark, sf_dir, n)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) for n in names]
+    return row_counts(spark, sf_dir, names).join(spark.createDataFrame(sizes, "name string, bytes bigint"), "name")
+
+
+def lexicon(rows: DataFrame, column: str) -> DataFrame:
+    """category and word of JSON objects of categories with lists of words."""
+    words = rows.select(F.explode(F.from_json(column, "map<string,array<string>>")).alias("category", "words"))
+    return words.select("category", F.explode("words").alias("word"))
+
+
+def aliased(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """Columns under their canonical names, found by name or alias with letter case and outer spaces ignored; of several for
+    one name the first stays, others go, as do columns of no name."""
+    chosen: dict[str, str] = {}
+    for column in df.columns:
+        plain = column.strip().lower()
+        for name, others in names.items():
+            if plain in {name.lower(), *(o.lower() for o in others)}:
+                chosen.setdefault(name, column)
+    return df.select(*(df[f"`{c}`"].alias(n) for n, c in chosen.items()))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; a local one where none is set, in local mode alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file:///tmp/lexigrid-exports"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def export(df: DataFrame, kind: str, path: str | None = None, bom: bool = False) -> str:
+    """Writes csv (with a header), json or parquet; bom: csv files begin with a byte order mark. Gives the path."""
+    path = path or shared_path(df.sparkSession, f"export-{kind}")
+    if kind == "csv":
+        head = [F.col(c).alias(("\ufeff" if bom and k == 0 else "") + c) for k, c in enumerate(df.columns)]
+        df.select(*head).write.option("header", True).csv(path)
+    elif kind == "json":
+        df.write.json(path)
+    elif kind == "parquet":
+        df.write.parquet(path)
+    else:
+        raise ValueError(f"{kind} isn't one of csv, json, parquet")
+    return path
