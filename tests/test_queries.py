@@ -65,7 +65,7 @@ def test_point_in_ring(spark):
 
 
 def test_counter_stream(spark, tmp_path):
-    from lexigrid.streaming.counters import count_stream, latest
+    from lexigrid.streaming.counters import compact, count_stream, totals
 
     source, schema = str(tmp_path / "in"), "user string, ts timestamp"
     for minute in (5, 65):
@@ -73,5 +73,7 @@ def test_counter_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     query = count_stream(stream, ["user"], "ts", str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(120)
-    rows = latest(spark, str(tmp_path / "out"), 2).collect()
-    assert sorted((r["unit"], r["n"]) for r in rows) == [("day", 2), ("hour", 1), ("hour", 1)]
+    keys, want = ["user", "unit", "bucket"], [("day", 2), ("hour", 1), ("hour", 1)]
+    assert sorted((r["unit"], r["n"]) for r in totals(spark, str(tmp_path / "out"), keys, ["n"]).collect()) == want
+    compact(spark, str(tmp_path / "out"), str(tmp_path / "all"), 1, keys, ["n"])
+    assert sorted((r["unit"], r["n"]) for r in spark.read.parquet(str(tmp_path / "all")).collect()) == want
