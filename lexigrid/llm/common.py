@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -164,30 +165,54 @@ def lists(flat: np.ndarray | pa.Array, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
+#: The folders that each open scratch() block is to delete.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """At the end of the block, deletes the folders that were named in it and aren't kept. For work whose results are written
+    in the block: nothing that is read later may depend on the deleted folders."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shared_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A new path under spark.checkpoint.dir, which driver and executors share. Where that is unset, a local one in local
-    mode; on a cluster an error, as executors would write to their own disks."""
+    mode; on a cluster an error, as executors would write to their own disks. keep: the innermost scratch() block leaves it to
+    the one around it, if any."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file:///tmp/lexigrid-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    blocks = _scratch[:-1] if keep else _scratch
+    if blocks:
+        blocks[-1].append(path)
+    return path
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = shared_folder(spark, name)
+    path = shared_folder(spark, name, keep)
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
+def numbered(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The written rows with row_key: a different number for each, from its file and its place there, so it stays the same
     however often the rows are read."""
-    rows = written(df, name, maxRecordsPerFile="0")
+    rows = written(df, name, keep, maxRecordsPerFile="0")
     file = F.regexp_extract("_metadata.file_name", r"^part-(\d+)-", 1).cast("long")
     return rows.select(*df.columns, (F.shiftleft(file, 33) + F.col("_metadata.row_index")).alias("row_key"))
 

@@ -690,3 +690,26 @@ def test_query_equals_its_sql(spark, name):
     at = {d[0]: i for i, d in enumerate(cursor.description)}
     assert sorted(at) == columns
     assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == sorted(repr([plain(r[at[c]]) for c in columns]) for r in cursor.fetchall())
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    from lexigrid.llm.common import scratch, written
+
+    one = spark.range(5)
+    with scratch(spark):
+        outer = written(one, "outer")
+        with scratch(spark):
+            gone, stays = written(one, "gone"), written(one, "stays", keep=True)
+        assert stays.count() == outer.count() == 5
+        with pytest.raises(Exception):
+            gone.count()
+    for df in (outer, stays):
+        with pytest.raises(Exception):
+            df.count()
+
+
+def test_pipeline_runs_whole(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    data = "/root/testdata/sf0.001"
+    out = pipeline.run(spark, data)
+    assert out.count() > 0 and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
