@@ -1,7 +1,8 @@
 """A training-corpus pipeline over the documents table; each stage calls one operator of the llm subpackage.
 
 Every stage but the last returns the columns of documents. The mix holds a document once for each epoch that reaches
-it, whole, so a source goes over its budget by less than a document.
+it, whole, so a source goes over its budget by less than a document. What a stage writes and its result doesn't read is
+deleted when its decisions are written; run() deletes a stage's other tables when its result is written.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm import decontaminate, mixing, near_duplicates, queries, tokens, toxicity
-from lexigrid.llm.common import numbered, shared_folder, table, written
+from lexigrid.llm.common import numbered, scratch, shared_folder, table, written
 
 
 def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -29,18 +30,22 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """One row of each near-duplicate class of texts stays, that with the smallest id (null ids last, and of equal ids the
     first written); rows without text stay. Rows are judged by their own text, whatever their ids."""
     rows = numbered(docs, "near-input")
-    found = near_duplicates.classes(rows, id_col="row_key").filter("class_id IS NOT NULL").select(F.col("doc_id").alias("row_key"), "class_id")
-    named = written(found.join(rows.select("row_key", "doc_id"), "row_key"), "classes")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    kept = named.groupBy("class_id").agg(F.min(order).alias("least"), F.count("*").alias("n")).filter("n > 1").select("class_id", F.col("least.row_key").alias("kept"))
-    return _without(rows, written(named.join(kept, "class_id").filter("row_key <> kept").select("row_key"), "rejected"))
+    with scratch(spark):
+        found = near_duplicates.classes(rows, id_col="row_key").filter("class_id IS NOT NULL").select(F.col("doc_id").alias("row_key"), "class_id")
+        named = written(found.join(rows.select("row_key", "doc_id"), "row_key"), "classes")
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+        kept = named.groupBy("class_id").agg(F.min(order).alias("least"), F.count("*").alias("n")).filter("n > 1").select("class_id", F.col("least.row_key").alias("kept"))
+        rejected = written(named.join(kept, "class_id").filter("row_key <> kept").select("row_key"), "rejected", keep=True)
+    return _without(rows, rejected)
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose own text has a window of a benchmark item go."""
     rows = numbered(docs, "seen-input")
-    found = decontaminate.report(decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row_key"))
-    return _without(rows, written(found.filter("contaminated").select(F.col("doc_id").alias("row_key")), "seen"))
+    with scratch(spark):
+        found = decontaminate.report(decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row_key"))
+        seen = written(found.filter("contaminated").select(F.col("doc_id").alias("row_key")), "seen", keep=True)
+    return _without(rows, seen)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +57,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = numbered(docs, "mix-input")
     place = mixing.place(mixing.SEED, "row_key")
-    mix = mixing.mix(rows, tie="row_key").select("source", place.alias("place"), mixing.epochs().alias("copies"))
-    cuts = mix.groupBy("source").agg(F.max(F.struct("copies", "place")).alias("last"))
-    cuts = written(cuts.select(F.col("source").alias("mixed_source"), F.col("last.copies").alias("most"), F.col("last.place").alias("last")), "cuts")
+    with scratch(spark):
+        mix = mixing.mix(rows, tie="row_key").select("source", place.alias("place"), mixing.epochs().alias("copies"))
+        cuts = mix.groupBy("source").agg(F.max(F.struct("copies", "place")).alias("last"))
+        cuts = written(cuts.select(F.col("source").alias("mixed_source"), F.col("last.copies").alias("most"), F.col("last.place").alias("last")), "cuts", keep=True)
     joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("mixed_source")))
     copies = F.when(place <= F.col("last"), F.col("most")).otherwise(F.col("most") - 1)
     repeated = joined.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -83,5 +89,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
