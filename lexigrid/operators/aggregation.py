@@ -251,3 +251,13 @@ def active_time(df: DataFrame, key: str, at: str, idle: int) -> DataFrame:
     """Seconds between a key's consecutive rows, gaps over `idle` seconds left out."""
     gap = (F.unix_micros(F.col(at).cast("timestamp")) - F.lag(F.unix_micros(F.col(at).cast("timestamp"))).over(Window.partitionBy(key).orderBy(at))) / 1e6
     return df.select(key, gap.alias("gap")).groupBy(key).agg(F.round(F.sum(F.when(F.col("gap") <= idle, F.col("gap")).otherwise(0.0)), 3).alias("seconds"), F.count("*").alias("n"))
+
+
+def overview(df: DataFrame, user: str, kind: str, at: str) -> DataFrame:
+    """One row: rows, different users and kinds, first and last time."""
+    return df.agg(F.count("*").alias("n"), F.countDistinct(user).alias("users"), F.countDistinct(kind).alias("types"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
+def items_by_class(rows: DataFrame, classes: DataFrame, on: Column, keys: list[str], item: str) -> DataFrame:
+    """Different items of each combination of keys over rows joined with their classes."""
+    return rows.join(classes, on).groupBy(*keys).agg(F.countDistinct(item).alias("n_parts"))

@@ -70,9 +70,28 @@ def by_pairs(df: DataFrame, pairs: DataFrame, on: list[str]) -> DataFrame:
     return df.join(pairs.select(*on).distinct(), on, "left_semi")
 
 
-def names_to_members(df: DataFrame, wanted: DataFrame, path: str, member: str, separator: str = "-") -> DataFrame:
-    """For each wanted name: members whose whole path equals it, or else those with it as an element of the path."""
-    exact = df.join(wanted, F.col(path) == F.col("name")).select("name", member)
-    rest = wanted.join(exact.select("name").distinct(), "name", "left_anti")
-    parts = df.select(member, F.explode(F.array_distinct(F.split(path, separator))).alias("name"))
-    return exact.unionByName(parts.join(rest, "name").select("name", member)).distinct()
+def equal_count(df: DataFrame, name: str, value: object) -> DataFrame:
+    """Rows whose column equals the value; a None means null."""
+    return df.filter(F.col(name).eqNullSafe(F.lit(value))).agg(F.count("*").alias("n"))
+
+
+def distinct_values(df: DataFrame, name: str) -> DataFrame:
+    """Different values of a column in order, null left out."""
+    return df.select(name).filter(F.col(name).isNotNull()).distinct().orderBy(name)
+
+
+def distinct_words(df: DataFrame, names: list[str]) -> DataFrame:
+    """One row: the number of different trimmed, not empty values of each column."""
+    word = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    return df.agg(*(F.countDistinct(word(c)).alias(c) for c in names))
+
+
+def with_match(df: DataFrame, other: DataFrame, on: Column, columns: list[str]) -> DataFrame:
+    """Rows for which the other table has a match (EXISTS), each once."""
+    return df.join(other, on, "left_semi").select(*columns)
+
+
+def with_many(df: DataFrame, key: str, other: DataFrame, other_key: str, least: int, columns: list[str]) -> DataFrame:
+    """Rows whose key occurs at least so often in the other table."""
+    many = other.groupBy(F.col(other_key).alias(key)).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    return df.join(many, key, "left_semi").select(*columns)

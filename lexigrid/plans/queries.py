@@ -85,7 +85,7 @@ def agg17_level_counts(spark, d):
 
 @query("""SELECT count(*) AS n, count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS types, min(ts) AS first, max(ts) AS last FROM events""")
 def agg18_overview(spark, d):
-    return table(spark, d, "events").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.countDistinct("event_type").alias("types"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return agg.overview(table(spark, d, "events"), "user_id", "event_type", "ts")
 
 
 @query("""SELECT lang, count(*) AS n, round(sum(coalesce((toxic = 1)::INT, 0)) * 100.0::DOUBLE / count(*), 6) AS toxic, round(sum(coalesce((quality = 1)::INT, 0)) * 100.0::DOUBLE / count(*), 6) AS good,
@@ -189,19 +189,18 @@ def join4_zero_filled(spark, d):
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 12)""")
 def join8_having_semi(spark, d):
-    many = table(spark, d, "orders").groupBy("o_custkey").count().filter("count >= 12")
-    return table(spark, d, "customer").join(many, F.expr("c_custkey = o_custkey"), "left_semi").select("c_custkey", "c_name")
+    return sel.with_many(table(spark, d, "customer"), "c_custkey", table(spark, d, "orders"), "o_custkey", 12, ["c_custkey", "c_name"])
 
 
 @query("""SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49 AND l_returnflag = 'R')""")
 def join7_exists(spark, d):
     lines = table(spark, d, "lineitem").filter("l_quantity > 49 AND l_returnflag = 'R'")
-    return table(spark, d, "supplier").join(lines, F.expr("s_suppkey = l_suppkey"), "left_semi").select("s_suppkey", "s_name")
+    return sel.with_match(table(spark, d, "supplier"), lines, F.expr("s_suppkey = l_suppkey"), ["s_suppkey", "s_name"])
 
 
 @query("""SELECT p_brand, l_returnflag, count(DISTINCT l_partkey) AS n_parts FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
 def join1_readings_classes(spark, d):
-    return table(spark, d, "lineitem").join(table(spark, d, "part"), F.expr("l_partkey = p_partkey")).groupBy("p_brand", "l_returnflag").agg(F.countDistinct("l_partkey").alias("n_parts"))
+    return agg.items_by_class(table(spark, d, "lineitem"), table(spark, d, "part"), F.expr("l_partkey = p_partkey"), ["p_brand", "l_returnflag"], "l_partkey")
 
 
 @query("""SELECT dayofweek(ts) AS weekday, hour(ts) AS hour, count(*) AS n FROM events GROUP BY ALL""")

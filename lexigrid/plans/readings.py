@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import text as fn
 from lexigrid.operators import readings as rd
+from lexigrid.operators import selection as sel
 from lexigrid.plans.queries import _READINGS, _readings, query
 from lexigrid.sources.tables import table
 
@@ -78,12 +79,12 @@ def agg48_places(spark, d):
 
 @query("SELECT count(*) AS n FROM labels WHERE toxic IS NOT DISTINCT FROM 1")
 def flt4_equal_count(spark, d):
-    return table(spark, d, "labels").filter(F.col("toxic").eqNullSafe(F.lit(1))).agg(F.count("*").alias("n"))
+    return sel.equal_count(table(spark, d, "labels"), "toxic", 1)
 
 
 @query("SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL")
 def flt6_distinct_values(spark, d):
-    return table(spark, d, "part").select("p_type").filter("p_type IS NOT NULL").distinct()
+    return sel.distinct_values(table(spark, d, "part"), "p_type")
 
 
 @query("""SELECT 0 AS tag, p_partkey FROM part WHERE p_brand = 'Brand#11' AND p_size IN (1, 2, 3, 4) UNION ALL SELECT 1, p_partkey FROM part WHERE p_brand = 'Brand#12' UNION ALL SELECT 2, p_partkey FROM part WHERE p_size = 2""")
@@ -120,7 +121,7 @@ def flt31_prefix_rules(spark, d):
 
 @query("""SELECT count(DISTINCT trim(text)) AS n_words FROM conversations WHERE contains(text, 'a') AND trim(text) <> ''""")
 def flt33_distinct_words(spark, d):
-    return table(spark, d, "conversations").filter(F.contains("text", F.lit("a")) & (F.trim("text") != "")).agg(F.countDistinct(F.trim("text")).alias("n_words"))
+    return sel.distinct_words(table(spark, d, "conversations").filter(F.contains("text", F.lit("a"))), ["text"]).withColumnRenamed("text", "n_words")
 
 
 @query("""WITH m AS (SELECT c_nationkey, round(avg((c_custkey % 90)::DOUBLE), 6) AS mean_x, round(avg((c_custkey % 180)::DOUBLE), 6) AS mean_y FROM customer GROUP BY c_nationkey)

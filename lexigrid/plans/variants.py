@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigrid.operators import aggregation as agg
+from lexigrid.operators import readings as rd
 from lexigrid.operators import selection as sel
 from lexigrid.operators import variants as vr
 from lexigrid.plans.queries import _READINGS, _readings, query
@@ -273,4 +274,4 @@ def src27_json_round_trip(spark, d):
 @query("SELECT s_suppkey, s_name AS detail_name, s_nationkey AS detail_nation FROM supplier")
 def src29_exported_flat(spark, d):
     nested = table(spark, d, "supplier").select("s_suppkey", F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")).alias("detail"))
-    return vr.round_trip(tb.flat(nested), "csv")
+    return vr.round_trip(rd.flattened(nested), "csv")

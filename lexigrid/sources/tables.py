@@ -29,15 +29,6 @@ def changed(df: DataFrame, key: str, updates: DataFrame, deletes: DataFrame) ->
     return df.join(gone, key, "left_anti").unionByName(updates)
 
 
-def flat(df: DataFrame) -> DataFrame:
-    """Struct fields as columns a_b, at any depth."""
-    out = df
-    while nested := [f for f in out.schema.fields if f.dataType.typeName() == "struct"]:
-        names = {f.name for f in nested}
-        out = out.select(*[c for f in out.schema.fields for c in ([F.col(f.name)[g].alias(f"{f.name}_{g}") for g in f.dataType.fieldNames()] if f.name in names else [F.col(f.name)])])
-    return out
-
-
 def table_list(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     """Name, rows and bytes of each table; the bytes are the optimiser's own statistics of the files."""
     sizes = [(n, int(str(table(spark, sf_dir, n)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) for n in names]
