@@ -7,8 +7,7 @@ a class for every other word (by its last three bytes), and the end of a documen
 add-one share of its count in its class, with one unknown type for each class. So each state's emissions sum to
 one over all known words and the classes' unknown types.
 
-Expected counts (emissions, transitions, first states) are made per task, added up by Spark's own sum for each
-number's place, and only the sums, whose size the numbers of symbols and states fix, reach the driver. Training is over
+Expected counts (emissions, transitions, first states) are made per task, added up by Spark's own sums, and only the sums, whose size the numbers of symbols and states fix, reach the driver. Training is over
 whole documents: pieces of PIECE tokens are worked on side by side, and the products of the pieces' step matrices carry
 the forward and backward vectors exactly from piece to piece. Scoring runs the scaled forward recursion over whole
 documents, so the likelihood is exact.
@@ -32,6 +31,8 @@ from lexigrid.llm.common import NONSPACE, find_words, id_remainder, slices, writ
 
 BLOCK_WORDS = 1_500_000
 PIECE = 128
+#: Pieces that are worked on side by side.
+LANES = 1024
 N_CLASSES = 1024
 
 
@@ -137,8 +138,8 @@ def _products(model: Model, symbols: np.ndarray, starts: np.ndarray, sizes: np.n
     states = len(model.first)
     out = np.empty((len(starts), states, states))
     order = np.argsort(-sizes, kind="stable")
-    for lo in range(0, len(order), 2048):
-        at = order[lo : lo + 2048]
+    for lo in range(0, len(order), LANES):
+        at = order[lo : lo + LANES]
         s, below = starts[at], -sizes[at]
         a = np.where(opening[at][:, None, None], np.eye(states), model.steps) * model.emit[symbols[s]][:, None, :]
         for t in range(1, int(-below[0])):
@@ -185,8 +186,8 @@ def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> t
         products = _products(model, symbols, starts[cut], sizes[cut], opening[cut])
         entry[cut], leave[cut] = _carried(model, products, np.cumsum(many) - many, many)
     order = np.argsort(-sizes, kind="stable")
-    for lo in range(0, len(order), 2048):
-        at = order[lo : lo + 2048]
+    for lo in range(0, len(order), LANES):
+        at = order[lo : lo + LANES]
         s, n, o, came, goes = starts[at], sizes[at], opening[at], entry[at], leave[at]
         depth = int(n[0])
         active = [int(np.searchsorted(-n, -t, "left")) for t in range(depth + 1)]
@@ -221,9 +222,12 @@ def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> t
 
 
 def _task_sums(blocks: DataFrame, model: Model) -> DataFrame:
-    """The expected counts of each task's blocks: place (of the number, of all of them one after another) and value.
-    blocks: a written table, so a task that runs again, after a lost executor, gives the same rows."""
+    """The expected counts of each task's blocks: row (a symbol's emissions, then a state's transitions, the first states, the
+    log likelihood, and the tokens) and a column for each state; rows of zeros are left out. blocks: a written table, so
+    a task that runs again, after a lost executor, gives the same rows."""
     shared = blocks.sparkSession.sparkContext.broadcast(model)
+    states = len(model.first)
+    columns = [f"s{k}" for k in range(states)]
 
     def count(batches):
         model = shared.value
@@ -232,24 +236,23 @@ def _task_sums(blocks: DataFrame, model: Model) -> DataFrame:
             for row in range(batch.num_rows):
                 learns = ~_values(batch, "held", row).astype(bool)
                 if learns.any():
-                    new = expected_counts(model, *_sequences(model, batch, row, learns))
-                    sums = new if sums is None else tuple(a + b for a, b in zip(sums, new))
+                    emissions, transitions, first, total = expected_counts(model, *_sequences(model, batch, row, learns))
+                    new = np.concatenate([emissions, transitions, first[None], np.repeat(total[:, None], states, axis=1)])
+                    sums = new if sums is None else sums + new
         if sums is not None:
-            flat = np.concatenate([x.ravel() for x in sums])
-            for places in np.array_split(np.flatnonzero(flat), len(flat) // 20_000 + 1):
-                yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(flat[places])], ["place", "value"])
+            some = np.flatnonzero(sums.any(axis=1))
+            for rows in np.array_split(some, len(some) // 10_000 + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(sums[rows, k]) for k in range(states))], ["row", *columns])
 
-    return blocks.select("held", "counts", "types", "classes", "codes").mapInArrow(count, "place bigint, value double")
+    return blocks.select("held", "counts", "types", "classes", "codes").mapInArrow(count, "row bigint, " + ", ".join(f"{c} double" for c in columns))
 
 
 def _e_step(blocks: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    states, symbols = model.emit.shape[1], len(model.emit)
-    shape = [(symbols, states), (states, states), (states,), (2,)]
-    cuts = np.cumsum([int(np.prod(s)) for s in shape])
-    sums = _task_sums(blocks, model).groupBy("place").agg(F.sum("value").alias("value")).toArrow()
-    flat = np.zeros(cuts[-1])
-    flat[sums.column("place").to_numpy()] = sums.column("value").to_numpy()
-    return tuple(x.reshape(s) for x, s in zip(np.split(flat, cuts[:-1]), shape))
+    symbols, states = model.emit.shape
+    sums = _task_sums(blocks, model).groupBy("row").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states))).toArrow()
+    flat = np.zeros((symbols + states + 3, states))
+    flat[sums.column("row").to_numpy()] = np.stack([sums.column(f"s{k}").to_numpy() for k in range(states)], axis=1)
+    return flat[:symbols], flat[symbols:-3], flat[-3], flat[-2:, 0]
 
 
 def train(blocks: DataFrame, words: DataFrame, n_states: int = 6, n_symbols: int = 16384, rounds: int = 4, seed: int = 7) -> tuple[Model, list[float]]:
@@ -350,7 +353,9 @@ def score(blocks: DataFrame, words: DataFrame, model: Model) -> DataFrame:
             return pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
         return pa.concat_tables(out)
 
-    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score_block, SCORED)
+    # About a block a task, as a task sorts what it reads of both sides before the first block.
+    parts = max(1, min(blocks.count(), 100_000))
+    return blocks.repartition(parts, "block").groupBy("block").cogroup(known.repartition(parts, "block").groupBy("block")).applyInArrow(score_block, SCORED)
 
 
 def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, **options) -> DataFrame:
