@@ -206,14 +206,18 @@ def classes(
     usable = rows_of.filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
     signed = written(signatures(usable, size, bands, rows), "signatures")
     # A node's first: the smallest id of its rows, and with mark a row that stands for it.
-    firsts = signed.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("f")).select("key", F.col("f.doc_id").alias("first"), F.col("f.mark").alias("first_mark"))
+    firsts = signed.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("f"), F.count("*").alias("n")).select("key", F.col("f.doc_id").alias("first"), F.col("f.mark").alias("first_mark"), "n")
     nodes = numbered(firsts.sortWithinPartitions("first", "key"), "nodes").withColumnRenamed("row_key", "node")
+    # Texts with very many copies are dealt over several tasks, wherever all rows meet their nodes.
+    copied = written(hot_salts(nodes, "key", "n")[0], "copied")
+    nodes = nodes.drop("n")
+    by_key = lambda left, right: salted_join(left, right, copied, "key", F.col("doc_id"))
     # A document that has several texts is one: all its nodes are linked to the smallest of them.
-    copies = signed.select("doc_id", "key").join(nodes, "key").select("doc_id", "node")
+    copies = by_key(signed.select("doc_id", "key"), nodes.select("key", "node")).select("doc_id", "node")
     several = copies.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("doc_id", "b")
     again = written(copies.join(several, "doc_id").filter("node > b").select(F.col("node").alias("a"), "b").distinct(), "again")
     stands = (F.col("doc_id") == F.col("first")) & (F.col("mark") == F.col("first_mark"))
-    unique = signed.join(nodes, "key").filter(stands).select("node", F.explode("buckets").alias("bucket"))
+    unique = by_key(signed.select("doc_id", "mark", "key", "buckets"), nodes).filter(stands).select("node", F.explode("buckets").alias("bucket"))
     buckets = written(unique, "buckets")
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other"), F.count("*").alias("n")).filter("centre < other")
     shared = written(shared.select("bucket", "centre", "n"), "shared")
@@ -240,9 +244,10 @@ def classes(
     every = every.unionByName(written(_in_tiles(mixed, marked, hot, lambda rows: _tile_links(rows, least, size, threshold)).distinct(), "verified"))
     labels = components(every.unionByName(again))
     named = written(nodes.join(labels, "node", "left").select("key", "first", F.coalesce("label", "node").alias("label")), "named")
-    smallest = named.groupBy("label").agg(F.min("first").alias("class_id"))
-    named = named.join(smallest, "label").select("key", "class_id")
-    out = signed.select("doc_id", "key").join(named, "key").select("doc_id", "class_id")
+    smallest = written(named.groupBy("label").agg(F.min("first").alias("class_id"), F.count("*").alias("n")), "smallest")
+    large = hot_salts(smallest, "label", "n")[0]
+    named = salted_join(named, smallest.select("label", "class_id"), large, "label", F.col("key")).select("key", "class_id")
+    out = by_key(signed.select("doc_id", "key"), named).select("doc_id", "class_id")
     rest = rows_of.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(rest)
 
