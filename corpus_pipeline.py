@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm import decontaminate, mixing, near_duplicates, queries, tokens, toxicity
-from lexigrid.llm.common import numbered, scratch, shared_folder, table, written
+from lexigrid.llm.common import hot_salts, numbered, salted_join, scratch, shared_folder, table, written
 
 
 def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -34,8 +34,10 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
         found = near_duplicates.classes(rows, id_col="row_key").filter("class_id IS NOT NULL").select(F.col("doc_id").alias("row_key"), "class_id")
         named = written(found.join(rows.select("row_key", "doc_id"), "row_key"), "classes")
         order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-        kept = named.groupBy("class_id").agg(F.min(order).alias("least"), F.count("*").alias("n")).filter("n > 1").select("class_id", F.col("least.row_key").alias("kept"))
-        rejected = written(named.join(kept, "class_id").filter("row_key <> kept").select("row_key"), "rejected", keep=True)
+        kept = written(named.groupBy("class_id").agg(F.min(order).alias("least"), F.count("*").alias("n")).filter("n > 1").select("class_id", F.col("least.row_key").alias("kept"), "n"), "kept")
+        large, _ = hot_salts(kept, "class_id", "n")
+        copies = salted_join(named.select("class_id", "row_key"), kept.drop("n"), large, "class_id", F.col("row_key"))
+        rejected = written(copies.filter("row_key <> kept").select("row_key"), "rejected", keep=True)
     return _without(rows, rejected)
 
 
