@@ -2,35 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_running(df: DataFrame, value: str, n: str, descending: bool = False, parts: int = 64) -> DataFrame:
-    """df has a row for each value; adds before, the sum of n over smaller (or larger) values, and beside, the next value
-    on that side. Values are cut into ranges at approximate percentiles, so no task orders more than a range; the
-    table of ranges has at most parts + 1 rows."""
-    found = df.select(F.percentile_approx(value, F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(10_000))).first()[0]
-    cuts = sorted(set(found or []))
-    spot = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
+def with_running(df: DataFrame, value: str, n: str, descending: bool = False, parts: int = 64, group: str | None = None) -> DataFrame:
+    """df has a row for each value (of each group, whose number is small); adds before, the sum of n over smaller (or larger)
+    values, and beside, the next value on that side. Values are cut into ranges at approximate percentiles, so no task
+    orders more than a range; the table of ranges has at most parts + 1 rows a group."""
+    keyed = df.withColumn("_group", F.col(group) if group else F.lit(0))
+    found = keyed.groupBy("_group").agg(F.percentile_approx(value, F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(10_000))).collect()
+    spot = F.lit(0)
+    for name, values in found:
+        cuts = F.array(*map(F.lit, sorted(set(values or []))))
+        spot = F.when(F.col("_group").eqNullSafe(F.lit(name)), F.size(F.filter(cuts, lambda c: c < F.col(value)))).otherwise(spot) if values else spot
     along = lambda c: F.desc(c) if descending else F.asc(c)
     ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_range", spot)
-    inside = ahead.partitionBy("_range").orderBy(along(value))
-    rows = rows.withColumns({"_in": F.coalesce(F.sum(n).over(inside), F.lit(0)), "_next": F.lag(value).over(Window.partitionBy("_range").orderBy(along(value)))})
-    ranges = rows.groupBy("_range").agg(F.sum(n).alias("_n"), (F.min if descending else F.max)(value).alias("_end"))
-    ranges = ranges.select("_range", F.coalesce(F.sum("_n").over(ahead.orderBy(along("_range"))), F.lit(0)).alias("_base"), F.lag("_end").over(Window.orderBy(along("_range"))).alias("_edge"))
-    joined = rows.join(F.broadcast(ranges), "_range")
+    inside = Window.partitionBy("_group", "_range").orderBy(along(value))
+    rows = keyed.withColumn("_range", spot).withColumns({"_in": F.coalesce(F.sum(n).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_next": F.lag(value).over(inside)})
+    ranges = rows.groupBy("_group", "_range").agg(F.sum(n).alias("_n"), (F.min if descending else F.max)(value).alias("_end"))
+    order = Window.partitionBy("_group").orderBy(along("_range"))
+    ranges = ranges.select("_group", "_range", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lag("_end").over(order).alias("_edge"))
+    joined = rows.join(F.broadcast(ranges), ["_group", "_range"])
     return joined.select(*df.columns, (F.col("_base") + F.col("_in")).alias("before"), F.coalesce("_next", "_edge").alias("beside"))
 
 
 def feature_values(df: DataFrame, keys: list[str], features: list[str], item: str) -> DataFrame:
-    """Distinct items per key, feature and value, in one scan and one shuffle of the rows: an item's values of each feature
-    are put together first, so no distinct count follows."""
-    each = df.filter(F.col(item).isNotNull()).groupBy(*keys, item).agg(*(F.collect_set(F.col(f).cast("string")).alias(f"_{f}") for f in features))
-    named = lambda f: F.transform(f"_{f}", lambda v: F.struct(F.lit(f).alias("feature"), v.alias("value")))
-    values = F.concat(*map(named, features))
-    return each.select(*keys, F.inline(values)).groupBy(*keys, "feature", "value").agg(F.count("*").alias("n_items"))
+    """Distinct items per key, feature and value. Each feature reads its own columns and shuffles its distinct rows once;
+    the rows aren't multiplied by the features."""
+    parts = []
+    for f in features:
+        rows = df.select(*keys, item, f).filter(F.col(f).isNotNull() & F.col(item).isNotNull()).distinct()
+        parts.append(rows.groupBy(*keys, F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")).agg(F.count("*").alias("n_items")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def roll_up(counts: DataFrame, key: str) -> DataFrame:
@@ -178,11 +184,13 @@ def rfm(df: DataFrame, user: str, at: str, value: str) -> DataFrame:
     last = df.agg(F.max(F.to_date(at)).alias("last"))
     users = df.groupBy(user).agg(F.max(F.to_date(at)).alias("latest"), F.count("*").alias("frequency"), F.round(F.sum(value), 6).alias("monetary"))
     users = users.crossJoin(F.broadcast(last)).select(user, F.date_diff("last", "latest").cast("long").alias("recency"), "frequency", "monetary")
-    everyone = users.agg(F.count("*").alias("n_users"))
-    scored = users
-    for c in ("recency", "frequency", "monetary"):
-        spread = with_running(users.groupBy(c).agg(F.count("*").alias("n")), c, "n").crossJoin(F.broadcast(everyone))
-        scored = scored.crossJoin(F.broadcast(spread.agg(*(F.min(F.when((F.col("before") + F.col("n")) * 5 >= x * F.col("n_users"), F.col(c))).alias(f"{c}{x}") for x in range(1, 5)))))
+    measures = ("recency", "frequency", "monetary")
+    long = users.select(*(F.col(c).cast("double").alias(c) for c in measures)).unpivot([], list(measures), "name", "value").filter("value IS NOT NULL")
+    spread = with_running(long.groupBy("name", "value").agg(F.count("*").alias("n")), "value", "n", group="name")
+    sizes = long.groupBy("name").agg(F.count("*").alias("n_users"))
+    reached = (F.col("before") + F.col("n")) * 5
+    cuts = spread.join(F.broadcast(sizes), "name").agg(*(F.min(F.when((F.col("name") == c) & (reached >= x * F.col("n_users")), F.col("value"))).alias(f"{c}{x}") for c in measures for x in range(1, 5)))
+    scored = users.crossJoin(F.broadcast(cuts))
     rise = lambda c: sum((F.col(c) > F.col(f"{c}{x}")).cast("int") for x in range(1, 5)) + 1
     scored = scored.select(user, "recency", "frequency", "monetary", (6 - rise("recency")).alias("r"), rise("frequency").alias("f"), rise("monetary").alias("m"))
     segment = F.when((F.col("r") >= 4) & (F.col("f") >= 4), "champion").when(F.col("f") >= 4, "loyal").when(F.col("r") >= 4, "recent").when((F.col("r") <= 2) & (F.col("f") <= 2), "lost").when(F.col("r") <= 2, "at risk").otherwise("middle")

@@ -23,13 +23,16 @@ def bounded(df: DataFrame, most: int = MOST_KEYS) -> DataFrame:
     return df
 
 
-def key_pairs(sets: DataFrame, key: str, values: str) -> DataFrame:
-    """Every pair of keys (a < b) with their sets compared and their Jaccard index, of at most MOST_KEYS keys."""
-    sets = bounded(sets)
-    left, right = sets.select(F.col(key).alias("a"), F.col(values).alias("x")), sets.select(F.col(key).alias("b"), F.col(values).alias("y"))
-    pairs = left.join(right, F.col("a") < F.col("b"))
-    both, either = F.size(F.array_intersect("x", "y")), F.size(F.array_union("x", "y"))
-    return pairs.select("a", "b", compare_sets(F.col("x"), F.col("y")).alias("relation"), F.round(both / F.when(either > 0, either), 6).alias("jaccard"))
+def key_pairs(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """Every pair of keys (a < b), of at most MOST_KEYS, with their sets of items compared (same, partial, diff) and their
+    Jaccard index. Shared items are counted by an equi-join on items with partial sums, so no set is put together."""
+    pairs = rows.select(F.col(key).alias("a"), F.col(item).alias("item")).filter("a IS NOT NULL AND item IS NOT NULL").distinct()
+    sizes = bounded(pairs.groupBy("a").agg(F.count("*").alias("na")))
+    both = pairs.join(pairs.withColumnRenamed("a", "b"), "item").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    every = sizes.join(sizes.select(F.col("a").alias("b"), F.col("na").alias("nb")), F.col("a") < F.col("b"))
+    n = F.coalesce("n", F.lit(0))
+    relation = F.when((n == F.col("na")) & (n == F.col("nb")), "same").when(n > 0, "partial").otherwise("diff")
+    return every.join(both, ["a", "b"], "left").select("a", "b", relation.alias("relation"), F.round(n / (F.col("na") + F.col("nb") - n), 6).alias("jaccard"))
 
 
 def tree_paths(df: DataFrame, levels: list[str], blank: str = "(空)") -> DataFrame:

@@ -315,7 +315,7 @@ _SETS = "(SELECT s_nationkey AS k, list(DISTINCT l_partkey) AS v FROM lineitem J
   round(len(list_intersect(x.v, y.v)) / len(list_distinct(list_concat(x.v, y.v))), 6) AS jaccard FROM s x JOIN s y ON x.k < y.k""")
 def set6_key_pairs(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.expr("l_suppkey = s_suppkey"))
-    return st.key_pairs(rows.groupBy("s_nationkey").agg(F.collect_set("l_partkey").alias("v")), "s_nationkey", "v")
+    return st.key_pairs(rows, "s_nationkey", "l_partkey")
 
 
 @query("""WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY label, i), v AS (SELECT label, list(mean ORDER BY i) AS v FROM m GROUP BY label)
