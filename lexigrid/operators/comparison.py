@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrid.operators.structures import bounded
+
 
 def ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """Runs of n characters of each text, white space left out, one row for each occurrence."""
@@ -122,6 +124,7 @@ def same_pair_distance(df: DataFrame, key: str, item: str, token: str) -> DataFr
     """Of two keys (a < b): 1 - pairs of shared items whose tokens agree under both keys / pairs that agree under either.
 
     Pairs of items are counted as n(n-1)/2 of each token's items and never made."""
+    bounded(df.select(key).distinct())
     one = df.groupBy(key, item).agg(F.min(F.col(token).cast("string")).alias("t"))
     left, right = one.select(F.col(key).alias("a"), item, F.col("t").alias("x")), one.select(F.col(key).alias("b"), item, F.col("t").alias("y"))
     cells = left.join(right, item).filter("a < b").groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
@@ -134,6 +137,7 @@ def same_pair_distance(df: DataFrame, key: str, item: str, token: str) -> DataFr
 
 def region_jaccard(df: DataFrame, region: str, token: str) -> DataFrame:
     """Jaccard index of the token sets of regions (a < b) that share a token, by an equi-join on tokens."""
+    bounded(df.select(region).distinct())
     pairs = df.select(region, token).filter(F.col(token).isNotNull()).distinct()
     sizes = pairs.groupBy(region).agg(F.count("*").alias("n"))
     both = pairs.select(F.col(region).alias("a"), token).join(pairs.select(F.col(region).alias("b"), token), token).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_both"))

@@ -72,6 +72,7 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
 def alignment(df: DataFrame, key: str, item: str, token: str) -> DataFrame:
     """For each pair of keys, token x of the first and y of the second on the items they share: the number of items
     for each (x, y). Items meet by an equi-join, so pairs are made per item and not of all rows."""
+    bounded(df.select(key).distinct())
     one = df.groupBy(key, item).agg(F.array_join(F.array_sort(F.collect_set(F.col(token).cast("string"))), "|").alias("token"))
     left = one.select(F.col(key).alias("a"), item, F.col("token").alias("x"))
     right = one.select(F.col(key).alias("b"), item, F.col("token").alias("y"))

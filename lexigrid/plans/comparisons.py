@@ -171,18 +171,18 @@ def join21_merged_lists(spark, d):
     return cmp.merged_lists(table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), "n_name"), [customers, suppliers], "key", "v")
 
 
-@query("""SELECT least(l_partkey % 50, l_suppkey % 50) AS low, greatest(l_partkey % 50, l_suppkey % 50) AS high, count(*) AS n FROM lineitem GROUP BY ALL""")
+@query("""SELECT least(l_partkey, l_suppkey) AS low, greatest(l_partkey, l_suppkey) AS high, count(*) AS n FROM lineitem GROUP BY ALL""")
 def join16_undirected(spark, d):
-    edges = table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50).alias("b"))
+    edges = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
     return cmp.undirected(edges, "a", "b")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 100 AS t FROM lineitem WHERE l_partkey IS NOT NULL), c AS (SELECT t, count(*) AS n FROM p GROUP BY t),
- b AS (SELECT x.t AS a, y.t AS b, count(*) AS n_both FROM p x JOIN p y ON x.o = y.o AND x.t < y.t GROUP BY ALL HAVING count(*) >= 3),
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS t FROM lineitem WHERE l_partkey IS NOT NULL), c AS (SELECT t, count(*) AS n FROM p GROUP BY t),
+ b AS (SELECT x.t AS a, y.t AS b, count(*) AS n_both FROM p x JOIN p y ON x.o = y.o AND x.t < y.t GROUP BY ALL HAVING count(*) >= 2),
  s AS (SELECT b.a, b.b, n_both, round(ln(n_both::DOUBLE * (SELECT count(DISTINCT o) FROM p) / (ca.n::DOUBLE * cb.n)), 6) AS pmi FROM b JOIN c ca ON ca.t = b.a JOIN c cb ON cb.t = b.b)
 SELECT * FROM s WHERE pmi > 0""")
 def adv6_positive_pmi(spark, d):
-    return cmp.positive_pmi(table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 100).alias("token")), "l_orderkey", "token", 3)
+    return cmp.positive_pmi(table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("token")), "l_orderkey", "token", 2)
 
 
 @query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS k, greatest(floor(count(*) OVER (PARTITION BY source) * 0.1::DOUBLE), 1) AS most FROM documents) WHERE k <= most""")
