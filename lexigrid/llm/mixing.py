@@ -9,8 +9,9 @@ Targets: `share` of all words, split by weight; a source stops at `most` times i
 shared again by weight among the others. Sources in code-point order, null last, weigh 5, 2, 1, repeating.
 
 Nulls: a null text has size 0; a null id hashes as an empty text. Equal ids are ordered by size; rows that agree in
-both are interchangeable. An empty table gives an empty mix. Other columns are ignored. The list of sources, a row
-each, is ordered in one task.
+both are interchangeable, so they are counted before anything is ordered, and come out of their count again: very many rows
+without id, or of one id, are few rows in any window. An empty table gives an empty mix. Other columns are ignored. The
+list of sources, a row each, is ordered in one task.
 """
 
 from __future__ import annotations
@@ -67,12 +68,14 @@ def with_positions(sizes: DataFrame, seed: str, tie: str | None = None) -> DataF
     rows = sizes.count()
     while rows > room:
         levels, room = levels + 1, room * 256
-    keyed = sizes.withColumn("key", hash_key(seed, tie))
+    # Without a tie, a row stands for all rows that agree in source, id and size.
+    alike = sizes.withColumn("n", F.lit(1).cast("long")) if tie else sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n"))
+    keyed = alike.withColumn("key", hash_key(seed, tie)).withColumn("words", F.col("n") * F.col("size"))
     for d in range(levels + 1):
         keyed = keyed.withColumn(f"r{d}", F.substring("key", 1, 2 * d))
     ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
     sum_ahead = lambda column, window: F.coalesce(F.sum(column).over(window), F.lit(0))
-    ranges = keyed.groupBy("source", *(f"r{d}" for d in range(levels + 1))).agg(F.sum("size").alias("words"))
+    ranges = keyed.groupBy("source", *(f"r{d}" for d in range(levels + 1))).agg(F.sum("words").alias("words"))
     bases = None
     for d in range(1, levels + 1):
         here = ranges.groupBy("source", *(f"r{k}" for k in range(d + 1))).agg(F.sum("words").alias("words"))
@@ -84,9 +87,16 @@ def with_positions(sizes: DataFrame, seed: str, tie: str | None = None) -> DataF
         bases = inside
     bases = bases.select(F.col("source").alias("source_of"), F.col(f"r{levels}").alias("range"), "base")
     own = ahead.partitionBy("source", f"r{levels}").orderBy(*(["key", tie] if tie else ["key", "doc_id", "size"]))
-    placed = keyed.withColumn("inside", sum_ahead("size", own))
+    placed = keyed.withColumn("inside", sum_ahead("words", own))
     joined = placed.join(bases, F.col("source").eqNullSafe(F.col("source_of")) & (F.col(f"r{levels}") == F.col("range")))
-    return joined.withColumn("before", F.col("base") + F.col("inside")).select(*sizes.columns, "before")
+    if tie:
+        return joined.withColumn("before", F.col("base") + F.col("inside")).select(*sizes.columns, "before")
+    # Numbered by ten thousands, so no list is long.
+    part = F.lit(10_000).cast("long")
+    parts = joined.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div 10000"))))
+    first = F.col("part") * part
+    copies = parts.withColumn("copy", F.explode(F.sequence(first, first + F.least(part, F.col("n") - first) - 1)))
+    return copies.withColumn("before", F.col("base") + F.col("inside") + F.col("copy") * F.col("size")).select(*sizes.columns, "before")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: str = SEED, tie: str | None = None) -> DataFrame:

@@ -622,6 +622,24 @@ def test_mix_of_repeated_and_null_ids_stays_in_its_budget(spark):
     assert set(copies) <= set(rows)
 
 
+def test_mix_of_very_many_alike_rows(spark):
+    """A third of all rows without id, and repeated ids of several sizes, against a sequential version."""
+    rows = [(None, "x " * 3, "a")] * 20_600 + [(k % 40, "y " * (1 + k % 5), "ab"[k % 2]) for k in range(900)] + [(k, None, None) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = mixing.mix(docs).collect()
+    sizes = collections.defaultdict(list)
+    for i, t, source in rows:
+        sizes[source].append((hashlib.md5(f"{mixing.SEED}{'' if i is None else i}".encode()).hexdigest(), -1 if i is None else i, len((t or "").split())))
+    want = collections.Counter()
+    goal = {r.source: (int(r.target), r.source_size) for r in got}
+    for source, listed in sizes.items():
+        before = 0
+        for _, i, size in sorted(listed):
+            want[source, i, size, sum(max(0, min(size, goal[source][0] - e * goal[source][1] - before)) for e in range(2))] += 1
+            before += size
+    assert collections.Counter((r.source, -1 if r.doc_id is None else r.doc_id, r.size, r.taken) for r in got) == want
+
+
 def test_tasks_that_run_again_give_the_same_sums(docs):
     blocks = hmm.encode_blocks(docs.selectExpr("doc_id", "false AS held_out", "text"))
     model = hmm.train(blocks, hmm.vocabulary(blocks), n_states=2, n_symbols=16, rounds=0)[0]
