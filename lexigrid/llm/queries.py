@@ -72,12 +72,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(translate({}, '" + _UPPER + "', '" + _LOWER + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE = {
-    "op1_line_dedup": rf"""
+    "op1_line_dedup": r"""
 WITH cut AS (
   SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1), '')) AS host,
          list_filter(list_transform(regexp_split_to_array(
-           regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.UNSEEN}', chr(10), 'g'),
-             '{line_dedup.BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g'), '[\n\r]+'),
+           regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)>', chr(10), 'g'),
+             '(?i)<(/?(p|div|li|ul|ol|nav|article|section|header|footer|h[1-6]|table|tr|td|th|title|head|body|html|blockquote|pre|form|main|aside)|br)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '[\n\r]+'),
            lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: x <> '') AS lines
   FROM pages),
 totals AS (SELECT host, count(*) AS pages FROM cut GROUP BY host),
