@@ -45,15 +45,20 @@ def roll_up(counts: DataFrame, key: str) -> DataFrame:
 
 
 def feature_statistics(df: DataFrame, key: str, feature: str, item: str, mark: str) -> DataFrame:
-    """Items of a feature value: number, share of the key's items (4 places), and how many are marked 2, 3, both."""
-    each = df.groupBy(key, feature, item).agg(F.max((F.col(mark) == 2).cast("int")).alias("m2"), F.max((F.col(mark) == 3).cast("int")).alias("m3"))
-    cells = each.groupBy(key, feature).agg(
-        F.count("*").alias("n_items"), F.sum(F.coalesce("m2", F.lit(0))).alias("n_second"), F.sum(F.coalesce("m3", F.lit(0))).alias("n_third"), F.sum(F.coalesce(F.col("m2") * F.col("m3"), F.lit(0))).alias("n_both")
-    )
+    """Items of a feature value: number, share of the key's items (4 places), and how many have a mark from 1 to 3, have
+    mark 2, have mark 3, have both."""
+    has = lambda test, name: F.max(F.coalesce(test, F.lit(False)).cast("int")).alias(name)
+    each = df.groupBy(key, feature, item).agg(has(F.col(mark).between(1, 3), "m"), has(F.col(mark) == 2, "m2"), has(F.col(mark) == 3, "m3"))
+    cells = each.groupBy(key, feature).agg(F.count("*").alias("n_items"), F.sum("m").alias("n_several"), F.sum("m2").alias("n_second"), F.sum("m3").alias("n_third"), F.sum(F.col("m2") * F.col("m3")).alias("n_both"))
     totals = each.select(key, item).distinct().groupBy(key).agg(F.count(item).alias("n_all"))
     return cells.join(totals, key).withColumn("ratio", F.round(F.col("n_items") / F.col("n_all"), 4))
 
 
+def contingency_long(df: DataFrame, by: list[str], item: str) -> DataFrame:
+    """Each cell's distinct items, a row for each: for cells of any size."""
+    return df.select(*by, item).filter(F.col(item).isNotNull()).distinct()
+
+
 def contingency(df: DataFrame, by: list[str], item: str) -> DataFrame:
     """Sorted distinct items of each cell, comma-joined, and their number."""
     cells = df.groupBy(*by).agg(F.array_sort(F.collect_set(F.col(item).cast("string"))).alias("items"))

@@ -52,6 +52,15 @@ def cross_table(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.cast("string")), "").alias("items"), F.count("*").alias("n"))
 
 
+def cross_marks(rows: DataFrame, keys: list[str], item: str, mark: str) -> DataFrame:
+    """Of each cell the different items with a mark from 1 to 3 (several), with mark 2, with mark 3 and with both, each in
+    order and one after another; empty where there are none."""
+    has = lambda test: F.max(F.coalesce(test, F.lit(False)).cast("int"))
+    each = rows.groupBy(*keys, item).agg(has(F.col(mark).between(1, 3)).alias("a"), has(F.col(mark) == 2).alias("b"), has(F.col(mark) == 3).alias("c"))
+    listed = lambda test, name: F.array_join(F.array_sort(F.collect_list(F.when(test, F.col(item).cast("string")))), "").alias(name)
+    return each.groupBy(*keys).agg(listed(F.col("a") == 1, "several"), listed(F.col("b") == 1, "second"), listed(F.col("c") == 1, "third"), listed((F.col("b") == 1) & (F.col("c") == 1), "both"))
+
+
 def from_lower_level(cells: DataFrame, region: str, token: str, f: str) -> DataFrame:
     """A level's frequencies from the level below, with percent of the region and rank (ties by token)."""
     sums = cells.groupBy(region, token).agg(F.sum(f).alias(f))

@@ -49,13 +49,13 @@ def agg2_roll_up(spark, d):
     return agg.roll_up(agg1_feature_values(spark, d), "l_returnflag")
 
 
-@query(f"""WITH e AS (SELECT user_id, event_type, k % 20 AS item, k % 4 AS mark FROM {_READINGS}),
- each AS (SELECT user_id, event_type, item, max((mark = 2)::INT) AS m2, max((mark = 3)::INT) AS m3 FROM e GROUP BY ALL),
+@query(f"""WITH e AS (SELECT user_id, event_type, k % 20 AS item, k % 6 AS mark FROM {_READINGS}),
+ each AS (SELECT user_id, event_type, item, max((mark BETWEEN 1 AND 3)::INT) AS m, max((mark = 2)::INT) AS m2, max((mark = 3)::INT) AS m3 FROM e GROUP BY ALL),
  n AS (SELECT user_id, count(DISTINCT item) AS n_all FROM e GROUP BY user_id)
-SELECT user_id, event_type, count(*) AS n_items, sum(coalesce(m2, 0))::BIGINT AS n_second, sum(coalesce(m3, 0))::BIGINT AS n_third, sum(coalesce(m2 * m3, 0))::BIGINT AS n_both,
+SELECT user_id, event_type, count(*) AS n_items, sum(coalesce(m, 0))::BIGINT AS n_several, sum(coalesce(m2, 0))::BIGINT AS n_second, sum(coalesce(m3, 0))::BIGINT AS n_third, sum(coalesce(m2 * m3, 0))::BIGINT AS n_both,
   any_value(n_all) AS n_all, round(count(*) / any_value(n_all), 4) AS ratio FROM each JOIN n USING (user_id) GROUP BY user_id, event_type""")
 def agg3_feature_statistics(spark, d):
-    rows = _readings(spark, d).select("user_id", "event_type", (F.col("k") % 20).alias("item"), (F.col("k") % 4).alias("mark"))
+    rows = _readings(spark, d).select("user_id", "event_type", (F.col("k") % 20).alias("item"), (F.col("k") % 6).alias("mark"))
     return agg.feature_statistics(rows, "user_id", "event_type", "item", "mark")
 
 

@@ -57,6 +57,20 @@ def agg6_cross_table(spark, d):
     return vr.cross_table(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], "l_suppkey")
 
 
+_ITEM = lambda test: f"coalesce(string_agg(k::VARCHAR, '' ORDER BY k::VARCHAR) FILTER ({test}), '')"
+
+
+@query(f"""WITH i AS (SELECT user_id, event_type, k, bool_or(event_id % 5 BETWEEN 1 AND 3) AS a, bool_or(event_id % 5 = 2) AS b, bool_or(event_id % 5 = 3) AS c FROM {_READINGS} GROUP BY ALL)
+SELECT user_id, event_type, {_ITEM("a")} AS several, {_ITEM("b")} AS second, {_ITEM("c")} AS third, {_ITEM("b AND c")} AS both FROM i GROUP BY ALL""")
+def agg6_cross_marks(spark, d):
+    return vr.cross_marks(_readings(spark, d).withColumn("mark", F.col("event_id") % 5), ["user_id", "event_type"], "k", "mark")
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber, l_suppkey FROM lineitem")
+def agg7_contingency_long(spark, d):
+    return agg.contingency_long(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], "l_suppkey")
+
+
 @query("""WITH p AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT p_type, sum(n) AS f FROM p GROUP BY p_type)
 SELECT p.p_type, p_brand, n, round(n * 100.0::DOUBLE / f, 6) AS share_second, round(f * 100.0::DOUBLE / (SELECT sum(f) FROM t), 6) AS share_first FROM p JOIN t USING (p_type)""")
 def agg9_shares_by_class(spark, d):

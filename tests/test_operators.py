@@ -209,3 +209,44 @@ def test_network_goes_to_the_heaviest_neighbours(spark):
     edges = [("a", "b", 1.0), ("a", "c", 3.0), ("a", "d", 2.0), ("c", "e", 5.0), ("e", "f", 1.0), ("a", "c", 2.0), ("g", "a", 9.0)]
     out = cmp.neighbour_network(spark.createDataFrame(edges, "a string, b string, weight double"), spark.createDataFrame([("a",)], "node string"), 2, 2)
     assert sorted((r.node, r.depth, r.weight) for r in out.collect()) == [("a", 0, None), ("c", 1, 3.0), ("e", 2, 5.0), ("g", 1, 9.0)]
+
+
+def test_cross_table_and_its_marks(spark):
+    """The rows of FIXTURES.md: a repeated item stays in the table; marks name polyphonic, literary, colloquial and both."""
+    rows = [("測試點", c, "k", "a", "陰平", m) for c, m in (("A", 1), ("B", 2), ("B", 3), ("C", None))]
+    df = spark.createDataFrame(rows, "location string, char string, initial string, final string, tone string, mark int")
+    keys = ["location", "initial", "final", "tone"]
+    assert [r["items"] for r in vr.cross_table(df, keys, "char").collect()] == ["ABBC"]
+    out = vr.cross_marks(df, keys, "char", "mark").first()
+    assert (out.several, out.second, out.third, out.both) == ("AB", "B", "B", "B")
+
+
+def test_status_to_reading_classes(spark):
+    """The request of FIXTURES.md: classes of the items of each value."""
+    from lexigrid.operators import completions as cp
+
+    rows = [("甲地", "a", "甲", 2), ("甲地", "a", "甲", 3), ("甲地", "a", "乙", 0), ("甲地", "b", "丙", 1), ("甲地", "b", "丙", 1)]
+    out = cp.mark_classes(spark.createDataFrame(rows, "location string, value string, char string, mark int"), ["location", "value"], "char", "mark").collect()
+    assert {(r.value, r["class"], r["items"]) for r in out} == {("a", cp.BOTH, "甲"), ("b", cp.SEVERAL, "丙")}
+
+
+def test_tree_over_its_threshold_and_blank_levels(spark):
+    from lexigrid.operators import completions as cp
+
+    rows = [("p", "c", None, 2), ("p", "c", "d", 1), ("p", "", "e", 3), ('q"', "c", "d", 4)]
+    out = {r.a: r.tree for r in cp.nested_tree(spark.createDataFrame(rows, "a string, b string, c string, id int"), ["a", "b", "c"], ["id"]).collect()}
+    import json
+
+    assert json.loads(out["p"]) == {"(空)": {"leaves": ["e"], "id": [3]}, "c": {"leaves": ["(空)", "d"], "id": [2, 1]}}
+    assert json.loads(out['q"']) == {"c": {"leaves": ["d"], "id": [4]}}
+
+
+def test_batch_changes_and_errors(spark):
+    from lexigrid.operators import completions as cp
+
+    schema = "id int, v string"
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], schema)
+    made = lambda x: spark.createDataFrame(x, schema)
+    out, errors = cp.batch_changes(rows, "id", made([(1, "x"), (9, "n"), (9, "m")]), made([(2, "B"), (8, "y"), (3, "C")]), made([(3, None), (7, None)]))
+    assert sorted(map(tuple, out.collect())) == [(1, "a"), (2, "B"), (9, "m")]
+    assert sorted(map(tuple, errors.collect())) == [("create", 1, "exists"), ("create", 9, "repeated"), ("delete", 7, "missing"), ("update", 8, "missing")]

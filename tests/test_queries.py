@@ -51,7 +51,7 @@ def test_status_marks(spark):
 
     rows = [("p", c, "k", m) for c, m in (("A", 1), ("B", 2), ("B", 3), ("C", 2), ("D", 3), ("E", None))]
     out = feature_statistics(spark.createDataFrame(rows, "loc string, char string, initial string, mark int"), "loc", "initial", "char", "mark").first()
-    assert (out.n_items, out.n_second, out.n_third, out.n_both, out.ratio) == (5, 2, 2, 1, 1.0)
+    assert (out.n_items, out.n_several, out.n_second, out.n_third, out.n_both, out.ratio) == (5, 4, 2, 2, 1, 1.0)
 
 
 def test_point_in_ring(spark):
