@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 def with_running(df: DataFrame, value: str, n: str, descending: bool = False, parts: int = 64, group: str | None = None) -> DataFrame:
     """df has a row for each value (of each group, whose number is small); adds before, the sum of n over smaller (or larger)
     values, and beside, the next value on that side. Values are cut into ranges at approximate percentiles, so no task
-    orders more than a range; the table of ranges has at most parts + 1 rows a group."""
+    orders more than a range; the table of ranges has at most parts + 1 rows a group. Texts (without group) are cut at values
+    of a sample by hash."""
     keyed = df.withColumn("_group", F.col(group) if group else F.lit(0))
-    found = keyed.groupBy("_group").agg(F.percentile_approx(value, F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(10_000))).collect()
+    if dict(df.dtypes)[value] == "string":
+        some = df.select(value).filter(F.col(value).isNotNull()).orderBy(F.xxhash64(value), value).limit(16 * parts).collect()
+        found = [(0, sorted(r[0] for r in some)[16::16])]
+    else:
+        found = keyed.groupBy("_group").agg(F.percentile_approx(value, F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(10_000))).collect()
     spot = F.lit(0)
     for name, values in found:
         cuts = F.array(*map(F.lit, sorted(set(values or []))))

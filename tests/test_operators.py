@@ -50,6 +50,12 @@ def test_running_sums_over_ranges(spark, descending):
         total, last = total + n, v
 
 
+def test_dense_index_of_texts(spark):
+    words = sorted({f"{'字母𠀀é'[k % 5]}{k * 7919 % 613}" for k in range(900)}, key=lambda w: w.encode())
+    df = spark.createDataFrame([(w,) for w in words * 2] + [(None,)], "w string").repartition(3)
+    assert {r.w: r.place for r in vr.dense_index(df, "w").collect()} == {w: k for k, w in enumerate(words)}
+
+
 def test_nearest_rank_with_repeats(spark):
     rows = [("a", float(v)) for v in (1, 1, 1, 2, 9, 9, 9, 9, 9, 10)] + [("b", None), ("b", 4.0)]
     out = {r.key: r for r in agg.nearest_rank(spark.createDataFrame(rows, "key string, v double"), "key", "v", [10, 50, 95], slow=5.0).collect()}
