@@ -4,7 +4,9 @@ The index is partitioned by document: each row is a segment, that is a slice of
 dictionary of terms and, for each term, the ascending positions of its occurrences. Segments are bounded by bytes
 of text, so one term that is in every document is spread over all segments. A phrase is looked up in a segment
 from its rarest term there: the postings of that term, moved back by the term's offset, are candidate starts, and
-the offset-adjusted postings of the next rarest terms are intersected with them in turn.
+the offset-adjusted postings of the next rarest terms are intersected with them in turn. Each window is filed under the term
+that fewest windows hold, and a segment looks only at the windows filed under terms of its dictionary, so its cost follows
+its own size and not the number of windows.
 
 Nulls: a null text has no words; a null doc_id is carried through. Empty tables give empty results. Columns other
 than the id and the text are ignored. Repeated documents each give a row; repeated query ids count once.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import secrets
 from collections.abc import Iterator
 from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 from lexigrid.llm.common import find_words, lists, runs, slices, written
 
 SEGMENT = "segment bigint, doc_ids array<bigint>, word_counts array<int>, terms array<bigint>, term_counts array<int>, positions array<int>"
-#: Windows that one pass over the index takes; they are broadcast, ten terms of eight bytes each.
-WINDOWS_A_PASS = 100_000
+#: Windows that one pass over the index takes; they are broadcast, ten terms of eight bytes each and as much again for
+#: what finds them.
+WINDOWS_A_PASS = 500_000
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,6 +162,37 @@ def _blocks(windows: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield np.array([np.nan if r[0] is None else r[0] for r in block], object), terms.view(np.uint64), lengths
 
 
+class Windows(NamedTuple):
+    """A block of query windows, filed under one term each."""
+
+    item_of: np.ndarray
+    items: pa.Array
+    terms: np.ndarray
+    lengths: np.ndarray
+    keys: np.ndarray
+    firsts: np.ndarray
+    order: np.ndarray
+
+    def of_segment(self, terms: np.ndarray) -> np.ndarray:
+        """The numbers of the windows that are filed under one of these terms."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, terms), len(self.keys) - 1)
+        at = at[self.keys[at] == terms]
+        return self.order[runs(self.firsts[at], self.firsts[at + 1] - self.firsts[at])]
+
+
+def filed(ids: np.ndarray, terms: np.ndarray, lengths: np.ndarray) -> Windows:
+    inside = np.arange(terms.shape[1]) < lengths[:, None]
+    known, counts = np.unique(terms[inside], return_counts=True)
+    often = np.full(terms.shape, np.iinfo(np.int64).max)
+    often[inside] = counts[np.searchsorted(known, terms[inside])]
+    key = np.take_along_axis(terms, often.argmin(axis=1)[:, None], axis=1)[:, 0] if terms.shape[1] else np.zeros(len(terms), np.uint64)
+    order = np.argsort(key, kind="stable")
+    keys, firsts = np.unique(key[order], return_index=True)
+    return Windows(*_numbers(ids), terms, lengths, keys, np.append(firsts, len(order)), order)
+
+
 FOUND = "segment bigint, doc bigint, doc_id bigint, n_words bigint, spans array<struct<begin:int,end:int>>, items array<bigint>"
 
 
@@ -187,13 +222,13 @@ def contamination(
     index = build_index(docs, id_col, text_col) if index is None else index
     context = docs.sparkSession.sparkContext
     passes: list[DataFrame] = []
-    last = (np.zeros(0, object), np.zeros((0, size), np.uint64), np.zeros(0, np.int64))
+    last = filed(np.zeros(0, object), np.zeros((0, size), np.uint64), np.zeros(0, np.int64))
     for k, block in enumerate(_blocks(windows_of(benchmark, item_col, item_text, size))):
         if k:
             shared = context.broadcast(last)
             passes.append(written(_one_pass(index, shared).filter(F.size("items") > 0), "found"))
             shared.destroy()
-        last = block
+        last = filed(*block)
     together = _one_pass(index, context.broadcast(last))
     if not passes:
         return together.drop("segment", "doc")
@@ -211,14 +246,16 @@ def contamination(
 
 def _one_pass(index: DataFrame, windows) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, terms, lengths = windows.value
-        item_of, items = _numbers(ids)
+        asked = windows.value
+        item_of, items, lengths = asked.item_of, asked.items, asked.lengths
         for batch in batches:
             for row in range(batch.num_rows):
                 columns = {k: batch.column(k)[row] for k in batch.schema.names}
                 segment = Segment(columns)
                 n = len(segment.word_counts)
-                window, at = segment.phrases(terms, lengths)
+                some = asked.of_segment(segment.terms)
+                window, at = segment.phrases(asked.terms[some], lengths[some])
+                window = some[window]
                 doc = np.searchsorted(segment.firsts, at, "right") - 1
                 begin = at - segment.firsts[doc]
                 of, b, e = _merged(doc, begin, begin + lengths[window])

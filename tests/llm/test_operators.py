@@ -731,3 +731,36 @@ def test_pipeline_runs_whole(spark):
     data = "/root/testdata/sf0.001"
     out = pipeline.run(spark, data)
     assert out.count() > 0 and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_flat_files_of_empty_tables_and_texts(spark, empty):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    folder = shared_folder(spark, "flat")
+    tokens.write_flat(empty, folder, path, 65535)
+    assert tokens.scan_separators(spark, folder, 65535).count() == 0
+    folder = shared_folder(spark, "flat")
+    tokens.write_flat(spark.createDataFrame([(1, ""), (2, None), (3, "")], "doc_id bigint, text string").coalesce(1), folder, path, 65535)
+    assert sorted((r.doc, r.start, r.n_tokens, r.ended) for r in tokens.scan_separators(spark, folder, 65535).collect()) == [(k, k, 1, True) for k in range(3)]
+    for odd in (10, 2570, -1, 1 << 16):
+        with pytest.raises(ValueError):
+            tokens.scan_separators(spark, folder, odd)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    tables = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "labels": "doc_id bigint, quality int, toxic int", "benchmark": "item_id bigint, text string"}
+    for name, schema in tables.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0 and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nearest_vectors_of_other_lengths_and_clashing_names(spark):
+    rows = [(k, [float(k), 1.0, 0.0], 5, "q") for k in range(20)] + [(100, [1.0, 2.0], 5, "q"), (200, [1.0] * 9, 5, "q"), (300, [None, 1.0, 1.0], 5, "q")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, list int, limit string")
+    got = {(r.query_id, r.rank): r.vec_id for r in vector_search.search(df, lambda c: c % 100 == 0, k=2).collect()}
+    assert got == {(0, 1): 1, (0, 2): 2}
