@@ -169,7 +169,7 @@ def davies_bouldin(vectors: DataFrame, label: str, key: str, vector: str) -> Dat
     centres = _cells(vectors, label, key, vector).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dimension", "mean"))), lambda x: x["mean"]).alias("centre"))
     gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, z: s + z))
     spread = vectors.select(label, F.col(vector).cast("array<double>").alias("v")).join(F.broadcast(centres), label).groupBy(label).agg(F.avg(gap("v", "centre")).alias("spread"))
-    one = centres.join(spread, label)
+    one = bounded(centres.join(spread, label))
     pairs = one.select(F.col(label).alias("a"), F.col("centre").alias("ca"), F.col("spread").alias("sa")).join(one.select(F.col(label).alias("b"), F.col("centre").alias("cb"), F.col("spread").alias("sb")), F.col("a") != F.col("b"))
     worst = pairs.groupBy("a").agg(F.max((F.col("sa") + F.col("sb")) / F.nullif(gap("ca", "cb"), F.lit(0.0))).alias("r"))
     return worst.agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))
@@ -184,7 +184,7 @@ def silhouette(vectors: DataFrame, label: str, key: str, vector: str) -> DataFra
     sums = sums.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dimension", "total"))), lambda x: x["total"]).alias("total"))
     sizes = v.groupBy(label).agg(F.count("*").alias("n"), F.sum(square("v")).alias("squares"))
     clusters = sums.join(sizes, label).select(F.col(label).alias("other"), "total", "n", "squares")
-    met = v.crossJoin(F.broadcast(clusters))
+    met = v.crossJoin(F.broadcast(bounded(clusters)))
     dot = F.aggregate(F.zip_with("v", "total", lambda x, y: x * y), F.lit(0.0), lambda s, z: s + z)
     own = F.col("other") == F.col(label)
     total = F.col("n") * square(F.col("v")) - 2 * dot + F.col("squares")

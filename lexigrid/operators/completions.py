@@ -10,6 +10,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigrid.operators.structures import bounded
+
 #: Classes of items by the marks of their readings in a cell: 2 and 3, 2, 3, or 1.
 BOTH, SECOND, THIRD, SEVERAL = "文白讀", "文讀", "白讀", "多音字"
 
@@ -148,7 +150,7 @@ def similar_regions(cells: DataFrame, region: str, token: str, weight: str, want
     weights, jaccard of the tokens, shared, rank (ties by region). Only wanted regions meet others, on shared tokens."""
     pool = cells if other is None else other
     sums = lambda df: df.groupBy(region).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("norm"), F.count("*").alias("size"))
-    asked = cells.join(F.broadcast(wanted.select(region).distinct()), region)
+    asked = cells.join(F.broadcast(bounded(wanted.select(region).distinct())), region)
     left = asked.select(F.col(region).alias("wanted"), token, F.col(weight).alias("w"))
     met = left.join(pool.select(F.col(region).alias("region"), token, F.col(weight).alias("v")), token).filter("wanted <> region" if other is None else "true")
     dots = met.groupBy("wanted", "region").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.count("*").alias("shared"))

@@ -6,10 +6,10 @@ points with x and y. An empty or null geometry holds nothing and is infinitely f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.operators.structures import inside_ring
+from lexigrid.operators.structures import bounded, inside_ring
 
 METRES_A_DEGREE = 111_320.0
 POINTS = "array<array<array<struct<x:double,y:double>>>>"
@@ -59,10 +59,11 @@ def partition_levels(paths: DataFrame, path: str) -> DataFrame:
 def matched_names(names: DataFrame, terms: DataFrame) -> DataFrame:
     """term, name and tier: 1 equal, 2 prefix, 3 contained, for the names that a term's variants match, with the least tier.
 
-    names: name; terms: term, variant (a variant of itself too). The terms of a request are few: a cross join with them
-    broadcast reads the names once."""
+    names: name; terms: term, variant (a variant of itself too). The terms of a request are few (5,000 at most): a cross join
+    with them broadcast reads the names once."""
     hit = F.when(F.col("name") == F.col("variant"), 1).when(F.startswith("name", F.col("variant")), 2).when(F.contains("name", F.col("variant")), 3)
-    met = names.select("name").distinct().crossJoin(F.broadcast(terms.select("term", "variant").filter("variant <> ''").distinct()))
+    asked = bounded(terms.select("term", "variant").filter("variant <> ''").distinct())
+    met = names.select("name").distinct().crossJoin(F.broadcast(asked))
     return met.withColumn("tier", hit).filter("tier IS NOT NULL").groupBy("term", "name").agg(F.min("tier").alias("tier"))
 
 
@@ -231,9 +232,3 @@ def numbered_pages(df: DataFrame, order: list[str], limit: int, offset: int) ->
     """One page with the total number of rows on each of its rows."""
     total = df.agg(F.count("*").alias("total"))
     return df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
-
-
-def first_seen_order(df: DataFrame, item: str, order: str) -> DataFrame:
-    """Each item once, numbered from 0 by where it first occurs within the limit of one request's list."""
-    first = df.groupBy(item).agg(F.min(order).alias("at"))
-    return first.select(item, (F.row_number().over(Window.orderBy("at", item)) - 1).alias("place"))

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrid.operators.structures import bounded
+
 
 def _percent(part: Column, whole: Column, places: int = 2) -> Column:
     return F.round(part * 100.0 / F.nullif(whole, F.lit(0)), places)
@@ -209,9 +211,9 @@ def compared_vectors(a: Column, b: Column) -> Column:
 
 def similar_to(vectors: DataFrame, key: str, vector: str, wanted: DataFrame, k: int, least: float = -1.0) -> DataFrame:
     """The k rows of the largest cosine (at least `least`) to each wanted key's vector: wanted, key, cosine, rank. The wanted
-    keys are those of a request, few; all vectors are read once."""
+    keys are those of a request, few (5,000 at most); all vectors are read once."""
     v = vectors.select(key, F.col(vector).cast("array<double>").alias("v"))
-    asked = v.join(F.broadcast(wanted.select(F.col(key)).distinct()), key).select(F.col(key).alias("wanted"), F.col("v").alias("q"))
+    asked = v.join(F.broadcast(bounded(wanted.select(F.col(key)).distinct())), key).select(F.col(key).alias("wanted"), F.col("v").alias("q"))
     met = v.crossJoin(F.broadcast(asked)).filter(F.col(key) != F.col("wanted")).select("wanted", key, compared_vectors(F.col("v"), F.col("q"))["cosine"].alias("cosine")).filter(F.col("cosine") >= least)
     place = F.row_number().over(Window.partitionBy("wanted").orderBy(F.desc("cosine"), key))
     return met.withColumn("rank", place).filter(F.col("rank") <= k)

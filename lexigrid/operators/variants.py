@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.operators.selection import matches
+from lexigrid.operators.structures import bounded
 from lexigrid.sources import tables
 
 #: Fixed value: the sign that stands for an empty value in filters.
@@ -184,8 +185,8 @@ def values_with_totals(rows: DataFrame, key: str, value: str, item: str) -> Data
 
 def all_combinations(domain: DataFrame, rows: DataFrame, columns: list[str], item: str) -> DataFrame:
     """Different items for every combination of the columns' values in the domain, 0 where there are no rows. The columns are
-    classes with few values."""
-    every = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [domain.select(c).filter(F.col(c).isNotNull()).distinct() for c in columns])
+    classes with few values (5,000 at most)."""
+    every = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [bounded(domain.select(c).filter(F.col(c).isNotNull()).distinct()) for c in columns])
     counts = rows.groupBy(*columns).agg(F.countDistinct(item).alias("n_items"))
     return every.join(counts, columns, "left").select(*columns, F.coalesce("n_items", F.lit(0)).alias("n_items"))
 
