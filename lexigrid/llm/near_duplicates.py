@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import find_words, hot_salts, lists, mix64, numbered, runs, salted_join, slices, written
+from lexigrid.llm.common import find_words, hot_salts, lists, mix64, numbered, runs, salted_join, scratch, slices, written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 TILE = 1024
@@ -204,49 +204,50 @@ def classes(
     """
     rows_of = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     usable = rows_of.filter("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
-    signed = written(signatures(usable, size, bands, rows), "signatures")
-    # A node's first: the smallest id of its rows, and with mark a row that stands for it.
-    firsts = signed.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("f"), F.count("*").alias("n")).select("key", F.col("f.doc_id").alias("first"), F.col("f.mark").alias("first_mark"), "n")
-    nodes = numbered(firsts.sortWithinPartitions("first", "key"), "nodes").withColumnRenamed("row_key", "node")
-    # Texts with very many copies are dealt over several tasks, wherever all rows meet their nodes.
-    copied = written(hot_salts(nodes, "key", "n")[0], "copied")
-    nodes = nodes.drop("n")
-    by_key = lambda left, right: salted_join(left, right, copied, "key", F.col("doc_id"))
-    # A document that has several texts is one: all its nodes are linked to the smallest of them.
-    copies = by_key(signed.select("doc_id", "key"), nodes.select("key", "node")).select("doc_id", "node")
-    several = copies.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("doc_id", "b")
-    again = written(copies.join(several, "doc_id").filter("node > b").select(F.col("node").alias("a"), "b").distinct(), "again")
-    stands = (F.col("doc_id") == F.col("first")) & (F.col("mark") == F.col("first_mark"))
-    unique = by_key(signed.select("doc_id", "mark", "key", "buckets"), nodes).filter(stands).select("node", F.explode("buckets").alias("bucket"))
-    buckets = written(unique, "buckets")
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other"), F.count("*").alias("n")).filter("centre < other")
-    shared = written(shared.select("bucket", "centre", "n"), "shared")
-    hot, _ = hot_salts(shared, "bucket", "n")
-    hot = written(hot, "hot")
-    members = written(salted_join(buckets, shared.select("bucket", "centre"), hot, "bucket", F.col("node")).select("bucket", "node", "centre"), "members")
-    involved = nodes.join(members.select("node").distinct(), "node").select("node", "first", "first_mark")
-    # Grouped by what the join shuffles by, so that texts aren't shuffled again.
-    texts = usable.join(involved, stands).groupBy("doc_id", "mark").agg(F.min("node").alias("node"), F.min("text").alias("text"))
-    texts = written(texts.select("node", "text"), "texts")
-
-    pairs = members.filter("node > centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    met = written(pairs, "pairs")
-    every = written(verified(met, texts, size, threshold), "verified")
-    # Three deviations of the estimate below the threshold: a pair at the threshold is passed over in 1 of 700 cases.
-    least = threshold - 3 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    # First each stray's two nearest nodes, which join most components; then all pairs that are still apart, exactly.
-    mixed = _mixed(members, components(every.unionByName(again)), hot)
-    near = _in_tiles(mixed, _marked(mixed, nodes, signed), hot, lambda rows: _tile_nearest(rows, least, 2)).distinct()
-    near = written(near.join(met, ["a", "b"], "left_anti"), "pairs")
-    every = every.unionByName(written(verified(near, texts, size, threshold), "verified"))
-    mixed = _mixed(members, components(every.unionByName(again)), hot)
-    marked = _marked(mixed, nodes, signed).join(texts, "node")
-    every = every.unionByName(written(_in_tiles(mixed, marked, hot, lambda rows: _tile_links(rows, least, size, threshold)).distinct(), "verified"))
-    labels = components(every.unionByName(again))
-    named = written(nodes.join(labels, "node", "left").select("key", "first", F.coalesce("label", "node").alias("label")), "named")
-    smallest = written(named.groupBy("label").agg(F.min("first").alias("class_id"), F.count("*").alias("n")), "smallest")
-    large = hot_salts(smallest, "label", "n")[0]
-    named = salted_join(named, smallest.select("label", "class_id"), large, "label", F.col("key")).select("key", "class_id")
+    with scratch(docs.sparkSession):  # all but what the result reads goes when the classes are written
+        signed = written(signatures(usable, size, bands, rows), "signatures", keep=True)
+        # A node's first: the smallest id of its rows, and with mark a row that stands for it.
+        firsts = signed.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("f"), F.count("*").alias("n")).select("key", F.col("f.doc_id").alias("first"), F.col("f.mark").alias("first_mark"), "n")
+        nodes = numbered(firsts.sortWithinPartitions("first", "key"), "nodes").withColumnRenamed("row_key", "node")
+        # Texts with very many copies are dealt over several tasks, wherever all rows meet their nodes.
+        copied = written(hot_salts(nodes, "key", "n")[0], "copied", keep=True)
+        nodes = nodes.drop("n")
+        by_key = lambda left, right: salted_join(left, right, copied, "key", F.col("doc_id"))
+        # A document that has several texts is one: all its nodes are linked to the smallest of them.
+        copies = by_key(signed.select("doc_id", "key"), nodes.select("key", "node")).select("doc_id", "node")
+        several = copies.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("doc_id", "b")
+        again = written(copies.join(several, "doc_id").filter("node > b").select(F.col("node").alias("a"), "b").distinct(), "again")
+        stands = (F.col("doc_id") == F.col("first")) & (F.col("mark") == F.col("first_mark"))
+        unique = by_key(signed.select("doc_id", "mark", "key", "buckets"), nodes).filter(stands).select("node", F.explode("buckets").alias("bucket"))
+        buckets = written(unique, "buckets")
+        shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other"), F.count("*").alias("n")).filter("centre < other")
+        shared = written(shared.select("bucket", "centre", "n"), "shared")
+        hot, _ = hot_salts(shared, "bucket", "n")
+        hot = written(hot, "hot")
+        members = written(salted_join(buckets, shared.select("bucket", "centre"), hot, "bucket", F.col("node")).select("bucket", "node", "centre"), "members")
+        involved = nodes.join(members.select("node").distinct(), "node").select("node", "first", "first_mark")
+        # Grouped by what the join shuffles by, so that texts aren't shuffled again.
+        texts = usable.join(involved, stands).groupBy("doc_id", "mark").agg(F.min("node").alias("node"), F.min("text").alias("text"))
+        texts = written(texts.select("node", "text"), "texts")
+
+        pairs = members.filter("node > centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+        met = written(pairs, "pairs")
+        every = written(verified(met, texts, size, threshold), "verified")
+        # Three deviations of the estimate below the threshold: a pair at the threshold is passed over in 1 of 700 cases.
+        least = threshold - 3 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+        # First each stray's two nearest nodes, which join most components; then all pairs that are still apart, exactly.
+        mixed = _mixed(members, components(every.unionByName(again)), hot)
+        near = _in_tiles(mixed, _marked(mixed, nodes, signed), hot, lambda rows: _tile_nearest(rows, least, 2)).distinct()
+        near = written(near.join(met, ["a", "b"], "left_anti"), "pairs")
+        every = every.unionByName(written(verified(near, texts, size, threshold), "verified"))
+        mixed = _mixed(members, components(every.unionByName(again)), hot)
+        marked = _marked(mixed, nodes, signed).join(texts, "node")
+        every = every.unionByName(written(_in_tiles(mixed, marked, hot, lambda rows: _tile_links(rows, least, size, threshold)).distinct(), "verified"))
+        labels = components(every.unionByName(again))
+        named = written(nodes.join(labels, "node", "left").select("key", "first", F.coalesce("label", "node").alias("label")), "named")
+        smallest = written(named.groupBy("label").agg(F.min("first").alias("class_id"), F.count("*").alias("n")), "smallest")
+        large = hot_salts(smallest, "label", "n")[0]
+        named = written(salted_join(named, smallest.select("label", "class_id"), large, "label", F.col("key")).select("key", "class_id"), "classes", keep=True)
     out = by_key(signed.select("doc_id", "key"), named).select("doc_id", "class_id")
     rest = rows_of.filter("doc_id IS NULL OR text IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(rest)

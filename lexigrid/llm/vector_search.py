@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import numbered, written
+from lexigrid.llm.common import numbered, scratch, written
 
 TILE = 4096
 BLOCK = 16
@@ -191,26 +191,27 @@ def search(vectors: DataFrame, queries, k: int = 10, id_col: str = "vec_id", vec
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL").filter(_fine("v"))
     total = vectors.count()
     n_lists = n_lists or int(min(512, max(4, round(total**0.5 / 2))))
-    index = fit(rows, n_lists, k=k)
-    base = numbered(assigned(rows, index, 1).select("vec_id", "v", F.col("lists")[0].alias("list")), "lists")
-    sizes = written(base.groupBy("list").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("splits")).coalesce(1), "sizes")
-    asked = base.select("row_key", "vec_id", "v").filter(queries(F.col("vec_id")))
-    filled = sorted(r.list for r in sizes.select("list").collect())
-    if not filled:
-        return asked.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "0D AS score").limit(0)
-    probes = min(len(filled), max(2, int(np.ceil((probe_share or index.probe_share) * len(filled)))))
-    every = F.array(*map(F.lit, filled))
-    lists = F.transform("lists", lambda k: F.get(every, k)).alias("lists")
-    asked = written(assigned(asked, index._replace(centroids=index.centroids[filled]), probes).select(F.col("row_key").alias("query_key"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), lists), "queries")
-    columns = ("query_key", "query_id", "q", "limit")
-    opened = asked.withColumn("limit", F.lit(1e300)).select(*columns, F.col("lists")[0].alias("list"))
-    near = written(_best(_search(base, opened, index, k, sizes), k), "near")
-    limits = near.groupBy("query_key").agg(F.max("score").alias("worst"), F.count("*").alias("n")).select("query_key", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(1e300)).alias("limit"))
-    further = asked.join(limits, "query_key", "left").withColumn("limit", F.coalesce("limit", F.lit(1e300)))
-    further = further.select(*columns, F.explode(F.slice("lists", 2, probes)).alias("list"))
-    found = written(_best(near.drop("rank").unionByName(_search(base, further, index, k, sizes)), k), "found")
-    enough = found.groupBy("query_key").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_key")
-    short = asked.join(enough, "query_key", "left_anti").withColumn("limit", F.lit(1e300)).select(*columns, F.explode(F.array_except(every, "lists")).alias("list"))
-    if not short.isEmpty():
-        found = _best(found.drop("rank").unionByName(_search(base, short, index, k, sizes)), k)
+    with scratch(vectors.sparkSession):  # all but the result goes when it is written
+        index = fit(rows, n_lists, k=k)
+        base = numbered(assigned(rows, index, 1).select("vec_id", "v", F.col("lists")[0].alias("list")), "lists")
+        sizes = written(base.groupBy("list").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("splits")).coalesce(1), "sizes")
+        asked = base.select("row_key", "vec_id", "v").filter(queries(F.col("vec_id")))
+        filled = sorted(r.list for r in sizes.select("list").collect())
+        if not filled:
+            return rows.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "0D AS score").limit(0)
+        probes = min(len(filled), max(2, int(np.ceil((probe_share or index.probe_share) * len(filled)))))
+        every = F.array(*map(F.lit, filled))
+        lists = F.transform("lists", lambda k: F.get(every, k)).alias("lists")
+        asked = written(assigned(asked, index._replace(centroids=index.centroids[filled]), probes).select(F.col("row_key").alias("query_key"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), lists), "queries")
+        columns = ("query_key", "query_id", "q", "limit")
+        opened = asked.withColumn("limit", F.lit(1e300)).select(*columns, F.col("lists")[0].alias("list"))
+        near = written(_best(_search(base, opened, index, k, sizes), k), "near")
+        limits = near.groupBy("query_key").agg(F.max("score").alias("worst"), F.count("*").alias("n")).select("query_key", F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(1e300)).alias("limit"))
+        further = asked.join(limits, "query_key", "left").withColumn("limit", F.coalesce("limit", F.lit(1e300)))
+        further = further.select(*columns, F.explode(F.slice("lists", 2, probes)).alias("list"))
+        found = written(_best(near.drop("rank").unionByName(_search(base, further, index, k, sizes)), k), "found", keep=True)
+        enough = found.groupBy("query_key").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_key")
+        short = asked.join(enough, "query_key", "left_anti").withColumn("limit", F.lit(1e300)).select(*columns, F.explode(F.array_except(every, "lists")).alias("list"))
+        if not short.isEmpty():
+            found = written(_best(found.drop("rank").unionByName(_search(base, short, index, k, sizes)), k), "found", keep=True)
     return found.drop("query_key")
