@@ -43,6 +43,12 @@ def prepared(rows: DataFrame, scale: bool, components: int | None) -> DataFrame:
     return out.withColumn("features", F.col(column)).drop("_scaled", "_reduced")
 
 
+def reduced(rows: DataFrame, key: str, vector: str, components: int) -> DataFrame:
+    """key and p1, p2, ...: the scaled vectors' principal components, rounded to 6 places."""
+    found = prepared(features(rows, key, vector), True, components).select(key, vector_to_array("features").alias("p"))
+    return found.select(key, *(F.round(F.get("p", F.lit(k)), 6).alias(f"p{k + 1}") for k in range(components)))
+
+
 def clustered(rows: DataFrame, key: str, vector: str, k: int, method: str = "kmeans", scale: bool = False, components: int | None = None, seed: int = 7) -> DataFrame:
     """key, cluster and features. method: kmeans, mixture (Gaussians) or bisecting (a hierarchy from the top)."""
     kinds = {"kmeans": KMeans, "mixture": GaussianMixture, "bisecting": BisectingKMeans}

@@ -106,6 +106,19 @@ def collected_features(rows: DataFrame, variants: DataFrame, keys: list[str], ch
     return rows.withColumnRenamed(char, "variant").join(every, "variant").groupBy(*keys, "char").agg(*values)
 
 
+def converted(rows: DataFrame, key: str, text: str, table: DataFrame) -> DataFrame:
+    """key, traditional (the text with each character's first candidate) and candidates (joined by |), by a table of layer, char
+    and candidates: for tables of thousands of characters, where text.to_traditional takes small ones. A character takes the
+    candidates of its least layer, or stands for itself. The key must be unique; a table has at most as many characters as
+    Unicode, so it may be broadcast. Null and empty texts give empty results."""
+    known = table.groupBy("char").agg(F.min_by("candidates", "layer").alias("found"))
+    chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
+    each = rows.select(F.col(key).alias("_key"), F.posexplode_outer(chars).alias("at", "char")).join(F.broadcast(known), "char", "left")
+    ordered = F.array_sort(F.collect_list(F.when(F.col("char").isNotNull(), F.struct("at", F.coalesce("found", "char").alias("c")))))
+    out = each.groupBy("_key").agg(ordered.alias("x")).withColumn("x", F.transform("x", lambda p: p["c"]))
+    return out.select(F.col("_key").alias(key), F.array_join(F.transform("x", lambda c: F.substring(c, 1, 1)), "").alias("traditional"), F.array_join("x", "|").alias("candidates"))
+
+
 def contour(cell: Column) -> Column:
     """1 and the mean first, middle and last pitch (0 to 1) of a cell's contours; zeros without any."""
     parts = F.split(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\[[^\]]+\]", ""), "[，,;；/]+")

@@ -58,3 +58,9 @@ def adv17_hierarchical(spark, d):
 def adv20_subset_clusters(spark, d):
     """Clusters of the vectors of some labels alone."""
     return cl.clustered(table(spark, d, "embeddings").filter("label < 5"), "vec_id", "embedding", 5, "bisecting").select("vec_id", "cluster")
+
+
+@query()
+def adv12_reduced(spark, d):
+    """Principal components of the scaled vectors, up to sign."""
+    return cl.reduced(table(spark, d, "embeddings"), "vec_id", "embedding", 2)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import text as fn
 from lexigrid.operators import structures as st
+from lexigrid.operators import tones as tn
 from lexigrid.plans.queries import _READINGS, query
 from lexigrid.sources.tables import table
 
@@ -43,6 +44,14 @@ def fn1_script_candidates(spark, d):
     return table(spark, d, "part").select("p_partkey", fn.to_traditional(text, LAYERS).alias("traditional"), F.array_join(fn.script_candidates(text, LAYERS), "|").alias("candidates"))
 
 
+@query(f"""WITH t AS (SELECT p_partkey, {_sql(TEXTS, "p_partkey")} AS t FROM part), c AS (SELECT p_partkey, t, list_transform(list_filter(string_split(t, ''), lambda c: c <> ''), lambda c: {_MAPS}) AS found FROM t)
+SELECT p_partkey, array_to_string(list_transform(found, lambda c: c[1]), '') AS traditional, array_to_string(found, '|') AS candidates FROM c""")
+def fn1_converted_by_table(spark, d):
+    rows = [(k, c, found) for k, layer in enumerate(LAYERS) for c, found in layer.items()]
+    named = table(spark, d, "part").select("p_partkey", _pick(TEXTS, "p_partkey").alias("t"))
+    return tn.converted(named, "p_partkey", "t", spark.createDataFrame(rows, "layer int, char string, candidates string"))
+
+
 @query("SELECT p_partkey, translate(p_type, 'AEI', 'aei') AS shown FROM part")
 def fn2_mapped_characters(spark, d):
     return table(spark, d, "part").select("p_partkey", fn.mapped_characters(F.col("p_type"), {"A": "a", "E": "e", "I": "i"}).alias("shown"))

@@ -110,6 +110,17 @@ def test_clusters_find_planted_groups(spark):
     assert [r.n for r in sizes] == [30, 30, 30] and all(len(r.centre) == 3 for r in sizes)
 
 
+def test_principal_components(spark):
+    import numpy as np
+
+    data = np.random.RandomState(5).normal(size=(60, 3)) @ np.array([[3.0, 1, 0], [0, 1, 0.5], [0, 0, 0.2]])
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(data)], "id int, v array<double>")
+    got = np.array([[r.p1, r.p2] for r in cl.reduced(df, "id", "v", 2).orderBy("id").collect()])
+    scaled = (data - data.mean(axis=0)) / data.std(axis=0, ddof=1)
+    want = scaled @ np.linalg.svd(scaled - scaled.mean(axis=0))[2][:2].T
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-4)
+
+
 def test_dense_clusters_against_brute_force(spark):
     source = random.Random(3)
     points = [(k, source.random() * 3, source.random() * 3) for k in range(150)] + [(500, 99.0, 99.0)]
