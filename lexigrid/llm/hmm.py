@@ -355,7 +355,8 @@ def score(blocks: DataFrame, words: DataFrame, model: Model) -> DataFrame:
 
     # About a block a task, as a task sorts what it reads of both sides before the first block.
     parts = max(1, min(blocks.count(), 100_000))
-    return blocks.repartition(parts, "block").groupBy("block").cogroup(known.repartition(parts, "block").groupBy("block")).applyInArrow(score_block, SCORED)
+    mine = blocks.drop("train_tf").repartition(parts, "block")
+    return mine.groupBy("block").cogroup(known.repartition(parts, "block").groupBy("block")).applyInArrow(score_block, SCORED)
 
 
 def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, **options) -> DataFrame:
