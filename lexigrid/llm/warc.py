@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import written
+from lexigrid.llm.common import scratch, written
 
 RECORD = "record_id string, type string, concurrent_to array<string>, refers_to string, uri string, date string, payload_digest string, n_bytes bigint, verified boolean, capture string, payload binary"
 DATE = "2024-01-01T00:00:00Z"
@@ -89,8 +89,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
                     out += [_member(ask), _member(main), _member(about)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    rows = captures(pages, least_bytes).mapInArrow(records, "value binary").select(F.col("value").cast("string"))
-    rows.write.option("maxRecordsPerFile", RECORDS_A_FILE).option("lineSep", "\0").text(path)
+    with scratch(pages.sparkSession):  # the written pages go when the archives are there
+        rows = captures(pages, least_bytes).mapInArrow(records, "value binary").select(F.col("value").cast("string"))
+        rows.write.option("maxRecordsPerFile", RECORDS_A_FILE).option("lineSep", "\0").text(path)
 
 
 def inflated(data: memoryview, step: int = 1 << 14) -> Iterator[bytes]:
