@@ -220,11 +220,12 @@ def parts(records: DataFrame, kind: str, columns: tuple[str, ...] = ()) -> DataF
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: the response or revisit with its request and metadata, joined by concurrent-to.
 
-    records: a written table of read_archives(). Either record may name the other. Of several requests or metadata records
+    records: a written table of read_archives(), without payload where it isn't wanted. Either record may name the other. Of several requests or metadata records
     of a capture, which are counted, the row has that with the least id; parts() gives them all. A response that nothing
     names has null request and metadata; a request without its response gives no row, nor do records of other kinds.
     """
-    out = _main(records).select("record_id", F.struct("type", "uri", "date", "payload_digest", "n_bytes", "verified", "refers_to", "payload").alias("response"))
+    payload = [c for c in records.columns if c == "payload"]
+    out = _main(records).select("record_id", F.struct("type", "uri", "date", "payload_digest", "n_bytes", "verified", "refers_to", *payload).alias("response"))
     for kind, columns in (("request", ()), ("metadata", ("capture",))):
         found = parts(records, kind, columns).groupBy("record_id", "part.part_id").agg(F.min("part").alias("part"))
         found = found.groupBy("record_id").agg(F.min("part").alias(kind), F.count("*").alias(f"n_{kind}"))
