@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import scratch, written
+from lexigrid.llm.common import hot_salts, salted_join, scratch, written
 
 RECORD = "record_id string, type string, concurrent_to array<string>, refers_to string, uri string, date string, payload_digest string, n_bytes bigint, verified boolean, capture string, payload binary"
 DATE = "2024-01-01T00:00:00Z"
@@ -52,19 +52,22 @@ def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html, name, and refers: the name of the capture that this one revisits, or null.
 
     A name is the page_id, if any, and the row's place in a written table of the pages (file and row number), so it is
-    unique whatever the ids, and the same when a task runs again. The largest id of each payload is found from digests
-    alone; the join on them is a plain one that adaptive execution can split when one payload is very common.
+    unique whatever the ids, and the same when a task runs again. The largest id of each payload and its revisits are
+    found from digests alone, with a very common payload's dealt over several tasks; pages meet them by name.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("about:blank")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = written(rows.withColumn("sha1", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("n_bytes", F.octet_length("html")), "pages")
     file = lambda k: F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*-c(\d+)\.", k).cast("long")
     name = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.concat_ws("-", file(1), file(2), F.col("_metadata.row_index")))
     rows = rows.withColumn("name", name)
-    known = rows.filter((F.col("n_bytes") >= least_bytes) & F.col("page_id").isNotNull())
-    first = known.groupBy(F.hex("sha1").alias("digest")).agg(F.max(F.struct("page_id", "name")).alias("last"), F.min("page_id").alias("other"))
-    copied = first.filter(F.col("last.page_id") > F.col("other")).select(F.unhex("digest").alias("sha1"), "last")
-    joined = rows.join(copied, "sha1", "left")
-    return joined.select("page_id", "url", "html", "name", F.when(F.col("page_id") < F.col("last.page_id"), F.col("last.name")).alias("refers"))
+    known = rows.select("page_id", "name", "sha1").filter((F.col("n_bytes") >= least_bytes) & F.col("page_id").isNotNull())
+    first = known.groupBy("sha1").agg(F.max(F.struct("page_id", "name")).alias("last"), F.min("page_id").alias("other"), F.count("*").alias("n"))
+    copied = written(first.filter(F.col("last.page_id") > F.col("other")).select("sha1", "last", "n"), "copied")
+    hot, _ = hot_salts(copied, "sha1", "n")
+    revisits = salted_join(known, copied.select("sha1", "last"), hot, "sha1", F.col("name")).filter(F.col("page_id") < F.col("last.page_id"))
+    # Names are the smaller side, which Spark broadcasts up to its own size limit; beyond it, names are unique, so no task is hot.
+    revisits = written(revisits.select("name", F.col("last.name").alias("refers")), "revisits")
+    return rows.join(revisits, "name", "left").select("page_id", "url", "html", "name", "refers")
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
