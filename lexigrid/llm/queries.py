@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import decontaminate, hmm, line_dedup, mixing, near_duplicates, tokens, toxicity, vector_search, warc
+from lexigrid.llm import decontaminate, hmm, line_dedup, mixing, near_duplicates, suffix_dedup, tokens, toxicity, vector_search, warc
 from lexigrid.llm.common import shared_folder, table, written
 
 END_ID = 1
@@ -64,9 +64,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_warc, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_token_output, op7_hidden_markov, op8_separator_scan, op9_nearest_vectors, op10_mixing)
+    for f in (op1_line_dedup, op2_warc, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_token_output, op7_hidden_markov, op8_separator_scan, op9_nearest_vectors, op10_mixing, op13_suffix_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -127,4 +131,20 @@ placed AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY so
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(greatest(0, least(size, floor(target) - ahead)) + greatest(0, least(size, floor(target) - source_size - ahead)) AS BIGINT) AS taken
 FROM placed JOIN goal ON placed.source IS NOT DISTINCT FROM goal.source""",
+    "op13_suffix_dedup": """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT r, doc_id, at, substr(h, 2 * at + 1, 2098) AS part FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49, 1000)) AS at FROM texts)),
+starts AS (SELECT r, doc_id, at + k AS k, md5(substr(part, 2 * k + 1, 100)) AS digest
+           FROM (SELECT r, doc_id, at, part, unnest(range(least(1000, len(part) // 2 - 49))) AS k FROM parts)),
+firsts AS (SELECT digest, min(doc_id) AS least FROM starts GROUP BY digest),
+windows AS (SELECT r, doc_id, k, least FROM starts JOIN firsts USING (digest)),
+gone AS (SELECT r, k, k - lag(k) OVER (PARTITION BY r ORDER BY k) AS step FROM windows WHERE least < coalesce(doc_id, 9223372036854775807)),
+spans AS (SELECT r, min(k) AS b, max(k) + 50 AS e FROM
+  (SELECT r, k, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY k) AS span FROM gone) GROUP BY r, span),
+pieces AS (SELECT r, b, e, substr(h, 2 * coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) + 1, 2 * (b - coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0))) AS before
+           FROM spans JOIN texts USING (r)),
+cut AS (SELECT r, CAST(sum(e - b) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY b) AS head, max(e) AS last FROM pieces GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM texts LEFT JOIN cut USING (r)""",
 }
