@@ -133,9 +133,9 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM placed JOIN goal ON placed.source IS NOT DISTINCT FROM goal.source""",
     "op13_suffix_dedup": """
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-parts AS (SELECT r, doc_id, at, substr(h, 2 * at + 1, 2098) AS part FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49, 1000)) AS at FROM texts)),
-starts AS (SELECT r, doc_id, at + k AS k, md5(substr(part, 2 * k + 1, 100)) AS digest
-           FROM (SELECT r, doc_id, at, part, unnest(range(least(1000, len(part) // 2 - 49))) AS k FROM parts)),
+parts AS (SELECT r, doc_id, c, substr(h, 2 * c + 1, 2098) AS piece FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49, 1000)) AS c FROM texts)),
+starts AS (SELECT r, doc_id, c + k AS k, md5(substr(piece, 2 * k + 1, 100)) AS digest
+           FROM (SELECT r, doc_id, c, piece, unnest(range(least(1000, len(piece) // 2 - 49))) AS k FROM parts)),
 firsts AS (SELECT digest, min(doc_id) AS least FROM starts GROUP BY digest),
 windows AS (SELECT r, doc_id, k, least FROM starts JOIN firsts USING (digest)),
 gone AS (SELECT r, k, k - lag(k) OVER (PARTITION BY r ORDER BY k) AS step FROM windows WHERE least < coalesce(doc_id, 9223372036854775807)),
