@@ -50,13 +50,13 @@ def text_bytes(texts: pa.Array, kind: pa.DataType | None = None) -> tuple[np.nda
     return raw, offsets - offsets[0]
 
 
-def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most `limit` bytes of text and 5,000 rows, of one row at least."""
+def slices(texts: pa.Array, limit: int = SLICE_BYTES, rows: int = 5000) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most `limit` bytes of text and so many rows, of one row at least."""
     offsets = text_bytes(texts)[1]
     at, n = 0, len(offsets) - 1
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-        to = min(max(to, at + 1), at + 5000, n)
+        to = min(max(to, at + 1), at + rows, n)
         yield at, to
         at = to
 
@@ -122,6 +122,24 @@ def unlike(words: Words, other: np.ndarray) -> np.ndarray:
     return np.concatenate(bad)
 
 
+def word_strings(raw: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Words as strings, of bytes that are inside a word and where each word starts and ends in them."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    data = pa.py_buffer(raw[inside].tobytes())
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), data])
+
+
+def word_edges(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of maximal runs of bytes that are inside a word, never over the edge of two texts, and each run's text."""
+    before, after = np.zeros_like(inside), np.zeros_like(inside)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    edge = offsets[:-1][np.diff(offsets) > 0]
+    before[edge] = False
+    after[edge[edge > 0] - 1] = False
+    starts = np.flatnonzero(inside & ~before)
+    return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(offsets, starts, "right") - 1
+
+
 def find_words(texts: pa.Array, kind: np.ndarray = WORD, cut: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
     """Maximal runs of bytes of `kind` in the A-Z-lower-cased texts; words never span texts.
 

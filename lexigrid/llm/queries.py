@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import decontaminate, hmm, line_dedup, mixing, near_duplicates, suffix_dedup, tokens, toxicity, vector_search, warc
+from lexigrid.llm import decontaminate, divergence, hmm, line_dedup, mixing, near_duplicates, spelling, suffix_dedup, tokens, toxicity, vector_search, warc
 from lexigrid.llm.common import shared_folder, table, written
 
 END_ID = 1
@@ -64,17 +64,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_warc, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_token_output, op7_hidden_markov, op8_separator_scan, op9_nearest_vectors, op10_mixing, op13_suffix_dedup)
+    for f in (op1_line_dedup, op2_warc, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_token_output, op7_hidden_markov, op8_separator_scan, op9_nearest_vectors, op10_mixing, op11_source_divergence, op12_spelling_variants, op13_suffix_dedup)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(translate({}, '" + _UPPER + "', '" + _LOWER + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TERMS = r"regexp_extract_all(translate({}, '" + _UPPER + "', '" + _LOWER + r"'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+_RUNS = r"regexp_extract_all(translate({}, '" + _UPPER + "', '" + _LOWER + "'), '[a-z\u00C0-\u00FF]+')"
 
 ORACLE = {
     "op1_line_dedup": r"""
@@ -131,6 +141,47 @@ placed AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY so
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(greatest(0, least(size, floor(target) - ahead)) + greatest(0, least(size, floor(target) - source_size - ahead)) AS BIGINT) AS taken
 FROM placed JOIN goal ON placed.source IS NOT DISTINCT FROM goal.source""",
+    "op11_source_divergence": rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+terms AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+kept AS (SELECT lang, source, term, count(*) AS n FROM words JOIN terms USING (lang, term) GROUP BY lang, source, term),
+langs AS (SELECT lang, count(DISTINCT term) AS v, sum(n) AS all_of FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, coalesce(all_of, 0) AS all_of
+  FROM groups LEFT JOIN (SELECT lang, source, sum(n) AS total FROM kept GROUP BY lang, source) USING (lang, source) LEFT JOIN langs USING (lang)),
+counts AS (SELECT lang, term, sum(n) AS n FROM kept GROUP BY lang, term),
+shares AS (SELECT g.lang, g.source, c.term, coalesce(k.n, 0) AS n,
+    CAST(1 + 1000000000::HUGEINT * (coalesce(k.n, 0) + 1) // (g.total + g.v) AS HUGEINT) AS p, CAST(1 + 1000000000::HUGEINT * (c.n + 1) // (g.all_of + g.v) AS HUGEINT) AS q
+  FROM totals g JOIN counts c USING (lang) LEFT JOIN kept k ON k.lang = g.lang AND k.source = g.source AND k.term = c.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM every LEFT JOIN pairs USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+runs AS (SELECT doc_id, unnest({_RUNS.format("coalesce(text, '')")}) AS run FROM documents),
+pairs AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+bytes AS (SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+    lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195::BIGINT, CAST(ord(c) - 64 AS BIGINT)] END)) AS b FROM pairs),
+hashed AS (SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c // 256, t[(xor(c, x) % 256) + 1]), 4294967295), 4294967295) AS h FROM bytes, crc),
+slips AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % len(run) AS INT)) || substr(run, CAST(h % len(run) AS INT) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slips WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+holes AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS rest FROM (SELECT word, n, CAST(unnest(range(len(word))) AS INT) AS k FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.k = b.k AND a.rest = b.rest AND len(a.word) = len(b.word) AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+          FROM words LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS root FROM forms UNION ALL SELECT steps.word, forms.form FROM steps JOIN forms ON steps.root = forms.word WHERE forms.form IS NOT NULL),
+roots AS (SELECT steps.word, steps.root FROM steps JOIN forms ON steps.root = forms.word WHERE forms.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""",
     "op13_suffix_dedup": """
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 parts AS (SELECT r, doc_id, c, substr(h, 2 * c + 1, 2098) AS piece FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49, 1000)) AS c FROM texts)),

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import re
+import zlib
 
 import numpy as np
 import pytest
 
-from lexigrid.llm import suffix_dedup
+from lexigrid.llm import divergence, spelling, suffix_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, block string, name string, least string, word string, term string"
 
@@ -16,6 +18,124 @@ def made(spark, rows):
     return spark.createDataFrame([(*r, 1, "x", "y", "z", "v", "w") for r in rows], SCHEMA)
 
 
+def low(s):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
+
+
+def mixed_texts():
+    random = np.random.RandomState(8)
+    pool = [f"{a}{b}" for a in ("alpha", "Beta", "gamma", "GAMM", "gammé", "straße", "øre", "漢字", "x") for b in ("", "s", "tion", "7", "é")]
+    rows = []
+    for k in range(150):
+        text = " ".join(random.choice(pool, random.choice([0, 1, 5, 60])))
+        rows.append((int(random.randint(120)) if k % 11 else None, text, ["en", "fr", None][k % 3], ["a", "b", "é", None, ""][random.randint(5)]))
+    rows += [(500, None, "en", "lonely"), (501, "", "de", "only"), (502, "one two", "it", "x"), (503, "three", "it", "y"), (504, "word " * 5000, "en", "a")]
+    return rows + rows[:4]
+
+
+def audit_by_hand(rows, least_docs, most_terms):
+    docs = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low(text))) for _, text, lang, source in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        mine = [d for d in docs if d[0] == lang]
+        of = collections.Counter(t for d in mine for t in set(d[2]))
+        kept = [t for t in of if of[t] >= least_docs]
+        counts = {s: collections.Counter(t for d in mine if d[1] == s for t in d[2] if of[t] >= least_docs) for s in {d[1] for d in mine}}
+        every = sum(counts.values(), collections.Counter())
+        share = lambda c, t: 1 + 10**9 * (c[t] + 1) // (sum(c.values()) + len(kept))
+        f = lambda p, q: (p - q) ** 2 // q
+        for s, c in counts.items():
+            pairs = [(sum(f(share(c, t), share(counts[x], t)) for t in kept), x) for x in counts if x != s]
+            terms = [(f(share(c, t), share(every, t)), t) for t in kept if c[t] and share(c, t) > share(every, t)]
+            for part, found in (("pair", pairs), ("term", terms)):
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, x, v, k + 1) for k, (v, x) in enumerate(found) if part == "pair" or k < most_terms]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("least_docs", "most_terms"), [(3, 200), (2, 4), (1, 10), (10_000, 5)])
+def test_source_divergence(spark, least_docs, most_terms, monkeypatch):
+    monkeypatch.setattr(divergence, "OFTEN", 2)  # most terms are dealt over tasks
+    rows = mixed_texts()
+    got = divergence.audit(made(spark, rows).repartition(5), least_docs, most_terms)
+    assert sorted(map(tuple, got.collect())) == audit_by_hand(rows, least_docs, most_terms)
+
+
+def test_source_divergence_parts():
+    """Runs that go on over batches, pairs in small parts, and counts of more than 64 bits times a thousand million."""
+    import pyarrow as pa
+
+    rows = [("en", t, s, k, 1, 2) for k, (t, s) in enumerate([("a", "x")] * 5 + [("a", "y")] + [("b", "x")] * 4)]
+    table = pa.Table.from_pylist([dict(zip(divergence._ROW.names, r)) for r in rows], schema=divergence._ROW)
+    for size in (1, 2, 3, 100):
+        out = pa.Table.from_batches(divergence._added(iter(table.to_batches(max_chunksize=size))))
+        assert [(r["term"], r["source"], r["docs"], r["n"]) for r in out.to_pylist()] == [("a", "x", 5, 10), ("a", "y", 1, 2), ("b", "x", 4, 8)]
+        parts = list(divergence._whole(iter(out.to_batches(max_chunksize=size)), ["lang", "term"], 1))
+        assert sum(p.num_rows for p in parts) == 3 and all(len(set(p.column("term").to_pylist()) & set(q.column("term").to_pylist())) == 0 for p in parts for q in parts if p is not q)
+
+
+def test_large_counts(spark):
+    one = spark.createDataFrame([(40_000_000_000_000, 90_000_000_000_000, 7)], "n bigint, total bigint, v bigint")
+    assert one.select(divergence.billionths("n", "total", "v")).first()[0] == 1 + 10**9 * (4 * 10**13 + 1) // (9 * 10**13 + 7)
+
+
+def variants_by_hand(rows, least_n):
+    counts = collections.Counter()
+    for doc_id, text, *_ in rows:
+        for run, n in collections.Counter(re.findall("[A-Za-z\u00c0-\u00ff]+", low(text))).items():
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            counts[run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]] += n
+    words = {w: n for w, n in counts.items() if len(w) >= 5 and n >= least_n}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(a) + 1 == len(b) and any(a == b[:k] + b[k + 1 :] for k in range(len(b)))
+
+    found = {w: [x for x in words if near(w, x)] for w in words}
+    form = {}
+    for w, others in found.items():
+        best = min(others, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best and words[best] >= 2 * words[w] else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, len(found[w]), words.get(form[w])))
+    return sorted(out, key=repr)
+
+
+def spelled_texts():
+    random = np.random.RandomState(9)
+    letters = list("abé")
+    pool = ["".join(random.choice(letters, random.randint(4, 8))) for _ in range(150)] + ["aaaaa", "aaaaaa", "aaaaaaa", "bbbbb", "Straße", "ÿÀ×÷ßa", "ababab", "bababa"]
+    weights = 1 / np.arange(1, len(pool) + 1)
+    rows = [(int(random.randint(200)) if k % 13 else None, " ".join(random.choice(pool, random.choice([0, 3, 50]), p=weights / weights.sum())) + "漢", "en", "a") for k in range(220)]
+    return rows + [(300, None, None, None), (301, "", "en", "a"), (302, "abé" * 30000 + " " + "q" * 60, "en", "a")] + rows[:5]
+
+
+@pytest.mark.parametrize("least_n", [3, 1])
+def test_spelling_variants(spark, least_n):
+    rows = spelled_texts()
+    got = spelling.variants(made(spark, rows).repartition(4), least_n=least_n)
+    assert sorted(map(tuple, got.collect()), key=repr) == variants_by_hand(rows, least_n)
+
+
+def test_pair_hashes():
+    words = [b"", b"a", "é".encode() * 20, b"x" * 200, b"word"]
+    prefixes = [b"1:", b":", b"-77:"]
+    at = [(i, k) for i in range(3) for k in range(5)]
+    got = spelling.pair_hashes(prefixes, words, np.array([i for i, _ in at]), np.array([k for _, k in at]))
+    assert got.tolist() == [zlib.crc32(prefixes[i] + words[k]) for i, k in at]
+
+
+def test_empty_tables(spark):
+    assert divergence.audit(made(spark, [])).collect() == []
+    assert spelling.variants(made(spark, [])).collect() == []
+
+
 def cut_by_hand(rows, length):
     least = {}
     for doc_id, text, *_ in rows:
