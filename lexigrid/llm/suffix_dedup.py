@@ -19,8 +19,9 @@ arrays would need several times the text on disk, so only suffixes that can matt
    nothing is held.
 5. The answers go back to the blocks, which cut their texts.
 
-Texts are shuffled once, by block, for all three passes. A block is 256 rows, or one text of over 64 KB; passes take 2 MB of
-texts at a time, and long texts in pieces, so memory follows the longest single text, which is held a few times.
+Texts are shuffled once, in packed blocks, for the two passes that meet answers. A block is some hundred rows of 4 MB
+together, or one longer text; passes take 2 MB of texts at a time, and long texts in pieces, so memory follows the longest
+single text, which is held a few times. Tuples travel packed too, a blob for each block and shard of grams.
 
 Contexts are told apart within a block by 64-bit hashes (see word_hashes), windows of very frequent grams by 128 bits.
 
@@ -37,14 +38,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm.common import mix64, runs, slices, text_bytes, word_hashes
 
 LAST = np.iinfo(np.int64).max
-#: Bytes of text behind a bucket of grams.
-BUCKET_BYTES = 32 << 20
+#: Bytes of text behind a bucket of grams or a shard of tuples.
+SHARD_BYTES = 32 << 20
+#: Bytes and rows of a block.
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 2000
 PIECE = 2 << 20
 #: Bits of a gram's hash that aren't sent.
 GRAM = np.uint64(13)
@@ -107,23 +110,54 @@ def _unpacked(data: list[bytes]) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def _zipped(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unzipped(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """block (a number) and rows: packed doc_id and text of some rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1), BLOCK_BYTES, BLOCK_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([_zipped(batch.slice(a, b - a))], pa.binary())], ["rows"])
+
+    return docs.mapInArrow(pack, "rows binary").select(F.monotonically_increasing_id().alias("block"), "rows")
+
+
+def _texts(data: bytes) -> tuple[pa.Array, np.ndarray]:
+    rows = _unzipped(data)
+    return rows.column("text").combine_chunks(), _ids(rows.column("doc_id"))
+
+
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
+def _shards(gram: np.ndarray, shards: int) -> np.ndarray:
+    """From 0 to shards - 1, ascending with the gram (51 bits)."""
+    return ((gram >> np.uint64(19)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
 def _asked(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
     """bucket, block, and the different grams of the block in that bucket: 51 bits of the hash, the logarithm of its number there,
     and whether two documents of the block have it."""
 
-    def ask(key: tuple, rows: pa.Table) -> pa.Table:
-        texts, ids = rows.column("text").combine_chunks(), _ids(rows.column("doc_id"))
+    def ask(block: int, texts: pa.Array, ids: np.ndarray) -> pa.RecordBatch | None:
         found, owner = [], []
         for a, _, raw, firsts, _ in _pieces(texts, length):
             place, hashes, _, _ = anchors(raw, firsts, length)
             found.append(hashes >> GRAM)
             owner.append(ids[a + np.searchsorted(firsts, place, "right") - 1])
-        if not found or not sum(map(len, found)):
-            return pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "grams": pa.array([], pa.binary())})
+        if not sum(map(len, found)):
+            return None
         gram, ids = np.concatenate(found), np.concatenate(owner)
         order = np.argsort(gram, kind="stable")
         gram, ids = gram[order], ids[order]
@@ -131,13 +165,20 @@ def _asked(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
         several = np.minimum.reduceat(ids, head) < np.maximum.reduceat(ids, head)
         number = np.minimum(np.frexp(np.diff(np.append(head, len(gram))).astype(float))[1] - 1, 15)
         gram = gram[head]
-        bucket = ((gram >> np.uint64(19)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)  # ascending with the gram
+        bucket = _shards(gram, buckets)
         flagged = gram << np.uint64(5) | number.astype(np.uint64) << np.uint64(1) | several.astype(np.uint64)
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         grams = [_packed(flagged[lo:hi]) for lo, hi in zip(cuts, np.append(cuts[1:], len(gram)))]
-        return pa.table({"bucket": bucket[cuts], "block": pa.array([key[0].as_py()] * len(cuts), pa.int64()), "grams": pa.array(grams, pa.binary())})
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array([block] * len(cuts), pa.int64()), pa.array(grams, pa.binary())], ["bucket", "block", "grams"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                out = ask(block, *_texts(data.as_py()))
+                if out is not None:
+                    yield out
 
-    return blocks.groupBy("block").applyInArrow(ask, "bucket int, block bigint, grams binary")
+    return blocks.mapInArrow(each, "bucket int, block bigint, grams binary")
 
 
 def _answered(asked: DataFrame, most_held: int) -> DataFrame:
@@ -185,17 +226,38 @@ _TUPLE = pa.schema([("suffix", pa.binary()), ("left", pa.binary()), ("step", pa.
 _TUPLE_SQL = "suffix binary, left binary, step int, least bigint, most bigint, block bigint, name bigint"
 
 
-def _tuples(blocks: DataFrame, answers: DataFrame, length: int) -> DataFrame:
-    """A tuple for each different context of a block and each of its anchors that was answered: the suffix from the anchor, the
-    bytes to its left from right to left, and the least and largest document. Of grams with too many, one for each window: its
-    digest as suffix, null as the bytes to the left, and as step the number of bytes to the left of the anchor."""
+def _packets(shard: np.ndarray, rows: pa.Table, block: int) -> pa.Table:
+    """A packed row for each shard."""
+    rows = rows.append_column("shard", pa.array(shard, pa.int32())).sort_by([("shard", "ascending"), ("suffix", "ascending")]).combine_chunks()
+    shard = rows.column("shard").to_numpy()
+    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else shard
+    rows = rows.drop_columns(["shard", "block"])
+    parts = [rows.slice(lo, hi - lo).combine_chunks() for lo, hi in zip(cuts, np.append(cuts[1:], len(shard)))]
+    packed = [_zipped(pa.RecordBatch.from_arrays([_alone(c) for c in part.columns], schema=part.schema)) for part in parts]
+    return pa.table({"shard": pa.array(shard[cuts], pa.int32()), "block": pa.array([block] * len(cuts), pa.int64()), "tuples": pa.array(packed, pa.binary())})
+
+
+def _alone(column: pa.ChunkedArray) -> pa.Array:
+    """The values in an array that holds no others."""
+    return pa.concat_arrays(column.chunks) if column.num_chunks > 1 else column.chunk(0).take(pa.array(np.arange(len(column))))
+
+
+def _tuples(blocks: DataFrame, answers: DataFrame, length: int, shards: int) -> DataFrame:
+    """Packed tuples for each block and shard of grams.
+
+    There is a tuple for each different context of a block and each of its anchors that was answered: the suffix from the
+    anchor, the bytes to its left from right to left, and the least and largest document. Of grams with too many, one for
+    each window: its digest as suffix, null as the bytes to the left, and as step the number of bytes left of the anchor.
+    """
 
     def send(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         wanted = np.sort(_unpacked(replies.column("grams").to_pylist())) if replies.num_rows and rows.num_rows else np.zeros(0, np.uint64)
         if not len(wanted):
-            return _TUPLE.empty_table()
+            return _packets(np.zeros(0, np.int32), _TUPLE.empty_table(), 0)
         wanted, hot = wanted >> np.uint64(1), (wanted & np.uint64(1)).astype(bool)
-        texts, ids, out = rows.column("text").combine_chunks(), _ids(rows.column("doc_id")), []
+        block = key[0].as_py()
+        texts, ids = _texts(rows.column("rows")[0].as_py())
+        out, shard = [_TUPLE.empty_table()], [np.zeros(0, np.int32)]
         for a, _, raw, firsts, _ in _pieces(texts, length):
             place, hashes, first, last = anchors(raw, firsts, length)
             at = np.minimum(np.searchsorted(wanted, hashes >> GRAM), len(wanted) - 1)
@@ -212,18 +274,20 @@ def _tuples(blocks: DataFrame, answers: DataFrame, length: int) -> DataFrame:
             held = np.flatnonzero(~wide[one])
             some = one[held]
             suffix, left = _cut_out(raw, place[some], last[some] + length), _cut_out(raw, first[some], place[some], back=True)
-            facts = [least[held], most[held], np.full(len(some), key[0].as_py()), name[some]]
+            facts = [least[held], most[held], np.full(len(some), block), name[some]]
+            shard.append(_shards(hashes[has][some] >> GRAM, shards))
             out.append(pa.Table.from_arrays([suffix, left, pa.nulls(len(some), pa.int32()), *map(pa.array, facts)], schema=_TUPLE))
             held = np.flatnonzero(wide[one])
             if len(held):
                 number = (last - first)[one[held]] + 1
                 start, row = runs(first[one[held]], number), np.repeat(held, number)
                 digests = [hashlib.md5(raw[s : s + length].tobytes()).digest() for s in start]
-                facts = [(place[one[row]] - start).astype(np.int32), least[row], most[row], np.full(len(row), key[0].as_py()), name[one[row]]]
+                facts = [(place[one[row]] - start).astype(np.int32), least[row], most[row], np.full(len(row), block), name[one[row]]]
+                shard.append(_shards(np.array([int.from_bytes(d[:8], "little") for d in digests], np.uint64) >> GRAM, shards))
                 out.append(pa.Table.from_arrays([pa.array(digests, pa.binary()), pa.nulls(len(row), pa.binary()), *map(pa.array, facts)], schema=_TUPLE))
-        return pa.concat_tables(out) if out else _TUPLE.empty_table()
+        return _packets(np.concatenate(shard), pa.concat_tables(out), block)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, _TUPLE_SQL)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, "shard int, block bigint, tuples binary")
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +382,14 @@ def _run_facts(rows: pa.Table, before: dict) -> pa.Table:
 def _decided(tuples: DataFrame, length: int, most_held: int) -> DataFrame:
     """The facts of all contexts."""
     size = gram_size(length)
-    ordered = tuples.repartition(F.xxhash64(F.substring("suffix", 1, size))).sortWithinPartitions("suffix", "least")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = _unzipped(data.as_py())
+                yield from rows.add_column(5, "block", pa.array([block] * rows.num_rows, pa.int64())).to_batches(max_chunksize=20_000)
+
+    ordered = tuples.repartition("shard").select("block", "tuples").mapInArrow(unpack, _TUPLE_SQL).sortWithinPartitions("suffix", "least")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -361,14 +432,13 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
         raise ValueError("length must be 16 bytes or more")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    number = F.monotonically_increasing_id()
-    block: Column = F.when(F.octet_length("text") > 1 << 16, -number - 1).otherwise(F.shiftright(number, 8))
-    # Every pass groups by block, so that Spark makes one exchange of the texts and reads it again.
-    blocks = rows.withColumn("block", block)
-    facts = _decided(_tuples(blocks, _answered(_asked(blocks, length, total // BUCKET_BYTES + 64), most_held), length), length, most_held)
+    shards = total // SHARD_BYTES + 64
+    # Two passes group by block, so that Spark makes one exchange of the texts and reads it again.
+    blocks = _blocks(rows)
+    facts = _decided(_tuples(blocks, _answered(_asked(blocks, length, shards), most_held), length, shards), length, most_held)
 
     def cut(key: tuple, rows: pa.Table, facts: pa.Table) -> pa.Table:
-        texts, ids = rows.column("text").combine_chunks(), _ids(rows.column("doc_id"))
+        texts, ids = _texts(rows.column("rows")[0].as_py())
         spans: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
         if facts.num_rows:
             facts = facts.sort_by("name")
@@ -402,7 +472,7 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
             sizes.append(data.size)
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         listed = pa.array([[{"begin": b, "end": e} for b, e in gone] for gone in spans], span)
-        return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "spans": listed, "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": pa.array(ids, mask=ids == LAST), "n_bytes": pa.array(sizes, pa.int64()), "spans": listed, "kept": pa.array(kept, pa.binary())})
 
     return blocks.groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(cut, "doc_id bigint, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary")
 
