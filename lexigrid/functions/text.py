@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from json import dumps, loads
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,10 +40,34 @@ def route_template(url: Column) -> Column:
     return F.regexp_replace(path, r"/[0-9]+(?=/|$)", "/{id}")
 
 
+def _redact(value, names: frozenset[str]):
+    if isinstance(value, dict):
+        return {k: "***" if k.lower() in names else _redact(v, names) for k, v in value.items()}
+    return [_redact(v, names) for v in value] if isinstance(value, list) else value
+
+
 def redacted(json: Column, names: list[str], most: int) -> Column:
-    """Values of the named JSON keys replaced by ***, cut to `most` characters."""
-    pattern = '("(?:' + "|".join(names) + ')"\\s*:\\s*)("[^"]*"|[0-9.]+)'
-    return F.substring(F.regexp_replace(json, pattern, '$1"***"'), 1, most)
+    """Values of the named JSON keys, at any depth and with letter case ignored, replaced by ***, whatever their type; cut to
+    `most` bytes of UTF-8 (a character cut in two shows as U+FFFD). Texts that hold none of the names stay as they are. Of what isn't
+    JSON and holds a name, nothing is shown but ***. Null stays null."""
+    low = frozenset(n.lower() for n in names)
+
+    @F.pandas_udf("string")
+    def shown(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None or text != text:  # NaN stands for null in some versions
+                return None
+            if any(n in text.lower() for n in low) or "\\u" in text:  # names may be written with escapes
+                try:
+                    text = dumps(_redact(loads(text), low), ensure_ascii=False)
+                except (ValueError, RecursionError):
+                    text = "***"
+            raw = text.encode("utf-8", "replace")
+            return text if len(raw) <= most else raw[:most].decode("utf-8", "replace")
+
+        return texts.map(one, na_action=None)
+
+    return shown(json)
 
 
 def coordinates(text: Column) -> Column:

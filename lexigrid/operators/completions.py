@@ -110,10 +110,11 @@ def duration_buckets(rows: DataFrame, value: str, edges: Sequence[float]) -> Dat
 
 
 def change_history(rows: DataFrame, key: str, order: Sequence[str], value: str, most: int) -> DataFrame:
-    """Of each key the last `most` different runs of its value, oldest first, joined by commas, and the number of changes."""
-    own = Window.partitionBy(key).orderBy(*order)
-    before = F.lag(value).over(own)
-    runs = rows.select(key, *order, value, before.alias("_b")).filter(F.col(value).isNotNull() & (F.col("_b").isNull() | (F.col("_b") != F.col(value))))
+    """Of each key the last `most` different runs of its value, oldest first, joined by commas, and the number of changes.
+    Rows without value are left out first, so a value before and after them is one run."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
+    known = rows.select(key, *order, value).filter(F.col(value).isNotNull())
+    runs = known.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("_b") != F.col(value)))
     back = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
     placed = runs.withColumn("_k", back)
     names = F.array_sort(F.collect_list(F.when(F.col("_k") <= most, F.struct((-F.col("_k")).alias("k"), F.col(value).cast("string").alias("v")))))
@@ -135,8 +136,8 @@ def nested_tree(rows: DataFrame, levels: Sequence[str], data: Sequence[str] = ()
     for level in reversed(names[1:-1]):
         keys = names[: names.index(level)]
         entries = F.array_sort(F.collect_list(F.struct(F.col(level).alias("k"), "tree")))
-        quoted = F.transform(entries, lambda e: F.concat(F.to_json(F.array(e["k"])), F.lit(":"), e["tree"]))
-        body = F.array_join(F.transform(quoted, lambda q: F.regexp_replace(q, r"^\[(.*?)\]:", "$1:")), ",")
+        text = lambda k: F.substr(F.to_json(F.array(k)), F.lit(2), F.length(F.to_json(F.array(k))) - 2)  # noqa: E731  (without the brackets)
+        body = F.array_join(F.transform(entries, lambda e: F.concat(text(e["k"]), F.lit(":"), e["tree"])), ",")
         out = out.groupBy(*keys).agg(F.concat(F.lit("{"), body, F.lit("}")).alias("tree"))
     return out
 

@@ -199,5 +199,5 @@ def reading_details(rows: DataFrame, keys: list[str], reading: str, note: str) -
 def round_trip(rows: DataFrame, kind: str) -> DataFrame:
     """The rows as written in that format (csv or json) and read back with their types."""
     path = tables.export(rows, kind)
-    reader = rows.sparkSession.read.schema(rows.schema)
-    return reader.option("header", True).csv(path) if kind == "csv" else reader.json(path)
+    spark = rows.sparkSession
+    return tables.csv_rows(spark, path, rows.schema) if kind == "csv" else spark.read.schema(rows.schema).json(path)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -63,12 +64,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Both sides of a csv file, so that any text comes back: quotes around every text tell an empty one from null, quotes inside
+#: are doubled, and line ends and outer spaces stay.
+CSV = {"header": "true", "quoteAll": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "lineSep": "\n"}
+
+
+def csv_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of csv files as export() writes them. A field may go over many lines, so a file is read by one task."""
+    return spark.read.schema(schema).options(**CSV | {"multiLine": "true"}).csv(path)
+
+
 def export(df: DataFrame, kind: str, path: str | None = None, bom: bool = False) -> str:
-    """Writes csv (with a header), json or parquet; bom: csv files begin with a byte order mark. Gives the path."""
+    """Writes csv (with a header; null is \\N, and a text \\N isn't told from it), json or parquet; bom: csv files begin with a
+    byte order mark. Gives the path."""
     path = path or shared_path(df.sparkSession, f"export-{kind}")
     if kind == "csv":
         head = [F.col(c).alias(("\ufeff" if bom and k == 0 else "") + c) for k, c in enumerate(df.columns)]
-        df.select(*head).write.option("header", True).csv(path)
+        df.select(*head).write.options(**CSV).csv(path)
     elif kind == "json":
         df.write.json(path)
     elif kind == "parquet":
