@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrid.operators import timelines
+
 
 def with_running(df: DataFrame, value: str, n: str, descending: bool = False, parts: int = 64, group: str | None = None) -> DataFrame:
     """df has a row for each value (of each group, whose number is small); adds before, the sum of n over smaller (or larger)
@@ -253,22 +255,20 @@ def standard_scores(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def runs(df: DataFrame, key: str, order: str, flag: Column, least: int) -> DataFrame:
     """Runs of at least `least` consecutive rows for which the flag holds (gaps and islands)."""
-    own = Window.partitionBy(key).orderBy(order)
-    marked = df.select(key, order, flag.alias("flag"), F.row_number().over(own).alias("k"))
-    island = F.col("k") - F.row_number().over(Window.partitionBy(key, "flag").orderBy(order))
-    return marked.withColumn("island", island).filter("flag").groupBy(key, "island").agg(F.count("*").alias("length"), F.min(order).alias("first"), F.max(order).alias("last")).filter(F.col("length") >= least).drop("island")
+    return timelines.islands(df, key, order, flag, least)
 
 
 def sliding_count(df: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     """Rows of the key in the window of so many seconds that ends with each row."""
-    own = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("in_window", F.count("*").over(own))
+    return timelines.counts_within(df, key, at, seconds, "in_window")
 
 
 def active_time(df: DataFrame, key: str, at: str, idle: int) -> DataFrame:
     """Seconds between a key's consecutive rows, gaps over `idle` seconds left out."""
-    gap = (F.unix_micros(F.col(at).cast("timestamp")) - F.lag(F.unix_micros(F.col(at).cast("timestamp"))).over(Window.partitionBy(key).orderBy(at))) / 1e6
-    return df.select(key, gap.alias("gap")).groupBy(key).agg(F.round(F.sum(F.when(F.col("gap") <= idle, F.col("gap")).otherwise(0.0)), 3).alias("seconds"), F.count("*").alias("n"))
+    timed = df.select(key, timelines.micros(F.col(at)).alias("_t"))
+    gap = (F.col("_t") - F.col("_before._t")) / 1e6
+    rows = timelines.with_before(timelines.laid(timed, key, "_t"), ["_t"], ["_t"]).select(key, gap.alias("gap"))
+    return rows.groupBy(key).agg(F.round(F.sum(F.when(F.col("gap") <= idle, F.col("gap")).otherwise(0.0)), 3).alias("seconds"), F.count("*").alias("n"))
 
 
 def overview(df: DataFrame, user: str, kind: str, at: str) -> DataFrame:

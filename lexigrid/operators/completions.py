@@ -10,6 +10,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigrid.operators import timelines
 from lexigrid.operators.structures import bounded
 
 #: Classes of items by the marks of their readings in a cell: 2 and 3, 2, 3, or 1.
@@ -98,9 +99,9 @@ def session_hours(rows: DataFrame, at: str, zone: str = "UTC") -> DataFrame:
 
 def top_changers(rows: DataFrame, key: str, order: Sequence[str], value: str, k: int) -> DataFrame:
     """The k keys whose value changes most often from one row to the next (ties by key), with the changes."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
+    before = F.col("_before")[value]
     changed = (before.isNotNull() & (before != F.col(value))).cast("int").alias("c")
-    return rows.select(key, changed).groupBy(key).agg(F.sum("c").alias("n_changes")).orderBy(F.desc("n_changes"), key).limit(k)
+    return timelines.with_before(timelines.line_of(rows, key, order[0]), order, [value]).select(key, changed).groupBy(key).agg(F.sum("c").alias("n_changes")).orderBy(F.desc("n_changes"), key).limit(k)
 
 
 def duration_buckets(rows: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
@@ -112,9 +113,9 @@ def duration_buckets(rows: DataFrame, value: str, edges: Sequence[float]) -> Dat
 def change_history(rows: DataFrame, key: str, order: Sequence[str], value: str, most: int) -> DataFrame:
     """Of each key the last `most` different runs of its value, oldest first, joined by commas, and the number of changes.
     Rows without value are left out first, so a value before and after them is one run."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
     known = rows.select(key, *order, value).filter(F.col(value).isNotNull())
-    runs = known.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("_b") != F.col(value)))
+    before = F.col("_before")[value]
+    runs = timelines.with_before(timelines.line_of(known, key, order[0]), order, [value]).filter(before.isNull() | (before != F.col(value)))
     back = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
     placed = runs.withColumn("_k", back)
     names = F.array_sort(F.collect_list(F.when(F.col("_k") <= most, F.struct((-F.col("_k")).alias("k"), F.col(value).cast("string").alias("v")))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrid.operators import timelines
+
 
 def segments(df: DataFrame, user: str, at: str, steps: list[tuple[str, int, int]], other: str) -> DataFrame:
     """Users by the first step (name, least calls, most idle days) that they meet; idle days count to the last day."""
@@ -97,8 +99,8 @@ def median_filter(df: DataFrame, key: str, order: str, value: str, valid: Column
 
 def every_nth(df: DataFrame, key: str, order: str, factor: int) -> DataFrame:
     """Rows 1, factor + 1, ... of each key."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("_k", place).filter((F.col("_k") - 1) % factor == 0).drop("_k")
+    placed = timelines.with_running(timelines.line_of(df, key, order), [order], F.lit(1), "_k")
+    return placed.filter((F.col("_k") - 1) % factor == 0).select(*df.columns)
 
 
 def capped(df: DataFrame, order: list[str], most: int) -> DataFrame:
@@ -116,14 +118,14 @@ def day_and_all_time(df: DataFrame, path: str, at: str) -> DataFrame:
 
 def recent_attempts(df: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     """Rows of the key in so many seconds before each row, the row's own instant left out."""
-    own = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, -1)
-    return df.withColumn("attempts", F.count("*").over(own))
+    return timelines.counts_within(df, key, at, seconds, "attempts", own_time=False)
 
 
 def changes(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """How often a key's value differs from that of the row before, and the number of different values."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
-    return df.select(key, F.col(value).alias("v"), (before.isNotNull() & (before != F.col(value))).cast("int").alias("c")).groupBy(key).agg(F.sum(F.coalesce("c", F.lit(0))).alias("n_changes"), F.countDistinct("v").alias("n_values"))
+    rows = timelines.with_before(timelines.line_of(df, key, order[0]), order, [value])
+    before = F.col("_before")[value]
+    return rows.select(key, F.col(value).alias("v"), (before.isNotNull() & (before != F.col(value))).cast("int").alias("c")).groupBy(key).agg(F.sum(F.coalesce("c", F.lit(0))).alias("n_changes"), F.countDistinct("v").alias("n_values"))
 
 
 def within_capacity(df: DataFrame, group: str, order: list[Column], size: str, capacity: int) -> DataFrame:
@@ -143,8 +145,8 @@ def time_line(parts: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
 
 def contours(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Of each key's series: first, last, least, largest and mean value, range, and slope over the row number."""
-    own = Window.partitionBy(key).orderBy(order)
-    rows = df.filter(F.col(value).isNotNull()).select(key, order, F.col(value).alias("v"), F.row_number().over(own).cast("double").alias("k"))
+    line = timelines.line_of(df.filter(F.col(value).isNotNull()).select(key, order, F.col(value).alias("v")), key, order)
+    rows = timelines.with_running(line, [order], F.lit(1), "k").withColumn("k", F.col("k").cast("double"))
     r6 = lambda c: F.round(c, 6)
     return rows.groupBy(key).agg(
         r6(F.min_by("v", order)).alias("first"), r6(F.max_by("v", order)).alias("last"), r6(F.min("v")).alias("least"), r6(F.max("v")).alias("most"), r6(F.avg("v")).alias("mean"), r6(F.max("v") - F.min("v")).alias("range"), r6(F.regr_slope("v", "k")).alias("slope")
