@@ -8,8 +8,8 @@ table, one in SLIP (document, word) pairs by a hash loses a letter, as the hash
    the letter put in.
 2. Each word files its three rarest bigrams under (bigram, place, length), and looks for its own, and, as the longer
    word, for words of one letter less: six more keys. So each pair is found from one side. Spark joins by the
-   key, splits keys with very many words, and tests the pairs (levenshtein, at most 1) in the join, so candidates
-   aren't written.
+   key, splits keys with very many words, and tests the pairs in the join, so candidates aren't written: first by the kinds of
+   their letters, of which one edit changes two at most, then by levenshtein.
 3. A word's form is its near word with most occurrences, if it has `times` as many. Roots follow forms by doubling: a chain
    at least doubles its occurrences at each step, so there are few rounds; words are written each round.
 
@@ -141,10 +141,15 @@ def bigram_ranks(words: DataFrame) -> np.ndarray:
 
 
 def _keys(words: DataFrame, rank: np.ndarray, rarest: int, looking: bool) -> DataFrame:
-    """key and the word with its n: a 64-bit hash of (bigram, place, length) for each rarest bigram, as filed or as looked for."""
+    """key and the word with its n and kinds (a bit for each letter in it, modulo 64): a 64-bit hash of (bigram, place, length)
+    for each rarest bigram, as filed or as looked for."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            code, edges = _letters(batch.column(0))
+            if not len(code):
+                continue
+            kinds = np.bitwise_or.reduceat(np.uint64(1) << (code % 64).astype(np.uint64), edges[:-1]).view(np.int64)
             bigram, place, firsts = _bigrams(batch.column(0))
             number = np.diff(firsts)
             owner = np.repeat(np.arange(len(number)), number)
@@ -160,20 +165,21 @@ def _keys(words: DataFrame, rank: np.ndarray, rarest: int, looking: bool) -> Dat
                 keys.append(name(bigram[back], place[back] - 1, size[back] - 1))
                 owner = np.concatenate([owner, owner, owner[back]])
             owner = pa.array(owner)
-            yield from pa.Table.from_arrays([pa.array(np.concatenate(keys)), *(batch.column(k).take(owner) for k in (0, 1))], ["key", "word", "n"]).to_batches(max_chunksize=50_000)
+            yield from pa.Table.from_arrays([pa.array(np.concatenate(keys)), *(batch.column(k).take(owner) for k in (0, 1)), pa.array(kinds).take(owner)], ["key", "word", "n", "kinds"]).to_batches(max_chunksize=50_000)
 
-    return words.mapInArrow(make, "key bigint, word string, n bigint")
+    return words.mapInArrow(make, "key bigint, word string, n bigint, kinds bigint")
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """Pairs a, b of words (word, n) that differ by exactly one letter put in, left out or replaced, with n_a and n_b. Each pair
     once; a is the longer word, or the larger of equally long ones."""
     rank = bigram_ranks(words)
-    filed = _keys(words, rank, 3, looking=False).select("key", F.col("word").alias("b"), F.col("n").alias("n_b"))
-    looked = _keys(words, rank, 3, looking=True).select("key", F.col("word").alias("a"), F.col("n").alias("n_a"))
+    filed = _keys(words, rank, 3, looking=False).select("key", F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("kinds").alias("kinds_b"))
+    looked = _keys(words, rank, 3, looking=True).select("key", F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("kinds").alias("kinds_a"))
     length = lambda c: F.char_length(c)
     one_side = (length("a") > length("b")) | (F.col("a") > F.col("b"))
-    found = looked.join(filed, "key").filter(one_side & (F.levenshtein("a", "b", 1) == 1))
+    alike = F.bit_count(F.col("kinds_a").bitwiseXOR(F.col("kinds_b"))) <= 2
+    found = looked.join(filed, "key").filter(alike & one_side & (F.levenshtein("a", "b", 1) == 1))
     return found.select("a", "b", "n_a", "n_b").distinct()
 
 
