@@ -10,6 +10,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import NamedTuple
 
 import numpy as np
@@ -183,20 +184,21 @@ def lists(flat: np.ndarray | pa.Array, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
 
 
-#: The folders that each open scratch() block is to delete.
-_scratch: list[list[str]] = []
+#: The folders that each open scratch() block of the current thread (or task of an event loop) is to delete.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """At the end of the block, deletes the folders that were named in it and aren't kept. For work whose results are written
-    in the block: nothing that is read later may depend on the deleted folders."""
+    in the block: nothing that is read later may depend on the deleted folders. Blocks of other threads are others: a table is
+    deleted by the block that it was written in alone."""
     made: list[str] = []
-    _scratch.append(made)
+    before = _scratch.set((*_scratch.get(), made))
     try:
         yield
     finally:
-        _scratch.pop()
+        _scratch.reset(before)
         for name in made:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -213,7 +215,7 @@ def shared_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
         base = "file:///tmp/lexigrid-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    blocks = _scratch[:-1] if keep else _scratch
+    blocks = _scratch.get()[:-1] if keep else _scratch.get()
     if blocks:
         blocks[-1].append(path)
     return path
@@ -227,8 +229,13 @@ def written(df: DataFrame, name: str, keep: bool = False, **options: str) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns in one, `row`, so that none of their names can clash with others."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"))
+
+
 def numbered(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """The written rows with row_key: a different number for each, from its file and its place there, so it stays the same
+    """The written rows with row_key (df has no column of that name): a different number for each, from its file and its place there, so it stays the same
     however often the rows are read."""
     rows = written(df, name, keep, maxRecordsPerFile="0")
     file = F.regexp_extract("_metadata.file_name", r"^part-(\d+)-", 1).cast("long")
