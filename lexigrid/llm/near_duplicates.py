@@ -12,9 +12,10 @@ every register's first, so most shingles need very few.
 3. Pairs are verified on their whole texts, and verified pairs give components.
 4. Where a bucket's nodes are in several components, the nodes outside that of its smallest node are compared with all
    nodes of other components in the bucket, inside tiles of bounded size: first by their registers, so that each such
-   node's two nearest are verified as in 3, which joins most components; then whatever is still apart by registers
-   and, where the estimate comes near the threshold, by whole texts inside the tile. A tile gives only links that join
-   components. So no two similar nodes that share a bucket stay apart, and no bucket is written out as pairs.
+   node's two nearest are verified as in 3, which joins most components; then whatever is still apart by whole texts inside
+   the tile. There an index of the tile's shingles bounds the similarity from above (see shared_share), and pairs within
+   the bound are compared exactly. A tile gives only links that join components. So no two similar nodes that share a bucket
+   stay apart, and no bucket is written out as pairs.
 
 Nulls: rows without id or without text take no part; their class is null. Texts without words are alike
 only if they are equal. Rows that share an id are one document: each of its texts is a node, and these are linked. Empty tables give empty results; other columns
@@ -233,16 +234,15 @@ def classes(
         pairs = members.filter("node > centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
         met = written(pairs, "pairs")
         every = written(verified(met, texts, size, threshold), "verified")
-        # Three deviations of the estimate below the threshold: a pair at the threshold is passed over in 1 of 700 cases.
+        # First, by an estimate, each stray's two nearest nodes, which join most components; then all pairs that are still apart.
         least = threshold - 3 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-        # First each stray's two nearest nodes, which join most components; then all pairs that are still apart, exactly.
         mixed = _mixed(members, components(every.unionByName(again)), hot)
         near = _in_tiles(mixed, _marked(mixed, nodes, signed), hot, lambda rows: _tile_nearest(rows, least, 2)).distinct()
         near = written(near.join(met, ["a", "b"], "left_anti"), "pairs")
         every = every.unionByName(written(verified(near, texts, size, threshold), "verified"))
         mixed = _mixed(members, components(every.unionByName(again)), hot)
         marked = _marked(mixed, nodes, signed).join(texts, "node")
-        every = every.unionByName(written(_in_tiles(mixed, marked, hot, lambda rows: _tile_links(rows, least, size, threshold)).distinct(), "verified"))
+        every = every.unionByName(written(_in_tiles(mixed, marked, hot, lambda rows: _tile_links(rows, size, threshold)).distinct(), "verified"))
         labels = components(every.unionByName(again))
         named = written(nodes.join(labels, "node", "left").select("key", "first", F.coalesce("label", "node").alias("label")), "named")
         smallest = written(named.groupBy("label").agg(F.min("first").alias("class_id"), F.count("*").alias("n")), "smallest")
@@ -330,20 +330,38 @@ def _tile_nearest(rows: pa.Table, least: float, nearest: int) -> pa.RecordBatch:
     return _pairs(first, second)
 
 
-def _tile_links(rows: pa.Table, least: float, size: int, threshold: float) -> pa.RecordBatch:
+def shared_share(x: tuple[np.ndarray, np.ndarray], index: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Of a weighted set (shingles, weights) with each of n others: the sum over shared shingles of the lesser share of the weights.
+    The probability Jaccard index is never more: a shared shingle adds 1 / sum(max(.)), and that sum is at least the greater
+    of the two sets' weights over the shingle's. index: the others' shingles in order, with their shares and sets."""
+    found, share, owner = index
+    lo = np.searchsorted(found, x[0])
+    number = np.searchsorted(found, x[0], "right") - lo
+    at = runs(lo, number)
+    mine = np.repeat(x[1] / x[1].sum(), number)
+    return np.bincount(owner[at], np.minimum(mine, share[at]), n)
+
+
+def _tile_links(rows: pa.Table, size: int, threshold: float) -> pa.RecordBatch:
     """Similar pairs by whole texts, until no two components of the tile have a similar pair and are still apart."""
-    stray, node, label, registers = _parts_of(rows)
+    stray, node, label, _ = _parts_of(rows)
     group = np.unique(label, return_inverse=True)[1]
     others = np.flatnonzero(~stray)
-    texts, sets = rows.column("text"), {}
-    weighed = lambda k: sets[k] if k in sets else sets.setdefault(k, _weighted(pa.array([texts[int(k)].as_py()], pa.string()), size)[0])
+    sets = _weighted(rows.column("text").combine_chunks(), size)
+    parts = [(sets[o][0], sets[o][1] / sets[o][1].sum(), np.full(len(sets[o][0]), k)) for k, o in enumerate(others) if len(sets[o][0])]
     first, second = [], []
-    for k in np.flatnonzero(stray):
-        agree = (registers[others] == registers[k]).mean(axis=1)
-        close = np.flatnonzero((agree >= least) & (group[others] != group[k]))
-        for o in others[close[np.argsort(-agree[close], kind="stable")]]:
-            if group[o] != group[k] and probability_jaccard(weighed(k), weighed(o)) >= threshold:
-                first.append(node[k])
-                second.append(node[o])
-                group[group == group[o]] = group[k]
+    if parts:
+        index = tuple(np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(index[0], kind="stable")
+        index = tuple(x[order] for x in index)
+        for k in np.flatnonzero(stray):
+            if not len(sets[k][0]):
+                continue
+            bound = shared_share(sets[k], index, len(others))
+            close = np.flatnonzero((bound >= threshold - 1e-9) & (group[others] != group[k]))
+            for o in others[close[np.argsort(-bound[close], kind="stable")]]:
+                if group[o] != group[k] and probability_jaccard(sets[k], sets[o]) >= threshold:
+                    first.append(node[k])
+                    second.append(node[o])
+                    group[group == group[o]] = group[k]
     return _pairs(first, second)
