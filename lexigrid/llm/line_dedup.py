@@ -1,8 +1,8 @@
 """Boilerplate lines by their frequency within a site.
 
 A page's lines are the texts between block-level tags and line ends. For each host, the pages that contain a line are
-divided by the host's pages; lines on at least `least_pages` pages whose share exceeds `ratio` are boilerplate and go
-from every page of that host. A host has at most (mean lines a page) / ratio such lines, so they travel as one
+divided by the host's pages; lines whose share exceeds `ratio` are boilerplate and go from every page of that host, whatever its
+number of pages: where that is under 1 / ratio, all lines do. least_pages, 1 unless given, spares lines on fewer pages. A host has at most (mean lines a page) / ratio such lines, so they travel as one
 small array a host; nothing else of a host is ever gathered.
 
 Lines count once a page and are named by their md5 (128 bits). Nulls: a null or odd url has the host '' and a null
@@ -22,7 +22,8 @@ BREAKS = r"(?i)<(/?(p|div|li|ul|ol|nav|article|section|header|footer|h[1-6]|tabl
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1), F.lit("")))
+    """The host of a url, without user and port, in lower case; an address in brackets with them."""
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1), F.lit("")))
 
 
 def lines(html: Column) -> Column:
@@ -41,7 +42,7 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
     return often.groupBy("host").agg(F.collect_list("name").alias("boilerplate"))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, least_pages: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = 0.1, least_pages: int = 1, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, lines and kept (the lines that stay, in order)."""
     cut = pages.select(F.col(id_col).alias("page_id"), host(F.col(url_col)).alias("host"), lines(F.col(html_col)).alias("lines"))
     cut = written(cut.withColumn("names", F.transform("lines", lambda x: F.unhex(F.md5(x.cast("binary"))))), "lines")

@@ -89,7 +89,7 @@ _RUNS = r"regexp_extract_all(translate({}, '" + _UPPER + "', '" + _LOWER + "'),
 ORACLE = {
     "op1_line_dedup": r"""
 WITH cut AS (
-  SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1), '')) AS host,
+  SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1), '')) AS host,
          list_filter(list_transform(regexp_split_to_array(
            regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)>', chr(10), 'g'),
              '(?i)<(/?(p|div|li|ul|ol|nav|article|section|header|footer|h[1-6]|table|tr|td|th|title|head|body|html|blockquote|pre|form|main|aside)|br)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '[\n\r]+'),
@@ -97,7 +97,7 @@ WITH cut AS (
   FROM pages),
 totals AS (SELECT host, count(*) AS pages FROM cut GROUP BY host),
 counts AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM cut) GROUP BY host, line),
-often AS (SELECT host, list(line) AS bad FROM counts JOIN totals USING (host) WHERE n >= 3 AND n > 0.1 * pages GROUP BY host),
+often AS (SELECT host, list(line) AS bad FROM counts JOIN totals USING (host) WHERE n > 0.1 * pages GROUP BY host),
 kept AS (SELECT page_id, cut.host, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, x)) END AS kept
          FROM cut LEFT JOIN often ON cut.host = often.host)
 SELECT page_id, host, len(lines) AS n_lines, len(kept) AS n_kept, md5(coalesce(array_to_string(kept, chr(10)), '')) AS kept_md5 FROM kept""",
