@@ -288,7 +288,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, separator: int, rows_
     )
 
 
-BLOCK = "file string, size bigint, split bigint, block bigint, bytes bigint, odd array<bigint>, even array<bigint>"
+BLOCK = "file string, size bigint, split bigint, block bigint, bytes bigint, n_odd bigint, last_odd bigint, n_even bigint, last_even bigint, odd array<bigint>, even array<bigint>"
 
 
 def _found(data: np.ndarray, low: int, high: int, breaks: np.ndarray) -> np.ndarray:
@@ -323,7 +323,8 @@ def scan_separators(spark: SparkSession, path: str, separator: int, block_bytes:
             places = places + np.searchsorted(breaks, places, "right")  # the bytes of the value 10 before them
             one = [rows[0].column(k)[0].as_py() for k in range(3)]
             parts = [places[places % 2 == 1], places[places % 2 == 0]]
-            arrays = [pa.array([x]) for x in (*one, block, int(breaks[-1]) + len(breaks))] + [lists(p, np.array([0, len(p)])) for p in parts]
+            ends = [x for p in parts for x in (len(p), int(p[-1]) if len(p) else None)]
+            arrays = [pa.array([x], pa.string() if k == 0 else pa.int64()) for k, x in enumerate((*one, block, int(breaks[-1]) + len(breaks), *ends))] + [lists(p, np.array([0, len(p)])) for p in parts]
             return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in BLOCK.split(", ")])
 
         size = 0
@@ -346,20 +347,22 @@ def scan_separators(spark: SparkSession, path: str, separator: int, block_bytes:
         F.regexp_extract("_metadata.file_path", "[^/]+$", 0).alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary")
     )
     raw = written(given.mapInArrow(search, BLOCK), "blocks")
+    # The scan over a file's blocks has a short row for each; places are read again afterwards, in no order.
+    short = raw.drop("odd", "even")
     so_far = Window.partitionBy("file").orderBy("split", "block")
     before = so_far.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
     # Spark drops a byte order mark, three bytes, at the beginning of a file: then the bytes seen are fewer than the file's.
     at = F.coalesce(F.sum("bytes").over(before), F.lit(0)) + F.when(F.sum("bytes").over(whole) < F.col("size"), 3).otherwise(0)
-    placed = raw.withColumn("at", at).withColumn("places", F.when(F.col("at") % 2 == 0, F.col("even")).otherwise(F.col("odd")))
-    placed = placed.select("file", "split", "block", F.expr("size div 2").alias("upto"), F.transform("places", lambda p: F.shiftright(p + F.col("at"), 1)).alias("places"))
-    stitched = (
-        placed.withColumn("number", F.size("places").cast("long"))
-        .withColumn("last", F.when(F.col("number") > 0, F.element_at("places", -1)))
-        .withColumn("docs_before", F.coalesce(F.sum("number").over(before), F.lit(0)))
+    half = lambda name: F.when(F.col("at") % 2 == 0, F.col(f"{name}_even")).otherwise(F.col(f"{name}_odd"))
+    placed = short.withColumn("at", at).select("file", "split", "block", "at", F.expr("size div 2").alias("upto"), half("n").alias("number"), F.shiftright(half("last") + F.col("at"), 1).alias("last"))
+    scanned = (
+        placed.withColumn("docs_before", F.coalesce(F.sum("number").over(before), F.lit(0)))
         .withColumn("from", F.coalesce(F.max("last").over(before) + 1, F.lit(0)))
         .withColumn("final", F.lead("block").over(so_far).isNull())
     )
+    chosen = F.when(F.col("at") % 2 == 0, F.col("even")).otherwise(F.col("odd"))
+    stitched = scanned.join(raw.select("file", "split", "block", "odd", "even"), ["file", "split", "block"]).withColumn("places", F.transform(chosen, lambda p: F.shiftright(p + F.col("at"), 1)))
     tail = F.when(F.col("final") & (F.greatest(F.col("from"), F.coalesce(F.col("last") + 1, F.lit(0))) < F.col("upto")), F.array(F.col("upto") - 1))
     found = stitched.select("file", "docs_before", "from", "number", F.posexplode(F.concat("places", F.coalesce(tail, F.array().cast("array<bigint>")))).alias("k", "place"), "places")
     start = F.when(F.col("k") == 0, F.col("from")).otherwise(F.get("places", F.col("k") - 1) + 1)

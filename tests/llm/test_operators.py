@@ -124,7 +124,7 @@ def test_tiles_link_what_is_similar_and_apart():
     similar = {(a, b) for a in range(6) for b in range(a) if near_duplicates.probability_jaccard(one(a), one(b)) >= 0.8}
     rows = [(stray, k, k, bytes(8), texts[k]) for stray in (True, False) for k in range(6)]
     table = pa.table(dict(zip(("stray", "node", "label", "registers", "text"), map(list, zip(*rows)))))
-    links = near_duplicates._tile_links(table, 0.5, 5, 0.8).to_pydict()
+    links = near_duplicates._tile_links(table, 5, 0.8).to_pydict()
     found = set(zip(links["a"], links["b"]))
     assert found <= similar and len(found) == len(links["a"]) == 3  # four similar texts, three links
 
@@ -519,7 +519,7 @@ def test_warc_empty(spark):
 def test_line_dedup(spark):
     page = lambda k: f"<div>Menu</div><p>Text {k}</p><script>x</script><p>Text {k}</p>"
     rows = [(k, "https://Site.example/p", page(k)) for k in range(5)] + [(7, None, None), (8, "https://other.example/", "<p>Menu</p>")]
-    out = {r.page_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    out = {r.page_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "page_id bigint, url string, html string"), least_pages=3).collect()}
     assert all(out[k].kept == [f"Text {k}", f"Text {k}"] and out[k].host == "site.example" for k in range(5))
     assert out[7].kept == [] and out[8].kept == ["Menu"]
 
@@ -532,7 +532,7 @@ def test_line_dedup_edges(spark):
     hot = [(1000, "http://hot.example/", f"<p>menu</p><p>own {k % 500}</p>", "", "") for k in range(2000)]
     long = [(5000, None, "<li>" + "word " * 200_000 + "</li>" * 3, None, None)] * 2
     df = spark.createDataFrame(at + over + hot + long, schema).repartition(7)
-    out = line_dedup.drop_boilerplate(df).collect()
+    out = line_dedup.drop_boilerplate(df, least_pages=3).collect()
     assert len(out) == len(at) + len(over) + len(hot) + 2
     kept = collections.Counter((r.host, r.page_id == 1000, tuple(r.kept)[:1] if r.page_id != 5000 else len(r.kept)) for r in out)
     assert kept["a.example", False, ("often",)] == 4 and kept["b.example", False, ()] == 5
@@ -541,6 +541,57 @@ def test_line_dedup_edges(spark):
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_line_dedup_goes_by_the_ratio_alone(spark):
+    """Without least_pages a line goes above the ratio, however few pages a site has; hosts are those of the urls."""
+    urls = ["http://u:p@Site.org:80/x", "https://site.org/y?a=b@c", "http://site.org", "http://[2001:DB8::1]:8080/", "http://x@[2001:db8::1]/", "site.org/no-scheme", "http:///", None]
+    rows = [(k, u, f"<p>all</p><p>own {k}</p>") for k, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert [r.host for r in df.select(line_dedup.host(df.url).alias("host")).collect()] == ["site.org"] * 3 + ["[2001:db8::1]"] * 2 + [""] * 3
+    kept = {r.page_id: r.kept for r in line_dedup.drop_boilerplate(df, ratio=0.4).collect()}
+    assert kept == {0: ["own 0"], 1: ["own 1"], 2: ["own 2"], 3: [], 4: [], 5: ["own 5"], 6: ["own 6"], 7: ["own 7"]}
+    assert all(r.kept == [] for r in line_dedup.drop_boilerplate(df).collect())
+
+
+def test_near_duplicate_classes_are_components_of_all_similar_pairs(spark):
+    """No link too many: over the whole documents table every class holds together by similar pairs of its own, found by brute force
+    over its members. Nor one too few within a bucket, whatever the registers say (see the tile's test)."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    members = collections.defaultdict(list)
+    for r in near_duplicates.classes(docs).collect():
+        members[r.class_id].append(r.doc_id)
+    weighed = lambda k: near_duplicates._weighted(pa.array([text[k]], pa.string()), 5)[0]
+    several = {c: m for c, m in members.items() if c is not None and len(m) > 1}
+    assert len(several) > 10
+    for m in several.values():
+        sets = {k: weighed(k) for k in m}
+        same = lambda a, b: text[a] == text[b] or near_duplicates.probability_jaccard(sets[a], sets[b]) >= 0.8
+        reached, ahead = {m[0]}, [m[0]]
+        while ahead:
+            a = ahead.pop()
+            new = [b for b in m if b not in reached and same(a, b)]
+            reached.update(new)
+            ahead += new
+        assert reached == set(m)
+
+
+def test_shared_share_is_an_upper_bound():
+    random = np.random.RandomState(5)
+    sets = []
+    for _ in range(40):
+        shingles = np.unique(random.randint(0, 60, 30).astype(np.uint64))
+        sets.append((shingles, random.randint(1, 5, len(shingles))))
+    parts = [(s, w / w.sum(), np.full(len(s), k)) for k, (s, w) in enumerate(sets)]
+    index = [np.concatenate(x) for x in zip(*parts)]
+    order = np.argsort(index[0], kind="stable")
+    index = tuple(x[order] for x in index)
+    for x in sets:
+        bound = near_duplicates.shared_share(x, index, len(sets))
+        assert all(near_duplicates.probability_jaccard(x, y) <= b + 1e-9 for y, b in zip(sets, bound))
+
+
 def test_near_duplicates_find_all_similar_pairs(spark):
     """Against all pairs that share a shingle, of the whole documents table: nine of ten similar pairs share a class."""
     import pyarrow as pa
@@ -726,6 +777,35 @@ def test_scratch_deletes_what_is_not_kept(spark):
             df.count()
 
 
+def test_scratch_blocks_of_threads_are_their_own(spark):
+    import threading
+
+    from lexigrid.llm.common import scratch, written
+
+    made = []
+    with scratch(spark):
+        other = threading.Thread(target=lambda: made.append(written(spark.range(3), "other")))
+        other.start()
+        other.join()
+    assert made[0].count() == 3  # the block of this thread leaves it alone
+
+
+def test_pipeline_of_clashing_columns(spark, tmp_path):
+    """Columns named as the stages' own stay as they are."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["row_key", "row", "copies", "copy", "last", "most", "mixed_source", "class_id", "kept", "n", "node", "label", "salt", "place", "predicted", "held_out", "score", "count(*)", "a b"]
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(40)), "en", "ab"[k % 2], 1, *(f"{c}{k}" for c in names)) for k in range(30)]
+    columns = ["doc_id", "text", "lang", "source", "n_chars", *names]
+    docs = spark.createDataFrame(rows, columns)
+    spark.createDataFrame([(k, 1, int(k > 27)) for k in range(30)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"w3x{j}" for j in range(12)))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+        assert {tuple(r) for r in docs.collect()} <= set(rows)
+    assert 0 < pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count()
+
+
 def test_pipeline_runs_whole(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     data = "/root/testdata/sf0.001"
