@@ -11,13 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm import decontaminate, mixing, near_duplicates, queries, tokens, toxicity
-from lexigrid.llm.common import hot_salts, numbered, salted_join, scratch, shared_folder, table, written
+from lexigrid.llm.common import hot_salts, numbered, packed, salted_join, scratch, shared_folder, table, written
+
+
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The written documents with all their columns in one, `row`, and row_key, so that no column's name can clash; and of them row_key,
+    doc_id, text and source alone."""
+    rows = numbered(packed(docs), name)
+    return rows, rows.select("row_key", *(F.col("row")[c].alias(c) for c in ("doc_id", "text", "source") if c in docs.columns))
 
 
 def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The numbered rows but those rejected, without their numbers. The rejected are the smaller side, so that Spark can
-    broadcast them as long as its own size limit allows, and else joins by a shuffle."""
-    return rows.join(rejected, "row_key", "left_anti").drop("row_key")
+    """The numbered rows but those rejected, as they were. The rejected are the smaller side, so that Spark can broadcast them
+    as long as its own size limit allows, and else joins by a shuffle."""
+    return rows.join(rejected, "row_key", "left_anti").select("row.*")
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +36,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate class of texts stays, that with the smallest id (null ids last, and of equal ids the
     first written); rows without text stay. Rows are judged by their own text, whatever their ids."""
-    rows = numbered(docs, "near-input")
+    whole, rows = _numbered(docs, "near-input")
     with scratch(spark):
         found = near_duplicates.classes(rows, id_col="row_key").filter("class_id IS NOT NULL").select(F.col("doc_id").alias("row_key"), "class_id")
         named = written(found.join(rows.select("row_key", "doc_id"), "row_key"), "classes")
@@ -38,16 +45,16 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
         large, _ = hot_salts(kept, "class_id", "n")
         copies = salted_join(named.select("class_id", "row_key"), kept.drop("n"), large, "class_id", F.col("row_key"))
         rejected = written(copies.filter("row_key <> kept").select("row_key"), "rejected", keep=True)
-    return _without(rows, rejected)
+    return _without(whole, rejected)
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose own text has a window of a benchmark item go."""
-    rows = numbered(docs, "seen-input")
+    whole, rows = _numbered(docs, "seen-input")
     with scratch(spark):
         found = decontaminate.report(decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row_key"))
         seen = written(found.filter("contaminated").select(F.col("doc_id").alias("row_key")), "seen", keep=True)
-    return _without(rows, seen)
+    return _without(whole, seen)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,16 +64,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     beyond it. So a row for each source, that place, decides for every document, and texts aren't shuffled. Keys are of the
     id and the row's number, so no two rows share a place, whatever their ids.
     """
-    rows = numbered(docs, "mix-input")
+    whole, rows = _numbered(docs, "mix-input")
     place = mixing.place(mixing.SEED, "row_key")
     with scratch(spark):
         mix = mixing.mix(rows, tie="row_key").select("source", place.alias("place"), mixing.epochs().alias("copies"))
         cuts = mix.groupBy("source").agg(F.max(F.struct("copies", "place")).alias("last"))
         cuts = written(cuts.select(F.col("source").alias("mixed_source"), F.col("last.copies").alias("most"), F.col("last.place").alias("last")), "cuts", keep=True)
-    joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("mixed_source")))
+    joined = whole.withColumn("doc_id", F.col("row.doc_id")).join(cuts, F.col("row.source").eqNullSafe(F.col("mixed_source")))
     copies = F.when(place <= F.col("last"), F.col("most")).otherwise(F.col("most") - 1)
     repeated = joined.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    return repeated.select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
