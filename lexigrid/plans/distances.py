@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.operators import aggregation as agg
 from lexigrid.operators import distances as ds
+from lexigrid.operators import linkage as lk
 from lexigrid.plans.queries import query
 from lexigrid.sources.tables import table
 
@@ -114,3 +115,27 @@ def adv30_shared(spark, d):
   count(DISTINCT token) AS n_tokens, CASE WHEN count(DISTINCT item) < 2 THEN 'fewer than two items' WHEN count(DISTINCT location) < (SELECT count(DISTINCT s_nationkey) FROM supplier) THEN 'not at all locations' ELSE '' END AS warning FROM t GROUP BY grp""")
 def adv35_group_diagnostics(spark, d):
     return ds.group_diagnostics(_found(spark, d), table(spark, d, "supplier").select(F.col("s_nationkey").alias("location")))
+
+
+@query()
+def adv33_average(spark, d):
+    """The dendrogram of the locations by average linkage of their blended distances."""
+    return lk.merges(ds.distance_matrix(_found(spark, d), _weights(spark)), "average").select("height", "round", "left", "right", "n")
+
+
+@query()
+def adv33_complete_labels(spark, d):
+    matrix = ds.distance_matrix(_found(spark, d), _weights(spark))
+    places = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("node"))
+    return lk.labels(places, lk.merges(matrix, "complete"), 5)
+
+
+@query()
+def adv33_single(spark, d):
+    """The lightest spanning tree of the locations: single linkage."""
+    return lk.spanning_tree(ds.distance_matrix(_found(spark, d), _weights(spark)))
+
+
+@query()
+def adv32_scaled(spark, d):
+    return lk.scaled(ds.distance_matrix(_found(spark, d), _weights(spark)), 3)

@@ -88,3 +88,29 @@ def export(df: DataFrame, kind: str, path: str | None = None, bom: bool = False)
     else:
         raise ValueError(f"{kind} isn't one of csv, json, parquet")
     return path
+
+
+class Rounds:
+    """Tables of iterations in the shared folder: each name holds the last one written, and the one before is deleted, so a loop
+    leaves one table a name behind. close() deletes those too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table that is read back: cuts lineage, and survives lost executors."""
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        self._delete(self.paths.get(name))
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        for path in self.paths.values():
+            self._delete(path)
+        self.paths = {}
+
+    def _delete(self, name: str | None) -> None:
+        if name:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
