@@ -42,15 +42,38 @@ def count_stream(stream: DataFrame, keys: list[str], at: str, path: str, checkpo
 
 
 def totals(spark: SparkSession, path: str, keys: list[str], sums: list[str], latest: Sequence[str] = ()) -> DataFrame:
-    """All batches' rows of a sum_stream by key, with sums added up and the largest of latest."""
-    return merged(None, spark.read.parquet(path).drop("batch"), keys, sums, latest)
-
-
-def compact(spark: SparkSession, path: str, into: str, upto: int, keys: list[str], sums: list[str], latest: Sequence[str] = ()) -> None:
-    """Writes the batches up to that number as one, to another folder's batch of that number; later batches are to be read
-    beside it."""
-    old = spark.read.parquet(path).filter(F.col("batch") <= upto).drop("batch")
-    merged(None, old, keys, sums, latest).write.mode("overwrite").parquet(f"{into}/batch={upto}")
+    """All batches' rows of a sum_stream by key, with sums added up and the largest of latest; see compact()."""
+    files, folder = _files(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    aside = [int(n[9:]) for n in names if n.startswith("_compact-") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    upto = max(aside, default=-1)
+    parts = [f"{path}/_compact-{upto}"] if aside else []
+    parts += [f"{path}/{n}" for n in names if n.startswith("batch=") and int(n[6:]) > upto]
+    return merged(None, spark.read.parquet(*parts), keys, sums, latest)
+
+
+def compact(spark: SparkSession, path: str, upto: int, keys: list[str], sums: list[str], latest: Sequence[str] = ()) -> None:
+    """Puts the batches up to that number together as one of that number, in the same folder, while no batch up to it is being
+    written. The sums are written aside first; then the old batches are deleted, and the new one is moved to its name. A
+    compaction that stopped in between is taken up by the next one (or by totals(), which reads what was written aside in place of the
+    batches that it holds), so nothing counts twice or is lost."""
+    files, folder = _files(spark, path)
+    aside = f"{path}/_compact-{upto}"
+    done = [s.getPath().getName() for s in files.listStatus(folder) if s.getPath().getName().startswith("_compact-")]
+    whole = f"_compact-{upto}" in done and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{aside}/_SUCCESS"))
+    if not whole:
+        old = spark.read.parquet(path).filter(F.col("batch") <= upto).drop("batch")
+        merged(None, old, keys, sums, latest).write.mode("overwrite").parquet(aside)
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) <= upto:
+            files.delete(status.getPath(), True)
+    files.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={upto}"))
+
+
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
 def activity(batch: DataFrame, key: str, seconds: str, at: str) -> DataFrame:
@@ -76,11 +99,16 @@ def _admit(times: list[float], at: float, seconds: int, most: int) -> tuple[list
     return (live + [at], True) if len(live) < most else (live, False)
 
 
-def limit_stream(stream: DataFrame, key: str, at: str, seconds: int, most: int) -> DataFrame:
+def limit_stream(stream: DataFrame, key: str, at: str, seconds: int, most: int, delay: str | None = None) -> DataFrame:
     """The stream's key and time with accepted: whether fewer than `most` accepted rows of the key were in the seconds before.
-    The state of a key is at most so many times."""
+    The state of a key is at most so many times. delay: how far the watermark is behind the latest time; rows older than it
+    are dropped, and a key's state goes when the watermark has passed its last accepted row by the seconds. Without delay
+    no row is late, and the state of every key stays."""
 
     def judge(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(parts)).sort_values("at")
         accepted = []
@@ -88,11 +116,14 @@ def limit_stream(stream: DataFrame, key: str, at: str, seconds: int, most: int)
             times, ok = _admit(times, t.timestamp(), seconds, most)
             accepted.append(ok)
         state.update((times,))
+        if delay:
+            state.setTimeoutTimestamp(max(int((max(times) + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": name[0], "at": rows["at"], "accepted": accepted})
 
-    rows = stream.select(F.col(key).alias("key"), F.col(at).alias("at"))
+    rows = (stream.withWatermark(at, delay) if delay else stream).select(F.col(key).alias("key"), F.col(at).alias("at"))
     kind = dict(rows.dtypes)
-    return rows.groupBy("key").applyInPandasWithState(judge, f"key {kind['key']}, at {kind['at']}, accepted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    expiry = GroupStateTimeout.EventTimeTimeout if delay else GroupStateTimeout.NoTimeout
+    return rows.groupBy("key").applyInPandasWithState(judge, f"key {kind['key']}, at {kind['at']}, accepted boolean", "times array<double>", "append", expiry)
 
 
 def limited(rows: DataFrame, key: str, at: str, order: str, seconds: int, most: int) -> DataFrame:

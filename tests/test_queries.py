@@ -75,5 +75,5 @@ def test_counter_stream(spark, tmp_path):
     query.awaitTermination(120)
     keys, want = ["user", "unit", "bucket"], [("day", 2), ("hour", 1), ("hour", 1)]
     assert sorted((r["unit"], r["n"]) for r in totals(spark, str(tmp_path / "out"), keys, ["n"]).collect()) == want
-    compact(spark, str(tmp_path / "out"), str(tmp_path / "all"), 1, keys, ["n"])
-    assert sorted((r["unit"], r["n"]) for r in spark.read.parquet(str(tmp_path / "all")).collect()) == want
+    compact(spark, str(tmp_path / "out"), 1, keys, ["n"])
+    assert sorted((r["unit"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
