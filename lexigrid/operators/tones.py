@@ -5,6 +5,7 @@ A location has ten tone slots; a cell of a slot holds tone values and names in f
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,14 +110,18 @@ def collected_features(rows: DataFrame, variants: DataFrame, keys: list[str], ch
 def converted(rows: DataFrame, key: str, text: str, table: DataFrame) -> DataFrame:
     """key, traditional (the text with each character's first candidate) and candidates (joined by |), by a table of layer, char
     and candidates: for tables of thousands of characters, where text.to_traditional takes small ones. A character takes the
-    candidates of its least layer, or stands for itself. The key must be unique; a table has at most as many characters as
-    Unicode, so it may be broadcast. Null and empty texts give empty results."""
-    known = table.groupBy("char").agg(F.min_by("candidates", "layer").alias("found"))
-    chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
-    each = rows.select(F.col(key).alias("_key"), F.posexplode_outer(chars).alias("at", "char")).join(F.broadcast(known), "char", "left")
-    ordered = F.array_sort(F.collect_list(F.when(F.col("char").isNotNull(), F.struct("at", F.coalesce("found", "char").alias("c")))))
-    out = each.groupBy("_key").agg(ordered.alias("x")).withColumn("x", F.transform("x", lambda p: p["c"]))
-    return out.select(F.col("_key").alias(key), F.array_join(F.transform("x", lambda c: F.substring(c, 1, 1)), "").alias("traditional"), F.array_join("x", "|").alias("candidates"))
+    candidates of its least layer, or stands for itself. A table has at most as many characters as Unicode, so it goes to every
+    task, and no row is shuffled: keys may be repeated or null. Null and empty texts give empty results."""
+    known = table.filter("char IS NOT NULL AND candidates <> ''").groupBy("char").agg(F.min_by("candidates", "layer").alias("found"))
+    shared = rows.sparkSession.sparkContext.broadcast({r.char: r.found for r in known.collect()})
+
+    @F.pandas_udf("array<string>")
+    def candidates(texts: pd.Series) -> pd.Series:
+        found = shared.value
+        return texts.map(lambda t: [found.get(c, c) for c in t] if isinstance(t, str) else [])
+
+    out = rows.select(F.col(key), candidates(text).alias("x"))
+    return out.select(key, F.array_join(F.transform("x", lambda c: F.substring(c, 1, 1)), "").alias("traditional"), F.array_join("x", "|").alias("candidates"))
 
 
 def contour(cell: Column) -> Column:

@@ -19,13 +19,12 @@ def agg10_mark_classes(spark, d):
     return cp.mark_classes(_readings(spark, d).withColumn("mark", F.col("event_id") % 4), ["user_id", "event_type"], "k", "mark")
 
 
-@query("""WITH e AS (SELECT DISTINCT l_returnflag, p_brand, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49), o AS (SELECT l_returnflag, l_suppkey, string_agg(p_brand, '|' ORDER BY p_brand) AS a, count(*) AS n FROM e GROUP BY ALL),
+@query("""WITH e AS (SELECT DISTINCT l_returnflag, p_brand, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey), o AS (SELECT l_returnflag, l_suppkey, string_agg(p_brand, '|' ORDER BY p_brand) AS a, count(*) AS n FROM e GROUP BY ALL),
  t AS (SELECT l_returnflag, count(*) AS n_all FROM o GROUP BY l_returnflag)
 SELECT l_returnflag, p_brand || CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN '組' ELSE '' END AS label, count(*) AS n_items, round(count(*) / any_value(n_all), 4) AS share, coalesce(string_agg(CASE WHEN n > 1 THEN l_suppkey || ':' || a END, ';' ORDER BY l_suppkey || ':' || a), '') AS detail
 FROM e JOIN o USING (l_returnflag, l_suppkey) JOIN t USING (l_returnflag) GROUP BY l_returnflag, p_brand""")
 def agg13_class_details(spark, d):
-    """Large lines: the condition of the request."""
-    rows = table(spark, d, "lineitem").filter("l_quantity > 49").join(table(spark, d, "part"), F.expr("l_partkey = p_partkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.expr("l_partkey = p_partkey"))
     return cp.class_details(rows, "l_returnflag", "p_brand", "l_suppkey", ["Brand#1", "Brand#2"], "組")
 
 

@@ -31,9 +31,13 @@ def changed(df: DataFrame, key: str, updates: DataFrame, deletes: DataFrame) ->
 
 
 def table_list(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    """Name, rows and bytes of each table; the bytes are the optimiser's own statistics of the files."""
-    sizes = [(n, int(str(table(spark, sf_dir, n)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) for n in names]
-    return row_counts(spark, sf_dir, names).join(spark.createDataFrame(sizes, "name string, bytes bigint"), "name")
+    """Name, rows and bytes of each table; the bytes are those of its files that have rows."""
+    out = None
+    for name in names:
+        files = table(spark, sf_dir, name).groupBy("_metadata.file_path").agg(F.max("_metadata.file_size").alias("size"), F.count("*").alias("n"))
+        one = files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).select(F.lit(name).alias("name"), "n_rows", "bytes")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def lexicon(rows: DataFrame, column: str) -> DataFrame:
