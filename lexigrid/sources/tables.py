@@ -84,7 +84,8 @@ def export(df: DataFrame, kind: str, path: str | None = None, bom: bool = False)
     path = path or shared_path(df.sparkSession, f"export-{kind}")
     if kind == "csv":
         head = [F.col(c).alias(("\ufeff" if bom and k == 0 else "") + c) for k, c in enumerate(df.columns)]
-        df.select(*head).write.options(**CSV).csv(path)
+        # Quotes around the first name would come before the mark; without them, texts are quoted where they need it.
+        df.select(*head).write.options(**CSV | ({"quoteAll": "false", "emptyValue": '""'} if bom else {})).csv(path)
     elif kind == "json":
         df.write.json(path)
     elif kind == "parquet":

@@ -84,7 +84,7 @@ def test_index_is_pruned(spark, path):
     index = spatial.opened(spark, path)
     widest = index.filter("feature_id = 0").agg({"level": "min", "key": "count"}).first()
     assert widest[1] <= 4 * (3500 / spatial.EDGES + 2)
-    assert index.selectExpr("max(size(edges))").first()[0] <= 6 * spatial.EDGES
+    assert index.selectExpr("max(size(edges))").first()[0] <= 16 * spatial.EDGES  # of 3,407; spikes go over several bands
     found = spatial.at_points(index, spark.createDataFrame([(1, 3.0, 5.0)], "point_id int, x double, y double"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*zone", plan) and re.search(r"PushedFilters: \[[^\]]*key", plan)
