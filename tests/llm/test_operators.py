@@ -401,6 +401,38 @@ def test_toxicity_sample_is_bounded_in_rows(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_toxicity_scores_are_the_noisy_or_of_sentences(spark):
+    """Scores and sentences against a word-by-word version with the fitted weights."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["Bad thing here. Good day!", "good", "", None, "bad\nbad. thing", "x. " * 40 + "Bad"])], "doc_id bigint, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id bigint, toxic int")
+    weights = toxicity.fit(docs, known, least_texts=1, least_z=0.0, rounds=30)
+    features = lambda word: [int(x) for x in toxicity._features(find_words(__import__("pyarrow").array([word])))[0]]
+    for r in toxicity.score(docs, weights, offending=0.3).collect():
+        text = docs.filter(docs.doc_id == r.doc_id).first().text or ""
+        clean, bad = 1.0, 0
+        for sentence in re.split(r"[.!?\n\r]", text):
+            if words(sentence):
+                logit = sum(float(weights.values[f]) for w in words(sentence) for f in features(w)) + weights.bias
+                p = 1 / (1 + np.exp(-logit))
+                clean *= 1 - p
+                bad += p >= 0.3
+        assert r.score == pytest.approx(1 - clean, abs=1e-6) and len(r.sentences) == bad
+
+
+def test_toxicity_gradient_is_that_of_finite_differences():
+    random = np.random.RandomState(3)
+    counts = random.randint(1, 5, 20)
+    rows, columns = random.randint(0, counts.sum(), 200), random.randint(0, 9, 200)
+    label, importance = random.rand(20) < 0.4, random.rand(20) + 0.5
+    weight, bias, e = random.standard_normal(9), -0.7, 1e-6
+    value = lambda w, b: toxicity.likelihood(w, b, columns, rows, counts, label, importance)[0]
+    _, gradient, slope = toxicity.likelihood(weight, bias, columns, rows, counts, label, importance)
+    for k in range(9):
+        move = np.eye(9)[k] * e
+        assert (value(weight + move, bias) - value(weight - move, bias)) / (2 * e) == pytest.approx(gradient[k], rel=1e-4, abs=1e-8)
+    assert (value(weight, bias + e) - value(weight, bias - e)) / (2 * e) == pytest.approx(slope, rel=1e-4)
+
+
 def test_toxicity_of_one_kind_of_label_and_wide_stops(spark):
     import pyarrow as pa
 
