@@ -184,7 +184,9 @@ def near_words(words: DataFrame) -> DataFrame:
 
 
 def variants(docs: DataFrame, least_letters: int = 5, least_n: int = 3, times: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """word, form, root, n, n_near, form_n."""
+    """word, form, root, n, n_near, form_n. Words have four letters or more, so that an edit leaves one of three bigrams."""
+    if least_letters < 4:
+        raise ValueError("least_letters must be 4 or more")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     words = word_counts(rows, least_letters).groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_n)
     words = written(words, "words")
