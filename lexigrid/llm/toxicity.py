@@ -157,7 +157,7 @@ def likelihood(weight: np.ndarray, bias: float, columns: np.ndarray, rows: np.nd
     value = np.where(label, np.log(np.maximum(1 - clean, 1e-300)), log_clean) @ importance / len(counts)
     pull = np.where(label, clean / np.maximum(1 - clean, 1e-9), -1.0) * importance
     step = p * pull[text] / len(counts)
-    return float(value), np.bincount(columns, weights=step[rows], minlength=len(weight)), float(step.sum())
+    return float(value), np.bincount(columns, weights=step[rows], minlength=len(weight)).astype(float), float(step.sum())
 
 
 def _adam(columns: np.ndarray, rows: np.ndarray, counts: np.ndarray, label: np.ndarray, kept: np.ndarray, share: float, rounds: int, rate: float, penalty: float) -> Weights:
