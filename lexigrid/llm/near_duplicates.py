@@ -36,7 +36,7 @@ from lexigrid.llm.common import find_words, hot_salts, lists, mix64, numbered, r
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 TILE = 1024
 #: Bytes of text in a side of a tile, on average.
-TILE_BYTES = 8 << 20
+TILE_BYTES = 4 << 20
 
 
 def shingles(hashes: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -342,23 +342,32 @@ def shared_share(x: tuple[np.ndarray, np.ndarray], index: tuple[np.ndarray, np.n
     return np.bincount(owner[at], np.minimum(mine, share[at]), n)
 
 
+def _index(sets: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets' shingles in order, each with its share of the set's weight and the set's number."""
+    found, owner = np.concatenate([x for x, _ in sets]), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    share = np.concatenate([(n / max(n.sum(), 1)).astype(np.float32) for _, n in sets])
+    order = np.argsort(found, kind="stable").astype(np.int32)
+    return found[order], share[order], owner[order]
+
+
 def _tile_links(rows: pa.Table, size: int, threshold: float) -> pa.RecordBatch:
     """Similar pairs by whole texts, until no two components of the tile have a similar pair and are still apart."""
     stray, node, label, _ = _parts_of(rows)
     group = np.unique(label, return_inverse=True)[1]
     others = np.flatnonzero(~stray)
-    sets = _weighted(rows.column("text").combine_chunks(), size)
-    parts = [(sets[o][0], sets[o][1] / sets[o][1].sum(), np.full(len(sets[o][0]), k)) for k, o in enumerate(others) if len(sets[o][0])]
+    sets = []
+    for part in rows.column("text").chunks:
+        for a, b in slices(part, 1 << 19):
+            sets += [(x, n.astype(np.int32)) for x, n in _weighted(part[a:b], size)]
     first, second = [], []
-    if parts:
-        index = tuple(np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(index[0], kind="stable")
-        index = tuple(x[order] for x in index)
+    sizes = np.array([len(sets[o][0]) for o in others], np.int64)
+    if sizes.sum():
+        index = _index([sets[o] for o in others], sizes)
         for k in np.flatnonzero(stray):
             if not len(sets[k][0]):
                 continue
             bound = shared_share(sets[k], index, len(others))
-            close = np.flatnonzero((bound >= threshold - 1e-9) & (group[others] != group[k]))
+            close = np.flatnonzero((bound >= threshold - 1e-4) & (group[others] != group[k]))  # shares are single precision
             for o in others[close[np.argsort(-bound[close], kind="stable")]]:
                 if group[o] != group[k] and probability_jaccard(sets[k], sets[o]) >= threshold:
                     first.append(node[k])
