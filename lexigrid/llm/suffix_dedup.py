@@ -425,7 +425,7 @@ def _of_last_gram(table: pa.Table, size: int) -> int:
     return lo
 
 
-def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", most_held: int = 100_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", most_held: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, spans (begin and end of the bytes that go, ascending, apart from each other) and kept (the other
     bytes). most_held: tuples that a task takes at a time (twice as many of one gram at most); a gram with more is taken by windows."""
     if length < 16:
