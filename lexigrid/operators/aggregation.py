@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.operators import timelines
+from lexigrid.sources.tables import Rounds
 
 
 def with_running(df: DataFrame, value: str, n: str, descending: bool = False, parts: int = 64, group: str | None = None) -> DataFrame:
@@ -179,8 +180,9 @@ def growth(df: DataFrame, at: str, key: str) -> DataFrame:
 
 def ranking(df: DataFrame, key: str, value: str, user: str) -> DataFrame:
     """Competition rank by total, distinct users, gap to the next larger total, percent of the first and of all (null where
-    those are 0). Different totals are ranked by ranges, so no task orders all of them."""
-    totals = df.groupBy(key).agg(F.round(F.sum(value), 6).alias("total"), F.countDistinct(user).alias("users"))
+    those are 0). Different totals are ranked by ranges, so no task orders all of them. Totals are added up once and written: a sum
+    of doubles depends on the order of its rows, so two runs of it needn't meet in a join."""
+    totals = Rounds(df.sparkSession).written(df.groupBy(key).agg(F.round(F.sum(value), 6).alias("total"), F.countDistinct(user).alias("users")), "totals")
     steps = with_running(totals.filter("total IS NOT NULL").groupBy("total").agg(F.count("*").alias("n")), "total", "n", descending=True)
     steps = steps.select("total", (F.col("before") + 1).cast("int").alias("rank"), F.col("beside").alias("larger"))
     top = totals.agg(F.max("total").alias("most"), F.sum("total").alias("all"))

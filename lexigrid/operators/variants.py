@@ -99,10 +99,11 @@ def user_detail(rows: DataFrame, user: str, wanted: object, path: str, value: st
 
 
 def ranked_positive(rows: DataFrame, user: str, value: str) -> DataFrame:
-    """Competition rank of users with a positive total; different totals are ranked by ranges."""
+    """Competition rank of users with a positive total; different totals are ranked by ranges. Totals are added up once and
+    written (see aggregation.ranking)."""
     from lexigrid.operators.aggregation import with_running
 
-    totals = rows.groupBy(user).agg(F.round(F.sum(value), 4).alias("total")).filter("total > 0")
+    totals = tables.Rounds(rows.sparkSession).written(rows.groupBy(user).agg(F.round(F.sum(value), 4).alias("total")).filter("total > 0"), "totals")
     steps = with_running(totals.groupBy("total").agg(F.count("*").alias("n")), "total", "n", descending=True)
     return totals.join(steps.select("total", (F.col("before") + 1).alias("rank")), "total").select(user, "total", "rank")
 

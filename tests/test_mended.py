@@ -1,12 +1,13 @@
 """Operators on the odd input that they once got wrong."""
 
 import json
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as fn
-from lexigrid.operators import accounts, completions, variants
+from lexigrid.operators import accounts, aggregation, completions, variants
 from lexigrid.sources import tables
 
 ODD = ["a\nb", " x ", "", None, 'say "hi", \\ and ,', "line\r\nend\\", "\ttab", "é漢", '"', "a\rb"]
@@ -51,3 +52,12 @@ def test_limits_at_the_edge_of_a_window(spark):
     rows = spark.createDataFrame([(k, "u", t) for k, t in enumerate(times)], "id int, user string, at timestamp_ntz")
     got = {r.id: r.limited for r in accounts.within_limits(rows, ["id"], 86400, "at", {"user": 1}).collect()}
     assert got == {0: None, 1: "user", 2: None, 3: "user"}
+
+
+def test_ranking_adds_up_once(spark):
+    """Values that differ each time they are read, as sums of doubles do in their last digits: no key gets lost."""
+    value = F.udf(lambda: float(uuid.uuid4().int % 1_000_003), "double").asNondeterministic()
+    rows = spark.range(40).select((F.col("id") % 8).alias("key"), F.col("id").alias("user"), value().alias("value"))
+    ranked = aggregation.ranking(rows, "key", "value", "user").collect()
+    assert sorted(r.key for r in ranked) == list(range(8)) and sorted(r["rank"] for r in ranked) == list(range(1, 9))
+    assert variants.ranked_positive(rows, "key", "value").count() == 8
