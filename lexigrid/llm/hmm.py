@@ -67,7 +67,8 @@ def _classes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def encode_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out and text as written blocks."""
+    """doc_id, held_out and text as written blocks. A row group holds one block: Spark's writer and reader have a whole row group
+    in memory, and by its bytes alone Parquet would end one after a hundred rows at the earliest."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
@@ -82,7 +83,7 @@ def encode_blocks(docs: DataFrame) -> DataFrame:
         if kept:
             yield _block(kept)
 
-    return written(docs.select("doc_id", "held_out", "text").mapInArrow(encode, BLOCK), "hmm-blocks", **{"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20)})
+    return written(docs.select("doc_id", "held_out", "text").mapInArrow(encode, BLOCK), "hmm-blocks", **{"parquet.enable.dictionary": "false", "parquet.block.row.count.limit": "1"})
 
 
 def _block(kept: list) -> pa.RecordBatch:

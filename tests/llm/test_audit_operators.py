@@ -198,3 +198,16 @@ def test_suffix_dedup_in_pieces(spark, monkeypatch):
 def test_suffix_dedup_empty(spark):
     out = suffix_dedup.report(suffix_dedup.without_repeats(made(spark, [])))
     assert out.collect() == [] and out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def test_encoded_blocks_are_row_groups_of_their_own(spark):
+    """Whatever a task writes, reading has one block in memory and not all of a file's."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from lexigrid.llm import hmm
+
+    docs = spark.range(3).coalesce(1).select(F.col("id").alias("doc_id"), F.lit(False).alias("held_out"), F.expr("repeat('a ', 1500000)").alias("text"))
+    blocks = hmm.encode_blocks(docs)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    assert sum(m.num_rows for m in files) == sum(m.num_row_groups for m in files) == 3
