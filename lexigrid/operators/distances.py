@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrid.operators.structures import bounded
+from lexigrid.sources.tables import Rounds
 
 #: Weights of correspondence and structure, of the anchor part and of the shared part.
 CORRESPONDENCE, STRUCTURE, ANCHOR, SHARED = 0.85, 0.15, 0.15, 0.20
@@ -115,7 +116,10 @@ def distance_matrix(found: DataFrame, weights: DataFrame, mode: str = "intra", p
     mode: intra, anchored (with anchors) or shared. A group that neither has doesn't count, one that a side lacks costs 1;
     without shared items corr, anchors, shared and values are 1 and struct 0. Without any group the distance is 1."""
     keys = ["group"]
-    cells = aligned(found, keys)
+    # Both are small beside found, and read again and again.
+    steps = Rounds(found.sparkSession)
+    cells = steps.written(aligned(found, keys), "cells")
+    present = steps.written(found.select("group", "location").distinct(), "present")
     parts = intra(cells, keys)
     if mode == "anchored":
         parts = parts.join(anchors(cells, keys, profile), [*keys, "a", "b"])
@@ -127,7 +131,6 @@ def distance_matrix(found: DataFrame, weights: DataFrame, mode: str = "intra", p
         extra, weight = F.lit(0.0), 0.0
     if value_weight:
         parts = parts.join(values(cells, keys), [*keys, "a", "b"])
-    present = found.select("group", "location").distinct()
     places = bounded(present.select("location").distinct())
     pairs = places.select(F.col("location").alias("a")).join(places.select(F.col("location").alias("b")), F.col("a") < F.col("b")).crossJoin(F.broadcast(weights))
     has = lambda c: present.select("group", F.col("location").alias(c), F.lit(1).alias(f"has_{c}"))

@@ -76,7 +76,7 @@ def merges(distances: DataFrame, linkage: str) -> DataFrame:
         raise ValueError("linkage is average or complete; single linkage is the spanning tree")
     spark = distances.sparkSession
     steps = Rounds(spark)
-    pairs = pairs_of(distances)
+    pairs = steps.written(pairs_of(distances), "pairs")  # read three times
     items = bounded(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sizes = steps.written(items.select("node", F.lit(1).cast("long").alias("n")), "sizes")
     table = steps.written(pairs.select("a", "b", F.col("distance").alias("total"), F.lit(1).cast("long").alias("pairs")), "table")

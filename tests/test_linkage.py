@@ -83,3 +83,26 @@ def test_scaled(spark):
     assert np.allclose(np.array([got[k] for k in range(30)]), expected, atol=1e-4)
     with pytest.raises(ValueError):
         linkage.scaled(rows.filter("a + b <> 7"), 2)
+
+
+def test_inputs_are_evaluated_a_fixed_number_of_times(spark):
+    """Distances once in a dendrogram; tokens once for the locations and on both sides of the alignment in a matrix."""
+    from pyspark.sql import functions as F
+
+    from lexigrid.operators import distances
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(x):
+        seen.add(1)
+        return x
+
+    counted = F.udf(counting, "bigint").asNondeterministic()
+    rows = spark.createDataFrame([(a, b, float((a * 7 + b * 3) % 11 + 1)) for a in range(6) for b in range(a)], "a bigint, b bigint, distance double")
+    assert linkage.merges(rows.withColumn("a", counted("a")), "average").count() == 5
+    assert seen.value == 15
+    seen.value = 0
+    found = spark.createDataFrame([("g", k % 4, k // 4, f"t{k % 3}") for k in range(40)], "group string, location bigint, item bigint, token string").withColumn("location", counted("location"))
+    weights = spark.createDataFrame([("g", 1.0)], "group string, weight double")
+    assert distances.distance_matrix(found, weights).count() == 6
+    assert seen.value <= 3 * 40
