@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +22,54 @@ def ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return split.select(key, F.explode(F.transform(places, lambda i: F.array_join(F.slice("chars", i, F.lit(n)), ""))).alias("ngram"))
 
 
+#: Characters that are counted at a time, and those that \s means.
+PIECE_CHARS, SPACES = 1 << 20, np.array([9, 10, 11, 12, 13, 32], np.uint32)
+
+
+def _piece_counts(keys: np.ndarray, texts: list[str], n: int) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """Of each key (a number for each text): its n-grams and their counts."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    owner = np.repeat(np.arange(len(texts)), np.array([len(t) for t in texts], np.int64))
+    bare = ~np.isin(chars, SPACES)
+    chars, owner = chars[bare], owner[bare]
+    if len(chars) < n:
+        return
+    starts = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
+    runs = np.stack([chars[starts + k] for k in range(n)], axis=1)
+    # Up to three characters fit into an integer.
+    names = sum(runs[:, k].astype(np.int64) << 21 * k for k in range(n)) if n <= 3 else np.ascontiguousarray(runs).view(np.dtype((np.void, 4 * n)))[:, 0]
+    of = keys[owner[starts]]
+    for key in np.unique(of):
+        mine = np.flatnonzero(of == key)
+        _, one, counts = np.unique(names[mine], return_index=True, return_counts=True)
+        flat = np.ascontiguousarray(runs[mine[one]]).tobytes().decode("utf-32-le")
+        yield int(key), [flat[k : k + n] for k in range(0, len(flat), n)], counts
+
+
+def ngram_counts(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """key, ngram, n: the number of each key's n-grams (see ngrams). Tasks count pieces of about PIECE_CHARS characters, and Spark adds
+    up the pieces' counts."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes, texts = names.indices.to_numpy(), batch.column(1).fill_null("")
+            edges = np.cumsum(pc.utf8_length(texts).to_numpy()) // PIECE_CHARS
+            for lo, hi in zip(*(lambda at: (at[:-1], at[1:]))([0, *(np.flatnonzero(np.diff(edges)) + 1), len(texts)])):
+                for code, grams, counts in _piece_counts(codes[lo:hi], texts[lo:hi].to_pylist(), n):
+                    own = names.dictionary.take(pa.array(np.full(len(grams), code)))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(grams, pa.string()), pa.array(counts)], ["key", "ngram", "n"])
+
+    pieces = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(count, f"key {kind}, ngram string, n bigint")
+    return pieces.groupBy(F.col("key").alias(key), "ngram").agg(F.sum("n").alias("n"))
+
+
 def ngram_shares(df: DataFrame, key: str, text: str, n: int, k: int) -> DataFrame:
     """The k most frequent n-grams of each key (ties by n-gram) with percent of all n-grams of the key.
 
     Counts are combined before the shuffle, so the windows see one row for each key and n-gram."""
-    counts = ngrams(df, key, text, n).groupBy(key, "ngram").agg(F.count("*").alias("n"))
+    counts = ngram_counts(df, key, text, n)
     totals = counts.groupBy(key).agg(F.sum("n").alias("n_all"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "ngram"))).filter(F.col("rank") <= k)
     return ranked.join(totals, key).select(key, "ngram", "n", F.round(F.col("n") * 100.0 / F.col("n_all"), 6).alias("percent"), "rank")

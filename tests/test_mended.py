@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as fn
-from lexigrid.operators import accounts, aggregation, completions, variants
+from lexigrid.operators import accounts, aggregation, comparison, completions, variants
 from lexigrid.sources import tables
 
 ODD = ["a\nb", " x ", "", None, 'say "hi", \\ and ,', "line\r\nend\\", "\ttab", "é漢", '"', "a\rb"]
@@ -61,3 +61,14 @@ def test_ranking_adds_up_once(spark):
     ranked = aggregation.ranking(rows, "key", "value", "user").collect()
     assert sorted(r.key for r in ranked) == list(range(8)) and sorted(r["rank"] for r in ranked) == list(range(1, 9))
     assert variants.ranked_positive(rows, "key", "value").count() == 8
+
+
+def test_ngram_counts(spark):
+    """Pieces, odd characters, keys and lengths count as one row for each occurrence does; a piece's rows are combined in its task."""
+    texts = ["a b\tc\u00a0d", "", None, "x", "\U0001f600é\U0001f600é", "漢字漢字", "a\0b\0", "\x0b\x0c\r\n", "abab" * 300_000]
+    rows = spark.createDataFrame([(k, t) for k in ("p", None, "q") for t in texts], "key string, text string").coalesce(1)
+    for n in (1, 2, 3, 5):
+        got = sorted(map(repr, comparison.ngram_counts(rows, "key", "text", n).collect()))
+        assert got == sorted(map(repr, comparison.ngrams(rows, "key", "text", n).groupBy("key", "ngram").agg(F.count("*").alias("n")).collect()))
+    assert comparison.ngram_counts(rows.filter("text = ''"), "key", "text", 2).count() == 0
+    assert comparison.ngram_counts(rows.limit(0), "key", "text", 2).count() == 0
