@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrid.operators.places import nearest_sites
 from lexigrid.operators.structures import bounded
 
 
@@ -243,15 +244,9 @@ def silhouette(vectors: DataFrame, label: str, key: str, vector: str) -> DataFra
 def nearest_in_grid(points: DataFrame, places: DataFrame, cell: float) -> DataFrame:
     """The nearest place (ties by id) within `cell` of each point: point_id, place_id, distance.
 
-    points: point_id, x, y; places: place_id, px, py. Places are laid into their own and the eight cells around, so the
-    join is an equi-join on the cell and each point meets nearby places alone."""
-    at = lambda c: F.floor(F.col(c) / cell)
-    around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))
-    spread = places.select("place_id", "px", "py", around("px").alias("cx")).select("*", around("py").alias("cy"))
+    points: point_id, x, y; places: place_id, px, py."""
     distance = F.sqrt(F.pow(F.col("x") - F.col("px"), F.lit(2.0)) + F.pow(F.col("y") - F.col("py"), F.lit(2.0)))
-    met = points.withColumns({"cx": at("x"), "cy": at("y")}).join(spread, ["cx", "cy"]).withColumn("distance", distance).filter(F.col("distance") <= cell)
-    best = met.groupBy("point_id").agg(F.min(F.struct("distance", "place_id")).alias("best"))
-    return best.select("point_id", F.col("best.place_id").alias("place_id"), F.round("best.distance", 6).alias("distance"))
+    return nearest_sites(points, places, cell, distance).select("point_id", "place_id", F.round("distance", 6).alias("distance"))
 
 
 def neighbour_network(edges: DataFrame, starts: DataFrame, depth: int, k: int, most: int | None = None) -> DataFrame:

@@ -6,10 +6,13 @@ points with x and y. An empty or null geometry holds nothing and is infinitely f
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.operators.structures import bounded, inside_ring
+from lexigrid.sources.tables import Rounds
 
 METRES_A_DEGREE = 111_320.0
 POINTS = "array<array<array<struct<x:double,y:double>>>>"
@@ -172,15 +175,42 @@ def features_meeting(queries: DataFrame, features: DataFrame, cell: float) -> Da
     return box_candidates(asked, used, cell).filter(geometries_meet(F.col("shape"), F.col("geometry"))).select("query_id", "feature_id").distinct()
 
 
+def nearest_sites(points: DataFrame, places: DataFrame, cell: float, distance: Column, group: list[str] = []) -> DataFrame:
+    """points (point_id, x, y) with distance and place_id of the nearest place (place_id, px, py; ties by id) within `cell`, one for each
+    group of places.
+
+    Equal coordinates are looked up once. Grids go from fine to coarse, each cell twice as wide as before, from one with about eight
+    sites in the fullest cell of a group: a site found within a cell's width is the nearest, and other points go on to the next grid,
+    so a point doesn't meet all sites of a crowded neighbourhood."""
+    steps = Rounds(points.sparkSession)
+    sites = steps.written(places.filter("px IS NOT NULL AND py IS NOT NULL").groupBy(*group, "px", "py").agg(F.min("place_id").alias("place_id")), "sites")
+    at = lambda c, wide: F.floor(F.col(c) / wide)
+    around = lambda c, wide: F.explode(F.sequence(at(c, wide) - 1, at(c, wide) + 1))
+    most = sites.groupBy(*group, at("px", cell).alias("cx"), at("py", cell).alias("cy")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    wanted = points.select("x", "y").distinct()
+    if group:
+        filled = sites.select(*group, at("px", cell).alias("cx"), at("py", cell).alias("cy")).distinct()
+        filled = filled.select(*group, F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cy").select(*group, "cx", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy")).distinct()
+        wanted = wanted.withColumns({"cx": at("x", cell), "cy": at("y", cell)}).join(filled, ["cx", "cy"]).drop("cx", "cy")
+    found = None
+    for level in range(min(24, max(0, math.ceil(math.log(max(most, 1) / 8, 4)))), -1, -1):
+        wide = cell / 2**level
+        spread = sites.select("*", around("px", wide).alias("cx")).select("*", around("py", wide).alias("cy"))
+        met = wanted.withColumns({"cx": at("x", wide), "cy": at("y", wide)}).join(spread, [*group, "cx", "cy"]).withColumn("distance", distance)
+        # A little less than a finer cell's width, so that rounding of cells leaves no nearer site out.
+        near = met.filter(F.col("distance") <= (wide * (1 - 1e-9) if level else cell)).groupBy("x", "y", *group).agg(F.min(F.struct("distance", "place_id")).alias("best"))
+        if level:
+            near = steps.written(near, f"near-{level}")
+            wanted = steps.written(wanted.join(near, ["x", "y", *group], "left_anti"), "wanted")
+        found = near if found is None else found.unionByName(near)
+    return points.join(found, ["x", "y"]).select("point_id", *group, "best.distance", "best.place_id")
+
+
 def nearest_by_level(points: DataFrame, places: DataFrame, cell: float) -> DataFrame:
     """The nearest place of each level within `cell` of each point (ties by id): point_id, level, place_id, distance.
-    points: point_id, x, y; places: place_id, level, px, py."""
-    at = lambda c: F.floor(F.col(c) / cell)
-    around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))
-    spread = places.select("place_id", "level", "px", "py", around("px").alias("cx")).select("*", around("py").alias("cy"))
-    met = points.withColumns({"cx": at("x"), "cy": at("y")}).join(spread, ["cx", "cy"]).withColumn("distance", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).filter(F.col("distance") <= cell)
-    best = met.groupBy("point_id", "level").agg(F.min(F.struct("distance", "place_id")).alias("best"))
-    return best.select("point_id", "level", F.col("best.place_id").alias("place_id"), F.round("best.distance", 6).alias("distance"))
+    points: point_id, x, y; places: place_id, level, px, py. A null level is one of its own."""
+    found = nearest_sites(points, places.withColumn("level", F.struct("level")), cell, F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")), ["level"])
+    return found.select("point_id", "level.level", "place_id", F.round("distance", 6).alias("distance"))
 
 
 def rebuilt(parts: DataFrame, feature: str, order: str, polygon: str) -> DataFrame:

@@ -5,8 +5,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lexigrid.operators import spatial
+from lexigrid.operators import comparison, places, spatial
 
 SHAPE = "array<array<array<struct<x:double,y:double>>>>"
 
@@ -90,3 +91,31 @@ def test_index_is_pruned(spark, path):
     assert re.search(r"PartitionFilters: \[[^\]]*zone", plan) and re.search(r"PushedFilters: \[[^\]]*key", plan)
     read = index.filter("zone IN (-1, 151)")
     assert 0 < len({r[0] for r in read.selectExpr("input_file_name()").collect()}) < len(index.inputFiles())
+
+
+def test_nearest_in_a_crowd(spark):
+    """Crowded, lonely and equal places, and those without a level, against brute force; a crowd isn't joined with a crowd."""
+    random = np.random.RandomState(4)
+    spots = np.vstack([random.uniform(0, 0.05, (400, 2)), random.uniform(-1, 1, (60, 2)), [[0.02, 0.03]] * 40])
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(spots[::2])]
+    sites = [(1000 - k, [None, "a", "b"][k % 3], float(x), float(y)) for k, (x, y) in enumerate(spots[1::2])]
+    a, b = spark.createDataFrame(points, "point_id bigint, x double, y double"), spark.createDataFrame(sites, "place_id bigint, level string, px double, py double")
+    want = {}
+    for p, x, y in points:
+        for q, level, px, py in sites:
+            d = float(np.hypot(x - px, y - py))
+            if d <= 0.1:
+                want[p, level] = min(want.get((p, level), (d, q)), (d, q))
+    got = {(r.point_id, r.level): (r.distance, r.place_id) for r in places.nearest_by_level(a, b, 0.1).collect()}
+    assert got == {k: (pytest.approx(d, abs=1e-6), q) for k, (d, q) in want.items()}
+    one = {r.point_id: r.place_id for r in comparison.nearest_in_grid(a, b.drop("level"), 0.1).collect()}
+    assert one == {p: min(v for (k, _), v in want.items() if k == p)[1] for p, _ in want}
+    crowd = spark.range(40_000).select((F.col("id") % 2).alias("side"), "id", (F.col("id") * 1e-6).alias("x"), (F.col("id") % 1000 * 4e-5).alias("y"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def apart(x, px):
+        seen.add(1)
+        return abs(x - px)
+
+    met = places.nearest_sites(crowd.filter("side = 0").select(F.col("id").alias("point_id"), "x", "y"), crowd.filter("side = 1").select(F.col("id").alias("place_id"), F.col("x").alias("px"), F.col("y").alias("py")), 0.1, F.udf(apart, "double")("x", "px"))
+    assert met.count() == 20_000 and seen.value < 20_000 * 1000
