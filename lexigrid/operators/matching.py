@@ -1,22 +1,26 @@
 """Names matched with terms in batches: equal, prefix, contained, similar and alike in sound (survey group ADV).
 
 Both sides may have any number of rows; nothing is crossed. Containment goes by an inverted index: a name that holds a term holds
-the term's rarest bigram. Similarity is the indel ratio, 2 * longest common subsequence / (length + length), and goes by a
-length and a prefix filter over the characters of a text, numbered by occurrence (a1, a2, b1) and ordered rarest first: two
-texts of that ratio have at least `need` of them in common, so the first length - need + 1 of each share one.
+the term's rarest bigram. Similarity is the indel ratio, 2 * longest common subsequence / (length + length). Texts are dealt into
+blocks of like lengths, and each two blocks whose lengths may match meet in one tile of bounded size. There the number of common
+characters, repeats counted, which no common subsequence exceeds, comes from products of matrices, and the pairs that it leaves are
+compared by bits. So no pair is shuffled before it is found; the comparisons are all pairs of like lengths.
 
 Nulls and empty texts match nothing. Repeated names and terms count once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.sources.tables import Rounds
+
+#: Texts and characters of a block, about.
+TEXTS, CHARS = 2048, 1 << 15
+
 
 def _chars(text: str) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
@@ -44,45 +48,84 @@ def contained(names: DataFrame, terms: DataFrame) -> DataFrame:
     return found.filter(F.contains("name", F.col("variant"))).select("name", "variant")
 
 
-def _need(ratio: float, a: Column, b: Column) -> Column:
-    """Characters that texts of those lengths must have in common."""
-    return F.ceil(F.lit(ratio / 2) * (a + b) - F.lit(1e-9)).cast("int")
-
-
-def _filed(rows: DataFrame, column: str, ranks: DataFrame, ratio: float) -> DataFrame:
-    """The column's text with its length, a bit for each kind of its characters, and a row for each character of its prefix."""
+def _filed(rows: DataFrame, column: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The column with its kind (the power of two of its length) and a part of it, and the kinds with their parts and lengths."""
     size = F.char_length(column)
-    numbered = rows.select(column, F.posexplode(F.transform(F.array_sort(_chars(column)), lambda c: c)).alias("at", "char"))
-    own = Window.partitionBy(column)
-    known = numbered.join(ranks, "char").withColumn("times", F.row_number().over(own.partitionBy(column, "char").orderBy("at")))
-    placed = known.withColumn("place", F.row_number().over(own.orderBy("n", "char", "times")))
-    shortest = F.ceil(size * F.lit(ratio / (2 - ratio)) - F.lit(1e-9)).cast("int")
-    bits = rows.select(column, F.aggregate(_chars(column), F.lit(0).cast("long"), lambda x, c: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int")))).alias("bits"))
-    prefix = placed.filter(F.col("place") <= size - _need(ratio, size, shortest) + 1)
-    return prefix.join(bits, column).select(column, "bits", F.concat_ws("#", "char", F.col("times").cast("string")).alias("token"))
+    rows = rows.filter(size > 0).withColumn(f"{name}_kind", F.floor(F.log2(size)).cast("int"))
+    parts = F.ceil(F.greatest(F.count("*") / TEXTS, F.sum(size) / CHARS)).cast("int")
+    kinds = rows.groupBy(f"{name}_kind").agg(parts.alias(f"{name}_parts"), F.min(size).alias("shortest"), F.max(size).alias("longest"))
+    part = F.pmod(F.xxhash64(column), F.col(f"{name}_parts")).cast("int")
+    return rows.join(kinds.select(f"{name}_kind", f"{name}_parts"), f"{name}_kind").select(column, f"{name}_kind", part.alias(f"{name}_part")), kinds
 
 
 def similar(names: DataFrame, terms: DataFrame, ratio: float = 0.7) -> DataFrame:
-    """name, variant and their indel ratio, where that is at least `ratio` (over 0). Texts of up to 64 characters are compared many
-    at a time by bits, longer ones by whole numbers of as many bits."""
-    every = names.select(F.col("name").alias("text")).unionByName(terms.select(F.col("variant").alias("text")))
-    ranks = every.select(F.explode(_chars("text")).alias("char")).groupBy("char").agg(F.count("*").alias("n"))
-    left = _filed(names, "name", ranks, ratio)
-    right = _filed(terms, "variant", ranks, ratio).withColumnRenamed("bits", "other_bits")
-    a, b = F.char_length("name"), F.char_length("variant")
-    least = _need(ratio, a, b)
-    lengths = least <= F.least(a, b)
-    # A kind of character that the other text lacks can't be in common.
-    kinds = (F.bit_count(F.col("bits").bitwiseAND(F.bitwise_not("other_bits"))) <= a - least) & (F.bit_count(F.col("other_bits").bitwiseAND(F.bitwise_not("bits"))) <= b - least)
-    pairs = left.join(right, "token").filter(lengths & kinds).select("name", "variant").distinct()
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = indel_ratios(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            keep = pa.array(score >= ratio - 1e-12)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in (0, 1)), pa.array(score).filter(keep)], ["name", "variant", "ratio"])
-
-    return pairs.mapInArrow(compare, "name string, variant string, ratio double")
+    """name, variant and their indel ratio, where that is at least `ratio` (over 0)."""
+    left, kinds = _filed(names, "name", "name")
+    right, others = _filed(terms, "variant", "term")
+    shortest = F.greatest(F.ceil(F.col("shortest") * F.lit(ratio / (2 - ratio)) - F.lit(1e-9)), F.lit(1))
+    longest = F.floor(F.col("longest") * F.lit((2 - ratio) / ratio) + F.lit(1e-9))
+    near = F.explode(F.sequence(F.floor(F.log2(shortest)).cast("int"), F.floor(F.log2(longest)).cast("int")))
+    met = kinds.select("name_kind", "name_parts", near.alias("term_kind")).join(others.select("term_kind", "term_parts"), "term_kind")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}_parts") - 1)).alias(f"{name}_part")
+    tile = ["name_kind", "name_part", "term_kind", "term_part"]
+    left = left.join(met, "name_kind").select("name", "name_kind", "name_part", "term_kind", every("term"))
+    right = right.join(met, "term_kind").select("variant", *(F.col(c).alias(c) for c in ("term_kind", "term_part", "name_kind")), every("name"))
+
+    def compare(first: pa.Table, second: pa.Table) -> pa.Table:
+        i, j, score = alike(first["name"].to_pylist(), second["variant"].to_pylist(), ratio)
+        return pa.table({"name": first["name"].take(pa.array(i)), "variant": second["variant"].take(pa.array(j)), "ratio": score})
+
+    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(compare, "name string, variant string, ratio double")
+
+
+def alike(first: list[str], second: list[str], ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the two lists of the pairs of texts with an indel ratio of at least `ratio`, and that ratio."""
+    if not first or not second:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    size, other = (np.array([len(x) for x in texts], np.int64) for texts in (first, second))
+    codes = [_codes(texts, lengths) for texts, lengths in ((first, size), (second, other))]
+    shared = np.intersect1d(*(c[c > 0] for c in codes))  # only these can be in common; others are 0, as is what fills up
+    codes = [np.where(np.isin(c, shared), np.searchsorted(shared, c) + 1, 0) for c in codes]
+    wide = len(shared) + 1
+    often = [np.bincount((np.arange(len(c))[:, None] * wide + c).ravel(), minlength=len(c) * wide).reshape(len(c), wide)[:, 1:] for c in codes]
+    bound, times = np.zeros((len(first), len(second)), np.float32), 1
+    while True:  # a character that is in both so many times adds one
+        has = [o >= times for o in often]
+        both = has[0].any(0) & has[1].any(0)
+        if not both.any():
+            break
+        bound += has[0][:, both].astype(np.float32) @ has[1][:, both].astype(np.float32).T
+        often, times = [o[:, both] for o in often], times + 1
+    i, j = np.nonzero(bound >= np.ceil(ratio / 2 * (size[:, None] + other) - 1e-9))
+    common = np.zeros(len(i), np.int64)
+    masks = np.zeros((len(first), wide), np.uint64)
+    for at in range(min(codes[0].shape[1], 64)):
+        masks[np.arange(len(first)), codes[0][:, at]] |= np.uint64(1) << np.uint64(at)
+    masks[:, 0] = 0
+    short = np.flatnonzero(size[i] <= 64)
+    for at in range(0, len(short), 1 << 16):
+        some = short[at : at + (1 << 16)]
+        rows, texts = i[some], codes[1][j[some]]
+        state = np.full(len(some), ~np.uint64(0))
+        for k in range(int(other[j[some]].max())):
+            mask = masks[rows, texts[:, k]]
+            hit = state & mask
+            state = (state + hit) | (state & ~mask)
+        bits = np.where(size[rows] == 64, ~np.uint64(0), (np.uint64(1) << (size[rows] % 64).astype(np.uint64)) - np.uint64(1))
+        common[some] = np.bitwise_count(~state & bits)
+    score = 2 * common / (size[i] + other[j])
+    long = np.flatnonzero(size[i] > 64)
+    if len(long):
+        score[long] = indel_ratios([first[k] for k in i[long]], [second[k] for k in j[long]])
+    keep = score >= ratio - 1e-12
+    return i[keep], j[keep], score[keep]
+
+
+def _codes(texts: list[str], lengths: np.ndarray) -> np.ndarray:
+    """A row of characters, as numbers from 1, for each text, filled up with 0."""
+    wide = max(int(lengths.max()), 1)
+    points = np.array(texts, f"<U{wide}").view(np.uint32).reshape(len(texts), wide).astype(np.int64)
+    return np.where(np.arange(wide) < lengths[:, None], points + 1, 0)
 
 
 def indel_ratios(first: list[str], second: list[str]) -> np.ndarray:
@@ -130,10 +173,11 @@ def match_batch(names: DataFrame, terms: DataFrame, ratio: float = 0.7, sounds:
     """term, name, tier and ratio: 1 equal to a variant of the term, 2 begins with one, 3 holds one, 4 similar to one (the largest
     ratio; null in the other tiers), 5 alike in sound, by the table of sounds; the least tier of each pair.
 
-    names: name; terms: term, variant (a variant of itself too)."""
-    names = _plain(names, "name", "name")
+    names: name; terms: term, variant (a variant of itself too). The different names are written once and read by each tier."""
+    steps = Rounds(names.sparkSession)
+    names = steps.written(_plain(names, "name", "name"), "names")
     asked = terms.select(F.col("term").cast("string").alias("term"), F.col("variant").cast("string").alias("variant")).filter("variant <> '' AND term IS NOT NULL").distinct()
-    variants = asked.select("variant").distinct()
+    variants = steps.written(asked.select("variant").distinct(), "variants")
     tier = F.when(F.col("name") == F.col("variant"), 1).when(F.startswith("name", F.col("variant")), 2).otherwise(3)
     found = contained(names, variants).select("name", "variant", tier.alias("tier"), F.lit(None).cast("double").alias("ratio"))
     found = found.unionByName(similar(names, variants, ratio).select("name", "variant", F.lit(4).alias("tier"), "ratio"))

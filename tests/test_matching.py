@@ -1,5 +1,7 @@
 """The similarity join against all pairs."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -57,3 +59,16 @@ def test_match_batch_plan(spark):
     names, terms = spark.createDataFrame([("a",)], "name string"), spark.createDataFrame([("a", "a")], "term string, variant string")
     plan = matching.match_batch(names, terms)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_tiles(spark, monkeypatch):
+    """Many blocks, with texts of over 64 characters, give what one pair at a time gives; no pair is shuffled before it is found."""
+    monkeypatch.setattr(matching, "TEXTS", 16)
+    monkeypatch.setattr(matching, "CHARS", 100)
+    names, terms = sorted({*texts(7, 120), "\0", "a\0", "aa\0\0"}), sorted({*texts(8, 90), "\0a", "aa\0"})
+    pairs = matching.similar(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in terms], "variant string"), 0.6)
+    got = [(r.name, r.variant, round(r.ratio, 9)) for r in pairs.collect()]
+    expected = {(n, v, round(2 * common(n, v) / (len(n) + len(v)), 9)) for n in names for v in terms if 2 * common(n, v) / (len(n) + len(v)) >= 0.6 - 1e-12}
+    assert len(got) == len(set(got)) and set(got) == expected and any(len(n) > 64 < len(v) for n, v, _ in expected)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and not re.search(r"keys=\[name#\d+, variant", plan)
