@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from lexigrid.operators.places import nearest_sites
 from lexigrid.operators.structures import bounded
+from lexigrid.sources.tables import Rounds
+
+#: Pairs of tokens that one task makes and counts, about.
+PAIRS = 1_000_000
 
 
 def ngrams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -133,13 +137,19 @@ def undirected(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def positive_pmi(df: DataFrame, holder: str, token: str, least: int) -> DataFrame:
     """Pairs of tokens (a < b) that share at least `least` holders, with their pointwise mutual information (natural
-    logarithm) where it is positive. Pairs are made inside a holder, so holders should hold bounded sets of tokens."""
-    pairs = df.select(holder, token).filter(F.col(token).isNotNull()).distinct()
+    logarithm) where it is positive. Pairs are made inside a holder, so holders should hold bounded sets of tokens.
+
+    Rows, holders and pairs are dealt into partitions by their number, so a task's memory doesn't grow with the table."""
+    rows = df.select(holder, token).filter(F.col(token).isNotNull())
+    pairs = Rounds(df.sparkSession).written(rows.repartition(rows.count() // PAIRS + 1, holder, token).distinct(), "pairs")
     counts = pairs.groupBy(token).agg(F.count("*").alias("n"))
-    everything = pairs.agg(F.countDistinct(holder).alias("n_all"))
-    both = pairs.select(holder, F.col(token).alias("a")).join(pairs.select(holder, F.col(token).alias("b")), holder).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= least)
-    named = both.join(counts.select(F.col(token).alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col(token).alias("b"), F.col("n").alias("nb")), "b").crossJoin(F.broadcast(everything))
-    pmi = F.ln(F.col("n_both").cast("double") * F.col("n_all") / (F.col("na").cast("double") * F.col("nb")))
+    held = F.col("n").cast("double")
+    n_all, made = pairs.filter(F.col(holder).isNotNull()).groupBy(holder).agg(F.count("*").alias("n")).agg(F.count("*"), F.coalesce(F.sum(held * (held - 1) / 2), F.lit(0.0))).first()
+    parts = int(made / PAIRS) + 1
+    dealt = lambda name: pairs.select(holder, F.col(token).alias(name)).repartition(parts, holder)
+    both = dealt("a").join(dealt("b"), holder).filter("a < b").select("a", "b").repartition(parts, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= least)
+    named = both.join(counts.select(F.col(token).alias("a"), F.col("n").alias("na")), "a").join(counts.select(F.col(token).alias("b"), F.col("n").alias("nb")), "b")
+    pmi = F.ln(F.col("n_both").cast("double") * F.lit(n_all) / (F.col("na").cast("double") * F.col("nb")))
     return named.select("a", "b", "n_both", F.round(pmi, 6).alias("pmi")).filter("pmi > 0")
 
 

@@ -72,3 +72,19 @@ def test_ngram_counts(spark):
         assert got == sorted(map(repr, comparison.ngrams(rows, "key", "text", n).groupBy("key", "ngram").agg(F.count("*").alias("n")).collect()))
     assert comparison.ngram_counts(rows.filter("text = ''"), "key", "text", 2).count() == 0
     assert comparison.ngram_counts(rows.limit(0), "key", "text", 2).count() == 0
+
+
+def test_positive_pmi_partitions(spark, monkeypatch):
+    """Pairs are dealt out by their number, as far as their keys allow, and the result is the same."""
+    rows = [(h if h < 60 else None, (h * 7 + k * k) % 23 if k < 9 else None) for h in range(61) for k in range(10)]
+    lines = spark.createDataFrame(rows, "h bigint, t bigint")
+    whole = sorted(map(tuple, comparison.positive_pmi(lines, "h", "t", 2).collect()))
+    monkeypatch.setattr(comparison, "PAIRS", 50)
+    parted = comparison.positive_pmi(lines, "h", "t", 2)
+    assert whole and sorted(map(tuple, parted.collect())) == whole
+    sets = {}
+    for h, t in rows:
+        if h is not None and t is not None:
+            sets.setdefault(h, set()).add(t)
+    expected = sum(len(v) * (len(v) - 1) // 2 for v in sets.values()) // 50 + 1
+    assert f"hashpartitioning(a#" in (plan := parted._jdf.queryExecution().toString()) and f", {expected}), REPARTITION_BY_NUM" in plan
