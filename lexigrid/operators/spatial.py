@@ -15,13 +15,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigrid.operators.places import geometries_meet, with_box
 
 #: Levels of the tree below its root; edges of a band, about; points whose keys go into the reader's filter.
 DEPTH, EDGES, FEW = 24, 64, 500
+#: Boxes of a feature's earlier bands that a row of the index holds at most.
+EARLIER = 16
 WIDE = -1
 
 
@@ -87,6 +89,9 @@ def bands(features: DataFrame) -> DataFrame:
 def build(features: DataFrame, path: str, tree: Tree = Tree(), rows_a_file: int = 200_000) -> str:
     """Writes the index of features (feature_id, geometry) and gives its path."""
     rows = bands(features).filter(tree.inside(F.col("x0"), F.col("y0")) & tree.inside(F.col("x1"), F.col("y1")))
+    order = Window.partitionBy("feature_id").orderBy("x0", "y0", "x1", "y1", "band")
+    box = F.when(F.col("nth") <= EARLIER, F.struct("x0", "y0", "x1", "y1"))
+    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("earlier", F.collect_list(box).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("level", tree.level_of(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))))
     span = lambda low, high, at: F.explode(F.sequence(tree.cell(F.col(low), at, F.col("level")), tree.cell(F.col(high), at, F.col("level"))))
     rows = rows.select("*", span("x0", "x1", tree.x).alias("cx")).select("*", span("y0", "y1", tree.y).alias("cy"))
@@ -138,7 +143,9 @@ def boxes_meeting(index: DataFrame, queries: DataFrame, tree: Tree = Tree()) ->
     """query_id and feature_id where a band's box meets that of a query (query_id, x0, y0, x1, y1).
 
     Of two cells that meet, one holds the other: index rows of a query's level or above are looked up by the query's cell at their
-    level, deeper ones by their own cell at the query's level.
+    level, deeper ones by their own cell at the query's level. Of the cells of a pair the one with the lower left corner of what the
+    boxes share counts, and of a feature's bands the first that meets, so pairs are found once and not shuffled; only if a
+    feature has more bands than EARLIER or a query id is repeated, they are made distinct.
     """
     rows = queries.select("query_id", *(F.col(c).alias(f"q{c}") for c in ("x0", "y0", "x1", "y1")))
     rows = rows.filter(tree.inside(F.col("qx0"), F.col("qy0")) & tree.inside(F.col("qx1"), F.col("qy1")))
@@ -146,16 +153,20 @@ def boxes_meeting(index: DataFrame, queries: DataFrame, tree: Tree = Tree()) ->
     span = lambda low, high, at: F.explode(F.sequence(tree.cell(F.col(low), at, F.col("qlevel")), tree.cell(F.col(high), at, F.col("qlevel"))))
     rows = rows.select("*", span("qx0", "qx1", tree.x).alias("cx")).select("*", span("qy0", "qy1", tree.y).alias("cy"))
     rows = rows.withColumn("qkey", key_of(F.col("cx"), F.col("cy"), F.col("qlevel"))).drop("cx", "cy")
-    bare = index.select("feature_id", "x0", "y0", "x1", "y1", "zone", "level", "key")
+    bare = index.select("feature_id", "x0", "y0", "x1", "y1", "zone", "level", "key", "earlier")
     up = lambda key, level: F.call_function("shiftleft", F.call_function("shiftright", key, F.lit(2) * (F.lit(DEPTH) - level)), F.lit(2) * (F.lit(DEPTH) - level))
     levels = F.array(*map(F.lit, _levels(index) or [0]))
     above = rows.select("*", F.explode(levels).alias("level")).filter("level <= qlevel").withColumn("key", up(F.col("qkey"), F.col("level")))
     above = above.withColumn("zone", tree.zone(F.col("key"), F.col("level")))
     asked = F.array(*map(F.lit, _levels(rows.select(F.col("qlevel").alias("level"))) or [0]))
     below = bare.select("*", F.explode(asked).alias("qlevel")).filter("level > qlevel").withColumn("qkey", up(F.col("key"), F.col("qlevel")))
-    meets = F.expr("x0 <= qx1 AND qx0 <= x1 AND y0 <= qy1 AND qy0 <= y1")
-    found = above.join(bare, ["zone", "level", "key"]).filter(meets).select("query_id", "feature_id")
-    return found.unionByName(rows.join(below, ["qlevel", "qkey"]).filter(meets).select("query_id", "feature_id")).distinct()
+    touch = lambda x0, y0, x1, y1: (x0 <= F.col("qx1")) & (F.col("qx0") <= x1) & (y0 <= F.col("qy1")) & (F.col("qy0") <= y1)
+    meets = touch(*map(F.col, ("x0", "y0", "x1", "y1"))) & ~F.exists("earlier", lambda e: touch(e["x0"], e["y0"], e["x1"], e["y1"]))
+    corner = lambda level: key_of(tree.cell(F.greatest("x0", "qx0"), tree.x, level), tree.cell(F.greatest("y0", "qy0"), tree.y, level), level)
+    found = above.join(bare, ["zone", "level", "key"]).filter(meets & (corner(F.col("qlevel")) == F.col("qkey"))).select("query_id", "feature_id")
+    found = found.unionByName(rows.join(below, ["qlevel", "qkey"]).filter(meets & (corner(F.col("level")) == F.col("key"))).select("query_id", "feature_id"))
+    once = index.filter(F.col("nth") > EARLIER).isEmpty() and queries.groupBy("query_id").count().filter("count > 1").isEmpty()
+    return found if once else found.distinct()
 
 
 def meeting(index: DataFrame, features: DataFrame, queries: DataFrame, tree: Tree = Tree()) -> DataFrame:

@@ -119,3 +119,19 @@ def test_nearest_in_a_crowd(spark):
 
     met = places.nearest_sites(crowd.filter("side = 0").select(F.col("id").alias("point_id"), "x", "y"), crowd.filter("side = 1").select(F.col("id").alias("place_id"), F.col("x").alias("px"), F.col("y").alias("py")), 0.1, F.udf(apart, "double")("x", "px"))
     assert met.count() == 20_000 and seen.value < 20_000 * 1000
+
+
+def test_boxes_are_found_once(spark, tmp_path):
+    """Pairs of boxes over many cells, and of features of several parts, come once without a shuffle of pairs."""
+    parts = [(k, [[star(x, y, r, 4)], [star(x + r, y, r, 4)], [star(x, y + 3 * r, 2 * r, 5)]]) for k in range(60) for x, y, r in [((k * 7) % 40 - 20.0, (k * 11) % 30 - 15.0, 0.1 + k % 5)]]
+    index = spatial.opened(spark, spatial.build(spark.createDataFrame(parts, f"feature_id bigint, geometry {SHAPE}"), f"file://{tmp_path}/index"))
+    boxes = [(k, x - r, y - r, x + r, y + r) for k in range(60) for x, y, r in [((k * 5) % 40 - 20.0, (k * 13) % 30 - 15.0, 0.01 + (k % 7) ** 2 / 5)]]
+    queries = lambda rows: spark.createDataFrame(rows, "query_id bigint, x0 double, y0 double, x1 double, y1 double")
+    bounds = [(f, min(x for x, _ in ring), min(y for _, y in ring), max(x for x, _ in ring), max(y for _, y in ring)) for f, geometry in parts for (ring,) in geometry]
+    expected = {(q, f) for q, a, b, c, d in boxes for f, x0, y0, x1, y1 in bounds if x0 <= c and a <= x1 and y0 <= d and b <= y1}
+    found = spatial.boxes_meeting(index, queries(boxes))
+    got = list(map(tuple, found.collect()))
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 100
+    assert "keys=[query_id" not in found._jdf.queryExecution().toString()
+    again = list(map(tuple, spatial.boxes_meeting(index, queries(boxes + boxes[:9])).collect()))
+    assert len(again) == len(set(again)) and set(again) == expected
