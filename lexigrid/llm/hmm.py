@@ -1,6 +1,6 @@
 """A hidden Markov language model, trained by Baum-Welch over the whole training part of a corpus.
 
-Documents are encoded once into blocks: the word hashes of about a million and a half words, their codes in the
+Documents are encoded once into blocks: the word hashes of about three quarters of a million words, their codes in the
 block, and the block's sorted types. Word counts come from one row per block and type, so a frequent word costs a
 row for each block and not one for each occurrence. Hidden states emit symbols: the `n_symbols` most frequent words,
 a class for every other word (by its last three bytes), and the end of a document. A word of a class has the
@@ -10,7 +10,8 @@ one over all known words and the classes' unknown types.
 Expected counts (emissions, transitions, first states) are made per task, added up by Spark's own sums, and only the sums, whose size the numbers of symbols and states fix, reach the driver. Training is over
 whole documents: pieces of PIECE tokens are worked on side by side, and the products of the pieces' step matrices carry
 the forward and backward vectors exactly from piece to piece. Scoring runs the scaled forward recursion over whole
-documents, so the likelihood is exact.
+documents, so the likelihood is exact; it and the shares of the symbols' words are made where the block is read, and only the words
+of classes are shuffled, to meet their counts.
 
 Nulls: a null text is empty and has the end alone; a null doc_id hashes as an empty text. Without training words
 each symbol is as likely as any other. Repeated documents count as often as they occur; other columns are ignored.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.common import NONSPACE, find_words, id_remainder, slices, written
 
-BLOCK_WORDS = 1_500_000
+#: A block is one row, which Spark holds several times over on its way through a task.
+BLOCK_WORDS = 750_000
 PIECE = 128
 #: Pieces that are worked on side by side.
 LANES = 1024
@@ -45,6 +47,7 @@ class Model(NamedTuple):
     tokens: int
     types: int
     documents: int
+    top_counts: np.ndarray = np.zeros(0, np.int64)
 
     def symbols(self, types: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol of each type, and whether it is one of a class."""
@@ -92,13 +95,17 @@ def _block(kept: list) -> pa.RecordBatch:
     types, one, codes = np.unique(hashes, return_index=True, return_inverse=True)
     learns = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), counts)
     tf = np.bincount(codes[learns], minlength=len(types)).astype(np.int32)
-    whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
     return pa.RecordBatch.from_arrays(
-        [pa.array([secrets.randbits(62)]), whole(ids), whole(held), whole(counts.astype(np.int32)), whole(types.view(np.int64)), whole(tf), whole(classes[one]), pa.array([codes.astype("<i4").tobytes()], pa.binary())],
+        [pa.array([secrets.randbits(62)]), *map(_whole, (ids, held, counts.astype(np.int32), types.view(np.int64), tf, classes[one])), pa.array([codes.astype("<i4").tobytes()], pa.binary())],
         ["block", "doc_ids", "held", "counts", "types", "train_tf", "classes", "codes"],
     )
 
 
+def _whole(x: np.ndarray | pa.Array) -> pa.ListArray:
+    """All of x as the list of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x))
+
+
 def _values(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
     return batch.column(name)[row].values.to_numpy(zero_copy_only=False)
 
@@ -275,7 +282,7 @@ def train(blocks: DataFrame, words: DataFrame, n_states: int = 6, n_symbols: int
     steps = np.full((n_states, n_states), 0.05 / max(1, n_states - 1))
     np.fill_diagonal(steps, 0.95 if n_states > 1 else 1.0)
     even = np.full(n_states, 1 / n_states)
-    model = Model(even, steps, emit / emit.sum(axis=0), top_types, class_n + class_v + 1, tokens + documents, types + (documents > 0), documents)
+    model = Model(even, steps, emit / emit.sum(axis=0), top_types, class_n + class_v + 1, tokens + documents, types + (documents > 0), documents, top_counts)
     history = []
     for _ in range(rounds):
         emissions, transitions, first, total = _e_step(blocks, model)
@@ -307,46 +314,82 @@ def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarra
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
+PART = "block bigint, doc_ids array<bigint>, held array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, score array<double>, types array<bigint>, rare array<int>, codes binary"
+
+
+def part_scores(blocks: DataFrame, model: Model) -> DataFrame:
+    """A row for each block: its documents' counts and scores without log10(c + 1) of their words of classes; the types of these words,
+    sorted, and for each document the number of such words and their codes among these types."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
+
+    def parts(batches):
+        model = shared.value
+        below = model.tokens + model.types + 1
+        for batch in batches:
+            for row in range(batch.num_rows):
+                types, classes = _values(batch, "types", row).view(np.uint64), _values(batch, "classes", row)
+                lengths = _values(batch, "counts", row).astype(np.int64)
+                codes = np.frombuffer(batch.column("codes")[row].as_buffer(), "<i4")
+                symbols, rare = model.symbols(types, classes)
+                unit, within = np.full(len(types), -np.log10(below)), np.zeros(len(types))
+                unit[~rare] += np.log10(model.top_counts[symbols[~rare]] + 1)
+                within[rare] = -np.log10(model.class_base[classes[rare]])
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                add = lambda x, doc=doc, n=len(lengths), codes=codes: np.bincount(doc, weights=x[codes], minlength=n)
+                met = np.flatnonzero(rare[codes])
+                numbers = (np.cumsum(rare) - 1).astype("<i4")[codes[met]]
+                ended = np.log10((model.documents + 1) / below)
+                out = {
+                    "doc_ids": batch.column("doc_ids")[row].values,
+                    "held": batch.column("held")[row].values,
+                    "n_tokens": lengths + 1,
+                    "n_known": add(~rare).astype(np.int64) + (model.documents > 0),
+                    "base": add(unit) + ended,
+                    "score": forward(model, *_sequences(model, batch, row)) / np.log(10) + add(within),
+                    "types": types[rare].view(np.int64),
+                    "rare": np.bincount(doc[met], minlength=len(lengths)).astype(np.int32),
+                }
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(row, 1), *map(_whole, out.values()), pa.array([numbers.tobytes()], pa.binary())], ["block", *out, "codes"])
+
+    return blocks.select("block", "doc_ids", "held", "counts", "types", "classes", "codes").mapInArrow(parts, PART)
+
+
 def score(blocks: DataFrame, words: DataFrame, model: Model) -> DataFrame:
     """Every document of the blocks with its counts, its unigram base and the model's log10 probability."""
-    shared = blocks.sparkSession.sparkContext.broadcast(model)
+    top, tokens = model.top, model.tokens
 
     def flat(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 types = _values(batch, "types", row)
+                types = types[~np.isin(types.view(np.uint64), top)]
                 for part in np.array_split(types, len(types) // 100_000 + 1):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column("block")[row].as_py())), pa.array(part)], ["block", "type"])
 
     known = blocks.select("block", "types").mapInArrow(flat, "block bigint, type bigint").join(words.select("type", "c"), "type").select("block", "type", "c")
 
     def score_block(mine: pa.Table, counts: pa.Table) -> pa.Table:
-        model = shared.value
         out = []
         for batch in mine.to_batches():
             for row in range(batch.num_rows):
-                types, classes = _values(batch, "types", row), _values(batch, "classes", row)
-                lengths = _values(batch, "counts", row).astype(np.int64)
+                types, rare = _values(batch, "types", row).view(np.uint64), _values(batch, "rare", row)
                 codes = np.frombuffer(batch.column("codes")[row].as_buffer(), "<i4")
                 c = np.zeros(len(types), np.int64)
-                at = np.searchsorted(types.view(np.uint64), counts.column("type").to_numpy().view(np.uint64))
+                at = np.searchsorted(types, counts.column("type").to_numpy().view(np.uint64))
                 c[at] = counts.column("c").to_numpy()
-                unit = np.log10((np.append(c, model.documents) + 1) / (model.tokens + model.types + 1))
-                symbols, rare = model.symbols(types.view(np.uint64), classes)
-                within = np.where(rare, np.log10((c + 1) / model.class_base[classes]), 0.0)
-                doc = np.repeat(np.arange(len(lengths)), lengths)
-                add = lambda x, doc=doc, n=len(lengths), codes=codes: np.bincount(doc, weights=x[codes], minlength=n)
-                sequence = _sequences(model, batch, row)
+                doc = np.repeat(np.arange(len(rare)), rare)
+                add = lambda x, doc=doc, n=len(rare), codes=codes: np.bincount(doc, weights=x[codes], minlength=n)
+                more = add(np.log10(c + 1))
                 out.append(
                     pa.table(
                         {
                             "doc_id": batch.column("doc_ids")[row].values,
                             "held_out": batch.column("held")[row].values,
-                            "n_tokens": lengths + 1,
-                            "n_known": add(c > 0).astype(np.int64) + (model.documents > 0),
-                            "train_tokens": np.full(len(lengths), model.tokens),
-                            "base_score": add(unit[:-1]) + unit[-1],
-                            "score": forward(model, *sequence) / np.log(10) + add(within),
+                            "n_tokens": _values(batch, "n_tokens", row),
+                            "n_known": _values(batch, "n_known", row) + add(c > 0).astype(np.int64),
+                            "train_tokens": np.full(len(rare), tokens),
+                            "base_score": _values(batch, "base", row) + more,
+                            "score": _values(batch, "score", row) + more,
                         }
                     )
                 )
@@ -356,7 +399,7 @@ def score(blocks: DataFrame, words: DataFrame, model: Model) -> DataFrame:
 
     # About a block a task, as a task sorts what it reads of both sides before the first block.
     parts = max(1, min(blocks.count(), 100_000))
-    mine = blocks.drop("train_tf").repartition(parts, "block")
+    mine = part_scores(blocks, model).repartition(parts, "block")
     return mine.groupBy("block").cogroup(known.repartition(parts, "block").groupBy("block")).applyInArrow(score_block, SCORED)
 
 

@@ -211,3 +211,25 @@ def test_encoded_blocks_are_row_groups_of_their_own(spark):
     blocks = hmm.encode_blocks(docs)
     files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
     assert sum(m.num_rows for m in files) == sum(m.num_row_groups for m in files) == 3
+
+
+def test_scoring_deals_out_the_words_of_classes_alone(spark):
+    """Rows on their way through the shuffle of the scores stay small: a word with a symbol of its own isn't dealt out again."""
+    from pyspark.sql import functions as F
+
+    from lexigrid.llm import hmm
+
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda k: F.concat(F.lit("w"), F.when(k % 100 == 0, F.col("id") * 10_000 + k).otherwise(k % 7).cast("string"))))
+    docs = spark.range(2400).coalesce(1).select(F.col("id").alias("doc_id"), F.lit(False).alias("held_out"), words.alias("text"))
+    blocks = hmm.encode_blocks(docs)
+    assert blocks.agg(F.max(F.octet_length("codes")), F.count("*")).first()[0] < 4 * 1_450_000  # 750,000 words and a slice of 2 MB
+    counts = hmm.vocabulary(blocks)
+    model, _ = hmm.train(blocks, counts, n_states=2, n_symbols=8, rounds=1)
+    parts = hmm.part_scores(blocks, model).select("types", "rare", F.octet_length("codes").alias("bytes")).collect()
+    dealt = sum(r.bytes for r in parts) // 4
+    assert dealt == sum(sum(r.rare) for r in parts) and 2400 * 9 <= dealt <= 2400 * 10
+    got = hmm.score(blocks, counts, model).agg(F.count("*"), F.min("n_known"), F.max("n_known"), F.sum("base_score")).first()
+    total, kinds = 2400 * 1001, 7 + 2400 * 10 + 1
+    frequent = [sum(1 for k in range(1, 1001) if k % 100 and k % 7 == m) * 2400 for m in range(7)]
+    want = sum(n * np.log10((n + 1) / (total + kinds)) for n in frequent) + 24_000 * np.log10(2 / (total + kinds)) + 2400 * np.log10(2401 / (total + kinds))
+    assert tuple(got)[:3] == (2400, 1001, 1001) and abs(got[3] / want - 1) < 1e-6
