@@ -15,8 +15,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexigrid.operators.places import geometries_meet, with_box
 
@@ -25,6 +28,8 @@ DEPTH, EDGES, FEW = 24, 64, 500
 #: Boxes of a feature's earlier bands that a row of the index holds at most.
 EARLIER = 16
 WIDE = -1
+#: Points and bands of a cell that one group compares, about.
+TILE_POINTS, TILE_BANDS = 8192, 256
 
 
 @dataclass(frozen=True)
@@ -66,7 +71,7 @@ def key_of(cx: Column, cy: Column, level: Column | int) -> Column:
 
 
 def bands(features: DataFrame) -> DataFrame:
-    """feature_id, edges (x0, y0, x1, y1, ring) and the box of each band of each part, and the band's own y_low and y_high."""
+    """feature_id, part_id, edges (x0, y0, x1, y1, ring) and the box of each band of each part, and the band's own y_low and y_high."""
     parts = features.select("feature_id", F.explode("geometry").alias("part")).withColumn("part", F.filter("part", lambda ring: F.size(ring) >= 3))
     ys = F.transform(F.flatten("part"), lambda p: p["y"])
     parts = parts.filter(F.size("part") > 0).select(F.monotonically_increasing_id().alias("part_id"), "*", F.size(ys).alias("n"), F.array_min(ys).alias("bottom"), F.array_max(ys).alias("top"))
@@ -83,7 +88,7 @@ def bands(features: DataFrame) -> DataFrame:
     y_low = F.col("bottom") + F.col("band") * F.col("height")
     last = F.col("band") == F.ceil(F.col("n") / EDGES) - 1
     # The box of a band ends with the band, so a tall edge doesn't widen it.
-    return made.select("feature_id", "edges", "x0", "x1", F.greatest("y0", y_low).alias("y0"), F.when(last, F.col("y1")).otherwise(F.least("y1", y_low + F.col("height"))).alias("y1"), F.col("band").alias("band"), "bottom", "height", "n")
+    return made.select("feature_id", "part_id", "edges", "x0", "x1", F.greatest("y0", y_low).alias("y0"), F.when(last, F.col("y1")).otherwise(F.least("y1", y_low + F.col("height"))).alias("y1"), F.col("band").alias("band"), "bottom", "height", "n")
 
 
 def build(features: DataFrame, path: str, tree: Tree = Tree(), rows_a_file: int = 200_000) -> str:
@@ -92,6 +97,12 @@ def build(features: DataFrame, path: str, tree: Tree = Tree(), rows_a_file: int
     order = Window.partitionBy("feature_id").orderBy("x0", "y0", "x1", "y1", "band")
     box = F.when(F.col("nth") <= EARLIER, F.struct("x0", "y0", "x1", "y1"))
     rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("earlier", F.collect_list(box).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    # Whether no other part of the feature may hold a point of the row's box too: a point is in one band of a part at most.
+    whole = Window.partitionBy("feature_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    laid = F.collect_list(F.when(F.col("nth") <= EARLIER, F.struct("part_id", "x0", "y0", "x1", "y1"))).over(whole)
+    rows = rows.select("*", laid.alias("laid"), (F.min("part_id").over(whole) == F.max("part_id").over(whole)).alias("single"), (F.max("nth").over(whole) <= EARLIER).alias("few"))
+    over = lambda b: (b["part_id"] != F.col("part_id")) & (b["x0"] <= F.col("x1")) & (F.col("x0") <= b["x1"]) & (b["y0"] <= F.col("y1")) & (F.col("y0") <= b["y1"])
+    rows = rows.withColumn("alone", F.col("single") | (F.col("few") & ~F.exists("laid", over))).drop("laid", "single", "few", "part_id")
     rows = rows.withColumn("level", tree.level_of(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))))
     span = lambda low, high, at: F.explode(F.sequence(tree.cell(F.col(low), at, F.col("level")), tree.cell(F.col(high), at, F.col("level"))))
     rows = rows.select("*", span("x0", "x1", tree.x).alias("cx")).select("*", span("y0", "y1", tree.y).alias("cy"))
@@ -111,12 +122,54 @@ def _levels(rows: DataFrame) -> list[int]:
     return sorted(r[0] for r in rows.select("level").distinct().collect())
 
 
-def _in_rings(x: Column, y: Column, edges: Column) -> Column:
-    """Whether a ray to the right meets the outer ring an odd number of times, and each hole an even one."""
-    crosses = lambda e: ((e["y0"] > y) != (e["y1"] > y)) & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"])
-    rings = F.transform(F.filter(edges, crosses), lambda e: e["ring"])
-    odd = lambda r: F.size(F.filter(rings, lambda s: s == r)) % 2 == 1
-    return odd(F.lit(0)) & ~F.exists(F.array_distinct(rings), lambda r: (r > 0) & odd(r))
+def _held(points: pa.Table, bands: pa.Table) -> pa.Table:
+    """point_id and feature_id where a band (see bands()) holds a point: a ray to the right meets the outer ring an odd number of times,
+    and each hole an even one."""
+    points, bands = points.combine_chunks(), bands.combine_chunks()
+    xs, ys = (points.column(c).to_numpy() for c in ("x", "y"))
+    col = {c: bands.column(c).to_numpy() for c in ("x0", "x1", "band", "bottom", "height", "n")}
+    last = np.ceil(col["n"] / EDGES) - 1
+    edges = pa.concat_arrays(bands.column("edges").chunks)
+    flat = edges.flatten()
+    starts = np.concatenate([[0], np.cumsum(edges.value_lengths().to_numpy())])
+    ex0, ey0, ex1, ey1, ring = (f.to_numpy() for f in flat.flatten())
+    order = np.argsort(xs, kind="stable")
+    sorted_x, found, whose = xs[order], [], []
+    for k in range(len(last)):
+        at = order[np.searchsorted(sorted_x, col["x0"][k], "left") : np.searchsorted(sorted_x, col["x1"][k], "right")]
+        y = ys[at]
+        # A point is in one band of a part: from the band's beginning up to the next one's.
+        own = (y >= col["bottom"][k]) & (np.minimum(last[k], np.floor((y - col["bottom"][k]) / col["height"][k])) == col["band"][k])
+        at = at[own]
+        if not len(at):
+            continue
+        x, y = xs[at], ys[at]
+        odd: dict[int, np.ndarray] = {}
+        for e in range(starts[k], starts[k + 1]):
+            if ey0[e] != ey1[e]:
+                crosses = ((ey0[e] > y) != (ey1[e] > y)) & (x < (ex1[e] - ex0[e]) * (y - ey0[e]) / (ey1[e] - ey0[e]) + ex0[e])
+                odd[ring[e]] = odd[ring[e]] ^ crosses if ring[e] in odd else crosses
+        inside = odd.pop(0, np.zeros(len(at), bool))
+        for hole in odd.values():
+            inside = inside & ~hole
+        found.append(at[inside])
+        whose.append(np.full(len(found[-1]), k))
+    one, two = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found, whose))
+    return pa.table({"point_id": points.column("point_id").take(pa.array(one)), "feature_id": bands.column("feature_id").take(pa.array(two))})
+
+
+def _pairs(spread: DataFrame, index: DataFrame) -> DataFrame:
+    """The pairs of points and bands of the same cell, in tiles of a cell: a row for each pair that is found, and no pair is shuffled."""
+    cell = ["zone", "level", "key"]
+    sizes = spread.groupBy(*cell).agg(F.count("*").alias("np")).join(index.groupBy(*cell).agg(F.count("*").alias("nb")), cell)
+    sizes = sizes.select(*cell, F.ceil(F.col("np") / TILE_POINTS).cast("int").alias("np"), F.ceil(F.col("nb") / TILE_BANDS).cast("int").alias("nb"))
+    dealt = lambda rows, by, own, of, other, many: rows.join(sizes, cell).select(*rows.columns, F.pmod(F.xxhash64(*by), F.col(of)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(many) - 1)).alias(other))
+    bands = index.select("feature_id", "edges", "x0", "x1", "y0", "band", "bottom", "height", "n", *cell)
+    points = dealt(spread.select("point_id", "x", "y", *cell), ("point_id", "x", "y"), "tp", "np", "tb", "nb")
+    bands = dealt(bands, ("feature_id", "x0", "y0", "band"), "tb", "nb", "tp", "np").drop("y0")
+    tile = [*cell, "tp", "tb"]
+    schema = StructType([spread.schema["point_id"], index.schema["feature_id"]])
+    return points.groupBy(*tile).cogroup(bands.groupBy(*tile)).applyInArrow(lambda p, b: _held(p, b) if len(p) and len(b) else pa.table({"point_id": p.column("point_id")[:0], "feature_id": b.column("feature_id")[:0]}), schema)
 
 
 def at_points(index: DataFrame, points: DataFrame, tree: Tree = Tree()) -> DataFrame:
@@ -124,6 +177,7 @@ def at_points(index: DataFrame, points: DataFrame, tree: Tree = Tree()) -> DataF
 
     Each point has one cell at each level in use, so the join is by (zone, level, key). The keys of up to FEW points are
     pushed into the reader; more are joined, and Spark prunes zones by the points where it broadcasts them.
+    Pairs are made distinct only where parts of a feature may overlap, or if a point id is repeated.
     """
     levels = F.array(*map(F.lit, _levels(index) or [0]))
     spread = points.select("point_id", "x", "y").filter(tree.inside(F.col("x"), F.col("y"))).select("*", F.explode(levels).alias("level"))
@@ -132,11 +186,10 @@ def at_points(index: DataFrame, points: DataFrame, tree: Tree = Tree()) -> DataF
     if points.limit(FEW + 1).count() <= FEW:
         asked = spread.select("zone", "key").distinct().collect()
         index = index.filter(F.col("zone").isin(sorted({r.zone for r in asked})) & F.col("key").isin(sorted({r.key for r in asked})))
-    # A point is in one band of a part: from the band's beginning up to the next one's.
-    own = F.least(F.ceil(F.col("n") / EDGES) - 1, F.floor((F.col("y") - F.col("bottom")) / F.col("height"))) == F.col("band")
-    box = F.col("x").between(F.col("x0"), F.col("x1")) & (F.col("y") >= F.col("bottom")) & own
-    found = spread.join(index, ["zone", "level", "key"]).filter(box & _in_rings(F.col("x"), F.col("y"), F.col("edges")))
-    return found.select("point_id", "feature_id").distinct()
+    if not points.groupBy("point_id").count().filter("count > 1").isEmpty():
+        return _pairs(spread, index).distinct()
+    found = _pairs(spread, index.filter("alone"))
+    return found if index.filter("NOT alone").isEmpty() else found.unionByName(_pairs(spread, index.filter("NOT alone")).distinct())
 
 
 def boxes_meeting(index: DataFrame, queries: DataFrame, tree: Tree = Tree()) -> DataFrame:

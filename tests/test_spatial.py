@@ -135,3 +135,27 @@ def test_boxes_are_found_once(spark, tmp_path):
     assert "keys=[query_id" not in found._jdf.queryExecution().toString()
     again = list(map(tuple, spatial.boxes_meeting(index, queries(boxes + boxes[:9])).collect()))
     assert len(again) == len(set(again)) and set(again) == expected
+
+
+def test_points_found_are_not_shuffled(spark, tmp_path):
+    """Unless parts of a feature overlap or a point id is repeated; then each pair still comes once."""
+    square = lambda x, y, r: [[(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r)]]
+    apart = [(k, [square(float(k % 7), float(k % 5), 1.5), square(40.0 + k, 0.0, 0.4)]) for k in range(30)]
+    points = [(k, (k * 0.37) % 8, (k * 0.73) % 6) for k in range(600)]
+    want = {(p, f) for p, x, y in points for f, ((one,), _) in apart if inside(x, y, one)}
+
+    def pairs(shapes, points, name):
+        built = spatial.build(spark.createDataFrame(shapes, f"feature_id bigint, geometry {SHAPE}"), f"file://{tmp_path}/{name}")
+        found = spatial.at_points(spatial.opened(spark, built), spark.createDataFrame(points, "point_id bigint, x double, y double"))
+        return found, found._jdf.queryExecution().optimizedPlan().toString()
+
+    found, plan = pairs(apart, points, "apart")
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 1000
+    assert "Aggregate" not in plan.split("FlatMapCoGroups")[0]
+    over = [*apart, (100, [square(3.0, 3.0, 1.0), square(3.5, 3.0, 1.0)]), (101, [square(2.0, 2.0, 0.5)]), (101, [square(2.0, 2.0, 0.7)])]
+    more = {(p, f) for p, x, y in points for f, parts in over[30:] if any(inside(x, y, one) for (one,) in parts)}
+    rows = [tuple(r) for r in pairs(over, points, "over")[0].collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want | more
+    rows = [tuple(r) for r in pairs(apart, points * 2, "twice")[0].collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
