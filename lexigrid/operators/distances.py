@@ -80,14 +80,11 @@ def _mapped(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Both directions: keys, a, b, here and there (whose token and whose counterpart), token, match (the most frequent
     counterpart, the smallest on ties) and w, its share of the shared items."""
     total = F.sum("n").over(Window.partitionBy(*keys, "a", "b"))
-    rows = cells.withColumn("total", total)
-
-    def side(token: str, other: str, here: str, there: str) -> DataFrame:
-        best = F.min_by(other, F.struct((-F.col("n")).alias("k"), F.col(other))).alias("match")
-        out = rows.groupBy(*keys, "a", "b", F.col(token).alias("token")).agg(best, (F.sum("n") / F.max("total")).alias("w"))
-        return out.select(*keys, "a", "b", F.col(here).alias("here"), F.col(there).alias("there"), "token", "match", "w")
-
-    return side("x", "y", "a", "b").unionByName(side("y", "x", "b", "a"))
+    side = lambda *columns: F.struct(*(F.col(c).alias(name) for c, name in zip(columns, ("here", "there", "token", "other"))))
+    # Both directions by one explode: of a union of two aggregates over one shuffle, Spark 4.1 may leave a group in two parts.
+    rows = cells.withColumn("total", total).select(*keys, "a", "b", "n", "total", F.explode(F.array(side("a", "b", "x", "y"), side("b", "a", "y", "x"))).alias("s"))
+    best = F.min_by("s.other", F.struct((-F.col("n")).alias("k"), "s.other")).alias("match")
+    return rows.groupBy(*keys, "a", "b", "s.here", "s.there", "s.token").agg(best, (F.sum("n") / F.max("total")).alias("w"))
 
 
 def values(cells: DataFrame, keys: list[str]) -> DataFrame:

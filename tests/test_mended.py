@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as fn
-from lexigrid.operators import accounts, aggregation, comparison, completions, variants
+from lexigrid.operators import accounts, aggregation, comparison, completions, distances, variants
 from lexigrid.sources import tables
 
 ODD = ["a\nb", " x ", "", None, 'say "hi", \\ and ,', "line\r\nend\\", "\ttab", "é漢", '"', "a\rb"]
@@ -88,3 +88,19 @@ def test_positive_pmi_partitions(spark, monkeypatch):
             sets.setdefault(h, set()).add(t)
     expected = sum(len(v) * (len(v) - 1) // 2 for v in sets.values()) // 50 + 1
     assert f"hashpartitioning(a#" in (plan := parted._jdf.queryExecution().toString()) and f", {expected}), REPARTITION_BY_NUM" in plan
+
+
+def test_anchored_matrix_is_the_blend_of_its_parts(spark):
+    """Each part enters once for a group and two locations, as it comes alone."""
+    rows = [(g, p, k, "abc"[(k * p + k // 3 + len(g)) % 3]) for g in ("F", "OO") for p in range(4) for k in range(9)] + [("F", p, k, "b") for p in range(3) for k in range(0, 9, 2)]
+    found = distances.tokens(spark.createDataFrame(rows, "g string, p int, k int, v string"), "g", "p", "k", "v")
+    profile = spark.createDataFrame([(p, v, 0.1 * p + 0.2 * k, 0.5 * k) for p in range(4) for k, v in enumerate("abc")], "location int, value string, share double, rank_percent double")
+    weight = {"F": 2.0, "OO": 1.0}
+    cells = distances.aligned(found, ["group"])
+    parts = [{(r.group, r.a, r.b): r[name] for r in df.collect()} for df, name in ((distances.intra(cells, ["group"]), "intra"), (distances.anchors(cells, ["group"], profile), "anchor"), (distances.values(cells, ["group"]), "value"))]
+    matrix = distances.distance_matrix(found, spark.createDataFrame(list(weight.items()), "group string, weight double"), "anchored", profile, 0.3)
+    got = {(r.a, r.b): r.distance for r in matrix.collect()}
+    assert len(got) == 6 and len(parts[2]) == 12
+    for (a, b), d in got.items():
+        each = {g: 0.7 * (0.85 * parts[0][g, a, b] + 0.15 * parts[1][g, a, b]) + 0.3 * parts[2][g, a, b] for g in weight}
+        assert abs(d - sum(weight[g] * x for g, x in each.items()) / 3) < 2e-6
