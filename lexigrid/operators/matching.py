@@ -20,6 +20,13 @@ from lexigrid.sources.tables import Rounds
 
 #: Texts and characters of a block, about.
 TEXTS, CHARS = 2048, 1 << 15
+#: Rows of the terms' side that are sent to all tasks; of more, both sides are dealt out. What comes of the names is never sent.
+SMALL = 200_000
+
+
+def _met(big: DataFrame, small: DataFrame, few: bool, on: str, how: str = "inner") -> DataFrame:
+    """A join whose sides Spark doesn't choose by its estimates, which leave out how many rows an explode gives."""
+    return big.join(F.broadcast(small), on, how) if few else big.hint("merge").join(small, on, how)
 
 
 def _chars(text: str) -> Column:
@@ -37,14 +44,14 @@ def _grams(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(column, F.explode(F.array_distinct(F.concat(_chars(column), F.when(size > 1, pairs).otherwise(F.array().cast("array<string>"))))).alias("gram"))
 
 
-def contained(names: DataFrame, terms: DataFrame) -> DataFrame:
+def contained(names: DataFrame, terms: DataFrame, few: bool = False) -> DataFrame:
     """name, variant: the names that hold the variant. A variant of one character is looked up by it, others by the bigram that
-    fewest names have; variants with a bigram that no name has match none."""
+    fewest names have; variants with a bigram that no name has match none. few: there are at most SMALL variants."""
     index = _grams(names, "name")
     often = index.groupBy("gram").agg(F.count("*").alias("n"))
     asked = _grams(terms, "variant").filter((F.char_length("gram") == 2) | (F.char_length("variant") == 1))
-    rarest = asked.join(often, "gram", "left").groupBy("variant").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
-    found = rarest.filter("least.n > 0").select("variant", F.col("least.gram").alias("gram")).join(index, "gram")
+    rarest = _met(asked, often, False, "gram", "left").groupBy("variant").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    found = _met(index, rarest.filter("least.n > 0").select("variant", F.col("least.gram").alias("gram")), few, "gram")
     return found.filter(F.contains("name", F.col("variant"))).select("name", "variant")
 
 
@@ -55,7 +62,7 @@ def _filed(rows: DataFrame, column: str, name: str) -> tuple[DataFrame, DataFram
     parts = F.ceil(F.greatest(F.count("*") / TEXTS, F.sum(size) / CHARS)).cast("int")
     kinds = rows.groupBy(f"{name}_kind").agg(parts.alias(f"{name}_parts"), F.min(size).alias("shortest"), F.max(size).alias("longest"))
     part = F.pmod(F.xxhash64(column), F.col(f"{name}_parts")).cast("int")
-    return rows.join(kinds.select(f"{name}_kind", f"{name}_parts"), f"{name}_kind").select(column, f"{name}_kind", part.alias(f"{name}_part")), kinds
+    return rows.join(F.broadcast(kinds.select(f"{name}_kind", f"{name}_parts")), f"{name}_kind").select(column, f"{name}_kind", part.alias(f"{name}_part")), kinds
 
 
 def similar(names: DataFrame, terms: DataFrame, ratio: float = 0.7) -> DataFrame:
@@ -65,7 +72,7 @@ def similar(names: DataFrame, terms: DataFrame, ratio: float = 0.7) -> DataFrame
     shortest = F.greatest(F.ceil(F.col("shortest") * F.lit(ratio / (2 - ratio)) - F.lit(1e-9)), F.lit(1))
     longest = F.floor(F.col("longest") * F.lit((2 - ratio) / ratio) + F.lit(1e-9))
     near = F.explode(F.sequence(F.floor(F.log2(shortest)).cast("int"), F.floor(F.log2(longest)).cast("int")))
-    met = kinds.select("name_kind", "name_parts", near.alias("term_kind")).join(others.select("term_kind", "term_parts"), "term_kind")
+    met = F.broadcast(kinds.select("name_kind", "name_parts", near.alias("term_kind")).join(F.broadcast(others.select("term_kind", "term_parts")), "term_kind"))
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}_parts") - 1)).alias(f"{name}_part")
     tile = ["name_kind", "name_part", "term_kind", "term_part"]
     left = left.join(met, "name_kind").select("name", "name_kind", "name_part", "term_kind", every("term"))
@@ -160,11 +167,11 @@ def indel_ratios(first: list[str], second: list[str]) -> np.ndarray:
     return 2 * common / np.maximum(size + other, 1)
 
 
-def sound_keys(rows: DataFrame, column: str, sounds: DataFrame) -> DataFrame:
+def sound_keys(rows: DataFrame, column: str, sounds: DataFrame, few: bool = False) -> DataFrame:
     """The column and its key: each character's sound from the table (char, sound; of several the least), one after another, others
-    in lower case as they are. The table may be as large as a script."""
+    in lower case as they are. The table may be as large as a script; few: it has at most SMALL rows."""
     one = sounds.groupBy("char").agg(F.min("sound").alias("sound"))
-    spread = rows.select(column, F.posexplode(_chars(column)).alias("at", "char")).join(one, "char", "left")
+    spread = _met(rows.select(column, F.posexplode(_chars(column)).alias("at", "char")), one, few, "char", "left")
     parts = F.array_sort(F.collect_list(F.struct("at", F.coalesce("sound", F.lower("char")).alias("sound"))))
     return spread.groupBy(column).agg(F.array_join(F.transform(parts, lambda p: p["sound"]), "").alias("key"))
 
@@ -178,12 +185,13 @@ def match_batch(names: DataFrame, terms: DataFrame, ratio: float = 0.7, sounds:
     names = steps.written(_plain(names, "name", "name"), "names")
     asked = terms.select(F.col("term").cast("string").alias("term"), F.col("variant").cast("string").alias("variant")).filter("variant <> '' AND term IS NOT NULL").distinct()
     variants = steps.written(asked.select("variant").distinct(), "variants")
+    few, brief = asked.count() <= SMALL, sounds is not None and sounds.count() <= SMALL
     tier = F.when(F.col("name") == F.col("variant"), 1).when(F.startswith("name", F.col("variant")), 2).otherwise(3)
-    found = contained(names, variants).select("name", "variant", tier.alias("tier"), F.lit(None).cast("double").alias("ratio"))
+    found = contained(names, variants, few).select("name", "variant", tier.alias("tier"), F.lit(None).cast("double").alias("ratio"))
     found = found.unionByName(similar(names, variants, ratio).select("name", "variant", F.lit(4).alias("tier"), "ratio"))
     if sounds is not None:
-        keys = sound_keys(names, "name", sounds).join(sound_keys(variants, "variant", sounds), "key").filter("key <> ''")
+        keys = _met(sound_keys(names, "name", sounds, brief), sound_keys(variants, "variant", sounds, brief), few, "key").filter("key <> ''")
         found = found.unionByName(keys.select("name", "variant", F.lit(5).alias("tier"), F.lit(None).cast("double").alias("ratio")))
     best = F.min(F.struct("tier", (-F.col("ratio")).alias("less")))
-    out = found.join(asked, "variant").groupBy("term", "name").agg(best.alias("best"))
+    out = _met(found, asked, few, "variant").groupBy("term", "name").agg(best.alias("best"))
     return out.select("term", "name", F.col("best.tier").alias("tier"), F.round(-F.col("best.less"), 6).alias("ratio"))

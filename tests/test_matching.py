@@ -72,3 +72,18 @@ def test_tiles(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == expected and any(len(n) > 64 < len(v) for n, v, _ in expected)
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "CoGroups" in plan and not re.search(r"keys=\[name#\d+, variant", plan)
+
+
+def test_sides_of_joins_are_named(spark, monkeypatch):
+    """Spark's estimates don't see how many rows an explode gives, so no join is left to them; dealt out or sent, rows are the same."""
+    names = spark.createDataFrame([(x,) for x in texts(5, 60)], "name string")
+    terms = spark.createDataFrame([(x, x) for x in texts(6, 30)], "term string, variant string")
+    sounds = spark.createDataFrame([("c", "k"), ("é", "e")], "char string, sound string")
+    found = []
+    for small in (200_000, 0):
+        monkeypatch.setattr(matching, "SMALL", small)
+        out = matching.match_batch(names, terms, 0.7, sounds)
+        joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+        assert len(joins) > 9 and all("strategy=" in x for x in joins)
+        found.append(sorted(map(repr, out.collect())))
+    assert found[0] == found[1] and found[0]
