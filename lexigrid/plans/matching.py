@@ -13,7 +13,7 @@ SOUNDS = [("c", "k"), ("q", "k"), ("z", "s"), ("y", "i"), ("v", "f"), ("w", "f")
 
 
 def _words(spark, d, name, column):
-    return table(spark, d, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{5,})"))).alias(column)).distinct()
+    return table(spark, d, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias(column)).distinct()
 
 
 @query()

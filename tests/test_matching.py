@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lexigrid.operators import matching
+from lexigrid.plans import matching as plans
 
 
 def common(a, b):
@@ -87,3 +88,11 @@ def test_sides_of_joins_are_named(spark, monkeypatch):
         assert len(joins) > 9 and all("strategy=" in x for x in joins)
         found.append(sorted(map(repr, out.collect())))
     assert found[0] == found[1] and found[0]
+
+
+def test_words_of_any_length(spark, tmp_path):
+    """Short words are names and terms too."""
+    for name, texts_ in (("documents", ["a cat sat, on Ürgo", None, "x7y"]), ("benchmark", ["at cats ab", ""])):
+        spark.createDataFrame([(t,) for t in texts_], "text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {(r.term, r.name): r.tier for r in plans.adv39_fuzzy_matches(spark, str(tmp_path)).collect()}
+    assert got == {("at", "cat"): 3, ("at", "sat"): 3, ("cats", "cat"): 4}
