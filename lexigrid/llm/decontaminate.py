@@ -33,7 +33,9 @@ WINDOWS_A_PASS = 500_000
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the positional index of all words of all texts to the shared folder and returns it."""
+    """Writes the positional index of all words of all texts to the shared folder and returns it. A row group holds one segment:
+    Spark's writer and reader have a whole row group in memory, and by its bytes alone Parquet ends one after a hundred rows at the
+    earliest, which would be all segments of a task."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,7 +62,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return written(
         docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(segments, SEGMENT),
         "postings",
-        **{"parquet.enable.dictionary": "false", "parquet.writer.version": "v2", "parquet.block.size": str(16 << 20)},
+        **{"parquet.enable.dictionary": "false", "parquet.writer.version": "v2", "parquet.block.row.count.limit": "1"},
     )
 
 

@@ -233,3 +233,16 @@ def test_scoring_deals_out_the_words_of_classes_alone(spark):
     frequent = [sum(1 for k in range(1, 1001) if k % 100 and k % 7 == m) * 2400 for m in range(7)]
     want = sum(n * np.log10((n + 1) / (total + kinds)) for n in frequent) + 24_000 * np.log10(2 / (total + kinds)) + 2400 * np.log10(2401 / (total + kinds))
     assert tuple(got)[:3] == (2400, 1001, 1001) and abs(got[3] / want - 1) < 1e-6
+
+
+def test_segments_are_row_groups_of_their_own(spark):
+    """Whatever a task writes, looking up has one segment of the index in memory and not all of a file's."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from lexigrid.llm import decontaminate
+
+    docs = spark.range(4).coalesce(1).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('w', id, ' '), 400000)").alias("text"))
+    index = decontaminate.build_index(docs)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    assert sum(m.num_rows for m in files) == sum(m.num_row_groups for m in files) > 1
