@@ -22,6 +22,8 @@ from lexigrid.sources.tables import Rounds
 TEXTS, CHARS = 2048, 1 << 15
 #: Rows of the terms' side that are sent to all tasks; of more, both sides are dealt out. What comes of the names is never sent.
 SMALL = 200_000
+#: Characters with a sound that are written into the plan as a map, which is searched from its start for each character.
+SIGNS = 64
 
 
 def _met(big: DataFrame, small: DataFrame, few: bool, on: str, how: str = "inner") -> DataFrame:
@@ -171,6 +173,10 @@ def sound_keys(rows: DataFrame, column: str, sounds: DataFrame, few: bool = Fals
     """The column and its key: each character's sound from the table (char, sound; of several the least), one after another, others
     in lower case as they are. The table may be as large as a script; few: it has at most SMALL rows."""
     one = sounds.groupBy("char").agg(F.min("sound").alias("sound"))
+    if few and len(signs := one.filter("char IS NOT NULL AND sound IS NOT NULL").limit(SIGNS + 1).collect()) <= SIGNS:  # no row for each character
+        known = F.create_map(*(F.lit(x) for r in signs for x in r)) if signs else F.lit(None)
+        sound = lambda c: F.coalesce(F.element_at(known, c), F.lower(c)) if signs else F.lower(c)
+        return rows.select(column, F.array_join(F.transform(_chars(column), sound), "").alias("key"))
     spread = _met(rows.select(column, F.posexplode(_chars(column)).alias("at", "char")), one, few, "char", "left")
     parts = F.array_sort(F.collect_list(F.struct("at", F.coalesce("sound", F.lower("char")).alias("sound"))))
     return spread.groupBy(column).agg(F.array_join(F.transform(parts, lambda p: p["sound"]), "").alias("key"))

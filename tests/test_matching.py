@@ -83,6 +83,7 @@ def test_sides_of_joins_are_named(spark, monkeypatch):
     found = []
     for small in (200_000, 0):
         monkeypatch.setattr(matching, "SMALL", small)
+        monkeypatch.setattr(matching, "SIGNS", 0)
         out = matching.match_batch(names, terms, 0.7, sounds)
         joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
         assert len(joins) > 9 and all("strategy=" in x for x in joins)
@@ -96,3 +97,14 @@ def test_words_of_any_length(spark, tmp_path):
         spark.createDataFrame([(t,) for t in texts_], "text string").write.parquet(str(tmp_path / f"{name}.parquet"))
     got = {(r.term, r.name): r.tier for r in plans.adv39_fuzzy_matches(spark, str(tmp_path)).collect()}
     assert got == {("at", "cat"): 3, ("at", "sat"): 3, ("cats", "cat"): 4}
+
+
+def test_few_sounds_need_no_row_for_each_character(spark, monkeypatch):
+    names = spark.createDataFrame([("Ca é",), ("xyz",), ("漢c",), ("e",)], "name string")
+    sounds = spark.createDataFrame([("c", "k"), ("c", "z"), ("é", ""), ("漢", "han"), ("x", None), (None, "q")], "char string, sound string")
+    keys = matching.sound_keys(names, "name", sounds, True)
+    assert "Generate" not in keys._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.name: r.key for r in keys.collect()}
+    monkeypatch.setattr(matching, "SIGNS", 0)
+    assert got == {r.name: r.key for r in matching.sound_keys(names, "name", sounds, True).collect()} == {"Ca é": "ca ", "xyz": "xyz", "漢c": "hank", "e": "e"}
+    assert {r.key for r in matching.sound_keys(names, "name", sounds.limit(0), True).collect()} == {"ca é", "xyz", "漢c", "e"}
